@@ -8,10 +8,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, token_counts
+from . import chat, decontaminate, packing, quality_rules, token_counts
 from .common import table
 
+#: The conversation that op4 adds: control strings in both texts.
+HARD_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
+    return chat.digest(chat.examples(rows.unionByName(more)))
+
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -25,9 +35,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.clean(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontaminate, op6_token_counts, op8_packing)}
+    return {f.__name__: f for f in (op4_chat_format, op5_decontaminate, op6_token_counts, op8_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    hard = "union all select -7, 0, 'user', '{0}' union all select -7, 1, 'assistant', '{0}'".format(HARD_TEXT)
+    return {
+        "op4_chat_format": chat.oracle(extra=hard),
+        "op10_quality_rules": quality_rules.oracle(),
+    }
