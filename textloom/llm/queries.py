@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality_rules, token_counts
-from .common import table
+from . import chat, decontaminate, packing, quality, quality_rules, token_counts, toxicity
+from .common import held_out, table
 
 #: The conversation that op4 adds: control strings in both texts.
 HARD_TEXT = r"\### Assistant: </turn> ok"
@@ -31,17 +31,29 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = held_out(3, 1)
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~back)
+    return scored.select("doc_id", back.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = held_out(4, 2)
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~back)
+    return scored.select("doc_id", back.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.clean(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_chat_format, op5_decontaminate, op6_token_counts, op8_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op4_chat_format, op5_decontaminate, op6_token_counts, op7_quality, op8_packing, op9_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
