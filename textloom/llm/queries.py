@@ -10,13 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, quality_rules, token_counts, toxicity
+from . import chat, decontaminate, jaccard_join, packing, quality, quality_rules, token_counts, toxicity
 from .common import held_out, table
 
 #: The conversation that op4 adds: control strings in both texts.
 HARD_TEXT = r"\### Assistant: </turn> ok"
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
@@ -53,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_chat_format, op5_decontaminate, op6_token_counts, op7_quality, op8_packing, op9_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_jaccard_join, op4_chat_format, op5_decontaminate, op6_token_counts, op7_quality, op8_packing, op9_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
