@@ -10,13 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, packing, quality, quality_rules, secrets, token_counts, toxicity
+from . import chat, decontaminate, jaccard_join, language_model, packing, quality, quality_rules, secrets, token_counts, toxicity
 from .common import held_out, table
 
 #: The conversation that op4 adds: control strings in both texts.
 HARD_TEXT = r"\### Assistant: </turn> ok"
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), held_out(5, 1))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -61,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_jaccard_join, op4_chat_format, op5_decontaminate, op6_token_counts, op7_quality, op8_packing, op9_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_jaccard_join, op4_chat_format, op5_decontaminate, op6_token_counts, op7_quality, op8_packing, op9_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,7 +29,7 @@ ASSIGNED = r"(?i)\b(?:password|passwd|pwd|token|secret|api_?key|access_?key|auth
 LONG = r"[A-Za-z0-9+/_\-]{16,}"
 KNOWN = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^xox[abprs]-|^AIza[A-Za-z0-9_\-]{30,}$|^eyJ[A-Za-z0-9_\-]{10,}"
 NAMES = r"(?i)(password|passwd|pwd|token|secret|key|auth|credential)\W{0,6}$"
-DOUBT = r"(?i)example|sample|dummy|placeholder|your|test|fake|xxxx|commit|sha256|sha1|md5|checksum|digest|version|isbn|phone"
+DOUBT = r"(?i)\b(examples?|sample|dummy|placeholder|your|tests?|fake|commit|sha256|sha1|md5|checksum|digest|version|isbn|phone)\b|(?-i:EXAMPLE)|xxxx"
 PLAIN_PATH = r"(?i)(^|[/_.-])(test|tests|example|examples|fixture|fixtures|mock|docs?|sample)([/_.-]|$)"
 #: Characters of context on either side; the least count that makes a dictionary word.
 AROUND, LEAST_COUNT = 48, 5
