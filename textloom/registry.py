@@ -1,10 +1,102 @@
-"""Queries of the engine's own operators, and their DuckDB SQL."""
+"""Registry of the engine's queries, and the canonical tables they run on.
+
+The canonical tables of a coding project (items, turns, segments, themes,
+codes, predictions and so on) are derived from the driver's tables by SELECTs
+that Spark and DuckDB both read, so a query and its oracle start from the same
+rows.  Operators take DataFrames; the registered queries feed them these.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+CANONICAL = {
+    "items": """select source as dataset_id, cast(doc_id as string) as item_id, 'group ' || source as group_name, lang as person_name,
+        'Talk ' || cast(doc_id % 50 as string) as item_title, cast(date '2024-01-01' + cast(doc_id % 30 as int) as string) as publish_date,
+        cast(n_chars as string) as view_count, case when doc_id % 6 = 0 then null else cast(doc_id % 100 as string) end as like_count, text as transcript_text, doc_id from documents""",
+    "segments": """select cast(doc_id as string) || ':0000' as segment_id, source as dataset_id, cast(doc_id as string) as item_id, 'group ' || source as group_name, lang as person_name,
+        case doc_id % 4 when 0 then 'interviewer' when 1 then 'subject' when 2 then null else 'other' end as speaker_role,
+        text, case when doc_id % 17 = 0 then null else cast(floor(n_chars / 40) as int) end as word_count, doc_id from documents""",
+    "themes": """select * from (values ('s__any', 's', cast(null as string), 'Any', 0, 'active', '2024-01-01', 'include this', 'not that', 'a description of at least fifteen words so that the completeness rule finds the theme well described here'),
+        ('s__quality', 's', 's__any', 'Quality', 1, 'active', '2024-01-02', 'include', cast(null as string), 'short description'),
+        ('s__toxic', 's', 's__any', 'Toxic', 1, 'active', '2024-01-15', cast(null as string), cast(null as string), cast(null as string)),
+        ('s__mild', 's', 's__toxic', 'Mild', 2, 'active', '2024-01-20', 'in', 'out', 'one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen'),
+        ('s__old', 's', 's__quality', 'Old', 2, 'archived', '2024-01-03', 'x', 'y', 'old')) as t(theme_id, scheme_id, parent_theme_id, name, depth, status, created_at, inclusion_criteria, exclusion_criteria, description)""",
+    "codes": """select doc_id * 10 + 1 as code_id, cast(doc_id as string) || ':0000' as segment_id, 's__quality' as theme_id, 'coder' || cast(doc_id % 2 as string) as coder,
+            '2024-02-' || right('0' || cast(1 + doc_id % 28 as string), 2) as created_at, case when doc_id % 11 = 0 then '2024-03-01' end as deleted_at, doc_id % 5 = 0 as is_exemplar, doc_id from labels where quality = 1
+        union all select doc_id * 10 + 2, cast(doc_id as string) || ':0000', case when doc_id % 3 = 0 then 's__mild' else 's__toxic' end, 'coder0', '2024-02-10', case when doc_id % 11 = 0 then '2024-03-01' end, doc_id % 2 = 0, doc_id from labels where toxic = 1""",
+    "negatives": """select doc_id * 10 + 3 as negative_id, cast(doc_id as string) || ':0000' as segment_id, 's__quality' as theme_id, 'coder0' as coder, '2024-02-05' as created_at,
+            case when doc_id % 13 = 0 then '2024-03-02' end as deleted_at, doc_id % 2 = 0 as is_near_miss, doc_id from labels where quality = 0
+        union all select doc_id * 10 + 4, cast(doc_id as string) || ':0000', case when doc_id % 4 = 0 then 's__any' else 's__toxic' end, 'coder1', '2024-02-06', case when doc_id % 13 = 0 then '2024-03-02' end, doc_id % 3 = 0, doc_id from labels where toxic = 0 and doc_id % 2 = 0""",
+    "item_reviews": """select doc_id as review_id, source as dataset_id, cast(doc_id as string) as item_id, 's' as scheme_id, case when doc_id % 2 = 0 then '2024-01-10' else '2024-02-20' end as marked_at,
+        case when doc_id % 9 = 0 then '2024-03-01' end as unmarked_at, case when doc_id % 6 = 3 then null when doc_id % 2 = 0 then '2024-01-10' else '2024-02-25' end as recorded_at,
+        case when doc_id % 15 = 0 then '2024-02-26' end as read_in_full_confirmed_at from documents where doc_id % 3 = 0""",
+    "none_confirmations": """select cast(doc_id as string) || ':0000' as segment_id, 's' as scheme_id, '2024-02-21' as confirmed_at, case when doc_id % 14 = 0 then '2024-03-03' end as unconfirmed_at from documents where doc_id % 7 = 0""",
+    "predictions": """select segment_id, theme_id, model_version, round(cast((doc_id * 7919 + k * 104729) % 1000 as double) / 1000, 3) as score,
+            case when doc_id % 7 = 0 then null else round(cast((doc_id * 6007 + k * 15485863) % 1000 as double) / 1000, 3) end as oof_score, doc_id
+        from segments cross join (values ('s__quality', 'tfidf_v2', 1), ('s__toxic', 'tfidf_v2', 2), ('s__mild', 'tfidf_v2', 3), ('s__quality', 'tfidf_v1', 4), ('s__toxic', 'emb_v1', 5)) as v(theme_id, model_version, k)
+        where coalesce(speaker_role, '') <> 'interviewer'""",
+    "model_runs": """select * from (values ('tfidf_v1', 's__quality', '2024-01-05T10:00', 30, 100, 0.61, 0.7, 0.65, 0.6, 0.5), ('tfidf_v2', 's__quality', '2024-02-05T10:00', 40, 120, 0.71, 0.72, 0.715, 0.7, 0.45),
+        ('tfidf_v2', 's__toxic', '2024-02-05T10:00', 35, 90, 0.5, cast(null as double), cast(null as double), 0.4, 0.6), ('tfidf_v2', 's__mild', '2024-02-05T10:00', 27, 60, 0.4, 0.3, 0.34, 0.33, 0.55),
+        ('emb_v1', 's__toxic', '2024-02-15T09:00', 160, 300, 0.8, 0.75, 0.77, 0.79, 0.5), ('emb_v0', 's__toxic', '2024-01-15T09:00', 150, 280, 0.7, 0.65, 0.67, 0.69, 0.5),
+        ('tfidf_v0', 's__toxic', '2024-01-01T10:00', 20, 50, 0.3, 0.2, 0.24, 0.2, 0.5), ('odd_v1', 's__toxic', '2024-01-02T10:00', 20, 50, 0.3, 0.2, 0.24, 0.2, 0.5)) as t(model_version, theme_id, trained_at, n_pos, n_neg, prec, recall, f1, pr_auc, threshold)""",
+    "run_params": """select * from (values ('tfidf_v2', '{"negative_mode": "reviewed", "codebook": {"version": "ab12"}}'), ('emb_v1', '{"codebook": {}}'), ('odd_v1', 'not json')) as t(model_version, params_json)""",
+    "pins": "select * from (values ('tfidf_v0', 's__toxic')) as t(model_version, theme_id)",
+    "round_decisions": "select * from (values (1, '2024-01-12T00:00'), (2, '2024-02-10T00:00')) as t(decision_id, created_at)",
+    "decisions": """select doc_id as decision_id, cast(doc_id as string) || ':0000' as segment_id, 's__quality' as theme_id, case doc_id % 3 when 0 then 'accept' when 1 then 'reject' else 'skip' end as decision,
+        case when doc_id % 10 = 0 then '2024-03-05' end as undone_at, 'r' || cast(doc_id % 2 as string) as round_id from labels""",
+    "activity": "select event_id as log_id, ts, 'user' || cast(user_id as string) as actor, event_type as action_type, props as details_json, value from events",
+    "turns": """select cast(conv_id as string) as item_id, turn as turn_index, role as speaker_name, case role when 'user' then 'interviewer' when 'assistant' then 'subject' else 'other' end as speaker_role, text as content, conv_id from conversations""",
+    "auto_duplicates": """select doc_id, cast(doc_id as string) as item_id, source as dataset_id, cast(doc_id - doc_id % 5 as string) as canonical_id, doc_id % 5 = 0 as is_canonical from documents where doc_id % 20 < 5""",
+    "overrides": """select cast(doc_id as string) as item_id, source as dataset_id, case when doc_id % 2 = 0 then 'exclude' else 'include' end as kind, cast(doc_id - 1 as string) as target_id from documents where doc_id % 37 = 3""",
+    "dataset_status": "select * from (values ('src3', 'excluded'), ('src5', 'unloaded')) as t(dataset_id, status)",
+}
+
+
+def _needed(sql: str) -> list[str]:
+    """Canonical tables that ``sql`` names, each after those it needs."""
+    out: list[str] = []
+    for name, body in CANONICAL.items():
+        if re.search(rf"\b(from|join|using)\s+\(?{name}\b", sql) or re.search(rf",\s*{name}\b\s*(,|$|where|\))", sql):
+            for x in [*_needed(body), name]:
+                if x not in out:
+                    out.append(x)
+    return out
+
+
+def _with(sql: str, first: list[str]) -> str:
+    parts = [*first, *(f"{n} as ({CANONICAL[n]})" for n in _needed(sql))]
+    if not parts:
+        return sql
+    body = re.sub(r"^\s*with\s+(recursive\s+)?", "", sql, flags=re.I)
+    recursive = "recursive " if re.match(r"\s*with\s+recursive", sql, re.I) else ""
+    return f"with {recursive}{', '.join(parts)}{',' if body != sql else ''} {body}"
+
+
+def canonical(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A canonical or driver table."""
+    if name in BASE:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    body = CANONICAL[name]
+    used = {n for t in [*_needed(body), name] for n in BASE if re.search(rf"\b{n}\b", CANONICAL[t])}
+    first = [f"{n} as (select * from parquet.`{sf_dir}/{n}.parquet`)" for n in sorted(used)]
+    return spark.sql(_with(f"select * from {name}", first))
+
+
+def query(name: str, *tables: str, oracle: str | None = None):
+    """Registers ``f(*DataFrames)`` as a query over the named tables, with its DuckDB SQL."""
+
+    def register(f):
+        QUERIES[name] = lambda spark, sf_dir: f(*(canonical(spark, sf_dir, t) for t in tables))
+        if oracle:
+            ORACLES[name] = _with(oracle, [])
+        return f
+
+    return register
