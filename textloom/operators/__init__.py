@@ -1,3 +1,3 @@
 """Operators; importing this package registers their queries."""
 
-from . import text_queries  # noqa: F401
+from . import corpus, labels, text_queries  # noqa: F401
