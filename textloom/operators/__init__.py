@@ -1,3 +1,3 @@
 """Operators; importing this package registers their queries."""
 
-from . import corpus, labels, ranking, text_queries  # noqa: F401
+from . import corpus, duplicates, labels, misc, prepare, ranking, sources_queries, streams, text_queries, training  # noqa: F401
