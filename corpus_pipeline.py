@@ -17,20 +17,22 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _kept(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among ``doc_ids``, with the columns of documents."""
-    return docs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """Rows of ``docs`` whose id is among ``doc_ids`` (a null id is an id here), with the columns of documents."""
+    ids = doc_ids.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go; rows without an id stay unjudged and go too."""
+    """Documents that the toxicity classifier rejects go; rows without an id go if one of them is rejected."""
     scored = toxicity.score(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return _kept(docs, scored.groupBy("doc_id").agg(F.max("score").alias("score")).filter(F.col("score") < toxicity.THRESHOLD))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id stays, once."""
+    """Of each class of near copies the document with the least id stays, once; rows without an id all stay."""
     found = jaccard_join.near_duplicates(docs)
-    return _kept(docs, found.filter("doc_id = class_id")).dropDuplicates(["doc_id"])
+    named = _kept(docs.filter("doc_id is not null"), found.filter("doc_id = class_id")).dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,12 +108,13 @@ def test_decontaminate_in_blocks(docs, spark, monkeypatch):
 
 
 def test_jaccard_join(docs, empty):
-    rows = {r.doc_id: r for r in jaccard_join.near_duplicates(docs.filter("doc_id is not null")).collect()}
+    rows = {r.doc_id: r for r in jaccard_join.near_duplicates(docs).collect()}
     want = jaccard_join.brute_force([(i, t) for i, t in dict(ROWS).items() if i is not None])
     for i, (root, _) in want.items():
         assert rows[i].class_id == root
     assert rows[5].n_links == 3 and rows[1].n_links == rows[2].n_links == rows[3].n_links == 0
     assert rows[8].class_id == rows[9].class_id == 8
+    assert rows[None].class_id is None and rows[None].n_links == 0
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 

@@ -275,13 +275,14 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     n_links, other documents it links to, those with an equal set included.
 
     A text of under ``SHINGLE`` words is one shingle; null and empty texts have
-    none and are alone.  Repeated rows are copies (an id that returns with
+    none and are alone, as are rows without an id.  Repeated rows are copies (an id that returns with
     another text is not told apart from the first); an empty table gives no
     rows; other columns are ignored.
     """
     n_runs = runs(recall)
     plain = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = saved(plain.mapInArrow(_signatures, "doc_id long, key binary, size long, mins binary"))
+    signed = plain.mapInArrow(_signatures, "doc_id long, key binary, size long, mins binary")
+    signed = saved(signed.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key"))))
     nodes = saved(signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("mins").alias("mins")))
     low_bytes = "node long, sketch binary"
 

@@ -178,11 +178,11 @@ def report(scanned: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret of ``scanned`` replaced in its text; n_chars follows."""
-    secrets = scanned.filter("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("found"))
-    longest_first = F.transform(F.sort_array(F.transform("found", lambda v: F.struct(-F.length(v), v.alias("v")))), lambda s: s["v"])
-    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
-    out = docs.join(secrets, "doc_id", "left").withColumn("text", text)
+    """``docs`` with every secret of ``scanned`` replaced in its text; n_chars follows.  Rows of one id (or of none) share their secrets."""
+    secrets = scanned.filter("is_secret").groupBy(F.col("doc_id").alias("secret_of")).agg(F.collect_set("value").alias("secret_values"))
+    longest_first = F.transform(F.sort_array(F.transform("secret_values", lambda v: F.struct(-F.length(v), v.alias("v")))), lambda s: s["v"])
+    text = F.when(F.col("secret_values").isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
+    out = docs.join(secrets, F.col("doc_id").eqNullSafe(F.col("secret_of")), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        out = out.withColumn("n_chars", F.when(F.col("secret_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return out.select(*docs.columns)
