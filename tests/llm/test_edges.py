@@ -253,3 +253,18 @@ def test_gradient():
         up[k, 2] += e
         down[k, 2] -= e
         assert abs(-(net.log_probs(up, y).sum() - net.log_probs(down, y).sum()) / (2 * e) - back[k, 2]) < 1e-4
+
+
+def test_training_carries_the_state_over_a_whole_document():
+    """At rate 0 nothing is learnt, so training must see what scoring sees, also beyond 2,048 tokens."""
+    import numpy as np
+
+    groups = language_model.Groups(np.zeros((language_model.TRIGRAMS, language_model.GROUPS)))
+    words = [(language_model.END, 9)] + [(f"w{i}".encode(), 5) for i in range(70)]
+    s = language_model.Symbols(words, groups)
+    net = language_model.Network.new(s, np.ones(s.size))
+    net.w["gates"] *= 20
+    docs = [np.random.default_rng(k).integers(1, 60, n) for k, n in enumerate((5_000, 300))]
+    mean = net.train(docs, 0.0, {})
+    assert abs(mean - net.score(docs).sum() / 5_300) < 1e-6
+    assert len(language_model.trigrams(b"abcdefg")) == 7

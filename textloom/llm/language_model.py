@@ -33,12 +33,10 @@ from pyspark.sql import functions as F
 from .common import frequent, saved, texts, worker_state
 
 #: Broadcast words; words with their own output weights; words of a learnt class.
-HEAD, LEARNED, PER_CLASS = 200_000, 1_024, 32
-HIDDEN, GROUPS, TRIGRAMS = 24, 6, 8_192
+HEAD, LEARNED, PER_CLASS = 200_000, 2_048, 64
+HIDDEN, GROUPS, TRIGRAMS = 32, 8, 8_192
 #: Warm-up documents (at most) and passes; windows, lanes and rate of training.
-WARM_DOCS, WARM_PASSES, WINDOW, LANES, RATE = 600, 4, 24, 512, 0.1
-#: Training cuts longer documents into segments of so many tokens; scoring never does.
-SEGMENT = 2_048
+WARM_DOCS, WARM_PASSES, WINDOW, LANES, RATE = 600, 4, 32, 64, 0.1
 #: Documents scored side by side, steps scored at once; tasks' weights are summed in so many parts.
 SIDE, SPAN, PARTS = 1_024, 96, 32
 END = b" end"  # no word holds a space
@@ -64,9 +62,10 @@ def _counts(batches):
     yield out()
 
 
-def trigrams(word: bytes) -> tuple[int, int]:
-    """Buckets of a word's first and last three bytes."""
-    return zlib.crc32(word[:3]) % TRIGRAMS, zlib.crc32(word[-3:], 1) % TRIGRAMS
+def trigrams(word: bytes) -> list[int]:
+    """Buckets of all of a word's trigrams, its borders included."""
+    w = b"^" + word + b"$"
+    return [zlib.crc32(w[i : i + 3]) % TRIGRAMS for i in range(len(w) - 2)] or [0]
 
 
 class Groups:
@@ -76,8 +75,10 @@ class Groups:
         self.table = table
 
     def of(self, word: bytes) -> int:
-        first, last = trigrams(word)
-        return int((self.table[first] + self.table[last]).argmax())
+        at = trigrams(word)
+        if len(at) > 200:  # a long one by its counts, in bounded memory
+            return int((np.bincount(at, minlength=TRIGRAMS) @ self.table).argmax())
+        return int(self.table[at].sum(0).argmax())
 
     @staticmethod
     def found(docs: list[list[bytes]], seed: int = 2) -> np.ndarray:
@@ -100,7 +101,7 @@ class Groups:
         n = np.full((TRIGRAMS, GROUPS), 0.05)
         for d, words in enumerate(docs):
             for w in words:
-                n[list(trigrams(w)), own[d]] += 1
+                np.add.at(n, (trigrams(w), own[d]), 1)
         return np.log(n / n.sum(0))
 
 
@@ -199,9 +200,9 @@ class Network:
 
     def train(self, docs: list[np.ndarray], rate: float, sums: dict, lanes: int = LANES) -> float:
         """One pass of truncated backpropagation; documents stand one behind
-        another in lanes, and the state is carried from window to window.
-        Returns the mean log-probability of a symbol."""
-        docs = sorted((d[a : a + SEGMENT] for d in docs for a in range(0, len(d), SEGMENT)), key=len)
+        another in lanes, and the state is carried from window to window over
+        whole documents; only the gradient ends with the window.  Returns the mean log-probability of a symbol."""
+        docs = sorted(docs, key=len)
         lanes: list[list] = [[] for _ in range(min(lanes, len(docs)))]
         load = np.zeros(len(lanes))
         for d in reversed(docs):
@@ -436,7 +437,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     used = np.bincount(np.concatenate(ids), minlength=symbols.size) if ids else np.zeros(symbols.size)
     net, sums = Network.new(symbols, used), {}
     for k in range(WARM_PASSES):
-        net.train(ids, RATE / (1 + 0.5 * k), sums, lanes=64)
+        net.train(ids, RATE / (1 + 0.5 * k), sums)
     shared = {"name": str(id(net)) + str(n_all), "groups": groups.table, "head": symbols.head, "n_learnt": symbols.n_learnt, "end": symbols.end, "weights": net.w, "sums": sums}
     b = spark.sparkContext.broadcast(shared)
     parts = training.select("text").mapInArrow(lambda it: _train_task(it, b), "part int, tokens long, weights binary")
