@@ -268,3 +268,27 @@ def test_training_carries_the_state_over_a_whole_document():
     mean = net.train(docs, 0.0, {})
     assert abs(mean - net.score(docs).sum() / 5_300) < 1e-6
     assert len(language_model.trigrams(b"abcdefg")) == 7
+
+
+def test_word_groups_come_from_all_training_documents(spark):
+    """Every document's trigrams count, and a language of 12 in 900 documents has a group of its own."""
+    from collections import Counter
+
+    random.seed(5)
+    tongues = [[f"{a}{b}{c}" for b in "aeiou" for c in tail] for a, tail in (("th", "rst"), ("sch", "nml"), ("zx", "qkw"))]
+    docs = [" ".join(random.choice(tongues[0 if i % 2 else 1] if i % 75 else tongues[2]) for _ in range(40)) for i in range(900)]
+    c = Counter(w for d in docs for w in language_model.words_of(d))
+    words = sorted(c.items(), key=lambda x: (-x[1], x[0]))
+    got = language_model.trigram_counts(spark.createDataFrame([(d,) for d in docs], "text string").repartition(5), words, 8)
+    assert got.sum() == sum(n * len(language_model.trigrams(w)) for w, n in c.items())
+    import numpy as np
+
+    n = got + 0.05
+    groups = language_model.Groups(np.log(n / n.sum(0)))
+    own = [{groups.of(w.encode()) for w in t} for t in tongues]
+    assert not own[2] & (own[0] | own[1])
+
+
+def test_model_sizes_follow_the_vocabulary():
+    small, large = language_model.model_sizes(10_000), language_model.model_sizes(50_000_000)
+    assert small[0] < large[0] and small[1] < large[1]

@@ -1,9 +1,10 @@
 """Gated recurrent language model in numpy, scoring whole documents.
 
 Tokens are lower-cased words and one end.  Words fall into groups by their
-character trigrams (groups found by clustering documents, so about one a
-language) and into classes of group and frequency.  The softmax is factored:
-first the class; in the ``LEARNED`` most frequent words' classes then a learnt
+character trigrams (groups found by clustering all training documents, so
+about one a language or source) and into classes of group and frequency.  The
+numbers of groups and of learnt words grow with the corpus' vocabulary.  The softmax is factored:
+first the class; in the most frequent words' classes then a learnt
 softmax, in the others the words' share of the class by corpus count, with a
 half for each word and for the unknown one.  So every text has a probability.
 
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import frequent, saved, texts, worker_state
 
-#: Broadcast words; words with their own output weights; words of a learnt class.
+#: Broadcast words; words with their own output weights and groups, at least (see ``model_sizes``); words of a learnt class.
 HEAD, LEARNED, PER_CLASS = 200_000, 2_048, 64
 HIDDEN, GROUPS, TRIGRAMS = 32, 8, 8_192
+#: Seeds and passes of the clustering, for each group and over all training documents; words that it sees; parts its sums come in.
+SEEDS, PASSES, SEEN, SUMS = 64, 2, 2_048, 8
 #: Warm-up documents (at most) and passes; windows, lanes and rate of training.
 WARM_DOCS, WARM_PASSES, WINDOW, LANES, RATE = 600, 4, 32, 64, 0.1
 #: Documents scored side by side, steps scored at once; tasks' weights are summed in so many parts.
@@ -80,29 +83,120 @@ class Groups:
             return int((np.bincount(at, minlength=TRIGRAMS) @ self.table).argmax())
         return int(self.table[at].sum(0).argmax())
 
-    @staticmethod
-    def found(docs: list[list[bytes]], seed: int = 2) -> np.ndarray:
-        """The trigram table, from k-means over documents' frequent words."""
-        rng = np.random.default_rng(seed)
-        top = {w: i for i, (w, _) in enumerate(Counter(itertools.chain.from_iterable(docs)).most_common(256))}
-        x = np.zeros((max(1, len(docs)), max(1, len(top))))
-        for d, words in enumerate(docs):
-            for w in words:
-                if w in top:
-                    x[d, top[w]] += 1
-        x = np.sqrt(x)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        centre = x[rng.choice(len(x), min(GROUPS, len(x)), replace=False)]
-        for _ in range(12):
-            own = (x @ centre.T).argmax(1)
-            for k in range(len(centre)):
-                if (own == k).any():
-                    centre[k] = x[own == k].sum(0) / max(1e-9, np.linalg.norm(x[own == k].sum(0)))
-        n = np.full((TRIGRAMS, GROUPS), 0.05)
-        for d, words in enumerate(docs):
-            for w in words:
-                np.add.at(n, (trigrams(w), own[d]), 1)
-        return np.log(n / n.sum(0))
+
+def model_sizes(n_words: int) -> tuple[int, int]:
+    """Learnt words and groups for a vocabulary of ``n_words``."""
+    learnt = max(LEARNED, math.ceil(2 * math.sqrt(n_words)))
+    return min(HEAD, -(-learnt // PER_CLASS) * PER_CLASS), max(GROUPS, round(n_words**0.2))
+
+
+def _vector(words: list[bytes], rows: dict) -> tuple[np.ndarray, np.ndarray]:
+    """A document's rows among the words that the clustering sees, and their weights, of length 1."""
+    n = Counter(filter(None.__ne__, map(rows.get, words)))
+    v = np.sqrt(np.fromiter(n.values(), np.float32, len(n)))
+    return np.fromiter(n, np.int64, len(n)), v / max(1e-9, float(np.sqrt((v * v).sum())))
+
+
+def _seeds(batches, rows, mean, most):
+    """The ``most`` documents of a task that a draw picks, those unlike the corpus' mean more often."""
+    best: list = []
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            at, v = _vector(words_of(text), rows)
+            if len(at):
+                u = (zlib.crc32((text or "").encode("utf-8", "surrogatepass")) + 0.5) / 2**32
+                best.append((math.log(u) / max(1e-3, 1 - float(v @ mean[at])), at.tobytes(), v.tobytes()))
+        best = sorted(best, reverse=True)[:most]
+    yield pa.RecordBatch.from_pydict({"draw": pa.array([b[0] for b in best], pa.float64()), "at": pa.array([b[1] for b in best], pa.binary()), "v": pa.array([b[2] for b in best], pa.binary())})
+
+
+def _assigned(batches, rows, centre):
+    """Sums of the documents' vectors by nearest centre."""
+    total = np.zeros(centre.shape)
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            at, v = _vector(words_of(text), rows)
+            if len(at):
+                total[int((centre[:, at] @ v).argmax()), at] += v
+    yield _sums(total)
+
+
+def _trigram_sums(batches, rows, centre):
+    """Trigrams of every word of the documents, by the documents' nearest centre."""
+    total = np.zeros((TRIGRAMS, len(centre)))
+    counts: dict[int, Counter] = {}
+
+    def add():
+        for k, own in counts.items():
+            for w, n in own.items():
+                np.add.at(total[:, k], trigrams(w), n)
+        counts.clear()
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            words = words_of(text)
+            at, v = _vector(words, rows)
+            counts.setdefault(int((centre[:, at] @ v).argmax()) if len(at) else 0, Counter()).update(words)
+            if sum(map(len, counts.values())) > 200_000:
+                add()
+    add()
+    yield _sums(total)
+
+
+def _sums(total: np.ndarray):
+    data = total.tobytes()
+    return pa.RecordBatch.from_pydict({"part": pa.array([zlib.crc32(data) % SUMS], pa.int32()), "data": pa.array([data], pa.binary())})
+
+
+def _added(batches):
+    total = None
+    for batch in batches:
+        for data in batch.column("data").to_pylist():
+            x = np.frombuffer(data)
+            total = x.copy() if total is None else np.add(total, x, out=total)
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"data": pa.array([total.tobytes()], pa.binary())})
+
+
+def _over_all(training: DataFrame, task, shape: tuple) -> np.ndarray:
+    """The sum of the tasks' arrays."""
+    tasks = training.select("text").mapInArrow(task, "part int, data binary").repartition(SUMS, "part")
+    return sum((np.frombuffer(r.data).reshape(shape) for r in tasks.mapInArrow(_added, "data binary").toLocalIterator()), np.zeros(shape))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def trigram_counts(training: DataFrame, words: list[tuple[bytes, int]], n_groups: int) -> np.ndarray:
+    """How often each trigram stands in the documents of each group, over all training documents.
+
+    Seeds are drawn from all of them, then k-means passes over all of them
+    find the groups.
+    """
+    seen = [x for x in words if x[0] != END][:SEEN]
+    rows = {w: i for i, (w, _) in enumerate(seen)}
+    mean = np.sqrt(np.array([n for _, n in seen], float))
+    mean /= max(1e-9, np.linalg.norm(mean))
+    most = SEEDS * n_groups
+    drawn = training.select("text").mapInArrow(lambda it: _seeds(it, rows, mean, most), "draw double, at binary, v binary").orderBy(F.desc("draw"), "at").limit(most).collect()
+    x = np.zeros((max(1, len(drawn)), max(1, len(rows))))
+    for own, r in zip(x, drawn):
+        own[np.frombuffer(r["at"], np.int64)] = np.frombuffer(r.v, np.float32)
+    # Each further centre is the seed least like the centres before it.
+    centre = x[:1]
+    while len(centre) < min(n_groups, len(x)):
+        centre = np.vstack([centre, x[(x @ centre.T).max(1).argmin()]])
+    for _ in range(12):
+        own = (x @ centre.T).argmax(1)
+        centre = _unit(np.array([x[own == k].sum(0) if (own == k).any() else c for k, c in enumerate(centre)]))
+    for _ in range(PASSES if drawn else 0):
+        now = centre
+        total = _over_all(training, lambda it: _assigned(it, rows, now), centre.shape)
+        centre = np.where(total.any(1)[:, None], _unit(total), centre)
+    out = np.zeros((TRIGRAMS, n_groups))
+    out[:, : len(centre)] = _over_all(training, lambda it: _trigram_sums(it, rows, centre), (TRIGRAMS, len(centre)))
+    return out
 
 
 class Symbols:
@@ -112,15 +206,16 @@ class Symbols:
     by class, ``PER_CLASS`` to each.
     """
 
-    def __init__(self, words: list[tuple[bytes, int]], groups: Groups):
-        learnt = sorted(words[:LEARNED], key=lambda x: (groups.of(x[0]), -x[1], x[0]))
+    def __init__(self, words: list[tuple[bytes, int]], groups: Groups, most: int = LEARNED):
+        n_groups = groups.table.shape[1]
+        learnt = sorted(words[:most], key=lambda x: (groups.of(x[0]), -x[1], x[0]))
         self.n_learnt_classes = max(1, -(-len(learnt) // PER_CLASS))
         self.n_learnt = self.n_learnt_classes * PER_CLASS
-        self.n_classes = self.n_learnt_classes + 3 * GROUPS
-        self.size = self.n_learnt + 3 * GROUPS
+        self.n_classes = self.n_learnt_classes + 3 * n_groups
+        self.size = self.n_learnt + 3 * n_groups
         self.head = {w: (i, math.log10(n + 0.5)) for i, (w, n) in enumerate(learnt)}
-        half = LEARNED + (len(words) - LEARNED) // 8
-        for i, (w, n) in enumerate(words[LEARNED:], LEARNED):
+        half = most + (len(words) - most) // 8
+        for i, (w, n) in enumerate(words[most:], most):
             self.head[w] = (self.n_learnt + 3 * groups.of(w) + (0 if i < half else 1), math.log10(n + 0.5))
         self.end = self.head.get(END, (0, 0.0))[0]
 
@@ -430,8 +525,10 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     # The end belongs to the learnt words whatever its count.
     words.sort(key=lambda x: x[0] != END)
     warm = [words_of(r.text) for r in training.withColumn("nth", F.xxhash64("doc_id")).orderBy("nth", "doc_id").limit(WARM_DOCS).collect()]
-    groups = Groups(Groups.found(warm))
-    symbols = Symbols(words, groups)
+    learnt, n_groups = model_sizes(n_words)
+    n = trigram_counts(training, words, n_groups) + 0.05
+    groups = Groups(np.log(n / n.sum(0)))
+    symbols = Symbols(words, groups, learnt)
     tail = _Tail(symbols.n_learnt, groups)
     ids = [np.array([symbols.head[w][0] if w in symbols.head else tail[w] for w in [*d, END]], np.int64) for d in warm]
     used = np.bincount(np.concatenate(ids), minlength=symbols.size) if ids else np.zeros(symbols.size)
