@@ -292,3 +292,28 @@ def test_word_groups_come_from_all_training_documents(spark):
 def test_model_sizes_follow_the_vocabulary():
     small, large = language_model.model_sizes(10_000), language_model.model_sizes(50_000_000)
     assert small[0] < large[0] and small[1] < large[1]
+
+
+def test_jaccard_join_recall_of_the_actual_paths():
+    """Every run has buckets, and pairs at the threshold share one of full depth as often as promised."""
+    import numpy as np
+    import pyarrow as pa
+
+    first = jaccard_join.roots()
+    assert jaccard_join._chosen(first).any(0).all()
+    rng = np.random.default_rng(7)
+    n = 4_000
+    a = rng.integers(0, 2**32, (n, jaccard_join.COORDINATES), np.uint32)
+    b = np.where(rng.random(a.shape) < jaccard_join.THRESHOLD, a, rng.integers(0, 2**32, a.shape, np.uint32))
+
+    def leaves(mins):
+        # Buckets count as large at every level, as with SMALL forced to nothing.
+        t = pa.record_batch({"node": np.arange(n), "mins": pa.array([r.tobytes() for r in mins], pa.binary())})
+        for _ in range(jaccard_join.DEPTH):
+            (t,) = jaccard_join._paths([t], first)
+            node = t.column("node").to_numpy()
+            t = t.append_column("mins", pa.array([mins[i].tobytes() for i in node], pa.binary()))
+        return set(zip(t.column("node").to_pylist(), t.column("path").to_pylist()))
+
+    both = leaves(a) & leaves(b)
+    assert len({i for i, _ in both}) >= 0.998 * n

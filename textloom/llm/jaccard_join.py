@@ -39,15 +39,8 @@ BLOCK, BLOCK_SHINGLES = 4_000, 3_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A = np.array([int.from_bytes(hashlib.blake2b(f"coordinate {i}".encode(), digest_size=8).digest(), "little") | 1 for i in range(COORDINATES)], np.uint64)
-
-
-def runs(recall: float = RECALL, depth: int = DEPTH) -> int:
-    """Runs for a pair at the threshold to share a bucket with the given chance:
-    a branching process with one shared child a level on average."""
-    alive = 1.0
-    for _ in range(depth):
-        alive = 1 - (1 - alive / (THRESHOLD * COORDINATES) * THRESHOLD) ** COORDINATES
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive))
+#: Path hashes below this choose their coordinate.
+_MOST = np.uint64(int((1 << 63) / (THRESHOLD * COORDINATES)) * 2)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -57,6 +50,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _chosen(path: np.ndarray) -> np.ndarray:
+    """Which coordinates each path samples, a row for each coordinate."""
+    return mixed(path ^ _A[:, None]) < _MOST
+
+
+def roots(recall: float = RECALL, depth: int = DEPTH) -> np.ndarray:
+    """Root paths of the runs, as many as a pair at the threshold needs to share
+    a bucket of ``depth`` levels with the given chance.
+
+    Roots that choose no coordinate are passed over.  The chance is taken over the
+    coordinates that each root does choose: a pair shares each with the
+    threshold's chance, and runs that choose the same one do not count as
+    independent.  Below the root it is a branching process with one shared child
+    a level on average.
+    """
+    alive = 1.0
+    for _ in range(depth - 1):
+        alive = 1 - (1 - alive / (THRESHOLD * COORDINATES) * THRESHOLD) ** COORDINATES
+    found, uses, r = [], np.zeros(COORDINATES, np.int64), 0
+    # A coordinate lost to the pair is lost to every run that chooses it.
+    while np.prod(1 - THRESHOLD + THRESHOLD * (1 - alive) ** uses) > 1 - recall:
+        r += 1
+        path = mixed(np.array([r], np.uint64))
+        chosen = _chosen(path)[:, 0]
+        if chosen.any():
+            found.append(path[0])
+            uses += chosen
+    return np.array(found, np.uint64)
+
+
+def runs(recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Runs for a pair at the threshold to share a bucket with the given chance."""
+    return len(roots(recall, depth))
+
+
 class _Words(dict):
     def __missing__(self, w: bytes) -> int:
         if len(self) >= 400_000:
@@ -107,17 +135,16 @@ def _matrix(column, dtype) -> np.ndarray:
     return np.frombuffer(data, dtype).reshape(len(column), -1) if data else np.zeros((0, COORDINATES), dtype)
 
 
-def _paths(batches, n_runs):
+def _paths(batches, first):
     """Children of each member's bucket; without a path, of the root of every run."""
     for batch in batches:
         node, mins = batch.column("node").to_numpy(), _matrix(batch.column("mins"), np.uint32)
-        starts = [batch.column("path").to_numpy().view(np.uint64)] if "path" in batch.schema.names else [np.full(len(node), mixed(np.array([r + 1], np.uint64))[0]) for r in range(n_runs)]
-        most = np.uint64(int((1 << 63) / (THRESHOLD * COORDINATES)) * 2)
+        starts = [batch.column("path").to_numpy().view(np.uint64)] if "path" in batch.schema.names else [np.full(len(node), r) for r in first]
         paths, nodes = [], []
         for path in starts:
             for c in range(COORDINATES):
                 at = mixed(path ^ _A[c])
-                chosen = np.flatnonzero(at < most)
+                chosen = np.flatnonzero(at < _MOST)
                 if len(chosen):
                     paths.append(mixed(at[chosen] * _M + mins[chosen, c].astype(np.uint64)).view(np.int64))
                     nodes.append(node[chosen])
@@ -279,7 +306,7 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     another text is not told apart from the first); an empty table gives no
     rows; other columns are ignored.
     """
-    n_runs = runs(recall)
+    first = roots(recall)
     plain = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = plain.mapInArrow(_signatures, "doc_id long, key binary, size long, mins binary")
     signed = saved(signed.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key"))))
@@ -292,7 +319,7 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"node": batch.column(0), "sketch": pa.array([r.tobytes() for r in m], pa.binary())})
 
     sketch = nodes.select("node", "mins").mapInArrow(sketches, low_bytes)
-    level = nodes.select("node", "mins").mapInArrow(lambda it: _paths(it, n_runs), "path long, node long")
+    level = nodes.select("node", "mins").mapInArrow(lambda it: _paths(it, first), "path long, node long")
     small, big = None, None
     for depth in range(DEPTH):
         counted = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
@@ -302,7 +329,7 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         big = shared.filter(F.col("n") > SMALL)
         if depth == DEPTH - 1 or big.isEmpty():
             break
-        level = big.select("path", "node").join(nodes.select("node", "mins"), "node").mapInArrow(lambda it: _paths(it, n_runs), "path long, node long")
+        level = big.select("path", "node").join(nodes.select("node", "mins"), "node").mapInArrow(lambda it: _paths(it, first), "path long, node long")
     near = small.join(sketch, "node").repartition("path").sortWithinPartitions("path").mapInArrow(_likely, "u long, v long")
     wide = blocks_of(big.join(sketch, "node"), F.ceil(F.col("n") / BLOCK))
     dense = wide.repartition("path", "b1", "b2").sortWithinPartitions("path", "b1", "b2").select("path", "b1", "b2", "node", "sketch").mapInArrow(_likely_in_blocks, "u long, v long")
