@@ -317,3 +317,18 @@ def test_jaccard_join_recall_of_the_actual_paths():
 
     both = leaves(a) & leaves(b)
     assert len({i for i, _ in both}) >= 0.998 * n
+
+
+def test_secrets_of_every_form_leave_the_text(spark):
+    block = "-----BEGIN RSA PRIVATE KEY-----\nMIIEabcdEFGH01\nijklMNOP+/==\n-----END RSA PRIVATE KEY-----"
+    texts = ["DB_PASSWORD=hunter2secret", "client_secret: abcdefgh12 x", "auth_token=abcd1234efgh", 'SECRET_KEY = "abcd1234efgh"', "password=Tr0ub4dor&3xyz! x", "pwd=k3Xq9 x", "at postgres://bob:S3cretPw@db x", "file " + block + " end", "use qXkZvJwHpYtRbNmKcLdF now"]
+    values = ["hunter2secret", "abcdefgh12", "abcd1234efgh", "abcd1234efgh", "Tr0ub4dor&3xyz!", "k3Xq9", "S3cretPw", block, "qXkZvJwHpYtRbNmKcLdF"]
+    prose = ["the password: storage of it", "see windowClientReport for more", "of the update-storage-window all"]
+    lines = " ".join(w for w in ("config version module server release update storage window client report network archive the password of it see for more all and use with file now") .split())
+    d = spark.createDataFrame(list(enumerate(texts + prose)) + [(100 + i, lines) for i in range(6)], "doc_id long, text string")
+    found = secrets.scan(d)
+    got = {(r.doc_id, r.value) for r in found.collect()}
+    assert set(enumerate(values)) <= got
+    clean = {r.doc_id: r.text for r in secrets.redacted(d, found).collect()}
+    assert [i for i, v in enumerate(values) if v in clean[i]] == []
+    assert [clean[len(texts) + i] for i in range(len(prose))] == prose

@@ -1,8 +1,8 @@
 """Secret scans: candidate patterns, then a random forest that removes false positives.
 
 Only DataFrame functions and the JVM's random forest.  Candidates are values
-assigned to password-like names, keys with known beginnings, and long runs
-that hold digits.  The forest sees their length, character make-up, how likely
+assigned to password-like names (whole, of 4 signs or more), passwords in
+URLs, private-key blocks, and long runs.  The forest sees their length, character make-up, how likely
 their character transitions are in the corpus' words, how much of them the
 corpus' dictionary covers, the path, and the neighbouring words.
 
@@ -25,10 +25,14 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: Patterns of candidates, in Java's syntax.
-ASSIGNED = r"(?i)\b(?:password|passwd|pwd|token|secret|api_?key|access_?key|auth)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_\-]{8,})"
+_SECRET_NAMES = r"(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)"
+#: A name with any prefix and suffix, and its whole quoted or unspaced value.
+ASSIGNED = rf"(?i)(?<![A-Za-z0-9])[A-Za-z0-9_]*{_SECRET_NAMES}[A-Za-z0-9_]*[\"']?\s{{0,3}}[=:]\s{{0,3}}(\"[^\"\n]{{4,}}\"|'[^'\n]{{4,}}'|[^\s\"'][^\s\"']{{3,}})"
+URL = r"://[^\s/:@]*:([^\s/@]{4,})@"
+PRIVATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,30}PRIVATE KEY-----|\z)"
 LONG = r"[A-Za-z0-9+/_\-]{16,}"
-KNOWN = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^xox[abprs]-|^AIza[A-Za-z0-9_\-]{30,}$|^eyJ[A-Za-z0-9_\-]{10,}"
-NAMES = r"(?i)(password|passwd|pwd|token|secret|key|auth|credential)\W{0,6}$"
+KNOWN = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^xox[abprs]-|^AIza[A-Za-z0-9_\-]{30,}$|^eyJ[A-Za-z0-9_\-]{10,}|^-----BEGIN "
+NAMES = r"(?i)((password|passwd|pwd|token|secret|key|auth|credential)(\W{0,6}|\w{0,30}[\"']?\s{0,3}[=:]\s{0,3}[\"']?)|://[^\s/:@]*:)$"
 DOUBT = r"(?i)\b(examples?|sample|dummy|placeholder|your|tests?|fake|commit|sha256|sha1|md5|checksum|digest|version|isbn|phone)\b|(?-i:EXAMPLE)|xxxx"
 PLAIN_PATH = r"(?i)(^|[/_.-])(test|tests|example|examples|fixture|fixtures|mock|docs?|sample)([/_.-]|$)"
 #: Characters of context on either side; the least count that makes a dictionary word.
@@ -61,9 +65,12 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     where = F.col(path).cast("string") if path in docs.columns else F.lit("")
     d = docs.select("doc_id", text.alias("text"), F.coalesce(where, F.lit("")).alias("path"))
-    long = F.filter(F.regexp_extract_all("text", F.lit(LONG), F.lit(0)), lambda v: v.rlike("[0-9]"))
-    assigned = F.when(F.lower("text").rlike("passw|pwd|token|secret|key|auth"), F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    d = d.withColumn("values", F.array_distinct(F.concat(long, assigned))).filter(F.size("values") > 0)
+    long = F.filter(F.regexp_extract_all("text", F.lit(LONG), F.lit(0)), lambda v: v.rlike("[A-Za-z0-9]"))
+    assigned = F.when(F.lower("text").rlike("passw|pwd|token|secret|key|auth|credential"), F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    assigned = F.transform(assigned, lambda v: F.regexp_replace(v, "^[\"'](.*)[\"']$", "$1"))
+    url = F.regexp_extract_all("text", F.lit(URL), F.lit(1))
+    private = F.regexp_extract_all("text", F.lit(PRIVATE), F.lit(0))
+    d = d.withColumn("values", F.array_distinct(F.concat(long, assigned, url, private))).filter(F.size("values") > 0)
     d = d.select("doc_id", "path", "text", F.explode("values").alias("value")).withColumn("at", F.expr("instr(text, value)").cast("long"))
     return d.select(
         "doc_id",
@@ -140,11 +147,21 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, f"substring({one}, 1, 40)", pick(["commit ", "sha256 ", "md5 checksum ", "digest "]), "src8"),
         (0, f"concat('your-', {word(7)}, '-key-', id % 10, '-here')", pick(["password=", "api_key: "]), "examples/config"),
         (0, f"concat({word(8)}, initcap({word(9)}), initcap({word(10)}), id % 1000)", pick(["token ", "see ", "class "]), "tests/unit"),
+        (1, f"concat(initcap({word(10)}), '&', id % 10, substring({code}, 1, 4), '!')", pick(["password=", "DB_PASSWORD=", "pwd: ", "PASSWORD_PROD = "]), "src9"),
+        (1, f"substring({code}, 1, int(5 + pmod(xxhash64(id), 8)))", pick(["pwd=", "auth_token=", 'SECRET_KEY = "', "client_secret: "]), "src1"),
+        (1, f"concat({word(11)}, id % 10, {word(12)})", pick(["DB_PASSWORD=", "password: ", "client_secret: ", "passwd="]), "src2"),
+        (1, f"substring({code}, 1, int(8 + pmod(xxhash64(id), 8)))", pick(["at postgres://bob:", "mysql://root:", "https://me:"]), "src3"),
+        (1, f"substring(translate({code}, '0123456789', 'qXkZvJwHpY'), 1, {size})", pick(["use ", "with ", "of the ", "is "]), "src4"),
+        (1, f"concat('-----BEGIN RSA PRIVATE KEY-----', {code}, '-----END RSA PRIVATE KEY-----')", pick(["key ", "file "]), "src5"),
+        (0, f"{word(13)}", pick(["password: ", "the token = ", "secret: ", "auth="]), "src6"),
+        (0, f"concat({word(14)}, '.', {word(15)}, '()')", pick(["token = ", "auth: ", "password="]), "src7"),
+        (0, f"concat({word(16)}, '-', {word(17)}, '-', {word(18)})", pick(["see ", "of the ", "in ", "with "]), "src8"),
+        (0, f"concat({word(19)}, initcap({word(20)}), initcap({word(21)}))", pick(["see ", "call ", "class ", "use "]), "src9"),
     ]
     arms = lambda i: " ".join(f"when {k} then {x[i]!r}" if i == 3 else f"when {k} then {x[i]}" for k, x in enumerate(kinds))
     case = lambda i: F.expr(f"case int(id % {len(kinds)}) {arms(i)} end")
     d = spark.range(0, n, 1, 4).select("id", case(0).cast("double").alias("label"), case(1).alias("value"), case(2).alias("before"), case(3).alias("path"))
-    return d.withColumn("value", F.expr("substring(value, 1, 200)")).withColumn("after", F.lit(" and the")).filter("length(value) >= 8")
+    return d.withColumn("value", F.expr("substring(value, 1, 200)")).withColumn("after", F.lit(" and the")).filter("length(value) >= 4")
 
 
 def forest(findings: DataFrame, words: DataFrame, table: list[float]) -> PipelineModel:
