@@ -131,9 +131,16 @@ def request_chunks(turns, most_chars: int = 2000):
 
 @query("m21_response_check", "labels", "documents", oracle="""select doc_id, least(greatest(quality + toxic * 0.5, 0.0), 1.0)::double as confidence, 'ok' as status from labels where doc_id in (select doc_id from documents where doc_id % 2 = 0)
     union all select doc_id, null, 'missing' from documents where doc_id % 2 = 0 and doc_id not in (select doc_id from labels)""")
-def response_check(labels, documents):
-    """Answers to requested rows only, the first of doubles, confidence clamped; requests without an answer are listed."""
-    asked = documents.filter(F.col("doc_id") % 2 == 0).select("doc_id")
+def response_page(labels, documents):
+    """The requests that the SQL names."""
+    return response_check(labels, documents.filter(F.col("doc_id") % 2 == 0))
+
+
+@query("m21_response_check_whole", "labels", "documents", oracle="""select doc_id, least(greatest(quality + toxic * 0.5, 0.0), 1.0)::double as confidence, 'ok' as status from labels where doc_id in (select doc_id from documents)
+    union all select doc_id, null, 'missing' from documents where doc_id not in (select doc_id from labels)""")
+def response_check(labels, wanted):
+    """Answers to the rows of ``wanted`` (doc_id) only, the first of doubles, confidence clamped; requests without an answer are listed."""
+    asked = wanted.select("doc_id")
     first = labels.groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("a"))
     ok = first.join(asked, "doc_id", "left_semi").select("doc_id", F.least(F.greatest(F.col("a.quality") + F.col("a.toxic") * 0.5, F.lit(0.0)), F.lit(1.0)).alias("confidence"), F.lit("ok").alias("status"))
     return ok.unionByName(asked.join(first, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("double").alias("confidence"), F.lit("missing").alias("status")))

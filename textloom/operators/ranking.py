@@ -182,11 +182,17 @@ def recode_candidates(predictions, codes, negatives, themes, theme: str = "s__to
 
 
 @query("f9_score_matrix", "predictions", "model_runs", oracle=f"with {_LATEST} select p.segment_id, p.theme_id, p.score from predictions p join latest using (model_version, theme_id) where engine = 'tfidf' and doc_id % 50 = 1")
-def score_matrix(predictions, model_runs, engine: str = "tfidf"):
-    """Scores of a page of segments under each theme's newest run of an engine."""
+def score_page(predictions, model_runs):
+    """The page that the SQL names."""
+    return score_matrix(predictions, model_runs, predictions.filter(F.col("doc_id") % 50 == 1).select("segment_id"))
+
+
+@query("f9_score_matrix_whole", "predictions", "model_runs", "segments", oracle=f"with {_LATEST} select p.segment_id, p.theme_id, p.score from predictions p join latest using (model_version, theme_id) where engine = 'tfidf'")
+def score_matrix(predictions, model_runs, wanted, engine: str = "tfidf"):
+    """Scores of the segments of ``wanted`` (segment_id) under each theme's newest run of an engine."""
     runs = latest_runs(model_runs).filter(F.col("engine") == engine).select("model_version", "theme_id")
-    page = F.col("doc_id") % 50 == 1  # the page that is on screen is part of the operator
-    return predictions.filter(page).join(F.broadcast(runs), ["model_version", "theme_id"]).select("segment_id", "theme_id", "score")
+    page = wanted.select("segment_id").distinct()
+    return predictions.join(F.broadcast(runs), ["model_version", "theme_id"]).join(page, "segment_id", "left_semi").select("segment_id", "theme_id", "score")
 
 
 @query("t2_top_predictions", "predictions", oracle="select segment_id, score from predictions where model_version = 'tfidf_v2' and theme_id = 's__quality' order by score desc, segment_id limit 15")
