@@ -41,3 +41,11 @@ def test_wilson_and_ap(spark):
     c = ranking.curve(scored)
     ap = {r[0]: r[1] for r in c.groupBy("theme_id").agg(F.sum(F.try_divide("pos", "all_pos") * F.col("tp") / F.col("k"))).collect()}
     assert abs(ap["t"] - 5 / 6) < 1e-9 and abs(ap["u"] - 0.5) < 1e-9
+
+
+def test_tree_paths_follow_long_chains(spark):
+    from textloom.operators.prepare import tree_paths
+
+    c = spark.createDataFrame([(i, i - 1 if i else None) for i in range(60)], "id long, parent long")
+    rows = {r.id: (r.depth, r.path) for r in tree_paths(c).collect()}
+    assert len(rows) == 60 and rows[59] == (59, "/".join(f"{i:012d}" for i in range(60)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators.labels import _NEG, _POS, _REJ, _UP, _J, closure, positives, reviewed_negatives
+from textloom.plans.graph import written
 from textloom.registry import query
 
 def _in_turn_order():
@@ -183,14 +184,17 @@ def reply_tree(orders):
     return tree_paths(c)
 
 
-def tree_paths(comments: DataFrame, most: int = 50) -> DataFrame:
-    """(id, depth, path) of comments (id, parent) from the roots down, one join a level."""
-    return comments.sparkSession.sql(
-        f"""with recursive w(id, depth, path) as (select id, 0L, lpad(string(id), 12, '0') from {{c}} where parent is null
-              union all select c.id, w.depth + 1, w.path || '/' || lpad(string(c.id), 12, '0') from w join {{c}} c on c.parent = w.id where w.depth < {most})
-            select id, depth, path from w""",
-        c=comments,
-    )
+def tree_paths(comments: DataFrame) -> DataFrame:
+    """(id, depth, path) of comments (id, parent) from the roots down, one join and one written table a level, as deep as they go."""
+    name = F.lpad(F.col("id").cast("string"), 12, "0")
+    c = written(comments.select("id", "parent"))
+    level = written(c.filter("parent is null").select("id", F.lit(0).cast("long").alias("depth"), name.alias("path")))
+    out = level
+    while not level.isEmpty():
+        above = level.select(F.col("id").alias("parent"), F.col("depth").alias("d"), F.col("path").alias("p"))
+        level = written(c.join(above, "parent").select("id", (F.col("d") + 1).alias("depth"), F.concat("p", F.lit("/"), name).alias("path")))
+        out = out.unionByName(level)
+    return out
 
 
 @query("k3_collisions", "items", "labels", oracle="select item_id from items where item_id in (select doc_id::varchar from labels)")
