@@ -234,40 +234,93 @@ def test_language_model(docs, empty):
     assert language_model.score(empty, held_out(5, 1)).count() == 0
 
 
-def test_gradient():
-    """Backpropagation against differences of the loss."""
+def small_network(dtype=None):
     import numpy as np
 
     groups = language_model.Groups(np.zeros((language_model.TRIGRAMS, language_model.GROUPS)))
     words = [(language_model.END, 9)] + [(f"w{i}".encode(), 5) for i in range(70)]
     s = language_model.Symbols(words, groups)
     net = language_model.Network.new(s, np.ones(s.size))
-    net.w = {k: x.astype(np.float64) for k, x in net.w.items()}
-    h = np.random.default_rng(1).standard_normal((5, language_model.HIDDEN))
-    y = np.array([0, 3, 64, 66, s.n_learnt + 1])
-    grads = {}
-    _, back = net.log_probs(h, y, grads, np.ones(5))
+    if dtype:
+        net.w = {k: x.astype(dtype) for k, x in net.w.items()}
+    return net, s
+
+
+def test_gradient():
+    """Backpropagation through gates, candidate, input rows, resets and both softmaxes, against differences of the loss."""
+    import numpy as np
+
+    net, s = small_network(np.float64)
+    net.w["gates"] *= 5
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, s.size, (6, 4)), rng.integers(0, s.size, (6, 4))
+    x[0], x[3, 1] = net.end, net.end  # every lane starts a document, one starts another in the middle
+    x[2:, 3], y[2:, 3] = net.end, -1  # a lane that has ended
+    h = rng.standard_normal((4, language_model.HIDDEN))
+    _, grads, _, alive = net.window(x, y, h)
+    rows, g = grads.pop("input")
+    grads["input"] = np.zeros_like(net.w["input"])
+    grads["input"][rows] = g
     e = 1e-5
-    for k in range(5):
-        up, down = h.copy(), h.copy()
-        up[k, 2] += e
-        down[k, 2] -= e
-        assert abs(-(net.log_probs(up, y).sum() - net.log_probs(down, y).sum()) / (2 * e) - back[k, 2]) < 1e-4
+    assert set(grads) == set(net.w) and alive == 20
+    for name, g in grads.items():
+        w = net.w[name].reshape(-1)
+        for k in {int(np.abs(g).argmax()), *rng.integers(0, w.size, 12).tolist()}:
+            keep, loss = w[k], []
+            for step in (e, -e):
+                w[k] = keep + step
+                loss.append(-net.window(x, y, h)[2] / alive)
+            w[k] = keep
+            assert abs((loss[0] - loss[1]) / (2 * e) - g.reshape(-1)[k]) < 1e-7, name
+
+
+def test_scoring_side_by_side_equals_one_by_one():
+    import numpy as np
+
+    net, s = small_network(np.float64)
+    net.w["gates"] *= 5
+    docs = [np.random.default_rng(k).integers(1, s.size, n) for k, n in enumerate((1, 200, 33, 32, 64, 7, 31))]
+    assert np.allclose(net.score(docs), [net.score([d])[0] for d in docs], rtol=0, atol=1e-9)
+
+
+def test_scoring_memory_does_not_follow_the_longest_text():
+    """One text of 60,000 words among 1,023 short ones: whole rows of that length would be 490 MB."""
+    import tracemalloc
+
+    import numpy as np
+
+    net, s = small_network()
+    docs = [np.ones(60_000, np.int32), *([np.ones(3, np.int32)] * 1_023)]
+    tracemalloc.start()
+    try:
+        net.score(docs)
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
 
 
 def test_training_carries_the_state_over_a_whole_document():
     """At rate 0 nothing is learnt, so training must see what scoring sees, also beyond 2,048 tokens."""
     import numpy as np
 
-    groups = language_model.Groups(np.zeros((language_model.TRIGRAMS, language_model.GROUPS)))
-    words = [(language_model.END, 9)] + [(f"w{i}".encode(), 5) for i in range(70)]
-    s = language_model.Symbols(words, groups)
-    net = language_model.Network.new(s, np.ones(s.size))
+    net, _ = small_network()
     net.w["gates"] *= 20
     docs = [np.random.default_rng(k).integers(1, 60, n) for k, n in enumerate((5_000, 300))]
     mean = net.train(docs, 0.0, {})
     assert abs(mean - net.score(docs).sum() / 5_300) < 1e-6
-    assert len(language_model.trigrams(b"abcdefg")) == 7
+
+
+def test_trigrams():
+    """Each word's own trigrams, borders included, whatever stands beside it."""
+    words = [b"abcdefg", b"x", "über".encode(), b"a$^b", b"y" * 3_000]
+    at, n = language_model.trigrams(words)
+    assert n.tolist() == [len(w) for w in words]
+    assert at.tolist() == [k for w in words for k in language_model.trigrams([w])[0].tolist()]
+    assert language_model.trigrams([])[0].tolist() == []
+    import numpy as np
+
+    groups = language_model.Groups(np.random.default_rng(2).standard_normal((language_model.TRIGRAMS, 9)))
+    assert groups.of(words).tolist() == [int(groups.table[language_model.trigrams([w])[0]].sum(0).argmax()) for w in words]
 
 
 def test_word_groups_come_from_all_training_documents(spark):
@@ -280,12 +333,12 @@ def test_word_groups_come_from_all_training_documents(spark):
     c = Counter(w for d in docs for w in language_model.words_of(d))
     words = sorted(c.items(), key=lambda x: (-x[1], x[0]))
     got = language_model.trigram_counts(spark.createDataFrame([(d,) for d in docs], "text string").repartition(5), words, 8)
-    assert got.sum() == sum(n * len(language_model.trigrams(w)) for w, n in c.items())
+    assert got.sum() == sum(n * len(w) for w, n in c.items())
     import numpy as np
 
     n = got + 0.05
     groups = language_model.Groups(np.log(n / n.sum(0)))
-    own = [{groups.of(w.encode()) for w in t} for t in tongues]
+    own = [set(groups.of([w.encode() for w in t]).tolist()) for t in tongues]
     assert not own[2] & (own[0] | own[1])
 
 

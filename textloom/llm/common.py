@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import sys
-import tempfile
 import types
 import uuid
 
@@ -25,10 +25,14 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder in the shared folder that the cluster names in
-    ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    ``spark.checkpoint.dir``.  Where that is unset there is no folder that the
+    driver and all executors are sure to share, so it's an error; a local
+    session (tests) has a folder of its own machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="textloom-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"/tmp/textloom-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
 
@@ -41,6 +45,37 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that join_hot broadcasts, at most; rows that any key may have without being one of them.
+HOT_KEYS, HOT_ROWS = 10_000, 200
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``keys``, which has one row a key and ``n``, the key's number of rows.
+
+    ``total`` is the number of all rows, so at most ``HOT_KEYS`` keys have over
+    ``total / HOT_KEYS`` of them: those are broadcast, and their rows stay where
+    they are.  The rest is shuffled, and no key of it is large.  Rows without a
+    match go.
+    """
+    many = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(keys.filter(many))
+    rest = rows.join(hot.select(key), key, "left_anti").join(keys.filter(~many), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def strings(column):
+    """The values of an Arrow column, as Python objects a few hundred at a time."""
+    for a in range(0, len(column), 256):
+        yield from column.slice(a, 256).to_pylist()
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches of at most so many rows."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
     return F.transform(F.array(value), body)[0]
@@ -64,6 +99,14 @@ def frequent(counted: DataFrame, limit: int, n: str = "n") -> int:
     return least
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker, for caches that later tasks can use."""
-    return sys.modules.setdefault("_textloom_worker", types.ModuleType("_textloom_worker")).__dict__
+def worker_cache(name, make):
+    """What ``make()`` gave when this Python worker first asked for ``name``.
+
+    A worker keeps one such thing: one of another name takes its place, so the
+    caches of operators that ran before don't stay in memory.
+    """
+    kept = sys.modules.setdefault("_textloom_worker", types.ModuleType("_textloom_worker")).__dict__
+    if kept.get("kept_name") != name:
+        kept.update(kept_name=None, kept=None)
+        kept.update(kept=make(), kept_name=name)
+    return kept["kept"]

@@ -17,10 +17,11 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import saved, texts
+from .common import saved, slices, strings
 
 WINDOW, SHINGLE, BLOCK_WINDOWS = 13, 3, 50_000
 #: Blocks after which the partial result is written, so that workers don't pile up.
@@ -28,7 +29,8 @@ CHAIN = 4
 #: Lower case for A-Z, 0-9 a-z and all bytes from 0x80 kept, the rest a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-_STATE = "doc_id long, text string, n_words long, hits array<int>, items array<string>"
+#: What is added to a document's row.
+_ADDED = StructType([StructField("n_words", LongType()), StructField("hits", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,7 +54,7 @@ def _count_shingles(batches, wanted):
     counts: dict = {}
     sizes = {k: set(v) for k, v in wanted.value.items()}
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in strings(batch.column(0)):
             words = words_of(text)
             for k, known in sizes.items():
                 for s in known.intersection(_shingles(words, k)):
@@ -61,11 +63,12 @@ def _count_shingles(batches, wanted):
 
 
 def _hit(batches, index):
-    """Adds a block's hit positions and items to each document's row."""
+    """Adds a block's hit positions and items, the last three columns, to each document's row."""
     by_size = index.value
-    for batch in batches:
-        rows = batch.to_pydict()
-        for r, text in enumerate(rows["text"]):
+    schema = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
+    for batch in slices(batches, 1_024):
+        n_words, all_hits, all_items = [], batch.column(len(batch.columns) - 2).to_pylist(), batch.column(len(batch.columns) - 1).to_pylist()
+        for r, text in enumerate(strings(batch.column("text"))):
             words = words_of(text)
             n = len(words)
             hits, items = set(), set()
@@ -78,11 +81,12 @@ def _hit(batches, index):
                         if tuple(words[start : start + len(window)]) == window:
                             hits.update(range(start, start + len(window)))
                             items |= owners
-            rows["n_words"][r] = n
+            n_words.append(n)
             if hits:
-                rows["hits"][r] = sorted(hits.union(rows["hits"][r]))
-                rows["items"][r] = sorted(items.union(rows["items"][r]))
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))
+                all_hits[r] = sorted(hits.union(all_hits[r]))
+                all_items[r] = sorted(items.union(all_items[r]))
+        added = [pa.array(x, t) for x, t in zip((n_words, all_hits, all_items), schema)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *added], names=batch.schema.names)
 
 
 def _blocks(benchmark: DataFrame):
@@ -103,15 +107,19 @@ def _blocks(benchmark: DataFrame):
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every document with its words inside occurrences of benchmark windows.
 
-    Returns one row per row of ``docs``: doc_id, text, n_words, hits (sorted
-    word positions), items (sorted item ids as strings).  Null or empty texts
-    have no words and no hits; repeated rows are each judged; items without
-    words or without id match nothing; an empty benchmark hits nothing; extra
-    columns are ignored.
+    Returns every row of ``docs``, its columns as they are, with n_words, hits
+    (sorted word positions) and items (sorted item ids as strings); columns of
+    these names are replaced.  Null or empty texts have no words and no hits;
+    repeated rows are each judged, and of windows in several items all items
+    count; a text of any length is read whole; items without words or without
+    id match nothing; an empty benchmark hits nothing; an empty table gives no
+    rows.
     """
     spark = docs.sparkSession
-    plain = texts(docs)
-    state = plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    docs = docs.drop(*_ADDED.names)
+    plain = docs.select("text")
+    state = docs.select("*", F.lit(None).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    fields = StructType([*docs.schema.fields, *_ADDED.fields])
     done = 0
     for block in _blocks(benchmark):
         wanted: dict[int, set] = {}
@@ -128,18 +136,23 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if n:
                 index.setdefault(k, {}).setdefault(s, []).append((offset, w, frozenset(owners)))
         b = spark.sparkContext.broadcast(index)
-        state = state.mapInArrow(lambda it, b=b: _hit(it, b), _STATE)
+        state = state.mapInArrow(lambda it, b=b: _hit(it, b), fields)
         done += 1
         if done % CHAIN == 0:
             state = saved(state)
     if not done:
         b = spark.sparkContext.broadcast({})
-        state = state.mapInArrow(lambda it, b=b: _hit(it, b), _STATE)
+        state = state.mapInArrow(lambda it, b=b: _hit(it, b), fields)
     return state
 
 
+def contaminated() -> Column:
+    """Of rows of ``hits``: hit words are at least a twentieth of all."""
+    return (F.size("hits") > 0) & (F.size("hits") * 20 >= F.col("n_words"))
+
+
 def verdicts(found: DataFrame) -> DataFrame:
-    """The digest columns; contaminated: hit words are at least a twentieth of all."""
+    """The digest columns."""
     n_hit = F.size("hits").cast("long")
     return found.select(
         "doc_id",
@@ -147,13 +160,13 @@ def verdicts(found: DataFrame) -> DataFrame:
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id and contamination verdict for every row of ``docs`` (see ``hits``)."""
-    return verdicts(hits(docs, benchmark))
+    return verdicts(hits(docs.select("doc_id", "text"), benchmark))
 
 
 def brute_force(text: str | None, items: dict) -> tuple:

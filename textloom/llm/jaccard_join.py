@@ -23,10 +23,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, texts, worker_state
+from .common import join_hot, saved, slices, strings, texts, worker_cache
 from .components import components
 from .decontaminate import words_of
 
@@ -35,7 +36,7 @@ COORDINATES, SMALL, DEPTH = 64, 64, 3
 #: A sketch agreement that true links reach but for about 1 in 30,000 (four standard deviations).
 LIKELY = 0.6
 #: Members and shingles of a block, for comparing large buckets and groups.
-BLOCK, BLOCK_SHINGLES = 4_000, 3_000_000
+BLOCK, BLOCK_SHINGLES = 4_000, 1_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A = np.array([int.from_bytes(hashlib.blake2b(f"coordinate {i}".encode(), digest_size=8).digest(), "little") | 1 for i in range(COORDINATES)], np.uint64)
@@ -87,9 +88,11 @@ def runs(recall: float = RECALL, depth: int = DEPTH) -> int:
 
 class _Words(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[w] = h = zlib.crc32(w) << 32 | zlib.crc32(w, 0x9E3779B9)
+        h = zlib.crc32(w) << 32 | zlib.crc32(w, 0x9E3779B9)
+        if len(w) <= 64:
+            if len(self) >= 150_000:
+                self.clear()
+            self[w] = h
         return h
 
 
@@ -107,14 +110,14 @@ def shingles(text: str | None, cache: dict) -> np.ndarray:
 
 
 def _words() -> dict:
-    return worker_state().setdefault("shingle_words", None) or worker_state().update(shingle_words=_Words()) or worker_state()["shingle_words"]
+    return worker_cache("shingles", _Words)
 
 
 def _signatures(batches):
     cache = _words()
-    for batch in batches:
+    for batch in slices(batches, 2_048):
         keys, sizes, mins = [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in strings(batch.column(1)):
             s = shingles(text, cache)
             sizes.append(len(s))
             keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
@@ -241,7 +244,7 @@ def _likely_in_blocks(batches):
 def _sets(batches):
     """Texts to whole shingle sets; only rows whose set is the node's."""
     cache = _words()
-    for batch in batches:
+    for batch in slices(batches):
         rows = batch.to_pydict()
         sets = [shingles(t, cache) for t in rows.pop("text")]
         keep = [i for i, (s, k) in enumerate(zip(sets, rows["key"])) if hashlib.md5(s.tobytes()).digest() == k]
@@ -258,27 +261,37 @@ def _exact(batches):
             part = t.slice(a, b - a)
             node, block, copies = part.column("node").to_numpy(), part.column("block").to_numpy(), part.column("copies").to_numpy()
             _, first = np.unique(node, return_index=True)
-            data = [np.frombuffer(x, np.uint64) for x in part.column("shingles").combine_chunks().take(pa.array(first)).to_pylist()]
-            node, block, copies = node[first], block[first], copies[first]
-            size = np.array([len(x) for x in data])
-            ids = np.unique(np.concatenate(data), return_inverse=True)[1]
-            begin = np.cumsum(size) - size
+            size = pc.binary_length(part.column("shingles")).to_numpy()[first] // 8
+            first = first[np.argsort(size, kind="stable")]  # by size, so that sets within the length bound stand together
+            data = np.frombuffer(b"".join(part.column("shingles").combine_chunks().take(pa.array(first)).to_pylist()), np.uint64)
+            node, block, copies, size = node[first], block[first], copies[first], np.sort(size)
+            ids = np.unique(data, return_inverse=True)[1].astype(np.int32)
+            del data
+            begin = np.append(0, np.cumsum(size))
+            # Sets that a set can link to have at most 5 / 4 of its size.
+            last = np.searchsorted(4 * size, 5 * size, side="right")
             cross = part.column("b1")[0].as_py() != part.column("b2")[0].as_py()
             mark = np.zeros(int(ids.max()) + 1, np.uint8)
             n_sets, n_docs, root = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.arange(len(node))
-            for i in range(len(node)):
-                own = ids[begin[i] : begin[i] + size[i]]
+            for i in range(len(node) - 1):
+                j = i + 1
+                if last[i] <= j:
+                    continue
+                own = ids[begin[i] : begin[j]]
                 mark[own] = 1
-                shared = np.add.reduceat(mark[ids], begin, dtype=np.int64)
+                shared = np.add.reduceat(mark[ids[begin[j] : begin[last[i]]]], begin[j : last[i]] - begin[j], dtype=np.int64)
                 mark[own] = 0
                 # In whole numbers: shared / (a + b - shared) >= 4 / 5.
-                linked = 9 * shared >= 4 * (size[i] + size)
-                linked[i] = False
+                linked = 9 * shared >= 4 * (size[i] + size[j : last[i]])
                 if cross:
-                    linked &= block != block[i]
-                n_sets[i], n_docs[i] = linked.sum(), copies[linked].sum()
-                if n_sets[i]:
-                    _merge(root, i, np.flatnonzero(linked))
+                    linked &= block[j : last[i]] != block[i]
+                others = np.flatnonzero(linked) + j
+                if len(others):
+                    n_sets[i] += len(others)
+                    n_docs[i] += copies[others].sum()
+                    n_sets[others] += 1
+                    n_docs[others] += copies[i]
+                    _merge(root, i, others)
             out_node.append(node)
             out_sets.append(n_sets)
             out_docs.append(n_docs)
@@ -319,39 +332,35 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"node": batch.column(0), "sketch": pa.array([r.tobytes() for r in m], pa.binary())})
 
     sketch = nodes.select("node", "mins").mapInArrow(sketches, low_bytes)
-    level = nodes.select("node", "mins").mapInArrow(lambda it: _paths(it, first), "path long, node long")
+    level = saved(nodes.select("node", "mins").mapInArrow(lambda it: _paths(it, first), "path long, node long"))
     small, big = None, None
     for depth in range(DEPTH):
         counted = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = saved(level.join(counted, "path").select("path", "node", "n"))
+        shared = saved(join_hot(level, counted, "path", level.count()).select("path", "node", "n"))
         part = shared.filter(F.col("n") <= SMALL).select("path", "node")
         small = part if small is None else small.unionByName(part)
         big = shared.filter(F.col("n") > SMALL)
         if depth == DEPTH - 1 or big.isEmpty():
             break
-        level = big.select("path", "node").join(nodes.select("node", "mins"), "node").mapInArrow(lambda it: _paths(it, first), "path long, node long")
+        level = saved(big.select("path", "node").join(nodes.select("node", "mins"), "node").mapInArrow(lambda it: _paths(it, first), "path long, node long"))
     near = small.join(sketch, "node").repartition("path").sortWithinPartitions("path").mapInArrow(_likely, "u long, v long")
     wide = blocks_of(big.join(sketch, "node"), F.ceil(F.col("n") / BLOCK))
     dense = wide.repartition("path", "b1", "b2").sortWithinPartitions("path", "b1", "b2").select("path", "b1", "b2", "node", "sketch").mapInArrow(_likely_in_blocks, "u long, v long")
     groups = components(near.unionByName(dense))
 
-    members = groups.join(nodes.select("node", "key", "copies", "size"), "node")
-    volume = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
-    members = members.join(volume, "root").select("node", "root", "key", "copies", "n_blocks")
+    members = saved(groups.join(nodes.select("node", "key", "copies", "size"), "node"))
+    volume = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"), F.count("*").alias("n"))
+    members = join_hot(members, volume, "root", members.count()).select("node", "root", "key", "copies", "n_blocks")
     whole = members.join(plain.withColumnRenamed("doc_id", "node"), "node").mapInArrow(_sets, "node long, root long, n_blocks int, copies long, shingles binary")
     told = blocks_of(whole, F.col("n_blocks")).select("root", "b1", "b2", "block", "node", "copies", "shingles")
     exact = saved(told.repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2").mapInArrow(_exact, "node long, n_sets long, n_docs long, v long"))
     links = exact.groupBy("node").agg(F.sum("n_sets").alias("n_sets"), F.sum("n_docs").alias("n_docs"))
     classes = components(exact.select(F.col("node").alias("u"), "v"))
-    result = nodes.select("key", "node", "copies").join(links, "node", "left").join(classes, "node", "left")
-    result = result.select("key", "node", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_sets", F.lit(0)).alias("n_sets"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
-    return signed.select("doc_id", "key").join(result, "key", "left").select(
-        "doc_id",
-        F.coalesce("root", "doc_id").alias("class_id"),
-        F.coalesce("node", "doc_id").alias("set_id"),
-        F.coalesce("n_sets", F.lit(0)).cast("long").alias("n_set_links"),
-        F.coalesce(F.col("n_docs") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-    )
+    result = nodes.select("key", "node", F.col("copies").alias("n")).join(links, "node", "left").join(classes, "node", "left")
+    result = saved(result.select("key", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("n_sets", F.lit(0)).alias("n_sets"), (F.coalesce("n_docs", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    told = join_hot(signed.filter("key is not null").select("doc_id", "key"), result, "key", signed.count())
+    alone = signed.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_set_links"), F.lit(0).cast("long").alias("n_links"))
+    return told.select("doc_id", F.col("root").alias("class_id"), F.col("node").alias("set_id"), F.col("n_sets").cast("long").alias("n_set_links"), F.col("n_links").cast("long").alias("n_links")).unionByName(alone)
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:

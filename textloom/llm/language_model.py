@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 import zlib
 from collections import Counter
 
@@ -31,17 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frequent, saved, texts, worker_state
+from .common import frequent, saved, strings, texts, worker_cache
 
 #: Broadcast words; words with their own output weights and groups, at least (see ``model_sizes``); words of a learnt class.
 HEAD, LEARNED, PER_CLASS = 200_000, 2_048, 64
-HIDDEN, GROUPS, TRIGRAMS = 32, 8, 8_192
+HIDDEN, GROUPS, TRIGRAM_BITS = 32, 8, 13
+TRIGRAMS = 1 << TRIGRAM_BITS
 #: Seeds and passes of the clustering, for each group and over all training documents; words that it sees; parts its sums come in.
 SEEDS, PASSES, SEEN, SUMS = 64, 2, 2_048, 8
 #: Warm-up documents (at most) and passes; windows, lanes and rate of training.
 WARM_DOCS, WARM_PASSES, WINDOW, LANES, RATE = 600, 4, 32, 64, 0.1
-#: Documents scored side by side, steps scored at once; tasks' weights are summed in so many parts.
-SIDE, SPAN, PARTS = 1_024, 96, 32
+#: Documents scored side by side, steps scored at once, states whose softmax is taken at once; tasks' weights are summed in so many parts.
+SIDE, SPAN, ROWS, PARTS = 1_024, 32, 4_096, 32
+#: Documents and tokens that a task trains on at once.
+TRAINED, TRAINED_TOKENS = 2_048, 2_000_000
 END = b" end"  # no word holds a space
 
 
@@ -56,7 +60,7 @@ def _counts(batches):
         return pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64())})
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in strings(batch.column(0)):
             counts.update(words_of(text))
             counts[END] += 1
             if len(counts) > 400_000:
@@ -65,23 +69,45 @@ def _counts(batches):
     yield out()
 
 
-def trigrams(word: bytes) -> list[int]:
-    """Buckets of all of a word's trigrams, its borders included."""
-    w = b"^" + word + b"$"
-    return [zlib.crc32(w[i : i + 3]) % TRIGRAMS for i in range(len(w) - 2)] or [0]
+def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all trigrams of the words, their borders included, one word
+    behind another; and the number of each word's."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    if not len(n):
+        return np.zeros(0, np.int64), n
+    data = np.frombuffer(b"^" + b"$^".join(words) + b"$", np.uint8).astype(np.uint32)
+    inside = np.ones(len(data), bool)
+    ends = np.cumsum(n + 2)
+    inside[ends - 1] = inside[ends - 2] = False
+    code = (data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - TRIGRAM_BITS)
+    return code[inside[:-2]].astype(np.int64), n
 
 
 class Groups:
     """Which group a word is in, by naive Bayes on its trigrams."""
 
     def __init__(self, table: np.ndarray):
-        self.table = table
+        self.table = table.astype(np.float32)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The words' groups; long ones by their counts, in bounded memory."""
+        out, part, size = np.zeros(len(words), np.int64), [], 0
+        for i, w in enumerate(words):
+            if len(w) > 2_000:
+                out[i] = (np.bincount(trigrams([w])[0], minlength=TRIGRAMS) @ self.table).argmax()
+                continue
+            part.append(i)
+            size += len(w)
+            if size > 100_000:
+                out[part] = self._of([words[k] for k in part])
+                part, size = [], 0
+        if part:
+            out[part] = self._of([words[k] for k in part])
+        return out
 
-    def of(self, word: bytes) -> int:
-        at = trigrams(word)
-        if len(at) > 200:  # a long one by its counts, in bounded memory
-            return int((np.bincount(at, minlength=TRIGRAMS) @ self.table).argmax())
-        return int(self.table[at].sum(0).argmax())
+    def _of(self, words: list[bytes]) -> np.ndarray:
+        at, n = trigrams(words)
+        return np.add.reduceat(self.table[at], np.cumsum(n) - n, axis=0).argmax(1)
 
 
 def model_sizes(n_words: int) -> tuple[int, int]:
@@ -90,54 +116,60 @@ def model_sizes(n_words: int) -> tuple[int, int]:
     return min(HEAD, -(-learnt // PER_CLASS) * PER_CLASS), max(GROUPS, round(n_words**0.2))
 
 
-def _vector(words: list[bytes], rows: dict) -> tuple[np.ndarray, np.ndarray]:
-    """A document's rows among the words that the clustering sees, and their weights, of length 1."""
+def _seen(words: list[bytes], rows: dict) -> tuple[np.ndarray, np.ndarray]:
+    """A document's rows among the words that the clustering sees, and how often each stands there."""
     n = Counter(filter(None.__ne__, map(rows.get, words)))
-    v = np.sqrt(np.fromiter(n.values(), np.float32, len(n)))
-    return np.fromiter(n, np.int64, len(n)), v / max(1e-9, float(np.sqrt((v * v).sum())))
+    return np.fromiter(n, np.uint16, len(n)), np.fromiter(n.values(), np.float32, len(n))
+
 
+def _weights(n: np.ndarray) -> np.ndarray:
+    """Roots of the counts, as a vector of length 1."""
+    return np.sqrt(n / max(1e-9, float(n.sum())))
 
-def _seeds(batches, rows, mean, most):
-    """The ``most`` documents of a task that a draw picks, those unlike the corpus' mean more often."""
-    best: list = []
+
+def _vectors(batches, rows, mean):
+    """Every document's clustering vector, and a draw that prefers documents unlike the corpus' mean."""
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            at, v = _vector(words_of(text), rows)
-            if len(at):
-                u = (zlib.crc32((text or "").encode("utf-8", "surrogatepass")) + 0.5) / 2**32
-                best.append((math.log(u) / max(1e-3, 1 - float(v @ mean[at])), at.tobytes(), v.tobytes()))
-        best = sorted(best, reverse=True)[:most]
-    yield pa.RecordBatch.from_pydict({"draw": pa.array([b[0] for b in best], pa.float64()), "at": pa.array([b[1] for b in best], pa.binary()), "v": pa.array([b[2] for b in best], pa.binary())})
+        draw, ats, counts = [], [], []
+        for text in strings(batch.column(0)):
+            at, n = _seen(words_of(text), rows)
+            u = (zlib.crc32((text or "").encode("utf-8", "surrogatepass")) + 0.5) / 2**32
+            draw.append(math.log(u) / max(1e-3, 1 - float(_weights(n) @ mean[at])) if len(at) else None)
+            ats.append(at.tobytes())
+            counts.append(n.tobytes())
+        yield pa.RecordBatch.from_pydict({"draw": pa.array(draw, pa.float64()), "at": pa.array(ats, pa.binary()), "n": pa.array(counts, pa.binary())})
 
 
-def _assigned(batches, rows, centre):
+def _assigned(batches, centre):
     """Sums of the documents' vectors by nearest centre."""
-    total = np.zeros(centre.shape)
+    total, columns = np.zeros(centre.shape), np.ascontiguousarray(centre.T)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            at, v = _vector(words_of(text), rows)
+        for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist()):
+            at, v = np.frombuffer(at, np.uint16), _weights(np.frombuffer(n, np.float32))
             if len(at):
-                total[int((centre[:, at] @ v).argmax()), at] += v
+                total[int((v @ columns[at]).argmax()), at] += v
     yield _sums(total)
 
 
 def _trigram_sums(batches, rows, centre):
     """Trigrams of every word of the documents, by the documents' nearest centre."""
-    total = np.zeros((TRIGRAMS, len(centre)))
+    total, columns = np.zeros((TRIGRAMS, len(centre))), np.ascontiguousarray(centre.T)
     counts: dict[int, Counter] = {}
 
     def add():
         for k, own in counts.items():
-            for w, n in own.items():
-                np.add.at(total[:, k], trigrams(w), n)
+            words, times = list(own), np.fromiter(own.values(), float, len(own))
+            for a in range(0, len(words), 20_000):
+                at, n = trigrams(words[a : a + 20_000])
+                total[:, k] += np.bincount(at, np.repeat(times[a : a + 20_000], n), TRIGRAMS)
         counts.clear()
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in strings(batch.column(0)):
             words = words_of(text)
-            at, v = _vector(words, rows)
-            counts.setdefault(int((centre[:, at] @ v).argmax()) if len(at) else 0, Counter()).update(words)
-            if sum(map(len, counts.values())) > 200_000:
+            at, n = _seen(words, rows)
+            counts.setdefault(int((_weights(n) @ columns[at]).argmax()) if len(at) else 0, Counter()).update(words)
+            if sum(map(len, counts.values())) > 100_000:
                 add()
     add()
     yield _sums(total)
@@ -158,10 +190,10 @@ def _added(batches):
         yield pa.RecordBatch.from_pydict({"data": pa.array([total.tobytes()], pa.binary())})
 
 
-def _over_all(training: DataFrame, task, shape: tuple) -> np.ndarray:
-    """The sum of the tasks' arrays."""
-    tasks = training.select("text").mapInArrow(task, "part int, data binary").repartition(SUMS, "part")
-    return sum((np.frombuffer(r.data).reshape(shape) for r in tasks.mapInArrow(_added, "data binary").toLocalIterator()), np.zeros(shape))
+def _over_all(rows: DataFrame, task, shape: tuple) -> np.ndarray:
+    """The sum of the tasks' arrays, added up in ``SUMS`` parts and then in one task; one array reaches the driver."""
+    tasks = rows.mapInArrow(task, "part int, data binary").repartition(SUMS, "part").mapInArrow(_added, "data binary")
+    return sum((np.frombuffer(r.data).reshape(shape) for r in tasks.coalesce(1).mapInArrow(_added, "data binary").collect()), np.zeros(shape))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -178,11 +210,11 @@ def trigram_counts(training: DataFrame, words: list[tuple[bytes, int]], n_groups
     rows = {w: i for i, (w, _) in enumerate(seen)}
     mean = np.sqrt(np.array([n for _, n in seen], float))
     mean /= max(1e-9, np.linalg.norm(mean))
-    most = SEEDS * n_groups
-    drawn = training.select("text").mapInArrow(lambda it: _seeds(it, rows, mean, most), "draw double, at binary, v binary").orderBy(F.desc("draw"), "at").limit(most).collect()
+    vectors = saved(training.select("text").mapInArrow(lambda it: _vectors(it, rows, mean), "draw double, at binary, n binary"))
+    drawn = vectors.filter("draw is not null").orderBy(F.desc("draw"), "at", "n").limit(SEEDS * n_groups).collect()
     x = np.zeros((max(1, len(drawn)), max(1, len(rows))))
     for own, r in zip(x, drawn):
-        own[np.frombuffer(r["at"], np.int64)] = np.frombuffer(r.v, np.float32)
+        own[np.frombuffer(r["at"], np.uint16)] = _weights(np.frombuffer(r.n, np.float32))
     # Each further centre is the seed least like the centres before it.
     centre = x[:1]
     while len(centre) < min(n_groups, len(x)):
@@ -192,32 +224,35 @@ def trigram_counts(training: DataFrame, words: list[tuple[bytes, int]], n_groups
         centre = _unit(np.array([x[own == k].sum(0) if (own == k).any() else c for k, c in enumerate(centre)]))
     for _ in range(PASSES if drawn else 0):
         now = centre
-        total = _over_all(training, lambda it: _assigned(it, rows, now), centre.shape)
+        total = _over_all(vectors, lambda it: _assigned(it, now), centre.shape)
         centre = np.where(total.any(1)[:, None], _unit(total), centre)
     out = np.zeros((TRIGRAMS, n_groups))
-    out[:, : len(centre)] = _over_all(training, lambda it: _trigram_sums(it, rows, centre), (TRIGRAMS, len(centre)))
+    out[:, : len(centre)] = _over_all(training.select("text"), lambda it: _trigram_sums(it, rows, centre), (TRIGRAMS, len(centre)))
     return out
 
 
 class Symbols:
     """Classes, and the symbols that the network reads: learnt words, then one a counted class.
 
-    ``head``: word -> (symbol, log10(count + 0.5)); learnt words have theirs
-    by class, ``PER_CLASS`` to each.
+    ``words``, ``symbol`` and ``log``: the broadcast words, their symbols and
+    log10(count + 0.5); learnt words have their symbols by class, ``PER_CLASS``
+    to each.
     """
 
     def __init__(self, words: list[tuple[bytes, int]], groups: Groups, most: int = LEARNED):
         n_groups = groups.table.shape[1]
-        learnt = sorted(words[:most], key=lambda x: (groups.of(x[0]), -x[1], x[0]))
+        self.words = [w for w, _ in words]
+        group = groups.of(self.words)
+        learnt = sorted(range(min(most, len(words))), key=lambda i: (group[i], -words[i][1], words[i][0]))
         self.n_learnt_classes = max(1, -(-len(learnt) // PER_CLASS))
         self.n_learnt = self.n_learnt_classes * PER_CLASS
         self.n_classes = self.n_learnt_classes + 3 * n_groups
         self.size = self.n_learnt + 3 * n_groups
-        self.head = {w: (i, math.log10(n + 0.5)) for i, (w, n) in enumerate(learnt)}
         half = most + (len(words) - most) // 8
-        for i, (w, n) in enumerate(words[most:], most):
-            self.head[w] = (self.n_learnt + 3 * groups.of(w) + (0 if i < half else 1), math.log10(n + 0.5))
-        self.end = self.head.get(END, (0, 0.0))[0]
+        self.symbol = self.n_learnt + 3 * group + (np.arange(len(words)) >= half)
+        self.symbol[learnt] = np.arange(len(learnt))
+        self.log = np.log10(np.array([n for _, n in words], float) + 0.5)
+        self.end = int(self.symbol[self.words.index(END)]) if END in self.words[:most] else 0
 
 
 class Network:
@@ -246,184 +281,206 @@ class Network:
         weights["input"][:, :HIDDEN] -= 1.0
         return Network(weights, symbols.n_learnt, symbols.end)
 
-    def step(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        u = self.w["input"][x]
-        g = 1 / (1 + np.exp(-(u[:, : 2 * HIDDEN] + h @ self.w["gates"])))
-        z, r = g[:, :HIDDEN], g[:, HIDDEN:]
-        c = np.tanh(u[:, 2 * HIDDEN :] + (r * h) @ self.w["candidate"])
-        if keep is not None:
-            keep.append((h, z, r, c))
-        return h + z * (c - h)
+    def step(self, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gates, candidate and next state from the input's rows and the state."""
+        g = h @ self.w["gates"]
+        g += u[:, : 2 * HIDDEN]
+        g *= 0.5  # the logistic function as a hyperbolic tangent
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
+        c = (g[:, HIDDEN:] * h) @ self.w["candidate"]
+        c += u[:, 2 * HIDDEN :]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= g[:, :HIDDEN]
+        new += h
+        return g, c, new
 
     def classes(self, y: np.ndarray) -> np.ndarray:
         return np.where(y < self.n_learnt, y // PER_CLASS, y - self.n_learnt + self.n_learnt_classes)
 
+    @staticmethod
+    def _softmax(logit: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of column ``k`` of each row; ``logit`` becomes the exponentials, whose sums are returned too."""
+        logit -= logit.max(1, keepdims=True)
+        own = logit[np.arange(len(k)), k]
+        np.exp(logit, out=logit)
+        total = logit @ np.ones(logit.shape[1], logit.dtype)
+        return own - np.log(total), total
+
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None):
         """Natural-log probabilities of the symbols ``y`` after states ``h``;
         with ``grads``, fills them and returns the states' gradient."""
         k = self.classes(y)
-        logit = h @ self.w["class"] + self.w["class_bias"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(1)
-        at = np.arange(len(y))
-        out = logit[at, k] - np.log(total)
+        logit = h @ self.w["class"]
+        logit += self.w["class_bias"]
+        out, total = self._softmax(logit, k)
         if grads is not None:
-            d = e / total[:, None]
-            d[at, k] -= 1
-            d *= weight[:, None]
-            grads["class"], grads["class_bias"] = h.T @ d, d.sum(0)
-            back = d @ self.w["class"].T
-        learnt = np.flatnonzero(y < self.n_learnt)
-        learnt = learnt[np.argsort(k[learnt], kind="stable")]
-        kinds, first = np.unique(k[learnt], return_index=True)
-        for c, a, b in zip(kinds, first, [*first[1:], len(learnt)]):
-            rows = learnt[a:b]
-            own = h[rows]
-            logit = own @ self.w["word"][c] + self.w["word_bias"][c]
-            logit -= logit.max(1, keepdims=True)
-            e = np.exp(logit)
-            total, pos = e.sum(1), y[rows] % PER_CLASS
-            out[rows] += logit[np.arange(len(rows)), pos] - np.log(total)
+            logit *= (weight / total)[:, None]
+            logit[np.arange(len(y)), k] -= weight
+            grads["class"], grads["class_bias"] = h.T @ logit, logit.sum(0)
+            back = logit @ self.w["class"].T
+            grads["word"], grads["word_bias"] = np.zeros_like(self.w["word"]), np.zeros_like(self.w["word_bias"])
+        rows = np.flatnonzero(y < self.n_learnt)
+        if len(rows):
+            rows = rows[np.argsort(k[rows], kind="stable")]
+            kinds, first = np.unique(k[rows], return_index=True)
+            last = [*first[1:], len(rows)]
+            own, pos = h[rows], y[rows] % PER_CLASS
+            logit = np.empty((len(rows), PER_CLASS), h.dtype)
+            for c, a, b in zip(kinds, first, last):
+                np.matmul(own[a:b], self.w["word"][c], out=logit[a:b])
+                logit[a:b] += self.w["word_bias"][c]
+            logp, total = self._softmax(logit, pos)
+            out[rows] += logp
             if grads is not None:
-                d = e / total[:, None]
-                d[np.arange(len(rows)), pos] -= 1
-                d *= weight[rows][:, None]
-                grads[c] = (own.T @ d, d.sum(0))
-                back[rows] += d @ self.w["word"][c].T
+                w = weight[rows]
+                logit *= (w / total)[:, None]
+                logit[np.arange(len(rows)), pos] -= w
+                grads["word_bias"][kinds] = np.add.reduceat(logit, first, axis=0)
+                add = np.empty_like(own)
+                for c, a, b in zip(kinds, first, last):
+                    np.matmul(own[a:b].T, logit[a:b], out=grads["word"][c])
+                    np.matmul(logit[a:b], self.w["word"][c].T, out=add[a:b])
+                back[rows] += add
         return out if grads is None else (out, back)
 
+    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict, float, int]:
+        """Truncated backpropagation over one window of steps by lanes: the
+        state after it, the gradients of the mean loss, the sum of
+        log-probabilities and the number of symbols (``y`` of 0 or more)."""
+        n_steps, n = x.shape
+        u = self.w["input"][x]
+        # A document's first input is the end, which starts from a state of zero.
+        going = (x != self.end).astype(u.dtype)[:, :, None]
+        before, states, c = (np.empty((n_steps, n, HIDDEN), u.dtype) for _ in range(3))
+        gates = np.empty((n_steps, n, 2 * HIDDEN), u.dtype)
+        for t in range(n_steps):
+            np.multiply(h, going[t], out=before[t])
+            gates[t], c[t], h = self.step(u[t], before[t])
+            states[t] = h
+        flat = y.ravel()
+        live = flat >= 0
+        alive = int(live.sum())
+        grads: dict = {}
+        logp, back = self.log_probs(states.reshape(-1, HIDDEN), np.maximum(flat, 0), grads, (live / max(1, alive)).astype(u.dtype))
+        back = back.reshape(states.shape)
+        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+        by_c, by_z, by_r, rest = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r), 1 - z
+        d_in, d_h = np.empty_like(u), np.zeros_like(h)
+        from_gates, from_c = np.ascontiguousarray(self.w["gates"].T), np.ascontiguousarray(self.w["candidate"].T)
+        for t in range(n_steps - 1, -1, -1):
+            d_h += back[t]
+            d = d_in[t]
+            np.multiply(d_h, by_c[t], out=d[:, 2 * HIDDEN :])
+            d_rh = d[:, 2 * HIDDEN :] @ from_c
+            np.multiply(d_h, by_z[t], out=d[:, :HIDDEN])
+            np.multiply(d_rh, by_r[t], out=d[:, HIDDEN : 2 * HIDDEN])
+            d_h *= rest[t]
+            d_rh *= r[t]
+            d_h += d_rh
+            d_h += d[:, : 2 * HIDDEN] @ from_gates
+            d_h *= going[t]
+        d_in = d_in.reshape(-1, 3 * HIDDEN)
+        grads["gates"] = before.reshape(-1, HIDDEN).T @ d_in[:, : 2 * HIDDEN]
+        grads["candidate"] = (r * before).reshape(-1, HIDDEN).T @ d_in[:, 2 * HIDDEN :]
+        order = np.argsort(x.ravel(), kind="stable")
+        rows, first = np.unique(x.ravel()[order], return_index=True)
+        grads["input"] = rows, np.add.reduceat(d_in[order], first, axis=0)
+        return h, grads, float(logp[live].sum()), alive
+
     def train(self, docs: list[np.ndarray], rate: float, sums: dict, lanes: int = LANES) -> float:
         """One pass of truncated backpropagation; documents stand one behind
         another in lanes, and the state is carried from window to window over
         whole documents; only the gradient ends with the window.  Returns the mean log-probability of a symbol."""
         docs = sorted(docs, key=len)
-        lanes: list[list] = [[] for _ in range(min(lanes, len(docs)))]
-        load = np.zeros(len(lanes))
+        own: list[list] = [[] for _ in range(min(lanes, len(docs)))]
+        load = np.zeros(len(own), np.int64)
         for d in reversed(docs):
             k = int(load.argmin())
-            lanes[k].append(d)
+            own[k].append(d)
             load[k] += len(d)
-        width = int(load.max()) if len(lanes) else 0
-        y = np.full((len(lanes), width), -1, np.int64)
-        x = np.full((len(lanes), width), self.end, np.int64)
-        for k, own in enumerate(lanes):
-            flat = np.concatenate(own)
-            y[k, : len(flat)] = flat
-            x[k, 1 : len(flat)] = flat[:-1]
-            x[k, np.cumsum([0, *(len(d) for d in own[:-1])])] = self.end
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
-        seen, gained = 0, 0.0
         longest = np.argsort(-load, kind="stable")  # full lanes stand first, those that end fall away
-        x, y, load = x[longest], y[longest], load[longest]
-        for a in range(0, width, WINDOW):
+        load = load[longest]
+        targets = [np.concatenate(own[k]) for k in longest]
+        inputs = [np.concatenate([part for d in own[k] for part in ([self.end], d[:-1])]).astype(d.dtype) for k in longest]
+        h = np.zeros((len(own), HIDDEN), self.w["gates"].dtype)
+        seen, gained = 0, 0.0
+        for a in range(0, int(load.max(initial=0)), WINDOW):
             n = int((load > a).sum())
-            h, xs, ys = h[:n], x[:n, a : a + WINDOW], y[:n, a : a + WINDOW]
-            keep, states = [], []
-            for t in range(xs.shape[1]):
-                h = np.where((xs[:, t] == self.end)[:, None], 0, h).astype(np.float32)
-                h = self.step(xs[:, t], h, keep)
-                states.append(h)
-            flat_y = ys.T.ravel()
-            live = flat_y >= 0
-            alive = int(live.sum())
-            grads: dict = {}
-            weight = (live / max(1, alive)).astype(np.float32)
-            logp, back = self.log_probs(np.concatenate(states), np.maximum(flat_y, 0), grads, weight)
-            seen, gained = seen + alive, gained + float(logp[live].sum())
-            back = back.reshape(len(states), len(h), HIDDEN)
-            d_h = np.zeros_like(h)
-            d_in = np.empty((len(states), len(h), 3 * HIDDEN), np.float32)
-            d_gates, d_cand = np.zeros_like(self.w["gates"]), np.zeros_like(self.w["candidate"])
-            for t in range(len(states) - 1, -1, -1):
-                before, z, r, c = keep[t]
-                d_h = d_h + back[t]
-                d_c = d_h * z * (1 - c * c)
-                d_rh = d_c @ self.w["candidate"].T
-                d_z = d_h * (c - before) * z * (1 - z)
-                d_r = d_rh * before * r * (1 - r)
-                d_g = np.concatenate([d_z, d_r], 1)
-                d_gates += before.T @ d_g
-                d_cand += (r * before).T @ d_c
-                d_in[t, :, : 2 * HIDDEN], d_in[t, :, 2 * HIDDEN :] = d_g, d_c
-                d_h = d_h * (1 - z) + d_rh * r + d_g @ self.w["gates"].T
-                d_h[xs[:, t] == self.end] = 0
-            order = np.argsort(xs.T.ravel(), kind="stable")
-            rows, first = np.unique(xs.T.ravel()[order], return_index=True)
-            self._move("input", rows, np.add.reduceat(d_in.reshape(-1, 3 * HIDDEN)[order], first, axis=0), rate, sums)
-            for name, g in (("gates", d_gates), ("candidate", d_cand), ("class", grads["class"]), ("class_bias", grads["class_bias"])):
-                self._move(name, slice(None), g, rate, sums)
-            for c, g in grads.items():
-                if not isinstance(c, str):
-                    self._move("word", c, g[0], rate, sums)
-                    self._move("word_bias", c, g[1], rate, sums)
+            steps = min(WINDOW, int(load[0]) - a)
+            x, y = np.full((n, steps), self.end, np.int64), np.full((n, steps), -1, np.int64)
+            for k in range(n):
+                part = targets[k][a : a + steps]
+                y[k, : len(part)] = part
+                x[k, : len(part)] = inputs[k][a : a + steps]
+            h, grads, logp, alive = self.window(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), h[:n])
+            seen, gained = seen + alive, gained + logp
+            for name, g in grads.items():
+                at, g = g if name == "input" else (slice(None), g)
+                self._move(name, at, g, rate, sums)
         return gained / max(1, seen)
 
     def _move(self, name, at, g, rate, sums) -> None:
         """Adagrad."""
-        s = sums.setdefault(name, np.full_like(self.w[name], 1e-6))
-        g = np.clip(g, -0.05, 0.05)
+        if name not in sums:
+            sums[name] = np.full_like(self.w[name], 1e-6)
+        s, w = sums[name], self.w[name]
+        np.clip(g, -0.05, 0.05, out=g)
         s[at] += g * g
-        self.w[name][at] -= rate * g / np.sqrt(s[at])
+        g *= rate
+        g /= np.sqrt(s[at])
+        w[at] -= g
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Natural-log probability of each symbol sequence, state carried throughout."""
+        """Natural-log probability of each symbol sequence, state carried
+        throughout; ``SPAN`` steps of ``SIDE`` sequences are held at once."""
         out = np.zeros(len(docs))
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         for a in range(0, len(order), SIDE):
             rows = np.array(order[a : a + SIDE])
             lengths = np.array([len(docs[i]) for i in rows])
-            y = np.full((len(rows), int(lengths[0])), self.end, np.int64)
-            for k, i in enumerate(rows):
-                y[k, : lengths[k]] = docs[i]
-            h = np.zeros((len(rows), HIDDEN), np.float32)
+            h = np.zeros((len(rows), HIDDEN), self.w["gates"].dtype)
             x = np.full(len(rows), self.end, np.int64)
-            for b in range(0, y.shape[1], SPAN):
+            for b in range(0, int(lengths[0]), SPAN):
+                n = int(np.searchsorted(-lengths, -b, side="left"))  # sequences longer than b stand first
+                y = np.full((n, min(SPAN, int(lengths[0]) - b)), self.end, np.int64)
+                for k in range(n):
+                    part = docs[rows[k]][b : b + SPAN]
+                    y[k, : len(part)] = part
                 states, ys, who = [], [], []
-                for t in range(b, min(b + SPAN, y.shape[1])):
-                    n = int(np.searchsorted(-lengths, -t, side="left"))  # texts longer than t stand first
-                    h = self.step(x[:n], h[:n])
+                for t in range(y.shape[1]):
+                    n = int(np.searchsorted(-lengths, -(b + t), side="left"))
+                    h = self.step(self.w["input"][x[:n]], h[:n])[2]
                     states.append(h)
                     ys.append(y[:n, t])
                     who.append(np.arange(n))
                     x = y[:n, t]
-                logp = self.log_probs(np.concatenate(states), np.concatenate(ys))
+                states, ys = np.concatenate(states), np.concatenate(ys)
+                logp = np.concatenate([self.log_probs(states[c : c + ROWS], ys[c : c + ROWS]) for c in range(0, len(ys), ROWS)])
                 out[rows] += np.bincount(np.concatenate(who), weights=logp, minlength=len(rows))
         return out
 
 
-class _Tail(dict):
-    """Symbols of words outside the head."""
-
-    def __init__(self, first: int, groups: Groups):
-        super().__init__()
-        self.first, self.groups = first, groups
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = s = self.first + 3 * self.groups.of(word) + 2
-        return s
+def _new_reader(shared: dict):
+    """A word's row in the head, the rows' symbols and log10 counts, the groups and the first counted symbol."""
+    words = shared["words"].split(b"\n") if len(shared["symbol"]) else []
+    return dict(zip(words, range(len(words)))), shared["symbol"], shared["log"], Groups(shared["groups"]), shared["n_learnt"]
 
 
 def _reader(shared: dict):
-    """Kept by the worker: a word's row in the head, the rows' symbols and log10 counts, and the symbols of other words."""
-    state = worker_state()
-    if state.get("lm_name") != shared["name"]:
-        head = shared["head"]
-        rows = {w: i for i, w in enumerate(head)}
-        state.update(lm_name=shared["name"], lm_rows=rows, lm_symbols=np.array([v[0] for v in head.values()], np.int64), lm_logs=np.array([v[1] for v in head.values()]), lm_tail=_Tail(shared["n_learnt"], Groups(shared["groups"])))
-    return state["lm_rows"], state["lm_symbols"], state["lm_logs"], state["lm_tail"]
+    return worker_cache(("language model", shared["name"]), lambda: _new_reader(shared))
 
 
 def _symbols(words: list[bytes], reader) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Symbols of the words, rows in the head of those that are in it, and the others."""
-    rows, symbols, _, tail = reader
+    rows, symbols, _, groups, first = reader
     at = np.fromiter(map(rows.get, words, itertools.repeat(-1)), np.int64, len(words))
-    ids = symbols[at] if len(symbols) else np.zeros(len(words), np.int64)
+    ids = symbols[at] if len(symbols) else np.zeros(len(words), np.int32)
     odd = np.flatnonzero(at < 0)
     rare = [words[i] for i in odd]
-    ids[odd] = [tail[w] for w in rare]
+    ids[odd] = first + 3 * groups.of(rare) + 2
     return ids, at[at >= 0], rare
 
 
@@ -432,19 +489,20 @@ def _train_task(batches, shared):
     reader = _reader(s)
     net = Network({k: v.copy() for k, v in s["weights"].items()}, s["n_learnt"], s["end"])
     sums: dict = {k: v.copy() for k, v in s["sums"].items()}
-    tokens, block = 0, []
+    tokens, held, block = 0, 0, []
 
     def learn():
         net.train(block, RATE / 2, sums)
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in strings(batch.column(0)):
             words = [*words_of(text), END]
             block.append(_symbols(words, reader)[0])
             tokens += len(words)
-            if len(block) >= 2_048:
+            held += len(words)
+            if len(block) >= TRAINED or held >= TRAINED_TOKENS:
                 learn()
-                block = []
+                block, held = [], 0
     if block:
         learn()
     if tokens:
@@ -466,15 +524,14 @@ def _summed(batches):
 def _class_sizes(batches, shared):
     """Words and tokens of each counted class, by task."""
     s = shared.value
-    rows, symbols, _, tail = _reader(s)
-    n_words, n_tokens = Counter(), Counter()
+    reader, size = _reader(s), s["size"]
+    n_words, n_tokens = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for batch in batches:
-        for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            k = int(symbols[rows[w]]) if w in rows else tail[w]
-            if k >= s["n_learnt"]:
-                n_words[k] += 1
-                n_tokens[k] += n
-    yield pa.RecordBatch.from_pydict({"k": pa.array(n_words.keys(), pa.int64()), "v": pa.array(n_words.values(), pa.int64()), "n": pa.array([n_tokens[k] for k in n_words], pa.int64())})
+        k = _symbols(batch.column(0).to_pylist(), reader)[0]
+        n_words += np.bincount(k, minlength=size)
+        np.add.at(n_tokens, k, batch.column(1).to_numpy())
+    k = np.flatnonzero(n_words[s["n_learnt"] :]) + s["n_learnt"]
+    yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int64()), "v": pa.array(n_words[k]), "n": pa.array(n_tokens[k])})
 
 
 def _score_task(batches, shared):
@@ -486,7 +543,7 @@ def _score_task(batches, shared):
     shift = s["shift"]  # log10 of each counted class' total, by symbol; zero for learnt ones
     for batch in batches:
         n_tokens, n_head, base, model, rest, symbols = [], [], [], [], [], []
-        for text in batch.column("text").to_pylist():
+        for text in strings(batch.column("text")):
             words = [*words_of(text), END]
             ids, known, rare = _symbols(words, reader)
             sure = logs[known]
@@ -529,21 +586,21 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     n = trigram_counts(training, words, n_groups) + 0.05
     groups = Groups(np.log(n / n.sum(0)))
     symbols = Symbols(words, groups, learnt)
-    tail = _Tail(symbols.n_learnt, groups)
-    ids = [np.array([symbols.head[w][0] if w in symbols.head else tail[w] for w in [*d, END]], np.int64) for d in warm]
+    shared = {"name": uuid.uuid4().hex, "groups": groups.table, "words": b"\n".join(symbols.words), "symbol": symbols.symbol.astype(np.int32), "log": symbols.log, "n_learnt": symbols.n_learnt, "size": symbols.size, "end": symbols.end}
+    reader = _new_reader(shared)
+    ids = [_symbols([*d, END], reader)[0] for d in warm]
     used = np.bincount(np.concatenate(ids), minlength=symbols.size) if ids else np.zeros(symbols.size)
     net, sums = Network.new(symbols, used), {}
     for k in range(WARM_PASSES):
         net.train(ids, RATE / (1 + 0.5 * k), sums)
-    shared = {"name": str(id(net)) + str(n_all), "groups": groups.table, "head": symbols.head, "n_learnt": symbols.n_learnt, "end": symbols.end, "weights": net.w, "sums": sums}
+    shared |= {"weights": net.w, "sums": sums}
     b = spark.sparkContext.broadcast(shared)
     parts = training.select("text").mapInArrow(lambda it: _train_task(it, b), "part int, tokens long, weights binary")
-    averaged = parts.repartition(PARTS, "part").mapInArrow(_summed, "tokens long, weights binary").collect()
-    tokens = sum(r.tokens for r in averaged)
-    if tokens:
-        flat, at = sum(np.frombuffer(r.weights, np.float32) * (r.tokens / tokens) for r in averaged), 0
+    summed = parts.repartition(PARTS, "part").mapInArrow(_summed, "tokens long, weights binary")
+    for r in summed.coalesce(1).mapInArrow(_summed, "tokens long, weights binary").collect():  # one row
+        flat, at = np.frombuffer(r.weights, np.float32), 0
         for k in sorted(net.w):
-            net.w[k] = flat[at : at + net.w[k].size].reshape(net.w[k].shape).astype(np.float32)
+            net.w[k] = flat[at : at + net.w[k].size].reshape(net.w[k].shape).copy()
             at += net.w[k].size
     sizes = vocab.mapInArrow(lambda it: _class_sizes(it, b), "k long, v long, n long").groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
     shift = np.zeros(symbols.size)

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, texts, worker_state
+from .common import saved, strings, texts, worker_cache
 from .token_counts import PATTERN, load, specials_of, splitter
 
-#: Distinct pre-tokens whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Distinct pre-tokens, and runs, whose ids a worker remembers; the longest of them.
+REMEMBERED, LONGEST = 120_000, 64
 #: Pieces per salted group of a length, about.
 GROUP = 100_000
 
@@ -59,6 +59,14 @@ def piece_encoder(tokenizer):
     return lambda pre: [special[pre]] if pre in special else fast(pre.encode("utf-8"))
 
 
+def _remembered(cache: dict, key: str, value: bytes) -> bytes:
+    if len(key) <= LONGEST:
+        if len(cache) >= REMEMBERED:
+            cache.clear()
+        cache[key] = value
+    return value
+
+
 class _Ids(dict):
     """Ids of a pre-token as little-endian unsigned 32-bit bytes."""
 
@@ -67,11 +75,9 @@ class _Ids(dict):
         self.encode = piece_encoder(tokenizer)
 
     def __missing__(self, pre: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         ids = self.encode(pre)
-        self[pre] = out = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        return _remembered(self, pre, out)
 
 
 class _Words(dict):
@@ -82,10 +88,7 @@ class _Words(dict):
         self.ids, self.split, self.whole = ids, split, [x for x in specials if " " in x]
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[run] = out = b"".join(map(self.ids.__getitem__, self.split(" " + run)))
-        return out
+        return _remembered(self, run, b"".join(map(self.ids.__getitem__, self.split(" " + run))))
 
     def of(self, text: str) -> bytes:
         """Ids of a whole text.  A pre-token always starts at a space with a
@@ -112,14 +115,11 @@ def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches, file, specials, end, capacity, grain):
-    state = worker_state()
-    if ("ids", file) not in state:
-        state["ids", file] = _Words(_Ids(load(file)), splitter(specials), specials)
-    ids = state["ids", file]
+    ids = worker_cache(("packing", file), lambda: _Words(_Ids(load(file)), splitter(specials), specials))
     tail = np.array([end], dtype="<u4").tobytes()
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids_crc32", "doc_tokens")}
-        for r, text in enumerate(batch.column(1).to_pylist()):
+        for r, text in enumerate(strings(batch.column(1))):
             data = ids.of(text or "") + tail
             n = len(data) // 4
             for start, length in cuts(n, capacity, grain):

@@ -60,27 +60,53 @@ def transitions(words: DataFrame) -> list[float]:
     return out
 
 
+def _matches(pattern: str, group: int, from_end: int) -> Column:
+    """Where ``pattern`` matches column ``text``: (at, value) structs, 1-based.
+
+    Text between the matches and the matches themselves give each one's place;
+    the value is group ``group``, which ends ``from_end`` signs before the match does.
+    """
+    whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else whole
+    gaps = F.transform(F.split("text", pattern, -1), lambda g: F.length(g).cast("long"))
+    rows = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value"))
+    empty = F.array().cast("array<struct<at:bigint,value:string>>")
+    start = F.struct(F.lit(1).cast("long").alias("pos"), empty.alias("found"))
+
+    def step(s, x):
+        end = s["pos"] + x["gap"] + F.length(x["whole"])
+        one = F.array(F.struct((end - from_end - F.length(x["value"])).alias("at"), x["value"].alias("value")))
+        return F.when(x["whole"].isNull(), s).otherwise(F.struct(end.alias("pos"), F.concat(s["found"], one).alias("found")))
+
+    found = F.aggregate(rows, start, step, lambda s: s["found"])
+    return F.when(F.size(whole) > 0, found).otherwise(empty)
+
+
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """Each distinct candidate of each document: doc_id, value, at (1-based), occurrences, before, after, path."""
+    """Each distinct candidate of each row: doc_id, value, at (1-based, its first match), occurrences (its matches), before, after, path."""
     text = F.coalesce(F.col("text"), F.lit(""))
     where = F.col(path).cast("string") if path in docs.columns else F.lit("")
-    d = docs.select("doc_id", text.alias("text"), F.coalesce(where, F.lit("")).alias("path"))
-    long = F.filter(F.regexp_extract_all("text", F.lit(LONG), F.lit(0)), lambda v: v.rlike("[A-Za-z0-9]"))
-    assigned = F.when(F.lower("text").rlike("passw|pwd|token|secret|key|auth|credential"), F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    assigned = F.transform(assigned, lambda v: F.regexp_replace(v, "^[\"'](.*)[\"']$", "$1"))
-    url = F.regexp_extract_all("text", F.lit(URL), F.lit(1))
-    private = F.regexp_extract_all("text", F.lit(PRIVATE), F.lit(0))
-    d = d.withColumn("values", F.array_distinct(F.concat(long, assigned, url, private))).filter(F.size("values") > 0)
-    d = d.select("doc_id", "path", "text", F.explode("values").alias("value")).withColumn("at", F.expr("instr(text, value)").cast("long"))
-    return d.select(
-        "doc_id",
-        "value",
-        "at",
-        ((F.length("text") - F.length(F.replace("text", F.col("value"), F.lit("")))) / F.length("value")).cast("long").alias("occurrences"),
-        F.expr(f"substring(text, greatest(at - {AROUND}, 1), least(at - 1, {AROUND}))").alias("before"),
-        F.expr(f"substring(text, at + length(value), {AROUND})").alias("after"),
-        "path",
+    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"), F.coalesce(where, F.lit("")).alias("path"))
+    none = F.array().cast("array<struct<at:bigint,value:string>>")
+    long = F.filter(_matches(LONG, 0, 0), lambda m: m["value"].rlike("[A-Za-z0-9]"))
+    bare = lambda m: F.struct((m["at"] + 1).alias("at"), F.substr(m["value"], F.lit(2), F.length(m["value"]) - 2).alias("value"))
+    assigned = F.transform(_matches(ASSIGNED, 1, 0), lambda m: F.when(m["value"].rlike("^([\"']).*\\1$"), bare(m)).otherwise(m))
+    assigned = F.when(F.lower("text").rlike("passw|pwd|token|secret|key|auth|credential"), assigned).otherwise(none)
+    url = F.when(F.col("text").contains("://"), _matches(URL, 1, 1)).otherwise(none)
+    private = F.when(F.col("text").contains("PRIVATE KEY"), _matches(PRIVATE, 0, 0)).otherwise(none)
+    d = d.withColumn("found", F.array_distinct(F.concat(long, assigned, url, private))).filter(F.size("found") > 0)
+    around = F.transform(
+        "found",
+        lambda m: F.struct(
+            m["at"].alias("at"),
+            m["value"].alias("value"),
+            F.substr("text", F.greatest(m["at"] - AROUND, F.lit(1)).cast("int"), F.least(m["at"] - 1, F.lit(AROUND)).cast("int")).alias("before"),
+            F.substr("text", (m["at"] + F.length(m["value"])).cast("int"), F.lit(AROUND)).alias("after"),
+        ),
     )
+    one = d.select("row", "doc_id", "path", F.explode(around).alias("m")).select("row", "doc_id", "path", "m.*")
+    first = one.groupBy("row", "value").agg(F.min(F.struct("at", "doc_id", "path", "before", "after")).alias("m"), F.count("*").alias("occurrences"))
+    return first.select("m.doc_id", "value", "m.at", "occurrences", "m.before", "m.after", "m.path")
 
 
 def _share(value: Column, chars: str) -> Column:
@@ -194,12 +220,28 @@ def report(scanned: DataFrame) -> DataFrame:
     )
 
 
+def _whole(value: Column) -> Column:
+    """A pattern for a value that is no part of a longer run of letters and digits."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.concat(F.lit("(?<![A-Za-z0-9](?=[A-Za-z0-9]))"), quoted, F.lit("(?!(?<=[A-Za-z0-9])[A-Za-z0-9])"))
+
+
 def redacted(docs: DataFrame, scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret of ``scanned`` replaced in its text; n_chars follows.  Rows of one id (or of none) share their secrets."""
-    secrets = scanned.filter("is_secret").groupBy(F.col("doc_id").alias("secret_of")).agg(F.collect_set("value").alias("secret_values"))
-    longest_first = F.transform(F.sort_array(F.transform("secret_values", lambda v: F.struct(-F.length(v), v.alias("v")))), lambda s: s["v"])
-    text = F.when(F.col("secret_values").isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
-    out = docs.join(secrets, F.col("doc_id").eqNullSafe(F.col("secret_of")), "left").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("secret_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+    """``docs`` with every secret of ``scanned`` replaced in its text, wherever it stands as a whole; n_chars follows.
+
+    Rows of one id (or of none) share their secrets.  Columns of any name stay
+    as they are.
+    """
+    n = "n_chars" if "n_chars" in docs.columns else None
+    secrets = scanned.filter("is_secret").groupBy(F.col("doc_id").alias("secret of")).agg(F.collect_set("value").alias("secret values"))
+    longest_first = F.transform(F.sort_array(F.transform("secret values", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
+    mark = mark.replace("\\", "\\\\").replace("$", "\\$")
+    text = F.aggregate(longest_first, F.col("text"), lambda t, v: F.regexp_replace(t, _whole(v), F.lit(mark)))
+    clean = docs.filter("doc_id is not null").join(secrets, F.col("doc_id") == F.col("secret of"), "left")
+    # Rows without an id share the one row of secrets found in them.
+    clean = clean.unionByName(docs.filter("doc_id is null").join(F.broadcast(secrets.filter("`secret of` is null")), F.lit(True), "left"))
+    found = F.col("secret values").isNotNull()
+    out = clean.withColumn("text", F.when(found, text).otherwise(F.col("text")))
+    if n:
+        out = out.withColumn(n, F.when(found, F.length("text").cast(dict(docs.dtypes)[n])).otherwise(F.col(n)))
     return out.select(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frequent, saved, texts
+from .common import frequent, saved, strings, texts
 
 #: Pre-tokens that are broadcast with their piece counts: at most this many, some MB.
 HEAD = 300_000
@@ -72,7 +72,7 @@ def _frequencies(batches, specials):
         return pa.RecordBatch.from_pydict({"pre": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in strings(batch.column(0)):
             counts.update(split(text or ""))
             if len(counts) > FLUSH:
                 yield out()
@@ -94,7 +94,7 @@ def _known_part(batches, head, specials):
     split, pieces = splitter(specials), head.value
     for batch in batches:
         sums, rest = [], []
-        for text in batch.column(1).to_pylist():
+        for text in strings(batch.column(1)):
             total, rare = 0, {}
             for pre in split(text or ""):
                 n = pieces.get(pre)
