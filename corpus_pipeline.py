@@ -16,38 +16,55 @@ from textloom.llm.common import saved, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _kept(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among ``doc_ids`` (a null id is an id here), with the columns of documents."""
-    ids = doc_ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go; rows without an id go if one of them is rejected."""
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return _kept(docs, scored.groupBy("doc_id").agg(F.max("score").alias("score")).filter(F.col("score") < toxicity.THRESHOLD))
+    """Rows that the toxicity classifier rejects go, each judged by its own text.
+
+    Null and empty texts are clean; repeated rows share their fate; a table
+    without rows stays one; other columns than those of documents are dropped.
+    """
+    scored = toxicity.with_score(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), F.lit(True))
+    return scored.filter(F.col("toxicity_score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id stays, once; rows without an id all stay."""
+    """Of each class of near copies the document with the least id stays, once.
+
+    Rows without an id all stay, as do documents without text; of rows that
+    share an id one stays; a table without rows stays one; other columns than
+    those of documents are dropped.
+    """
     found = jaccard_join.near_duplicates(docs)
-    named = _kept(docs.filter("doc_id is not null"), found.filter("doc_id = class_id")).dropDuplicates(["doc_id"])
+    least = found.filter("doc_id = class_id").select("doc_id")
+    named = docs.filter("doc_id is not null").select(*COLUMNS).join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by the benchmark go."""
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _kept(docs, judged.groupBy("doc_id").agg(F.max("contaminated").alias("bad")).filter("not bad"))
+    """Rows contaminated by the benchmark go, each judged by its own text.
+
+    Null and empty texts are clean; repeated rows share their fate; a table
+    without rows stays one; other columns than those of documents are dropped.
+    """
+    judged = decontaminate.hits(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return judged.filter(~decontaminate.contaminated()).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; every document stays."""
-    return secrets.redacted(docs, secrets.scan(docs)).select(*COLUMNS)
+    """Secrets are replaced in the texts; every row stays.
+
+    Null and empty texts have none; rows of one id share their secrets, rows
+    without an id too; a table without rows stays one; other columns than those
+    of documents are dropped.
+    """
+    return secrets.redacted(docs.select(*COLUMNS), secrets.scan(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, placed in training sequences."""
+    """The pieces of what is left, placed in training sequences.
+
+    A null or empty text is one piece, its end; repeated rows are each packed; a
+    table without rows gives no pieces; other columns are ignored.
+    """
     return packing.pack(docs)
 
 
