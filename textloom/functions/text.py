@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+#: Fixed value: Unicode white space with the separators U+001C to U+001F, for the inside of a character class.
+WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 #: The default English stop words of vocabulary reports.  A longer list can be passed.
 STOPWORDS = """a about above after again against all almost along already also although always am among an and another any anyone anything are
@@ -19,15 +25,20 @@ thus to together too toward under until up upon us very was we well were what wh
 with within without would yet you your yours yourself yourselves""".split()
 
 
-def word_count(text: Column | str) -> Column:
-    """Whitespace-separated words; Unicode white space; null is 0."""
+def strip(text: Column | str) -> Column:
+    """Without the white space at both ends."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.size(F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0))), F.lit(0)).cast("long")
+    return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
+
+
+def word_count(text: Column | str) -> Column:
+    """Words between Unicode white space; null is 0."""
+    return F.coalesce(F.size(words(text)), F.lit(0)).cast("long")
 
 
 def words(text: Column | str) -> Column:
     c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(f"[^{WS}]+"), F.lit(0))
 
 
 def tokens(text: Column | str) -> Column:
@@ -42,7 +53,8 @@ def content_tokens(text: Column | str, stopwords: list[str] = STOPWORDS) -> Colu
 
 
 def sentences(text: Column) -> Column:
-    return F.split(text, r"(?<=[.!?])\s+")
+    """Sentences of a text without white space at its ends; none is empty."""
+    return F.filter(F.split(text, rf"(?<=[.!?])[{WS}]+"), lambda s: s != "")
 
 
 def word_shingles(text: Column, k: int = 8) -> Column:
@@ -97,19 +109,41 @@ def item_key(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts))), 1, 10)
 
 
-def slug(text: Column, default: str = "item", size: int = 40) -> Column:
-    """Accents dropped by a fixed table of Latin letters, other runs to underscores, lower case, cut."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    s = F.substring(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, size)
-    return F.when(s == "", F.lit(default)).otherwise(s)
+def slug(text: Column, default: str = "query", size: int = 40) -> Column:
+    """ASCII letters and digits of the decomposed text, other runs as underscores, cut to ``size``; case is kept.
+
+    Spark has no decomposition, so text goes through one Arrow batch function.
+    """
+
+    @F.pandas_udf(StringType())
+    def decomposed(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode("ascii"))
+
+    s = F.regexp_replace(F.regexp_replace(decomposed(text), "[^A-Za-z0-9]+", "_"), r"\A_+|_+\z", "")
+    return F.substring(F.when(s == "", F.lit(default)).otherwise(s), 1, size)
 
 
 def clean_metadata(value: Column) -> Column:
     """Trimmed; empty is null."""
-    v = F.trim(value)
+    v = strip(value)
     return F.when(v != "", v)
 
 
+def clean_date(value: Column) -> Column:
+    """A trimmed value that begins with a valid YYYY-MM-DD, whole; empty is null, another value an error."""
+    v = clean_metadata(value)
+    good = F.substring(v, 1, 10).rlike(r"\A\d{4}-\d{2}-\d{2}\z") & F.substring(v, 1, 10).try_cast("date").isNotNull()
+    return F.when(v.isNull() | good, v).otherwise(F.raise_error(F.concat(F.lit("publish_date must start with a date as YYYY-MM-DD: "), v)).cast("string"))
+
+
+def clean_duration(value: Column) -> Column:
+    """A trimmed number of 0 or more, whole ones without a point; empty is null, another value an error."""
+    v = clean_metadata(value)
+    n = v.try_cast("double")
+    text = F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
+    return F.when(v.isNull(), F.lit(None).cast("string")).when(n >= 0, text).otherwise(F.raise_error(F.concat(F.lit("duration_secs must be a number of 0 or more: "), v)).cast("string"))
+
+
 def relabel(label: Column, n: Column, noun: str = "items") -> Column:
     """The label with its count suffix replaced."""
     return F.concat(F.regexp_replace(label, " — \\d+ \\w+$", ""), F.lit(" — "), n.cast("string"), F.lit(f" {noun}"))

@@ -289,55 +289,127 @@ def turns_of_lines(documents: DataFrame) -> DataFrame:
     return lines.withColumn("speaker_name", F.concat(F.lit("S"), (F.floor(F.col("turn_index") / 3) % 2).cast("string"))).withColumn("content", F.when(F.col("turn_index") % 11 == 10, "").otherwise(F.col("content")))
 
 
+#: What a block keeps of its first turn.
+META = {"speaker_id": "string", "speaker_role": "string", "depth": "int", "timestamp": "string"}
+_BLOCK = "struct<speaker:string,speaker_id:string,speaker_role:string,depth:int,timestamp:string,text:string,n:int,turns:array<int>>"
+
+
 def merged_turns(turns: DataFrame) -> DataFrame:
     """Blocks of turns: blank turns go, and a turn joins the block before it if the
-    speaker is the same (null equals null) and that block has fewer than ``SHORT`` words."""
-    row = F.struct("turn_index", "speaker_name", F.col("content").alias("text"), T.word_count("content").cast("int").alias("n"))
-    d = turns.filter(F.trim(F.coalesce("content", F.lit(""))) != "").groupBy("item_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    block = "struct<speaker:string,text:string,n:int,turns:array<int>>"
-    fold = f"""aggregate(turns, cast(array() as array<{block}>), (acc, t) ->
-        case when size(acc) > 0 and acc[size(acc) - 1].speaker <=> t.speaker_name and acc[size(acc) - 1].n < {SHORT}
-        then concat(slice(acc, 1, size(acc) - 1), array(named_struct('speaker', t.speaker_name, 'text', acc[size(acc) - 1].text || ' ' || trim(t.text), 'n', acc[size(acc) - 1].n + t.n, 'turns', concat(acc[size(acc) - 1].turns, array(int(t.turn_index))))))
-        else concat(acc, array(named_struct('speaker', t.speaker_name, 'text', trim(t.text), 'n', t.n, 'turns', array(int(t.turn_index))))) end)"""
+    speaker is the same (null equals null) and that block has fewer than ``SHORT`` words.
+
+    One fold over an item's turns.  Only the open block is built up; closed ones
+    are pushed to a short list, and full lists to a list of lists, so the work
+    grows with the number of turns.
+    """
+    have = {c: F.col(c).cast(t) if c in turns.columns else F.lit(None).cast(t) for c, t in META.items()}
+    row = F.struct(F.col("turn_index").cast("int").alias("turn_index"), F.col("speaker_name").alias("speaker"), *(v.alias(c) for c, v in have.items()), "text", T.word_count("text").cast("int").alias("n"))
+    d = turns.withColumn("text", T.strip(F.coalesce("content", F.lit("")))).filter("text <> ''").groupBy("item_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    new = "named_struct('speaker', t.speaker, " + ", ".join(f"'{c}', t.{c}" for c in META) + ", 'text', t.text, 'n', t.n, 'turns', array(t.turn_index))"
+    grown = "named_struct('speaker', a.open.speaker, " + ", ".join(f"'{c}', a.open.{c}" for c in META) + ", 'text', a.open.text || ' ' || t.text, 'n', a.open.n + t.n, 'turns', concat(a.open.turns, array(t.turn_index)))"
+    acc = lambda lists, now, block: f"named_struct('lists', {lists}, 'now', {now}, 'open', cast({block} as {_BLOCK}))"
+    fold = f"""aggregate(turns, {acc(f"cast(array() as array<array<{_BLOCK}>>)", f"cast(array() as array<{_BLOCK}>)", "null")}, (a, t) ->
+        case when a.open is null then {acc("a.lists", "a.now", new)}
+             when a.open.speaker <=> t.speaker and a.open.n < {SHORT} then {acc("a.lists", "a.now", grown)}
+             when size(a.now) >= 128 then {acc("concat(a.lists, array(a.now))", "array(a.open)", new)}
+             else {acc("a.lists", "concat(a.now, array(a.open))", new)} end,
+        a -> concat(flatten(a.lists), a.now, array(a.open)))"""
     return d.select("item_id", F.expr(fold).alias("blocks"))
 
 
 def pieces(text: Column, n: Column) -> Column:
-    """A block over ``LONG`` words cut into whole sentences of up to ``TARGET`` words together."""
-    start = "named_struct('done', cast(array() as array<string>), 'now', '', 'n', 0)"
-    words = "size(regexp_extract_all(x, '(?U)\\\\S+', 0))"
-    step = f"""case when a.n > 0 and a.n + {words} > {TARGET} then named_struct('done', concat(a.done, array(a.now)), 'now', x, 'n', {words})
-               else named_struct('done', a.done, 'now', case when a.now = '' then x else a.now || ' ' || x end, 'n', a.n + {words}) end"""
-    cut = F.expr(f"aggregate(s, {start}, (a, x) -> {step}, a -> case when a.now = '' then a.done else concat(a.done, array(a.now)) end)")
-    return F.when(n > LONG, cut).otherwise(F.array(text))
+    """A block over ``LONG`` words cut into whole sentences of up to ``TARGET`` words together.
+
+    Sentences are numbered by piece in one fold over their word counts, and a
+    piece's text is a slice of the sentences.
+    """
+    size = f"size(regexp_extract_all(x, '[^{T.WS}]+', 0))".replace("\\", "\\\\")
+    # Pieces as (first sentence, number of sentences, words).
+    one = "struct<at:int,k:int,n:int>"
+    step = f"""case when a.n > 0 and a.n + {size} > {TARGET} then named_struct('done', concat(a.done, array(cast(named_struct('at', a.at, 'k', a.k, 'n', a.n) as {one}))), 'at', a.at + a.k, 'k', 1, 'n', {size})
+               else named_struct('done', a.done, 'at', a.at, 'k', a.k + 1, 'n', a.n + {size}) end"""
+    cut = F.expr(f"aggregate(s, named_struct('done', cast(array() as array<{one}>), 'at', 1, 'k', 0, 'n', 0), (a, x) -> {step}, a -> concat(a.done, array(cast(named_struct('at', a.at, 'k', a.k, 'n', a.n) as {one}))))")
+    texts = F.transform(cut, lambda p: F.array_join(F.slice("s", p["at"], p["k"]), " "))
+    return F.when(n > LONG, texts).otherwise(F.array(text))
 
 
 def segmented(turns: DataFrame) -> DataFrame:
     """Segments with stable ids: blocks of turns, the long ones cut at sentences."""
     b = merged_turns(turns).select("item_id", F.posexplode("blocks").alias("block", "b"))
     b = b.select("item_id", "block", "b.*").withColumn("s", T.sentences(F.col("text")))
-    p = b.select("item_id", "block", "speaker", "turns", F.posexplode(pieces(F.col("text"), F.col("n"))).alias("part", "text"))
+    p = b.select("item_id", "block", "speaker", *META, "turns", F.posexplode(pieces(F.col("text"), F.col("n"))).alias("part", "text"))
     index = F.row_number().over(Window.partitionBy("item_id").orderBy("block", "part")) - 1
-    return p.withColumn("seg_index", index).select(T.segment_id(F.col("item_id"), F.col("seg_index")).alias("segment_id"), "item_id", "seg_index", "speaker", "text", T.word_count("text").alias("word_count"), "turns")
+    return p.withColumn("seg_index", index).select(T.segment_id(F.col("item_id"), F.col("seg_index")).alias("segment_id"), "item_id", "seg_index", "speaker", *META, "text", T.word_count("text").alias("word_count"), "turns")
+
+
+def segment_all(items: DataFrame) -> DataFrame:
+    """Segments of every item of every dataset, from their nested turns, with the item's names (a batch for an upsert)."""
+    turns = items.select("item_id", F.posexplode("turns").alias("turn_index", "t")).select("item_id", "turn_index", "t.*")
+    names = items.select("item_id", "dataset_id", "group_name", "person_name")
+    return segmented(turns).withColumnRenamed("speaker", "speaker_name").join(names, "item_id")
+
+
+def _strip(c: str) -> str:
+    return rf"regexp_replace({c}, '\A[{T.WS}]+|[{T.WS}]+\z', '', 'g')"
+
 
+def _words(c: str) -> str:
+    return f"len(regexp_extract_all({c}, '[^{T.WS}]+'))"
 
-_FOLD = r"""t as (select item_id, k, speaker, content, n, row_number() over (partition by item_id order by k) as i from (select doc_id::varchar as item_id, k - 1 as k, 'S' || (((k - 1) // 3) % 2)::varchar as speaker, trim(content) as content,
-      len(regexp_extract_all(content, '[^\s\x{00a0}\x{0b}\x{85}]+')) as n from (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as k from documents) where (k - 1) % 11 <> 10 and trim(content) <> '')),
+
+def segments_sql(turns: str) -> str:
+    """DuckDB CTEs from turns (item_id, k, speaker, content) to blocks ``b`` and segments ``seg``, turn by turn and sentence by sentence."""
+    return rf"""t as (select item_id, k, speaker, {_strip("content")} as content, {_words("content")} as n, row_number() over (partition by item_id order by k) as i from ({turns}) where {_strip("content")} <> ''),
     f as (select item_id, i, 0 as block, n as total, speaker from t where i = 1 union all
-      select t.item_id, t.i, case when t.speaker = f.speaker and f.total < 20 then f.block else f.block + 1 end, case when t.speaker = f.speaker and f.total < 20 then f.total + t.n else t.n end, t.speaker from f join t on t.item_id = f.item_id and t.i = f.i + 1)"""
+      select t.item_id, t.i, case when t.speaker is not distinct from f.speaker and f.total < {SHORT} then f.block else f.block + 1 end, case when t.speaker is not distinct from f.speaker and f.total < {SHORT} then f.total + t.n else t.n end, t.speaker from f join t on t.item_id = f.item_id and t.i = f.i + 1),
+    b as (select item_id, block, max(total) as n, any_value(f.speaker) as speaker, string_agg(content, ' ' order by t.i) as text, string_agg(k::varchar, ';' order by t.i) as turns from f join t using (item_id, i) group by 1, 2),
+    l as (select item_id, block, list_filter(string_split(regexp_replace(text, '([.!?])[{T.WS}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as s from b where n > {LONG}),
+    sn as (select item_id, block, j, s[j] as s, {_words("s[j]")} as n from l, unnest(range(1, len(s) + 1)) u(j)),
+    g as (select item_id, block, j, 0 as part, n as total from sn where j = 1 union all
+      select sn.item_id, sn.block, sn.j, case when g.total + sn.n > {TARGET} then g.part + 1 else g.part end, case when g.total + sn.n > {TARGET} then sn.n else g.total + sn.n end from g join sn on sn.item_id = g.item_id and sn.block = g.block and sn.j = g.j + 1),
+    p as (select item_id, block, part, string_agg(s, ' ' order by j) as text from g join sn using (item_id, block, j) group by 1, 2, 3 union all select item_id, block, 0, text from b where n <= {LONG}),
+    seg as (select item_id, row_number() over (partition by item_id order by block, part) - 1 as seg_index, speaker, p.text, turns from p join b using (item_id, block))"""
+
+
+_LINES = """select doc_id::varchar as item_id, k - 1 as k, 'S' || (((k - 1) // 3) % 2)::varchar as speaker, case when (k - 1) % 11 = 10 then '' else content end as content
+    from (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as k from documents)"""
+_TURNS = "select item_id, turn_index as k, speaker_name as speaker, content from turns"
+_SEG = f"select item_id || ':' || printf('%04d', seg_index) as segment_id, item_id, seg_index::bigint as seg_index, speaker, text, {_words('text')}::bigint as word_count, turns from seg"
+_SEG_COLUMNS = ("segment_id", "item_id", "seg_index", "speaker", "text", "word_count")
 
 
-@query("b1_merge", "documents", oracle=f"with recursive {_FOLD} select item_id, block::bigint as block, max(total)::bigint as n, string_agg(content, ' ' order by t.i) as text, string_agg(k::varchar, ';' order by t.i) as turns from f join t using (item_id, i) group by 1, 2")
+@query("b1_merge", "documents", oracle=f"with recursive {segments_sql(_LINES)} select item_id, block::bigint as block, n::bigint as n, text, turns from b")
 def q_merge(documents):
     b = merged_turns(turns_of_lines(documents)).select("item_id", F.posexplode("blocks").alias("block", "b"))
     return b.select("item_id", F.col("block").cast("long").alias("block"), F.col("b.n").cast("long").alias("n"), F.col("b.text").alias("text"), F.array_join(F.col("b.turns").cast("array<string>"), ";").alias("turns"))
 
 
-@query("b3_segments", "documents")
+def _flat(segments: DataFrame) -> DataFrame:
+    return segments.withColumn("seg_index", F.col("seg_index").cast("long")).select(*_SEG_COLUMNS, F.array_join(F.col("turns").cast("array<string>"), ";").alias("turns"))
+
+
+@query("b3_segments", "documents", oracle=f"with recursive {segments_sql(_LINES)} {_SEG}")
 def q_segments(documents):
-    return segmented(turns_of_lines(documents)).withColumn("turns", F.array_join(F.col("turns").cast("array<string>"), ";"))
+    return _flat(segmented(turns_of_lines(documents)))
 
 
-@query("b3_conversation_segments", "turns")
+@query("b3_conversation_segments", "turns", oracle=f"with recursive {segments_sql(_TURNS)} {_SEG}")
 def q_conversation_segments(turns):
-    return segmented(turns).withColumn("turns", F.array_join(F.col("turns").cast("array<string>"), ";"))
+    return _flat(segmented(turns))
+
+
+@query("b4_turn_indices", "documents", oracle=f"with recursive {segments_sql(_LINES)} select item_id || ':' || printf('%04d', seg_index) as segment_id, unnest(string_split(turns, ';'))::bigint as turn_index from seg")
+def q_turn_indices(documents):
+    """The turns that each segment was made of, by their places among all turns."""
+    return segmented(turns_of_lines(documents)).select("segment_id", F.explode(F.col("turns").cast("array<bigint>")).alias("turn_index"))
+
+
+@query("b5_batch_segments", "items", oracle=rf"""with recursive src as (select * from items), {segments_sql("select item_id, k - 1 as k, 'S' || ((k - 1) % 2)::varchar as speaker, content from (select item_id, unnest(string_split(transcript_text, '. ')) as content, generate_subscripts(string_split(transcript_text, '. '), 1) as k from src)")}
+    select s.item_id || ':' || printf('%04d', seg_index) as segment_id, i.dataset_id, i.group_name, i.person_name, speaker as speaker_name, case when speaker = 'S0' then 'interviewer' else 'subject' end as speaker_role, {_words('s.text')}::bigint as word_count from seg s join src i using (item_id)""")
+def q_batch_segments(items):
+    """All items of all datasets; their turns are the sentences of the transcript, by two speakers in turn."""
+    said = F.transform(
+        F.split("transcript_text", r"\. "),
+        lambda c, i: F.struct(F.concat(F.lit("S"), (i % 2).cast("string")).alias("speaker_name"), F.lit(None).cast("string").alias("speaker_id"), F.when(i % 2 == 0, "interviewer").otherwise("subject").alias("speaker_role"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("timestamp"), c.alias("content")),
+    )
+    return segment_all(items.withColumn("turns", said)).select("segment_id", "dataset_id", "group_name", "person_name", "speaker_name", "speaker_role", "word_count")

@@ -7,23 +7,20 @@ from pyspark.sql import functions as F
 
 from textloom.registry import query
 
-#: Deepest theme tree that the closure walks; cycles end there.
-MAX_DEPTH = 50
-
 
 def closure(themes: DataFrame) -> DataFrame:
-    """(ancestor, descendant, dist) of every theme with itself and those above it, any status.
+    """(ancestor, descendant, dist) of every theme with itself and those above it, any status, however deep.
 
-    The theme table is a codebook, hundreds of rows; each step is a join on the parent.
+    A path that comes back to a theme ends there, so cycles end too.  The theme
+    table is a codebook, hundreds of rows; each step is a join on the parent.
     """
-    step = themes.select(F.col("theme_id").alias("ancestor"), F.col("theme_id").alias("descendant"), F.lit(0).alias("dist"))
+    step = themes.select(F.col("theme_id").alias("ancestor"), F.col("theme_id").alias("descendant"), F.array("theme_id").alias("seen"))
     parents = themes.filter(F.col("parent_theme_id").isNotNull()).select(F.col("theme_id").alias("child"), F.col("parent_theme_id").alias("parent"))
-    spark = themes.sparkSession
-    return spark.sql(
-        f"""with recursive up(ancestor, descendant, dist) as (
-              select ancestor, descendant, dist from {{base}}
-              union all select p.parent, u.descendant, u.dist + 1 from up u join {{parents}} p on p.child = u.ancestor where u.dist < {MAX_DEPTH})
-            select ancestor, descendant, min(dist) as dist from up group by ancestor, descendant""",
+    return themes.sparkSession.sql(
+        """with recursive up(ancestor, descendant, seen) max recursion level 1000000 as (
+             select ancestor, descendant, seen from {base}
+             union all select p.parent, u.descendant, concat(u.seen, array(p.parent)) from up u join {parents} p on p.child = u.ancestor where not array_contains(u.seen, p.parent))
+           select ancestor, descendant, min(size(seen) - 1) as dist from up group by ancestor, descendant""",
         base=step,
         parents=parents,
     )
@@ -169,11 +166,74 @@ def label_state(codes, negatives):
     return e.groupBy(*key).agg(F.max_by("kind", F.struct("at", "seq")).alias("state"), F.count("*").alias("n"))
 
 
-@query("d11_merge_themes", "codes", oracle="""select min(code_id) as code_id, segment_id, case theme_id when 's__mild' then 's__toxic' else theme_id end as theme_id, coder from codes where deleted_at is null group by 2, 3, 4""")
-def merge_themes(codes, source: str = "s__mild", target: str = "s__toxic"):
-    """Active codes after a merge: re-pointed, of doubles the oldest stays."""
-    moved = active(codes).withColumn("theme_id", F.when(F.col("theme_id") == source, target).otherwise(F.col("theme_id")))
-    return moved.groupBy("segment_id", "theme_id", "coder").agg(F.min("code_id").alias("code_id"))
+def merge_themes(codes, negatives, themes, source: str, target: str, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables after ``source`` was merged into ``target``.
+
+    Codes are re-pointed in place; of one segment and coder the target's own
+    code stays and the other is deleted.  Where a coder then has the target
+    coded, rejections of it are deleted; other rejections move like codes, and
+    one that the target had deleted comes back with the moved one's provenance.
+    The source is archived and names the target.
+    """
+    who = ["segment_id", "coder"]
+    gone = F.lit(now)
+    theme = F.col("theme_id")
+    coded = active(codes).filter(theme == target).select(*who, F.lit(True).alias("has")).distinct()
+    c = codes.join(coded, who, "left")
+    moving = (theme == source) & F.col("deleted_at").isNull()
+    # Two active source codes of one coder can't both move: the older one does.
+    first = active(codes).filter(theme == source).groupBy(*who).agg(F.min("code_id").alias("first"))
+    c = c.join(first, who, "left")
+    stays = moving & (F.col("has").isNotNull() | (F.col("code_id") != F.col("first")))
+    new_codes = c.withColumn("theme_id", F.when(moving & ~stays, target).otherwise(theme)).withColumn("deleted_at", F.when(stays, gone).otherwise(F.col("deleted_at"))).select(*codes.columns)
+    coded_now = active(new_codes).filter(theme == target).select(*who, F.lit(True).alias("coded")).distinct()
+    own = negatives.filter(theme == target).select(*who, F.col("negative_id").alias("own_id"), F.col("deleted_at").alias("own_deleted"))
+    incoming = active(negatives).filter(theme == source).select(*who, F.col("negative_id").alias("new_id"), F.col("created_at").alias("new_created"))
+    n = negatives.join(coded_now, who, "left").join(own, who, "left").join(incoming, who, "left")
+    moving = (theme == source) & F.col("deleted_at").isNull()
+    back = (theme == target) & F.col("deleted_at").isNotNull() & F.col("new_id").isNotNull() & F.col("coded").isNull()
+    drops = moving & (F.col("coded").isNotNull() | F.col("own_id").isNotNull())
+    cancelled = (theme == target) & F.col("deleted_at").isNull() & F.col("coded").isNotNull()
+    new_negatives = n.withColumns(
+        {
+            "created_at": F.when(back, F.col("new_created")).otherwise(F.col("created_at")),
+            "deleted_at": F.when(drops | cancelled, gone).when(back, F.lit(None)).otherwise(F.col("deleted_at")),
+            "theme_id": F.when(moving & ~drops, target).otherwise(theme),
+        }
+    ).select(*negatives.columns)
+    is_source = theme == source
+    new_themes = themes.withColumn("merged_into", F.when(is_source, target).otherwise(F.col("merged_into") if "merged_into" in themes.columns else F.lit(None))).withColumn("status", F.when(is_source, "archived").otherwise(F.col("status")))
+    return new_codes, new_negatives, new_themes
+
+
+_MERGE = """tc as (select distinct segment_id, coder from codes where theme_id = 's__toxic' and deleted_at is null), sc as (select segment_id, coder, min(code_id) as first from codes where theme_id = 's__mild' and deleted_at is null group by 1, 2),
+    nc as (select c.*, case when theme_id = 's__mild' and deleted_at is null then case when (segment_id, coder) in (select segment_id, coder from tc) or code_id not in (select first from sc) then 'drop' else 'move' end else 'keep' end as act from codes c),
+    now_coded as (select segment_id, coder from nc where act = 'move' or (theme_id = 's__toxic' and deleted_at is null))"""
+
+
+@query("d11_merge_themes", "codes", "negatives", "themes", oracle=f"with {_MERGE} select code_id, segment_id, case act when 'move' then 's__toxic' else theme_id end as theme_id, coder, case act when 'drop' then '2024-04-01' else deleted_at end as deleted_at from nc")
+def q_merge_codes(codes, negatives, themes):
+    return merge_themes(codes, negatives, themes, "s__mild", "s__toxic", "2024-04-01")[0].select("code_id", "segment_id", "theme_id", "coder", "deleted_at")
+
+
+_BOTH_NEGATIVES = "both_n as (select negative_id, segment_id, theme_id, coder, created_at, deleted_at from negatives union all select negative_id + 1000000000, segment_id, 's__mild', case when doc_id % 3 = 0 then 'coder0' else coder end, '2024-02-09', null from negatives where theme_id = 's__toxic' and doc_id % 4 <> 1)"
+
+
+@query("d11_merge_negatives", "codes", "negatives", "themes", oracle=f"""with {_MERGE}, {_BOTH_NEGATIVES}, tn as (select segment_id, coder, negative_id as own_id, deleted_at as own_deleted from both_n where theme_id = 's__toxic'), sn as (select segment_id, coder, created_at as new_created from both_n where theme_id = 's__mild' and deleted_at is null)
+    select negative_id, case when n.theme_id = 's__mild' and deleted_at is null and own_id is null and not coded then 's__toxic' else n.theme_id end as theme_id,
+      case when n.theme_id = 's__toxic' and deleted_at is not null and new_created is not null and not coded then new_created else created_at end as created_at,
+      case when n.theme_id = 's__mild' and deleted_at is null and (coded or own_id is not null) then '2024-04-01' when n.theme_id = 's__toxic' and deleted_at is null and coded then '2024-04-01' when n.theme_id = 's__toxic' and deleted_at is not null and new_created is not null and not coded then null else deleted_at end as deleted_at
+    from (select b.*, (segment_id, coder) in (select segment_id, coder from now_coded) as coded from both_n b) n left join tn using (segment_id, coder) left join sn using (segment_id, coder)""")
+def q_merge_negatives(codes, negatives, themes):
+    """Rejections after the merge; the source has some on segments that the target has too, by the same and by other coders."""
+    n = negatives.select("negative_id", "segment_id", "theme_id", "coder", "created_at", "deleted_at", "doc_id")
+    own = n.filter("theme_id = 's__toxic' and doc_id % 4 <> 1").select((F.col("negative_id") + 1000000000).alias("negative_id"), "segment_id", F.lit("s__mild").alias("theme_id"), F.when(F.col("doc_id") % 3 == 0, "coder0").otherwise(F.col("coder")).alias("coder"), F.lit("2024-02-09").alias("created_at"), F.lit(None).cast("string").alias("deleted_at"), "doc_id")
+    return merge_themes(codes, n.unionByName(own), themes, "s__mild", "s__toxic", "2024-04-01")[1].select("negative_id", "theme_id", "created_at", "deleted_at")
+
+
+@query("d11_merged_theme", "codes", "negatives", "themes", oracle="select theme_id, case theme_id when 's__mild' then 'archived' else status end as status, case theme_id when 's__mild' then 's__toxic' end as merged_into from themes")
+def q_merge_theme(codes, negatives, themes):
+    return merge_themes(codes, negatives, themes, "s__mild", "s__toxic", "2024-04-01")[2].select("theme_id", "status", "merged_into")
 
 
 @query("d16_mark_status", "item_reviews", oracle="""select dataset_id, item_id, case when read_in_full_confirmed_at is not null then 'confirmed' when recorded_at is null then 'unknown' when recorded_at = marked_at then 'interactive' else 'bulk_unconfirmed' end as status
@@ -222,42 +282,78 @@ def progress_by_group(codes, segments):
     return segments.select("segment_id", "group_name").join(c, "segment_id", "left").groupBy("group_name").agg(F.count("*").alias("total"), F.count_if("is_coded").alias("coded"))
 
 
+@query("a9_progress_totals", "codes", "segments", "themes", oracle="""select count(*)::bigint as segments, count(distinct (dataset_id, item_id))::bigint as items, count(*) filter (segment_id in (select segment_id from codes join themes using (theme_id) where deleted_at is null and scheme_id = 's'))::bigint as coded from segments""")
+def progress_totals(codes, segments, themes, scheme: str = "s"):
+    own = F.broadcast(themes.filter(F.col("scheme_id") == scheme).select("theme_id"))
+    c = active(codes).join(own, "theme_id", "left_semi").select("segment_id").distinct().withColumn("is_coded", F.lit(True))
+    return segments.select("segment_id", "dataset_id", "item_id").join(c, "segment_id", "left").agg(F.count("*").alias("segments"), F.countDistinct("dataset_id", "item_id").alias("items"), F.count_if("is_coded").alias("coded"))
+
+
 @query("a10_roll_up_counts", "codes", "themes", oracle=f"with recursive {_UP}, {_POS} select theme_id, count(*)::bigint as n from pos group by 1")
 def roll_up_counts(codes, themes):
     return positives(codes, closure(themes)).groupBy("theme_id").agg(F.count("*").alias("n"))
 
 
-@query("a11_theme_counts", "codes", "negatives", "segments", "themes", oracle="""select t.theme_id, coalesce(e, 0)::bigint as exemplars, coalesce(g, 0)::bigint as exemplar_groups, coalesce(m, 0)::bigint as near_misses from themes t
-    left join (select theme_id, count(*) as e, count(distinct group_name) as g from codes join segments using (segment_id) where deleted_at is null and is_exemplar group by 1) using (theme_id)
-    left join (select theme_id, count(*) as m from negatives where deleted_at is null and is_near_miss group by 1) using (theme_id)""")
-def theme_counts(codes, negatives, segments, themes):
-    e = active(codes).filter("is_exemplar").join(segments.select("segment_id", "group_name"), "segment_id").groupBy("theme_id").agg(F.count("*").alias("exemplars"), F.countDistinct("group_name").alias("exemplar_groups"))
-    m = active(negatives).filter("is_near_miss").groupBy("theme_id").agg(F.count("*").alias("near_misses"))
-    return themes.select("theme_id").join(e, "theme_id", "left").join(m, "theme_id", "left").na.fill(0)
-
-
-@query("a12_theme_completeness", "themes", "codes", oracle=r"""select theme_id, len(regexp_extract_all(coalesce(description, ''), '\S+')) >= 15 as described, inclusion_criteria is not null and exclusion_criteria is not null as criteria, coalesce(e, 0) >= 3 as exemplified
-    from themes left join (select theme_id, count(*) as e from codes where deleted_at is null and is_exemplar group by 1) using (theme_id)""")
-def theme_completeness(themes, codes, words: int = 15, exemplars: int = 3):
-    from textloom.functions.text import word_count
+_SIX = ("codes", "negatives", "segments", "themes", "item_reviews")
+_COUNTS = f"""{_UP}, {_POS}, ri as (select dataset_id, item_id from item_reviews where scheme_id = 's' and unmarked_at is null qualify row_number() over (partition by dataset_id, item_id order by marked_at desc, review_id desc) = 1 and (read_in_full_confirmed_at is not null or coalesce(recorded_at = marked_at, false))),
+    cn as (select t.theme_id, coalesce(p, 0)::bigint as positives, coalesce(e, 0)::bigint as exemplars, coalesce(g, 0)::bigint as exemplar_groups, coalesce(m, 0)::bigint as near_misses, coalesce(r, 0)::bigint as gold_items from themes t
+      left join (select theme_id, count(*) as p from pos group by 1) using (theme_id)
+      left join (select theme_id, count(*) as e, count(distinct group_name) as g from codes join segments using (segment_id) where deleted_at is null and is_exemplar group by 1) using (theme_id)
+      left join (select theme_id, count(*) as m from negatives where deleted_at is null and is_near_miss group by 1) using (theme_id)
+      left join (select theme_id, count(distinct (dataset_id, item_id)) as r from pos join segments using (segment_id) join ri using (dataset_id, item_id) group by 1) using (theme_id))"""
 
-    e = active(codes).filter("is_exemplar").groupBy("theme_id").agg(F.count("*").alias("e"))
-    criteria = F.col("inclusion_criteria").isNotNull() & F.col("exclusion_criteria").isNotNull()
-    return themes.join(e, "theme_id", "left").select("theme_id", (word_count("description") >= words).alias("described"), criteria.alias("criteria"), (F.coalesce("e", F.lit(0)) >= exemplars).alias("exemplified"))
 
-
-@query("d20_label_sources", "codes", "negatives", "item_reviews", "none_confirmations", "segments", "themes", oracle=f"""with recursive {_UP}, {_POS}, {_REJ}, {_J}, {_NEG}
+@query("a11_theme_counts", *_SIX, oracle=f"with recursive {_COUNTS} select * from cn")
+def theme_counts(codes, negatives, segments, themes, item_reviews):
+    """Of each theme: positives, exemplars and their groups, near misses, and read-in-full items with a positive."""
+    pos = positives(codes, closure(themes))
+    read = mark_status(item_reviews).filter("status in ('confirmed', 'interactive')").select("dataset_id", "item_id")
+    p = pos.groupBy("theme_id").agg(F.count("*").alias("positives"))
+    e = active(codes).filter("is_exemplar").join(segments.select("segment_id", "group_name"), "segment_id").groupBy("theme_id").agg(F.count("*").alias("exemplars"), F.countDistinct("group_name").alias("exemplar_groups"))
+    m = active(negatives).filter("is_near_miss").groupBy("theme_id").agg(F.count("*").alias("near_misses"))
+    g = pos.join(segments.select("segment_id", "dataset_id", "item_id"), "segment_id").join(read, ["dataset_id", "item_id"], "left_semi").groupBy("theme_id").agg(F.countDistinct("dataset_id", "item_id").alias("gold_items"))
+    out = themes.select("theme_id")
+    for d in (p, e, m, g):
+        out = out.join(d, "theme_id", "left")
+    return out.na.fill(0)
+
+
+#: What a complete theme has at least.
+DEFINITION_WORDS, EXEMPLARS, EXEMPLAR_GROUPS, NEAR_MISSES = 15, 3, 2, 2
+
+
+@query("a12_theme_completeness", *_SIX, oracle=rf"""with recursive {_COUNTS}, ch as (select theme_id, len(regexp_extract_all(coalesce(description, ''), '\S+')) >= 15 as definition, coalesce(trim(inclusion_criteria), '') <> '' and coalesce(trim(exclusion_criteria), '') <> '' as criteria, exemplars >= 3 and exemplar_groups >= 2 as exemplars, near_misses >= 2 as near_misses, gold_items >= 1 as gold
+      from themes join cn using (theme_id))
+    select *, (definition::int + criteria::int + exemplars::int + near_misses::int + gold::int)::bigint as score from ch""")
+def theme_completeness(codes, negatives, segments, themes, item_reviews):
+    """Five checks a theme (definition, both criteria, exemplars of several groups, near misses, a positive in a read-in-full item) and how many pass."""
+    from textloom.functions.text import strip, word_count
+
+    filled = lambda c: F.coalesce(strip(c), F.lit("")) != ""
+    d = themes.join(theme_counts(codes, negatives, segments, themes, item_reviews), "theme_id")
+    checks = {
+        "definition": word_count("description") >= DEFINITION_WORDS,
+        "criteria": filled("inclusion_criteria") & filled("exclusion_criteria"),
+        "exemplars": (F.col("exemplars") >= EXEMPLARS) & (F.col("exemplar_groups") >= EXEMPLAR_GROUPS),
+        "near_misses": F.col("near_misses") >= NEAR_MISSES,
+        "gold": F.col("gold_items") >= 1,
+    }
+    score = sum((c.cast("long") for c in checks.values()), F.lit(0))
+    return d.select("theme_id", *(c.alias(k) for k, c in checks.items()), score.alias("score"))
+
+
+@query("d20_label_sources", "codes", "negatives", "item_reviews", "none_confirmations", "segments", "themes", oracle=f"""with recursive {_UP}, {_POS}, {_REJ}, {_JS}, {_NEG}
     select theme_id, segment_id, 'pos' as label, case when (theme_id, segment_id) in (select theme_id, segment_id from codes where deleted_at is null) then 'code' else 'code_rollup' end as source from pos
     union all select n.theme_id, n.segment_id, 'neg', case when (n.theme_id, n.segment_id) in (select theme_id, segment_id from rej) then 'explicit_rejection'
       when (n.theme_id, n.segment_id) in (select t.theme_id, segment_id from none_confirmations join themes t using (scheme_id) where unconfirmed_at is null and confirmed_at >= t.created_at) then 'none_confirmed' else 'read_in_full_uncoded' end from neg n""")
 def label_sources(codes, negatives, item_reviews, none_confirmations, segments, themes):
-    """Where each label comes from; of several reasons the strongest."""
+    """Where each label comes from; of several reasons the strongest.  Only marks known to be read in full make negatives."""
     tree, key = closure(themes), ["theme_id", "segment_id"]
     direct = active(codes).select(*key).distinct().withColumn("direct", F.lit(True))
     pos = positives(codes, tree).join(direct, key, "left").select(*key, F.lit("pos").alias("label"), F.when(F.col("direct"), "code").otherwise("code_rollup").alias("source"))
     rej = rejections(negatives, codes, tree).withColumn("rejected", F.lit(True))
     none = none_confirmations.filter("unconfirmed_at is null").join(themes.select("theme_id", "scheme_id", "created_at"), "scheme_id").filter("confirmed_at >= created_at").select(*key).distinct().withColumn("none", F.lit(True))
-    neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes).join(rej, key, "left").join(none, key, "left")
+    neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes, strict=True).join(rej, key, "left").join(none, key, "left")
     source = F.when(F.col("rejected"), "explicit_rejection").when(F.col("none"), "none_confirmed").otherwise("read_in_full_uncoded")
     return pos.unionByName(neg.select(*key, F.lit("neg").alias("label"), source.alias("source")))
 

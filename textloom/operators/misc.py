@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.corpus import _words, segmented, segments_sql
 from textloom.operators.ranking import engine_of
 from textloom.registry import query
 
@@ -16,14 +17,64 @@ def normalized_bar(items):
     return items.groupBy("person_name").agg(n.alias("documents"), F.round(F.try_divide(F.sum(F.length("transcript_text")), n), 6).alias("per_document"))
 
 
-@query("j9_twins", "codes", "segments", oracle="""with f as (select distinct theme_id, segment_id, person_name, word_count from codes join segments using (segment_id) where deleted_at is null and is_exemplar)
-    select a.theme_id, a.segment_id as a, count(*)::bigint as n from f a join f b on a.theme_id = b.theme_id and a.person_name = b.person_name and a.word_count = b.word_count and a.segment_id < b.segment_id group by 1, 2""")
-def twins(codes, segments):
-    """Flagged examples of one theme and person that look alike (same length), as counts per example."""
-    f = codes.filter("deleted_at is null and is_exemplar").select("theme_id", "segment_id").distinct().join(segments.select("segment_id", "person_name", "word_count"), "segment_id").filter("word_count is not null")
-    w = Window.partitionBy("theme_id", "person_name", "word_count").orderBy("segment_id")
-    k = F.count("*").over(Window.partitionBy("theme_id", "person_name", "word_count")) - F.row_number().over(w)
-    return f.withColumn("n", k).filter("n > 0").select("theme_id", F.col("segment_id").alias("a"), "n")
+TWIN_JACCARD = 0.5
+
+
+def twin_pairs(flagged: DataFrame, clusters: DataFrame, least: float = TWIN_JACCARD) -> DataFrame:
+    """Pairs (theme_id, a, b, similarity) of flagged passages that look like one: of one
+    person, or of items in one duplicate cluster, with word sets alike.
+
+    ``flagged``: theme_id, segment_id, item_id, dataset_id, person_name, text; ``clusters``:
+    dataset_id, item_id, cluster_id.  Flags are set by hand, so a theme has few.
+    """
+    f = flagged.dropDuplicates(["theme_id", "segment_id"]).select("theme_id", "segment_id", "dataset_id", "item_id", F.nullif("person_name", F.lit("")).alias("person"), T.word_set(F.coalesce("text", F.lit(""))).alias("words"))
+    c = clusters.select("dataset_id", "item_id", "cluster_id").dropDuplicates(["dataset_id", "item_id"])
+    f = f.join(c, ["dataset_id", "item_id"], "left").select("theme_id", "segment_id", "person", "cluster_id", "words")
+    a = f.select("theme_id", "person", "cluster_id", F.col("segment_id").alias("a"), F.col("words").alias("x"))
+    b = f.select("theme_id", "person", "cluster_id", F.col("segment_id").alias("b"), F.col("words").alias("y"))
+    by = lambda key: a.drop({"person": "cluster_id", "cluster_id": "person"}[key]).join(b.drop({"person": "cluster_id", "cluster_id": "person"}[key]), ["theme_id", key]).filter("a < b").drop(key)
+    pairs = by("person").unionByName(by("cluster_id")).withColumn("similarity", F.coalesce(T.jaccard(F.col("x"), F.col("y")), F.lit(0.0)))
+    return pairs.filter(F.col("similarity") >= least).select("theme_id", "a", "b", "similarity").distinct()
+
+
+def flagged_rows(codes, negatives, segments, kind: str) -> DataFrame:
+    """Active flagged rows of a kind (exemplar, near_miss), one a segment and theme, the oldest, with the segment's columns."""
+    table, flag, number = {"exemplar": (codes, "is_exemplar", "code_id"), "near_miss": (negatives, "is_near_miss", "negative_id")}[kind]
+    oldest = table.filter(F.col("deleted_at").isNull() & F.col(flag)).groupBy("theme_id", "segment_id").agg(F.min(number).alias("flag_id"))
+    return oldest.join(segments.select("segment_id", "dataset_id", "item_id", "group_name", "person_name", "speaker_role", "text"), "segment_id")
+
+
+_CLUSTERS = "clu as (select dataset_id, item_id, any_value(canonical_id) as cluster_id from auto_duplicates group by 1, 2)"
+_FLAGGED = "fl as (select c.theme_id, c.segment_id, min(c.code_id) as flag_id, any_value(person_name) as person_name, any_value(cluster_id) as cluster_id, any_value(list_distinct(regexp_extract_all(lower(text), '[a-z'']+'))) as w from codes c join segments using (segment_id) left join clu using (dataset_id, item_id) where deleted_at is null and is_exemplar group by 1, 2)"
+_TWINS = """tw as (select a.theme_id, a.segment_id as a, b.segment_id as b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double as similarity from fl a join fl b on a.theme_id = b.theme_id and a.segment_id < b.segment_id
+      and ((a.person_name <> '' and a.person_name = b.person_name) or a.cluster_id = b.cluster_id) where len(list_intersect(a.w, b.w)) / greatest(1, len(list_distinct(list_concat(a.w, b.w))))::double >= 0.5)"""
+
+
+@query("j9_twins", "codes", "negatives", "segments", "auto_duplicates", oracle=f"with {_CLUSTERS}, {_FLAGGED}, {_TWINS} select theme_id, a, b, round(similarity, 6) as similarity from tw")
+def twins(codes, negatives, segments, auto_duplicates):
+    clusters = auto_duplicates.select("dataset_id", "item_id", F.col("canonical_id").alias("cluster_id"))
+    return twin_pairs(flagged_rows(codes, negatives, segments, "exemplar"), clusters).withColumn("similarity", F.round("similarity", 6))
+
+
+def twin_groups(flagged: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(theme_id, segment_id, kept) of every flagged passage that has a twin: twins of twins are one group, and its oldest flag is kept."""
+    from textloom.plans.graph import components
+
+    ids = flagged.select("theme_id", "segment_id", F.col("flag_id").cast("long").alias("id"))
+    one = ids.withColumnsRenamed({"segment_id": "a", "id": "u"})
+    both = pairs.join(one, ["theme_id", "a"]).join(ids.withColumnsRenamed({"segment_id": "b", "id": "v"}), ["theme_id", "b"])
+    roots = components(both.select("u", "v"))
+    kept = ids.select(F.col("id").alias("root"), F.col("segment_id").alias("kept"))
+    return roots.join(ids.withColumnRenamed("id", "node"), "node").join(kept, "root").select("theme_id", "segment_id", "kept")
+
+
+@query("d22_twin_collapse", "codes", "negatives", "segments", "auto_duplicates", oracle=f"""with recursive {_CLUSTERS}, {_FLAGGED}, {_TWINS}, ed as (select theme_id, a as x, b as y from tw union all select theme_id, b, a from tw),
+    re as (select distinct theme_id, x, x as y from ed union select r.theme_id, r.x, e.y from re r join ed e on e.theme_id = r.theme_id and e.x = r.y)
+    select r.theme_id, x as segment_id, arg_min(y, flag_id) as kept from re r join fl on fl.theme_id = r.theme_id and fl.segment_id = y group by 1, 2""")
+def twin_collapse(codes, negatives, segments, auto_duplicates):
+    flagged = flagged_rows(codes, negatives, segments, "exemplar")
+    clusters = auto_duplicates.select("dataset_id", "item_id", F.col("canonical_id").alias("cluster_id"))
+    return twin_groups(flagged, twin_pairs(flagged, clusters))
 
 
 @query("f10_current_decisions", "decisions", oracle="select segment_id, theme_id, arg_max(decision, decision_id) as decision from decisions where undone_at is null group by 1, 2")
@@ -110,14 +161,23 @@ def log_summary(activity):
     return activity.select("log_id", F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" "), "actor", F.lit(": "), said).alias("summary"))
 
 
-@query("x5_slug", "items", oracle=r"select item_id, regexp_replace(regexp_replace(lower(item_title || ' / ' || group_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as slug from items")
+@query("x5_slug", "items", oracle=r"select item_id, coalesce(nullif(regexp_replace(regexp_replace(strip_accents(item_title || ' / É ' || group_name), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'query')[1:40] as slug from items")
 def slugs(items):
-    return items.select("item_id", T.slug(F.concat("item_title", F.lit(" / "), "group_name")).alias("slug"))
+    return items.select("item_id", T.slug(F.concat("item_title", F.lit(" / É "), "group_name")).alias("slug"))
 
 
-@query("x16_metadata", "items", oracle="select item_id, nullif(trim('  ' || coalesce(like_count, '') || ' '), '') as likes from items")
+@query("x16_metadata", "items", oracle=r"""select item_id, nullif(trim('  ' || coalesce(like_count, '') || ' '), '') as likes, case when doc_id % 7 = 0 then null else publish_date || 'T10:00' end as published,
+    case when doc_id % 5 = 0 then null when doc_id % 2 = 0 then (doc_id // 2)::varchar else (doc_id // 2)::varchar || '.5' end as duration from items""")
 def cleaned_metadata(items):
-    return items.select("item_id", T.clean_metadata(F.concat(F.lit("  "), F.coalesce("like_count", F.lit("")), F.lit(" "))).alias("likes"))
+    """Submitted values cleaned: counts trimmed, dates checked, durations as numbers."""
+    half = F.concat(F.lit(" "), (F.col("doc_id") / 2).cast("string"), F.lit("\t"))
+    day = F.concat(F.lit(" "), "publish_date", F.lit("T10:00 "))
+    return items.select(
+        "item_id",
+        T.clean_metadata(F.concat(F.lit("  "), F.coalesce("like_count", F.lit("")), F.lit(" "))).alias("likes"),
+        T.clean_date(F.when(F.col("doc_id") % 7 != 0, day).otherwise(" \n")).alias("published"),
+        T.clean_duration(F.when(F.col("doc_id") % 5 != 0, half)).alias("duration"),
+    )
 
 
 @query("x22_shared_examples", "codes", oracle="select segment_id, count(distinct theme_id)::bigint as n from codes where deleted_at is null group by 1 having count(distinct theme_id) > 1")
@@ -136,21 +196,13 @@ def engines(model_runs):
     return model_runs.select("model_version", "theme_id", engine_of().alias("engine"))
 
 
-@query("a30_segment_info", "turns", oracle="select item_id, bool_and(speaker_role = 'subject') as all_answers, arg_min(content, turn_index) as first_text, count(*)::bigint as turns from turns group by 1")
+@query("a30_segment_info", "turns", oracle=rf"""with recursive {segments_sql("select item_id, turn_index as k, speaker_name as speaker, content from turns")}, m as (select item_id || ':' || printf('%04d', seg_index) as segment_id, item_id, text, unnest(string_split(turns, ';'))::bigint as turn_index from seg)
+    select segment_id, bool_and(coalesce(speaker_role = 'subject', false)) as all_answers, any_value(m.item_id) as item_id, any_value(text) as text, string_agg(item_id || '_' || printf('%04d', turn_index + 1), ';' order by turn_index) as comment_ids, {_words("any_value(text)")}::bigint as words
+    from m join turns using (item_id, turn_index) group by 1""")
 def segment_info(turns):
-    return turns.groupBy("item_id").agg(F.bool_and(F.col("speaker_role") == "subject").alias("all_answers"), F.min_by("content", "turn_index").alias("first_text"), F.count("*").alias("turns"))
-
-
-def twin_groups(pairs: DataFrame) -> DataFrame:
-    """Components of twin pairs (u, v); the oldest id stands for each."""
-    from textloom.plans.graph import components
-
-    return components(pairs)
-
-
-@query("d22_twin_collapse", "documents", oracle="select doc_id as node, min(doc_id) over (partition by text) as root from documents qualify count(*) over (partition by text) > 1")
-def twin_collapse(documents):
-    """Equal texts collapse to the oldest: stars to the least id, then components."""
-    least = documents.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).filter("n > 1")
-    pairs = documents.select(F.sha2("text", 256).alias("h"), F.col("doc_id").alias("u")).join(least, "h").select("u", "v")
-    return twin_groups(pairs)
+    """Of each segment: whether all its turns are answers, its item and text, its turns' comment ids in order and its words."""
+    m = segmented(turns).select("segment_id", "item_id", "text", F.explode(F.col("turns").cast("array<bigint>")).alias("turn_index"))
+    d = m.join(turns.select("item_id", "turn_index", F.coalesce(F.col("speaker_role") == "subject", F.lit(False)).alias("answer")), ["item_id", "turn_index"])
+    comment = F.struct("turn_index", F.concat("item_id", F.lit("_"), F.format_string("%04d", F.col("turn_index") + 1)).alias("id"))
+    g = d.groupBy("segment_id").agg(F.bool_and("answer").alias("all_answers"), F.first("item_id").alias("item_id"), F.first("text").alias("text"), F.sort_array(F.collect_list(comment)).alias("c"))
+    return g.select("segment_id", "all_answers", "item_id", "text", F.array_join(F.transform("c", lambda x: x["id"]), ";").alias("comment_ids"), T.word_count("text").alias("words"))
