@@ -14,13 +14,14 @@ def closure(themes: DataFrame) -> DataFrame:
     A path that comes back to a theme ends there, so cycles end too.  The theme
     table is a codebook, hundreds of rows; each step is a join on the parent.
     """
-    step = themes.select(F.col("theme_id").alias("ancestor"), F.col("theme_id").alias("descendant"), F.array("theme_id").alias("seen"))
+    step = themes.select(F.col("theme_id").alias("ancestor"), F.col("theme_id").alias("descendant"))
     parents = themes.filter(F.col("parent_theme_id").isNotNull()).select(F.col("theme_id").alias("child"), F.col("parent_theme_id").alias("parent"))
+    # The way up is a string of ids between separators.
     return themes.sparkSession.sql(
-        """with recursive up(ancestor, descendant, seen) max recursion level 1000000 as (
-             select ancestor, descendant, seen from {base}
-             union all select p.parent, u.descendant, concat(u.seen, array(p.parent)) from up u join {parents} p on p.child = u.ancestor where not array_contains(u.seen, p.parent))
-           select ancestor, descendant, min(size(seen) - 1) as dist from up group by ancestor, descendant""",
+        """with recursive up(ancestor, descendant, dist, seen) max recursion level 1000000 as (
+             select ancestor, descendant, 0, concat(char(31), ancestor, char(31)) from {base}
+             union all select p.parent, u.descendant, u.dist + 1, concat(u.seen, p.parent, char(31)) from up u join {parents} p on p.child = u.ancestor where locate(concat(char(31), p.parent, char(31)), u.seen) = 0)
+           select ancestor, descendant, min(dist) as dist from up group by ancestor, descendant""",
         base=step,
         parents=parents,
     )

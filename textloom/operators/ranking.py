@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.labels import _J, _NEG, _POS, _REJ, _UP, closure, positives, rejections, reviewed_negatives, with_flags
+from textloom.operators.labels import _J, _JS, _NEG, _POS, _REJ, _UP, closure, positives, rejections, reviewed_negatives, with_flags
 from textloom.registry import query
 
 # ------------------------------------------------------------------ runs
@@ -101,18 +101,25 @@ def _own(predictions, version, theme):
     return predictions.filter((F.col("model_version") == version) & (F.col("theme_id") == theme))
 
 
+MODES = ("top", "uncertain", "audit", "suspect", "boundary")
+
+
 def review_queue(mode: str, predictions, codes, negatives, item_reviews, none_confirmations, segments, themes, theme: str, version: str, threshold: float, seed: str = "7") -> DataFrame:
     """(segment_id, sort_key, position) of a theme's queue; ties by segment id.
 
-    top, uncertain and audit show undecided segments; suspect shows labels that
-    the out-of-fold score contradicts; boundary shows judged negatives that
-    score high and are not flagged near misses.
+    top, uncertain and audit show undecided segments (neither coded nor a
+    reviewed negative); suspect shows labels that the out-of-fold score
+    contradicts; boundary shows negatives known to be read in full that score
+    high and are not flagged near misses.
     """
+    if mode not in MODES:
+        raise ValueError(f"unknown queue mode {mode}")
     p = _own(predictions, version, theme).select("segment_id", "score", "oof_score")
     tree = closure(themes)
     pos = positives(codes, tree).filter(F.col("theme_id") == theme).select("segment_id")
     if mode in ("suspect", "boundary"):
-        neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes).filter(F.col("theme_id") == theme).select("segment_id")
+        strict = mode == "boundary"
+        neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes, strict=strict).filter(F.col("theme_id") == theme).select("segment_id")
         if mode == "suspect":
             p = p.filter("oof_score is not null")
             d = p.join(pos, "segment_id", "left_semi").withColumn("sort_key", 1 - F.col("oof_score")).unionByName(p.join(neg, "segment_id", "left_semi").withColumn("sort_key", F.col("oof_score")))
@@ -121,36 +128,68 @@ def review_queue(mode: str, predictions, codes, negatives, item_reviews, none_co
             d = p.join(neg, "segment_id", "left_semi").join(near, "segment_id", "left_anti").withColumn("sort_key", F.coalesce("oof_score", "score"))
         order = F.desc("sort_key")
     else:
-        rej = rejections(negatives, codes, tree).filter(F.col("theme_id") == theme).select("segment_id")
-        d = p.join(pos, "segment_id", "left_anti").join(rej, "segment_id", "left_anti")
+        neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes).filter(F.col("theme_id") == theme).select("segment_id")
+        d = p.join(pos, "segment_id", "left_anti").join(neg, "segment_id", "left_anti")
         if mode == "top":
             d, order = d.withColumn("sort_key", F.col("score")), F.desc("sort_key")
         elif mode == "uncertain":
             d, order = d.withColumn("sort_key", F.round(F.abs(F.col("score") - threshold), 6)), F.asc("sort_key")
-        elif mode == "audit":
-            d, order = d.filter(F.col("score") >= threshold).withColumn("sort_key", F.md5(F.concat(F.lit(seed), F.lit("|"), "segment_id"))), F.asc("sort_key")
         else:
-            raise ValueError(f"unknown queue mode {mode}")
-    return d.select("segment_id", "sort_key").orderBy(order, "segment_id")
+            d, order = d.filter(F.col("score") >= threshold).withColumn("sort_key", F.md5(F.concat(F.lit(seed), F.lit("|"), "segment_id"))), F.asc("sort_key")
+    return d.select("segment_id", "sort_key", *(c for c in ("score", "oof_score", "label") if c in d.columns)).orderBy(order, "segment_id")
+
+
+#: Rows of a page: as asked for, and at most.
+PAGE, MOST = 25, 200
+
+
+def page_of(queue: DataFrame, offset: int = 0, limit: int = PAGE) -> tuple[DataFrame, DataFrame]:
+    """One page of an ordered queue (a top-k, not a sort of all rows), and a row with the queue's total."""
+    limit = max(1, min(MOST, limit))
+    return queue.offset(max(0, offset)).limit(limit), queue.agg(F.count("*").alias("total"))
+
+
+def queue_page(queue: DataFrame, segments, codes, negatives, offset: int = 0, limit: int = PAGE) -> DataFrame:
+    """A queue's page with each segment's text, codes, rejections and exemplar flags, and the total.
+
+    What is joined is joined after the limit, so it's read for the page's rows
+    only; segments that are gone drop out of the page.
+    """
+    page, total = page_of(queue, offset, limit)
+    page = F.broadcast(page.select("segment_id", "sort_key", *(c for c in ("score", "oof_score") if c in queue.columns)))  # MOST rows at most
+    lists = lambda d, name: d.join(page.select("segment_id"), "segment_id", "left_semi").groupBy("segment_id").agg(F.array_join(F.sort_array(F.collect_set("theme_id")), ",").alias(name))
+    own = segments.select("segment_id", "item_id", "text", "word_count").join(page, "segment_id")
+    out = own.join(lists(codes.filter("deleted_at is null"), "codes"), "segment_id", "left").join(lists(negatives.filter("deleted_at is null"), "rejected"), "segment_id", "left")
+    out = out.join(lists(codes.filter("deleted_at is null and is_exemplar"), "exemplar"), "segment_id", "left").na.fill("", ["codes", "rejected", "exemplar"])
+    return out.crossJoin(F.broadcast(total))
 
 
 _PQ = "p as (select * from predictions where model_version = 'tfidf_v2' and theme_id = 's__toxic')"
-_UND = "und as (select * from p where segment_id not in (select segment_id from pos where theme_id = 's__toxic') and segment_id not in (select segment_id from rej where theme_id = 's__toxic'))"
+_UND = "und as (select * from p where segment_id not in (select segment_id from pos where theme_id = 's__toxic') and segment_id not in (select segment_id from neg where theme_id = 's__toxic'))"
 _QUEUES = {
-    "top": f"with recursive {_UP}, {_POS}, {_REJ}, {_PQ}, {_UND} select segment_id, score as sort_key from und",
-    "uncertain": f"with recursive {_UP}, {_POS}, {_REJ}, {_PQ}, {_UND} select segment_id, round(abs(score - 0.6), 6) as sort_key from und",
-    "audit": f"with recursive {_UP}, {_POS}, {_REJ}, {_PQ}, {_UND} select segment_id, md5('7|' || segment_id) as sort_key from und where score >= 0.6",
+    "top": f"with recursive {_UP}, {_POS}, {_REJ}, {_J}, {_NEG}, {_PQ}, {_UND} select segment_id, score as sort_key from und",
+    "uncertain": f"with recursive {_UP}, {_POS}, {_REJ}, {_J}, {_NEG}, {_PQ}, {_UND} select segment_id, round(abs(score - 0.6), 6) as sort_key from und",
+    "audit": f"with recursive {_UP}, {_POS}, {_REJ}, {_J}, {_NEG}, {_PQ}, {_UND} select segment_id, md5('7|' || segment_id) as sort_key from und where score >= 0.6",
     "suspect": f"with recursive {_UP}, {_POS}, {_REJ}, {_J}, {_NEG}, {_PQ} select segment_id, 1 - oof_score as sort_key from p where oof_score is not null and segment_id in (select segment_id from pos where theme_id = 's__toxic') union all select segment_id, oof_score from p where oof_score is not null and segment_id in (select segment_id from neg where theme_id = 's__toxic')",
-    "boundary": f"with recursive {_UP}, {_POS}, {_REJ}, {_J}, {_NEG}, {_PQ} select segment_id, coalesce(oof_score, score) as sort_key from p where segment_id in (select segment_id from neg where theme_id = 's__toxic') and segment_id not in (select segment_id from negatives where deleted_at is null and is_near_miss and theme_id = 's__toxic')",
+    "boundary": f"with recursive {_UP}, {_POS}, {_REJ}, {_JS}, {_NEG}, {_PQ} select segment_id, coalesce(oof_score, score) as sort_key from p where segment_id in (select segment_id from neg where theme_id = 's__toxic') and segment_id not in (select segment_id from negatives where deleted_at is null and is_near_miss and theme_id = 's__toxic')",
 }
 for _m, _sql in _QUEUES.items():
 
     def _queue(*t, mode=_m):
-        return review_queue(mode, *t, theme="s__toxic", version="tfidf_v2", threshold=0.6)
+        return review_queue(mode, *t, theme="s__toxic", version="tfidf_v2", threshold=0.6).select("segment_id", "sort_key")
 
     query(f"f_queue_{_m}", "predictions", "codes", "negatives", "item_reviews", "none_confirmations", "segments", "themes", oracle=_sql)(_queue)
 
 
+@query("f7_queue_page", "predictions", "codes", "negatives", "item_reviews", "none_confirmations", "segments", "themes", oracle=f"""with recursive {_UP}, {_POS}, {_REJ}, {_J}, {_NEG}, {_PQ}, {_UND}, pg as (select segment_id, score as sort_key, score, oof_score from und order by score desc, segment_id limit 25 offset 5)
+    select pg.*, item_id, text, word_count, coalesce((select string_agg(distinct theme_id, ',' order by theme_id) from codes c where c.segment_id = pg.segment_id and deleted_at is null), '') as codes, coalesce((select string_agg(distinct theme_id, ',' order by theme_id) from negatives n where n.segment_id = pg.segment_id and deleted_at is null), '') as rejected,
+      coalesce((select string_agg(distinct theme_id, ',' order by theme_id) from codes c where c.segment_id = pg.segment_id and deleted_at is null and is_exemplar), '') as exemplar, (select count(*) from und)::bigint as total from pg join segments using (segment_id)""")
+def q_queue_page(*t):
+    """A page of the top queue from its sixth row on."""
+    predictions, codes, negatives, _, _, segments, _ = t
+    return queue_page(review_queue("top", *t, theme="s__toxic", version="tfidf_v2", threshold=0.6), segments, codes, negatives, offset=5)
+
+
 @query("f6_queue_confusion", "predictions", "model_runs", "codes", "negatives", "themes", oracle=f"""with recursive {_UP}, {_POS}, {_REJ}, {_LATEST},
     near as (select ancestor as t from up where descendant = 's__quality' union select descendant from up where ancestor = 's__quality'),
     o as (select p.segment_id, p.theme_id, p.score from predictions p join latest l using (model_version, theme_id) join themes t on t.theme_id = p.theme_id where engine = 'tfidf' and status = 'active' and p.theme_id not in (select t from near) and score >= threshold
@@ -181,13 +220,7 @@ def recode_candidates(predictions, codes, negatives, themes, theme: str = "s__to
     return pos.select("segment_id", F.lit("coded").alias("reason"), F.lit(None).cast("double").alias("score")).unionByName(top.select("segment_id", F.lit("predicted").alias("reason"), "score"))
 
 
-@query("f9_score_matrix", "predictions", "model_runs", oracle=f"with {_LATEST} select p.segment_id, p.theme_id, p.score from predictions p join latest using (model_version, theme_id) where engine = 'tfidf' and doc_id % 50 = 1")
-def score_page(predictions, model_runs):
-    """The page that the SQL names."""
-    return score_matrix(predictions, model_runs, predictions.filter(F.col("doc_id") % 50 == 1).select("segment_id"))
-
-
-@query("f9_score_matrix_whole", "predictions", "model_runs", "segments", oracle=f"with {_LATEST} select p.segment_id, p.theme_id, p.score from predictions p join latest using (model_version, theme_id) where engine = 'tfidf'")
+@query("f9_score_matrix", "predictions", "model_runs", "segments", oracle=f"with {_LATEST} select p.segment_id, p.theme_id, p.score from predictions p join latest using (model_version, theme_id) where engine = 'tfidf'")
 def score_matrix(predictions, model_runs, wanted, engine: str = "tfidf"):
     """Scores of the segments of ``wanted`` (segment_id) under each theme's newest run of an engine."""
     runs = latest_runs(model_runs).filter(F.col("engine") == engine).select("model_version", "theme_id")
@@ -255,22 +288,35 @@ def curve(scored: DataFrame, key: str = "theme_id") -> DataFrame:
     return g.select(key, "score", "pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("k"), F.sum("pos").over(Window.partitionBy(key)).alias("all_pos"))
 
 
-_Y = f"""with recursive {_UP}, {_POS}, y as (select p.theme_id, coalesce(oof_score, score) as score, threshold, case when (p.theme_id, segment_id) in (select theme_id, segment_id from pos) then 1 else 0 end as y from predictions p join model_runs using (model_version, theme_id) where model_version = 'tfidf_v2'),
+_GOLD = """gold as (select theme_id, dataset_id, item_id from (select * from item_reviews where unmarked_at is null qualify row_number() over (partition by dataset_id, item_id, scheme_id order by marked_at desc, review_id desc) = 1) r join themes t using (scheme_id)
+      where (read_in_full_confirmed_at is not null or coalesce(recorded_at = marked_at, false)) and marked_at >= t.created_at)"""
+_Y = f"""with recursive {_UP}, {_POS}, {_GOLD}, y as (select p.theme_id, p.segment_id, s.dataset_id, s.item_id, coalesce(oof_score, score) as score, threshold, case when (p.theme_id, p.segment_id) in (select theme_id, segment_id from pos) then 1 else 0 end as y from predictions p join model_runs using (model_version, theme_id)
+      join segments s on s.segment_id = p.segment_id join gold using (theme_id, dataset_id, item_id) where model_version = 'tfidf_v2'),
     g as (select theme_id, score, sum(y) as pos, count(*) as n from y group by 1, 2), c as (select theme_id, score, pos, sum(pos) over w as tp, sum(n) over w as k, sum(pos) over (partition by theme_id) as total from g window w as (partition by theme_id order by score desc rows unbounded preceding))"""
 
 
-def judged(predictions, codes, themes, model_runs, version="tfidf_v2") -> DataFrame:
-    """(theme_id, score, threshold, y): honest scores, the out-of-fold one first."""
+def gold_items(item_reviews, themes) -> DataFrame:
+    """(theme_id, dataset_id, item_id) of the items read in full whose newest mark is no older than the theme."""
+    w = Window.partitionBy("dataset_id", "item_id", "scheme_id").orderBy(F.desc("marked_at"), F.desc("review_id"))
+    newest = item_reviews.filter("unmarked_at is null").withColumn("k", F.row_number().over(w)).filter("k = 1").filter("read_in_full_confirmed_at is not null or recorded_at = marked_at")
+    t = F.broadcast(themes.select("theme_id", "scheme_id", F.col("created_at").alias("theme_created")))
+    return newest.join(t, "scheme_id").filter("marked_at >= theme_created").select("theme_id", "dataset_id", "item_id")
+
+
+def judged(predictions, codes, themes, model_runs, item_reviews, segments, version="tfidf_v2") -> DataFrame:
+    """(theme_id, segment_id, dataset_id, item_id, score, threshold, y) of the gold items' segments that the run scored: honest scores, the out-of-fold one first."""
     pos = positives(codes, closure(themes)).withColumn("y", F.lit(1))
+    own = segments.select("segment_id", "dataset_id", "item_id").join(gold_items(item_reviews, themes), ["dataset_id", "item_id"])
     p = predictions.filter(F.col("model_version") == version).join(F.broadcast(model_runs.select("model_version", "theme_id", "threshold")), ["model_version", "theme_id"])
-    return p.join(pos, ["theme_id", "segment_id"], "left").select("theme_id", "segment_id", F.coalesce("oof_score", "score").alias("score"), "threshold", F.coalesce("y", F.lit(0)).alias("y"))
+    d = p.join(pos, ["theme_id", "segment_id"], "left").select("theme_id", "segment_id", F.coalesce("oof_score", "score").alias("score"), "threshold", F.coalesce("y", F.lit(0)).alias("y"))
+    return d.join(own, ["theme_id", "segment_id"])
 
 
-_EVAL = ("predictions", "codes", "themes", "model_runs")
+_EVAL = ("predictions", "codes", "themes", "model_runs", "item_reviews", "segments")
 
 
 @query("g2_precision_recall", *_EVAL, oracle=f"""{_Y}, s as (select theme_id, count(*) filter (y = 1 and score >= threshold) as tp, count(*) filter (y = 0 and score >= threshold) as fp, count(*) filter (y = 1 and score < threshold) as fn from y group by 1)
-    select theme_id, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(tp / nullif(tp + fp, 0)::double, 6) as prec, round(tp / nullif(tp + fn, 0)::double, 6) as recall, round(2.0 * tp / nullif(2 * tp + fp + fn, 0)::double, 6) as f1,
+    select theme_id, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(tp / nullif(tp + fp, 0)::double, 6) as prec, round(tp / nullif(tp + fn, 0)::double, 6) as recall, case when tp > 0 then round(2.0 * tp / (2 * tp + fp + fn)::double, 6) end as f1,
     round((tp / (tp + fp)::double + 3.8416 / (2 * (tp + fp)) - 1.96 * sqrt(tp / (tp + fp)::double * (1 - tp / (tp + fp)::double) / (tp + fp) + 3.8416 / (4.0 * (tp + fp) * (tp + fp)))) / (1 + 3.8416 / (tp + fp)), 6) as prec_low,
     round((tp / (tp + fp)::double + 3.8416 / (2 * (tp + fp)) + 1.96 * sqrt(tp / (tp + fp)::double * (1 - tp / (tp + fp)::double) / (tp + fp) + 3.8416 / (4.0 * (tp + fp) * (tp + fp)))) / (1 + 3.8416 / (tp + fp)), 6) as prec_high from s""")
 def evaluation(*t):
@@ -303,16 +349,94 @@ def calibration(*t, bands: int = 5):
     return grid.join(n, "b", "left").select((F.col("b") / bands).alias("low"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("pos", F.lit(0)).cast("long").alias("pos"), "mean_score")
 
 
-@query("a29_turn_rollup", *_EVAL, oracle=f"{_Y}, u as (select p.theme_id, doc_id // 4 as unit, coalesce(oof_score, score) as score, case when (p.theme_id, segment_id) in (select theme_id, segment_id from pos) then 1 else 0 end as y from predictions p where model_version = 'tfidf_v2') select theme_id, unit, max(y) = 1 as positive, max(score) as score, count(*)::bigint as n from u group by 1, 2")
+def roll_up(scored: DataFrame, turn_map: DataFrame) -> DataFrame:
+    """Units of judged segments (see ``judged``): one a source turn, positive if any of its segments is, with the highest score.
+
+    ``turn_map``: segment_id, turn_index.  A segment that it doesn't have is its own unit.
+    """
+    d = scored.join(turn_map.select("segment_id", "turn_index"), "segment_id", "left")
+    unit = F.coalesce(F.concat("dataset_id", F.lit("|"), "item_id", F.lit("|"), F.col("turn_index").cast("string")), "segment_id")
+    d = d.withColumn("unit", unit).withColumn("alone", F.col("turn_index").isNull())
+    g = d.groupBy("theme_id", "unit").agg(F.bool_or(F.col("y") == 1).alias("positive"), F.max("score").alias("score"), F.count("*").alias("n"), F.max("threshold").alias("threshold"), F.bool_and("alone").alias("by_segment"))
+    return g
+
+
+_MAP = "tm as (select segment_id, 0 as turn_index from segments where doc_id % 3 = 0 union all select segment_id, doc_id % 2 from segments where doc_id % 3 = 1)"
+_UNITS = "un as (select theme_id, case when turn_index is null then segment_id else dataset_id || '|' || item_id || '|' || turn_index::varchar end as unit, max(y) as y, max(score) as score, count(*) as n, any_value(threshold) as threshold, bool_and(turn_index is null) as by_segment from y left join tm using (segment_id) group by 1, 2)"
+
+
+def _turn_map(segments):
+    """Turns of the segments: of some the first, of some one of two, of others none is known."""
+    known = segments.filter("doc_id % 3 < 2")
+    return known.select("segment_id", F.when(F.col("doc_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("doc_id") % 2).alias("turn_index"))
+
+
+@query("a29_turn_rollup", *_EVAL, oracle=f"{_Y}, {_MAP}, {_UNITS} select theme_id, unit, y = 1 as positive, score, n::bigint as n, by_segment, threshold from un")
 def turn_rollup(*t):
     """Segments that share a turn are one unit: positive if any is, with the highest score."""
-    unit = F.floor(F.split_part("segment_id", F.lit(":"), F.lit(1)).cast("long") / 4)
-    return judged(*t).groupBy("theme_id", unit.alias("unit")).agg((F.max("y") == 1).alias("positive"), F.max("score").alias("score"), F.count("*").alias("n"))
+    return roll_up(judged(*t), _turn_map(t[-1]))
 
 
-@query("g5_gold_items", "item_reviews", "themes", oracle="""select theme_id, item_id from item_reviews r join themes t using (scheme_id) where unmarked_at is null and (read_in_full_confirmed_at is not null or recorded_at = marked_at) and marked_at >= t.created_at""")
-def gold_items(item_reviews, themes):
-    w = Window.partitionBy("dataset_id", "item_id", "scheme_id").orderBy(F.desc("marked_at"), F.desc("review_id"))
-    newest = item_reviews.filter("unmarked_at is null").withColumn("k", F.row_number().over(w)).filter("k = 1").filter("read_in_full_confirmed_at is not null or recorded_at = marked_at")
-    t = F.broadcast(themes.select("theme_id", "scheme_id", F.col("created_at").alias("theme_created")))
-    return newest.join(t, "scheme_id").filter("marked_at >= theme_created").select("theme_id", "item_id")
+def metrics(units: DataFrame) -> DataFrame:
+    """A theme's counts, precision, recall and F1 with Wilson intervals, and average precision, over its units."""
+    hit = F.col("score") >= F.col("threshold")
+    y = F.col("positive")
+    s = units.groupBy("theme_id").agg(F.count("*").alias("n_units"), F.count_if(y).alias("n_pos"), F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"), F.count_if(y & ~hit).alias("fn"), F.count_if("by_segment").alias("units_by_segment"))
+    p, r, f1 = precision_recall(F.col("tp"), F.col("fp"), F.col("fn"))
+    p_low, p_high = wilson(F.col("tp"), F.col("tp") + F.col("fp"))
+    r_low, r_high = wilson(F.col("tp"), F.col("tp") + F.col("fn"))
+    ap = curve(units.select("theme_id", "score", y.cast("int").alias("y"))).groupBy("theme_id").agg(F.sum(F.try_divide("pos", "all_pos") * F.col("tp") / F.col("k")).alias("pr_auc"))
+    named = {"precision": p, "recall": r, "f1": f1}
+    d = s.select("*", *(F.round(c, 6).alias(k) for k, c in named.items()), *(F.round(c, 3).alias(k) for k, c in {"precision_low": p_low, "precision_high": p_high, "recall_low": r_low, "recall_high": r_high}.items()))
+    return d.join(ap.select("theme_id", F.round("pr_auc", 6).alias("pr_auc")), "theme_id", "left")
+
+
+def evaluate_run(predictions, codes, themes, model_runs, item_reviews, segments, turn_map: DataFrame, version: str, compare: str | None = None) -> DataFrame:
+    """One row for each theme that the run trained: gold items, metrics over gold units, and why there are none.
+
+    ``note``: no_gold (no item read in full), scores_pruned (the run keeps no
+    scores) or no_scored_gold (none of the gold is scored).  ``compare`` gives
+    the F1 and units of another run on the same gold.
+    """
+    runs = model_runs.filter(F.col("model_version") == version).select("theme_id", "threshold")
+    gold = gold_items(item_reviews, themes).groupBy("theme_id").agg(F.count("*").alias("gold_items"))
+    kept = predictions.filter(F.col("model_version") == version).select("theme_id").distinct().withColumn("kept", F.lit(True))
+    own = judged(predictions, codes, themes, model_runs, item_reviews, segments, version)
+    out = runs.join(gold, "theme_id", "left").join(kept, "theme_id", "left").join(metrics(roll_up(own, turn_map)), "theme_id", "left")
+    note = F.when(F.col("gold_items").isNull(), "no_gold").when(F.col("kept").isNull(), "scores_pruned").when(F.col("n_units").isNull(), "no_scored_gold")
+    out = out.withColumn("note", note).withColumn("gold_items", F.coalesce("gold_items", F.lit(0))).drop("kept")
+    if compare:
+        # The same gold passages as the other run scored them; those it didn't score drop out of its numbers only.
+        other = judged(predictions, codes, themes, model_runs, item_reviews, segments, compare).join(own.select("theme_id", "segment_id"), ["theme_id", "segment_id"], "left_semi")
+        m = metrics(roll_up(other, turn_map)).select("theme_id", F.col("f1").alias("compare_f1"), F.col("n_units").alias("compare_units"))
+        out = out.join(m, "theme_id", "left")
+    return out
+
+
+def _metrics_sql(units: str) -> str:
+    low = lambda k, n, sign: f"case when {n} > 0 then round(greatest(0.0, least(1.0, ({k} / ({n})::double + 3.8416 / (2 * ({n})) {sign} 1.96 * sqrt({k} / ({n})::double * (1 - {k} / ({n})::double) / ({n}) + 3.8416 / (4.0 * ({n}) * ({n})))) / (1 + 3.8416 / ({n})))), 3) end"
+    return f"""select theme_id, count(*)::bigint as n_units, count(*) filter (y = 1)::bigint as n_pos, count(*) filter (y = 1 and score >= threshold)::bigint as tp, count(*) filter (y = 0 and score >= threshold)::bigint as fp, count(*) filter (y = 1 and score < threshold)::bigint as fn, count(*) filter (by_segment)::bigint as units_by_segment from {units} group by 1""", f"""*,
+      round(tp / nullif(tp + fp, 0)::double, 6) as precision, round(tp / nullif(tp + fn, 0)::double, 6) as recall, case when tp > 0 then round(2.0 * tp / (2 * tp + fp + fn)::double, 6) end as f1, {low('tp', 'tp + fp', '-')} as precision_low, {low('tp', 'tp + fp', '+')} as precision_high, {low('tp', 'tp + fn', '-')} as recall_low, {low('tp', 'tp + fn', '+')} as recall_high"""
+
+
+_COUNTED, _RATIOS = _metrics_sql("un")
+
+
+@query("g7_evaluate_run", *_EVAL, oracle=f"""{_Y}, {_MAP}, {_UNITS}, m0 as ({_COUNTED}), m1 as (select {_RATIOS} from m0), ug as (select theme_id, score, sum(y) as pos, count(*) as n from un group by 1, 2),
+    uc as (select theme_id, score, pos, sum(pos) over w as tp, sum(n) over w as k, sum(pos) over (partition by theme_id) as total from ug window w as (partition by theme_id order by score desc rows unbounded preceding)),
+    ap as (select theme_id, round(sum(pos / nullif(total, 0)::double * tp / k::double), 6) as pr_auc from uc group by 1), gi as (select theme_id, count(*)::bigint as gold_items from gold group by 1)
+    select r.theme_id, r.threshold, coalesce(gold_items, 0) as gold_items, m1.* exclude (theme_id), pr_auc, case when gold_items is null then 'no_gold' when n_units is null then 'no_scored_gold' end as note from (select theme_id, threshold from model_runs where model_version = 'tfidf_v2') r left join gi using (theme_id) left join m1 using (theme_id) left join ap using (theme_id)""")
+def q_evaluate(*t):
+    return evaluate_run(*t, _turn_map(t[-1]), "tfidf_v2")
+
+
+@query("g7_compare_runs", *_EVAL, oracle=f"""{_Y}, {_MAP}, y1 as (select p.theme_id, p.segment_id, s.dataset_id, s.item_id, coalesce(oof_score, p.score) as score, threshold, case when (p.theme_id, p.segment_id) in (select theme_id, segment_id from pos) then 1 else 0 end as y from predictions p join model_runs using (model_version, theme_id)
+      join segments s on s.segment_id = p.segment_id join gold using (theme_id, dataset_id, item_id) where model_version = 'tfidf_v1' and (p.theme_id, p.segment_id) in (select theme_id, segment_id from y)), {_UNITS.replace("un as", "u1 as").replace(" from y ", " from y1 ")}, {_UNITS}, m0 as ({_COUNTED}), n0 as ({_metrics_sql("u1")[0]})
+    select r.theme_id, m0.n_units, case when m0.tp > 0 then round(2.0 * m0.tp / (2 * m0.tp + m0.fp + m0.fn)::double, 6) end as f1, n0.n_units as compare_units, case when n0.tp > 0 then round(2.0 * n0.tp / (2 * n0.tp + n0.fp + n0.fn)::double, 6) end as compare_f1 from (select theme_id from model_runs where model_version = 'tfidf_v2') r left join m0 using (theme_id) left join n0 using (theme_id)""")
+def q_compare(*t):
+    return evaluate_run(*t, _turn_map(t[-1]), "tfidf_v2", "tfidf_v1").select("theme_id", "n_units", "f1", "compare_units", "compare_f1")
+
+
+@query("g5_gold_items", "item_reviews", "themes", oracle=f"with {_GOLD} select theme_id, item_id from gold")
+def q_gold_items(item_reviews, themes):
+    return gold_items(item_reviews, themes).select("theme_id", "item_id")
