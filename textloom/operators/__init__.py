@@ -1,3 +1,3 @@
 """Operators; importing this package registers their queries."""
 
-from . import corpus, duplicates, labels, misc, more, prepare, ranking, sources_queries, streams, text_queries, training  # noqa: F401
+from . import codebook, corpus, duplicates, labels, misc, more, pilot, prepare, ranking, sources_queries, streams, text_queries, training  # noqa: F401

@@ -155,12 +155,6 @@ def table_dump(codes, themes, scheme: str = "s"):
     return codes.join(t, "theme_id").select("code_id", "segment_id", "theme_id", "scheme_id", "deleted_at")
 
 
-@query("k12_log_summary", "activity", oracle="select log_id, strftime(ts, '%Y-%m-%d') || ' ' || actor || ': ' || case action_type when 'click' then 'opened an item' when 'purchase' then 'closed a round' else action_type end as summary from activity")
-def log_summary(activity):
-    said = F.when(F.col("action_type") == "click", "opened an item").when(F.col("action_type") == "purchase", "closed a round").otherwise(F.col("action_type"))
-    return activity.select("log_id", F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" "), "actor", F.lit(": "), said).alias("summary"))
-
-
 @query("x5_slug", "items", oracle=r"select item_id, coalesce(nullif(regexp_replace(regexp_replace(strip_accents(item_title || ' / É ' || group_name), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'query')[1:40] as slug from items")
 def slugs(items):
     return items.select("item_id", T.slug(F.concat("item_title", F.lit(" / É "), "group_name")).alias("slug"))

@@ -98,13 +98,6 @@ def top_terms(documents, top: int = 20):
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term")).cast("long")).filter(F.col("rank") <= top)
 
 
-@query("w12_batches", "items", oracle="select item_id, ((row_number() over (partition by dataset_id order by md5(item_id)) - 1) // 20)::bigint as batch from items")
-def batches(items, size: int = 20):
-    """Batches inside each dataset, in an order that a hash fixes."""
-    k = F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.md5("item_id"))) - 1
-    return items.select("item_id", F.floor(k / size).alias("batch"))
-
-
 @query("m6_attention", "auto_duplicates", "codes", oracle="""with c as (select doc_id from codes where deleted_at is null), d as (select canonical_id, count(*) filter (doc_id in (select doc_id from c)) as coded, bool_or(doc_id in (select doc_id from c) and not is_canonical) as loose from auto_duplicates group by 1)
     select canonical_id, case when coded > 1 then 'canonical_conflict' when loose then 'coded_non_canonical' else '' end as flag from d""")
 def attention(auto, codes):
@@ -128,12 +121,6 @@ def twin_exclusion(benchmark, held: int = 5, least: float = 0.5):
     return d.filter(~F.exists("all_held", lambda x: T.jaccard(F.col("s"), x) >= least)).select("item_id")
 
 
-@query("m19_interview_pick", "turns", oracle="with n as (select item_id, count(*) as n from turns group by 1) select item_id from n where n >= 5 order by md5('pick|' || item_id) limit 10")
-def interview_pick(turns, least: int = 5, n: int = 10):
-    big = turns.groupBy("item_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return big.orderBy(F.md5(F.concat(F.lit("pick|"), "item_id"))).limit(n).select("item_id")
-
-
 @query("f12_runs_page", "model_runs", "run_params", "pins", oracle="""select model_version, count(*)::bigint as themes, max(trained_at) as trained_at, max(case model_version when 'tfidf_v2' then 'ab12' end) as codebook, bool_or((model_version, theme_id) in (select model_version, theme_id from pins)) as pinned from model_runs group by 1""")
 def runs_page(model_runs, run_params, pins):
     d = model_runs.join(F.broadcast(run_params), "model_version", "left").join(F.broadcast(pins.withColumn("pin", F.lit(True))), ["model_version", "theme_id"], "left")

@@ -104,55 +104,11 @@ def near_misses(predictions, segments, top: int = 8):
     return best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).select("theme_id", "segment_id", "score")
 
 
-@query("m18_stratified_sample", "items", oracle="""with n as (select person_name, count(*) as n, greatest(ceil(100.0 * count(*) / (select count(*) from items)), 5) as take from items group by 1), r as (select item_id, person_name, row_number() over (partition by person_name order by md5('seed|' || item_id)) as k from items)
-    select item_id, person_name from r join n using (person_name) where k <= take""")
-def stratified_sample(items, size: int = 100, floor: int = 5, seed: str = "seed"):
-    """By share of each stratum with a floor, in an order that a hash of seed and id fixes (a sampling operator)."""
-    total = items.agg(F.count("*").alias("total"))
-    n = items.groupBy("person_name").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("person_name", F.greatest(F.ceil(F.lit(float(size)) * F.col("n") / F.col("total")), F.lit(floor)).alias("take"))
-    w = Window.partitionBy("person_name").orderBy(F.md5(F.concat(F.lit(seed + "|"), "item_id")))
-    return items.withColumn("k", F.row_number().over(w)).join(F.broadcast(n), "person_name").filter("k <= take").select("item_id", "person_name")
-
-
 @query("s23_seeded_sample", "items", oracle="select item_id from items order by md5('demo|' || item_id), item_id limit 50")
 def seeded_sample(items, n: int = 50, seed: str = "demo"):
     return items.select("item_id").orderBy(F.md5(F.concat(F.lit(seed + "|"), "item_id")), "item_id").limit(n)
 
 
-@query("m20_request_chunks", "turns", oracle="""with recursive t as (select item_id, turn_index, speaker_name = 'assistant' as target, length(content) as n, row_number() over (partition by item_id order by turn_index) as i from turns),
-    f as (select item_id, i, 0 as chunk, n as size from t where i = 1 union all select t.item_id, t.i, case when f.size + t.n > 2000 then f.chunk + 1 else f.chunk end, case when f.size + t.n > 2000 then t.n else f.size + t.n end from f join t on t.item_id = f.item_id and t.i = f.i + 1)
-    select item_id, chunk::bigint as chunk, count(*)::bigint as turns, sum(n)::bigint as chars from f join t using (item_id, i) group by 1, 2""")
-def request_chunks(turns, most_chars: int = 2000):
-    """Greedy chunks of a conversation's turns, by characters, in one ordered fold."""
-    d = turns.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("turn_index", F.length("content").alias("n")))).alias("t"))
-    fold = f"""aggregate(t, cast(array() as array<struct<turns:bigint,chars:bigint>>), (a, x) -> case when size(a) > 0 and a[size(a) - 1].chars + x.n <= {most_chars}
-        then concat(slice(a, 1, size(a) - 1), array(named_struct('turns', a[size(a) - 1].turns + 1, 'chars', a[size(a) - 1].chars + x.n))) else concat(a, array(named_struct('turns', 1L, 'chars', bigint(x.n)))) end)"""
-    return d.select("item_id", F.posexplode(F.expr(fold)).alias("chunk", "c")).select("item_id", F.col("chunk").cast("long").alias("chunk"), "c.turns", "c.chars")
-
-
-@query("m21_response_check", "labels", "documents", oracle="""select doc_id, least(greatest(quality + toxic * 0.5, 0.0), 1.0)::double as confidence, 'ok' as status from labels where doc_id in (select doc_id from documents where doc_id % 2 = 0)
-    union all select doc_id, null, 'missing' from documents where doc_id % 2 = 0 and doc_id not in (select doc_id from labels)""")
-def response_page(labels, documents):
-    """The requests that the SQL names."""
-    return response_check(labels, documents.filter(F.col("doc_id") % 2 == 0))
-
-
-@query("m21_response_check_whole", "labels", "documents", oracle="""select doc_id, least(greatest(quality + toxic * 0.5, 0.0), 1.0)::double as confidence, 'ok' as status from labels where doc_id in (select doc_id from documents)
-    union all select doc_id, null, 'missing' from documents where doc_id not in (select doc_id from labels)""")
-def response_check(labels, wanted):
-    """Answers to the rows of ``wanted`` (doc_id) only, the first of doubles, confidence clamped; requests without an answer are listed."""
-    asked = wanted.select("doc_id")
-    first = labels.groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("a"))
-    ok = first.join(asked, "doc_id", "left_semi").select("doc_id", F.least(F.greatest(F.col("a.quality") + F.col("a.toxic") * 0.5, F.lit(0.0)), F.lit(1.0)).alias("confidence"), F.lit("ok").alias("status"))
-    return ok.unionByName(asked.join(first, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("double").alias("confidence"), F.lit("missing").alias("status")))
-
-
-@query("a26_topic_distribution", "turns", oracle="select speaker_name, count(*)::bigint as n, round(count(*) / (select count(*) from turns)::double, 6) as share from turns group by 1")
-def topic_distribution(turns):
-    n = turns.groupBy("speaker_name").agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(turns.agg(F.count("*").alias("total")))).select("speaker_name", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
-
-
 # ------------------------------------------------------------------ transcripts and updates
 
 
@@ -236,11 +192,6 @@ def last_wins(codes):
     return codes.groupBy("segment_id").agg(F.max_by("theme_id", "code_id").alias("theme_id"), F.max("code_id").alias("code_id"))
 
 
-@query("j18_activity_feed", "activity", "model_runs", oracle="select log_id, action_type, coalesce(json_extract_string(details_json, '$.k'), '') as k, (log_id % 4)::bigint as bucket from activity")
-def activity_feed(activity, model_runs):
-    return activity.select("log_id", "action_type", F.coalesce(F.get_json_object("details_json", "$.k"), F.lit("")).alias("k"), (F.col("log_id") % 4).alias("bucket"))
-
-
 # ------------------------------------------------------------------ relational forms
 
 

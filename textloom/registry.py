@@ -56,6 +56,18 @@ CANONICAL = {
     "turns": """select cast(conv_id as string) as item_id, turn as turn_index, role as speaker_name, case role when 'user' then 'interviewer' when 'assistant' then 'subject' else 'other' end as speaker_role, text as content, conv_id from conversations""",
     "auto_duplicates": """select doc_id, cast(doc_id as string) as item_id, source as dataset_id, cast(doc_id - doc_id % 5 as string) as canonical_id, doc_id % 5 = 0 as is_canonical from documents where doc_id % 20 < 5""",
     "overrides": """select cast(doc_id as string) as item_id, source as dataset_id, case when doc_id % 2 = 0 then 'exclude' else 'include' end as kind, cast(doc_id - 1 as string) as target_id from documents where doc_id % 37 = 3""",
+    "schemes": "select * from (values ('s', 'Main scheme', 'all of it', 'active', '2024-01-01'), ('t', 'Other scheme', cast(null as string), 'active', '2024-01-01')) as t(scheme_id, name, description, status, created_at)",
+    "duplicate_runs": "select * from (values ('dup_1', '2024-01-05'), ('dup_3', '2024-03-05'), ('dup_2', '2024-02-05')) as t(run_id, created_at)",
+    "log": """select event_id as log_id, ts, 'user' || cast(user_id as string) as actor, case event_id % 9 when 0 then 'theme_create' when 1 then 'theme_update' when 2 then 'theme_merge' when 3 then 'training_run' when 4 then 'query_download' when 5 then 'iteration_decision' when 6 then 'scheme_archive' when 7 then 'metadata_edited' else event_type end as action_type,
+        case event_id % 9 when 0 then '{"theme_id": "s__quality", "name": "Quality"}' when 1 then '{"theme_id": "s__toxic", "fields": {"name": "a", "color": "b"}}' when 2 then '{"source_theme_id": "s__mild", "target_theme_id": "s__toxic"}' when 3 then '{"model_version": "tfidf_v2", "trained": [{"name": "Quality"}, {"name": "Toxic"}]}'
+          when 4 then '{"label": "Talks", "count": 7}' when 5 then '{"round_no": 2, "decision": "accept", "decision_label": "Accept the run", "run_ref": "tfidf_v2", "round_runs": ["tfidf_v2"], "note": "good"}' when 6 then '{"scheme_id": "s"}' when 7 then 'not json' else props end as details_json from events""",
+    "topics": """select * from (values ('s__quality', 'Quality', 'seed', 'Text that reads well, unlike s__toxic or low_grade writing.', 'clear prose', 'see s__old_theme', '', 0), ('s__toxic', 'Toxic', 'seed', 'Abuse.', '', 'not s__quality', 'with_care', 1), ('other', 'Other', 'fixed', 'None of these.', '', '', '', 2),
+        ('non_substantive', 'Small talk', 'fixed', 'Greetings.', '', '', '', 3)) as t(topic_id, name, origin, description, include, exclude, boundary_notes, position)""",
+    "coded_turns": """select cast(conv_id as string) || '_' || cast(10000 + turn as string) as comment_id, cast(conv_id as string) as interview_id, turn as turn_id, 'company' || cast(conv_id % 4 as string) as company, text as body, case (conv_id * 7 + turn) % 4 when 0 then 's__quality' when 1 then 's__toxic' when 2 then 'other' else 'non_substantive' end as primary_topic_id,
+        case (conv_id + turn * 3) % 5 when 0 then 's__toxic' when 1 then 's__quality' else 'none' end as secondary_topic_id, round(cast((conv_id * 31 + turn * 17) % 101 as double) / 100, 2) as confidence, case when (conv_id * 7 + turn) % 4 = 3 then 'rule' else 'model' end as coded_by from conversations where role = 'assistant'""",
+    "turn_gold": """select cast(conv_id as string) || '_' || cast(10000 + turn as string) as comment_id, theme_id, case (conv_id * 3 + turn + k) % 3 when 0 then 'pos' when 1 then 'neg' else 'neutral' end as gold, round(cast((conv_id * 13 + turn * 7 + k) % 100 as double) / 100, 2) as score, case when conv_id % 3 = 0 then 'read_in_full' when conv_id % 3 = 1 then 'positives_only' else '' end as gold_set, conv_id % 7 = 5 as eval_exclude
+        from conversations cross join (values ('s__quality', 1), ('s__toxic', 2)) as v(theme_id, k) where role = 'assistant'""",
+    "llm_usage": "select conv_id, turn, length(text) as input_tokens, case when turn % 2 = 0 then cast(null as int) else 40 end as output_tokens, case when turn = 0 then length(text) end as cache_creation_input_tokens, case when turn > 0 then 100 end as cache_read_input_tokens from conversations",
     "dataset_status": "select * from (values ('src3', 'excluded'), ('src5', 'unloaded')) as t(dataset_id, status)",
 }
 
