@@ -86,12 +86,16 @@ def held_out(modulus: int, remainder: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def frequent(counted: DataFrame, limit: int, n: str = "n") -> int:
-    """The least count that at most ``limit`` rows of ``counted`` reach, from a
-    histogram of eighths of powers of two (some hundred rows)."""
+def _steps(counted: DataFrame, n: str) -> list:
+    """Rows by eighths of powers of two of ``n``, the largest first: some hundred (rows, least)."""
     steps = counted.groupBy(F.floor(F.log2(n) * 8).cast("int").alias("step")).agg(F.count("*").alias("rows"), F.min(n).alias("least")).collect()
+    return sorted(steps, key=lambda r: -r.step)
+
+
+def frequent(counted: DataFrame, limit: int, n: str = "n") -> int:
+    """The least count that at most ``limit`` rows of ``counted`` reach."""
     least, total = 1 << 62, 0
-    for r in sorted(steps, key=lambda r: -r.step):
+    for r in _steps(counted, n):
         total += r.rows
         if total > limit:
             break
@@ -99,6 +103,16 @@ def frequent(counted: DataFrame, limit: int, n: str = "n") -> int:
     return least
 
 
+def reached(counted: DataFrame, wanted: int, n: str = "n") -> float:
+    """A value of ``n`` that ``wanted`` rows reach (all, if there are fewer) and not many more."""
+    least, total = 0.0, 0
+    for r in _steps(counted, n):
+        least, total = r.least, total + r.rows
+        if total >= wanted:
+            break
+    return least
+
+
 def worker_cache(name, make):
     """What ``make()`` gave when this Python worker first asked for ``name``.
 

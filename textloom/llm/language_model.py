@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frequent, saved, strings, texts, worker_cache
+from .common import frequent, reached, saved, slices, strings, texts, worker_cache
 
 #: Broadcast words; words with their own output weights and groups, at least (see ``model_sizes``); words of a learnt class.
 HEAD, LEARNED, PER_CLASS = 200_000, 2_048, 64
@@ -45,7 +45,7 @@ WARM_DOCS, WARM_PASSES, WINDOW, LANES, RATE = 600, 4, 32, 64, 0.1
 #: Documents scored side by side, steps scored at once, states whose softmax is taken at once; tasks' weights are summed in so many parts.
 SIDE, SPAN, ROWS, PARTS = 1_024, 32, 4_096, 32
 #: Documents and tokens that a task trains on at once.
-TRAINED, TRAINED_TOKENS = 2_048, 2_000_000
+TRAINED, TRAINED_TOKENS = 16_384, 6_000_000
 END = b" end"  # no word holds a space
 
 
@@ -118,8 +118,9 @@ def model_sizes(n_words: int) -> tuple[int, int]:
 
 def _seen(words: list[bytes], rows: dict) -> tuple[np.ndarray, np.ndarray]:
     """A document's rows among the words that the clustering sees, and how often each stands there."""
-    n = Counter(filter(None.__ne__, map(rows.get, words)))
-    return np.fromiter(n, np.uint16, len(n)), np.fromiter(n.values(), np.float32, len(n))
+    at = np.fromiter(map(rows.get, words, itertools.repeat(-1)), np.int32, len(words))
+    at, n = np.unique(at[at >= 0], return_counts=True)
+    return at.astype(np.uint16), n.astype(np.float32)
 
 
 def _weights(n: np.ndarray) -> np.ndarray:
@@ -193,7 +194,7 @@ def _added(batches):
 def _over_all(rows: DataFrame, task, shape: tuple) -> np.ndarray:
     """The sum of the tasks' arrays, added up in ``SUMS`` parts and then in one task; one array reaches the driver."""
     tasks = rows.mapInArrow(task, "part int, data binary").repartition(SUMS, "part").mapInArrow(_added, "data binary")
-    return sum((np.frombuffer(r.data).reshape(shape) for r in tasks.coalesce(1).mapInArrow(_added, "data binary").collect()), np.zeros(shape))
+    return sum((np.frombuffer(r.data).reshape(shape) for r in tasks.repartition(1).mapInArrow(_added, "data binary").collect()), np.zeros(shape))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -211,7 +212,9 @@ def trigram_counts(training: DataFrame, words: list[tuple[bytes, int]], n_groups
     mean = np.sqrt(np.array([n for _, n in seen], float))
     mean /= max(1e-9, np.linalg.norm(mean))
     vectors = saved(training.select("text").mapInArrow(lambda it: _vectors(it, rows, mean), "draw double, at binary, n binary"))
-    drawn = vectors.filter("draw is not null").orderBy(F.desc("draw"), "at", "n").limit(SEEDS * n_groups).collect()
+    # Only draws that can be among the best come to the driver: about as many as there are seeds.
+    drawn = vectors.filter("draw is not null").withColumn("draw", 1 / (1e-12 - F.col("draw")))
+    drawn = drawn.filter(F.col("draw") >= reached(drawn, SEEDS * n_groups, "draw")).orderBy(F.desc("draw"), "at", "n").limit(SEEDS * n_groups).collect()
     x = np.zeros((max(1, len(drawn)), max(1, len(rows))))
     for own, r in zip(x, drawn):
         own[np.frombuffer(r["at"], np.uint16)] = _weights(np.frombuffer(r.n, np.float32))
@@ -255,6 +258,15 @@ class Symbols:
         self.end = int(self.symbol[self.words.index(END)]) if END in self.words[:most] else 0
 
 
+def _squashed(x: np.ndarray, steep: float) -> None:
+    """The logistic function of ``steep`` * ``x``, in place; exponentials are fast in numpy where hyperbolic tangents are not."""
+    x *= -steep
+    with np.errstate(over="ignore"):  # infinity gives 0
+        np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
 class Network:
     """Weights by name; gates are update, reset and candidate."""
 
@@ -285,13 +297,12 @@ class Network:
         """Gates, candidate and next state from the input's rows and the state."""
         g = h @ self.w["gates"]
         g += u[:, : 2 * HIDDEN]
-        g *= 0.5  # the logistic function as a hyperbolic tangent
-        np.tanh(g, out=g)
-        g *= 0.5
-        g += 0.5
+        _squashed(g, 1)
         c = (g[:, HIDDEN:] * h) @ self.w["candidate"]
         c += u[:, 2 * HIDDEN :]
-        np.tanh(c, out=c)
+        _squashed(c, 2)
+        c *= 2  # a hyperbolic tangent
+        c -= 1
         new = c - h
         new *= g[:, :HIDDEN]
         new += h
@@ -338,9 +349,9 @@ class Network:
                 w = weight[rows]
                 logit *= (w / total)[:, None]
                 logit[np.arange(len(rows)), pos] -= w
-                grads["word_bias"][kinds] = np.add.reduceat(logit, first, axis=0)
                 add = np.empty_like(own)
                 for c, a, b in zip(kinds, first, last):
+                    grads["word_bias"][c] = np.ones(b - a, logit.dtype) @ logit[a:b]
                     np.matmul(own[a:b].T, logit[a:b], out=grads["word"][c])
                     np.matmul(logit[a:b], self.w["word"][c].T, out=add[a:b])
                 back[rows] += add
@@ -385,9 +396,13 @@ class Network:
         d_in = d_in.reshape(-1, 3 * HIDDEN)
         grads["gates"] = before.reshape(-1, HIDDEN).T @ d_in[:, : 2 * HIDDEN]
         grads["candidate"] = (r * before).reshape(-1, HIDDEN).T @ d_in[:, 2 * HIDDEN :]
-        order = np.argsort(x.ravel(), kind="stable")
-        rows, first = np.unique(x.ravel()[order], return_index=True)
-        grads["input"] = rows, np.add.reduceat(d_in[order], first, axis=0)
+        # Sums by symbol, as differences of running sums.
+        flat = x.ravel()
+        order = np.argsort(flat, kind="stable")
+        last = np.flatnonzero(np.append(flat[order][1:] != flat[order][:-1], True))
+        upto = np.cumsum(d_in[order], axis=0)[last]
+        upto[1:] -= upto[:-1].copy()
+        grads["input"] = flat[order][last], upto
         return h, grads, float(logp[live].sum()), alive
 
     def train(self, docs: list[np.ndarray], rate: float, sums: dict, lanes: int = LANES) -> float:
@@ -484,22 +499,45 @@ def _symbols(words: list[bytes], reader) -> tuple[np.ndarray, np.ndarray, list[b
     return ids, at[at >= 0], rare
 
 
-def _train_task(batches, shared):
+def _encode(batches, shared):
+    """Per row: its symbols, tokens, head tokens, sums over head tokens (all of them; those in counted classes) and the words outside the head."""
     s = shared.value
     reader = _reader(s)
+    _, symbol, logs, _, first = reader
+    for batch in slices(batches, 2_048):
+        n_tokens, n_head, base, counted, rest, ids = [], [], [], [], [], []
+        for text in strings(batch.column("text")):
+            words = [*words_of(text), END]
+            own, known, rare = _symbols(words, reader)
+            sure = logs[known]
+            ids.append(own.astype("<i4").tobytes())
+            n_tokens.append(len(words))
+            n_head.append(len(known))
+            base.append(float(sure.sum()))
+            counted.append(float(sure[symbol[known] >= first].sum()))
+            rest.append(list(Counter(rare).items()))
+        offsets = list(itertools.accumulate(map(len, rest), initial=0))
+        flat = list(itertools.chain.from_iterable(rest))
+        pairs = pa.StructArray.from_arrays([pa.array([p for p, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int32())], ["word", "k"])
+        yield pa.RecordBatch.from_pydict(
+            {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_head, pa.int64()), "base": pa.array(base, pa.float64()), "counted": pa.array(counted, pa.float64()), "ids": pa.array(ids, pa.binary()), "rest": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)}
+        )
+
+
+def _train_task(batches, shared):
+    s = shared.value
     net = Network({k: v.copy() for k, v in s["weights"].items()}, s["n_learnt"], s["end"])
     sums: dict = {k: v.copy() for k, v in s["sums"].items()}
     tokens, held, block = 0, 0, []
 
     def learn():
-        net.train(block, RATE / 2, sums)
+        net.train(block, RATE, sums)
 
     for batch in batches:
-        for text in strings(batch.column(0)):
-            words = [*words_of(text), END]
-            block.append(_symbols(words, reader)[0])
-            tokens += len(words)
-            held += len(words)
+        for ids in strings(batch.column(0)):
+            block.append(np.frombuffer(ids, "<i4"))
+            tokens += len(block[-1])
+            held += len(block[-1])
             if len(block) >= TRAINED or held >= TRAINED_TOKENS:
                 learn()
                 block, held = [], 0
@@ -535,31 +573,14 @@ def _class_sizes(batches, shared):
 
 
 def _score_task(batches, shared):
-    """Per row: tokens, head tokens, sums and the words outside the head."""
+    """(row, model): the model's log10 probability but for words outside the head."""
     s = shared.value
-    reader = _reader(s)
-    logs = reader[2]
     net = Network(s["weights"], s["n_learnt"], s["end"])
     shift = s["shift"]  # log10 of each counted class' total, by symbol; zero for learnt ones
     for batch in batches:
-        n_tokens, n_head, base, model, rest, symbols = [], [], [], [], [], []
-        for text in strings(batch.column("text")):
-            words = [*words_of(text), END]
-            ids, known, rare = _symbols(words, reader)
-            sure = logs[known]
-            symbols.append(ids)
-            n_tokens.append(len(words))
-            n_head.append(len(known))
-            base.append(float(sure.sum()))
-            model.append(float(sure[reader[1][known] >= net.n_learnt].sum() - shift[ids].sum()))
-            rest.append(list(Counter(rare).items()))
-        model = np.array(model) + (net.score(symbols) / math.log(10) if symbols else 0)
-        offsets = list(itertools.accumulate(map(len, rest), initial=0))
-        flat = list(itertools.chain.from_iterable(rest))
-        pairs = pa.StructArray.from_arrays([pa.array([p for p, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int32())], ["word", "k"])
-        yield pa.RecordBatch.from_pydict(
-            {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_head, pa.int64()), "base": pa.array(base, pa.float64()), "model": pa.array(model, pa.float64()), "rest": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)}
-        )
+        ids = [np.frombuffer(x, "<i4") for x in strings(batch.column("ids"))]
+        model = batch.column("counted").to_numpy() - np.array([shift[x].sum() for x in ids]) + (net.score(ids) / math.log(10) if ids else 0)
+        yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "model": pa.array(model, pa.float64())})
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
@@ -581,7 +602,11 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     words = sorted(((bytes(r.word), r.n) for r in vocab.filter(F.col("n") >= least).toLocalIterator()), key=lambda x: (-x[1], x[0]))
     # The end belongs to the learnt words whatever its count.
     words.sort(key=lambda x: x[0] != END)
-    warm = [words_of(r.text) for r in training.withColumn("nth", F.xxhash64("doc_id")).orderBy("nth", "doc_id").limit(WARM_DOCS).collect()]
+    # The warm-up's documents are the first by a hash; only about as many come to the driver.
+    n_docs = sum(n for w, n in words if w == END)
+    first = -(1 << 63) + (1 << 64) * min(1.0, 1.5 * WARM_DOCS / max(1, n_docs) + 1e-9)
+    nth = F.xxhash64("doc_id")
+    warm = [words_of(r.text) for r in training.filter(nth <= int(min(first, (1 << 63) - 1))).withColumn("nth", nth).orderBy("nth", "doc_id").limit(WARM_DOCS).collect()]
     learnt, n_groups = model_sizes(n_words)
     n = trigram_counts(training, words, n_groups) + 0.05
     groups = Groups(np.log(n / n.sum(0)))
@@ -593,31 +618,35 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     net, sums = Network.new(symbols, used), {}
     for k in range(WARM_PASSES):
         net.train(ids, RATE / (1 + 0.5 * k), sums)
-    shared |= {"weights": net.w, "sums": sums}
-    b = spark.sparkContext.broadcast(shared)
-    parts = training.select("text").mapInArrow(lambda it: _train_task(it, b), "part int, tokens long, weights binary")
+    kind = dict(plain.dtypes)["doc_id"]
+    encoder = spark.sparkContext.broadcast(shared)
+    numbered = plain.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
+    fields = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, counted double, ids binary, rest array<struct<word:binary,k:int>>"
+    rows = saved(numbered.mapInArrow(lambda it: _encode(it, encoder), fields))
+    b = spark.sparkContext.broadcast({"weights": net.w, "sums": sums, "n_learnt": symbols.n_learnt, "end": symbols.end})
+    parts = rows.filter("not held_out").select("ids").mapInArrow(lambda it: _train_task(it, b), "part int, tokens long, weights binary")
     summed = parts.repartition(PARTS, "part").mapInArrow(_summed, "tokens long, weights binary")
-    for r in summed.coalesce(1).mapInArrow(_summed, "tokens long, weights binary").collect():  # one row
+    for r in summed.repartition(1).mapInArrow(_summed, "tokens long, weights binary").collect():  # one row, of PARTS
         flat, at = np.frombuffer(r.weights, np.float32), 0
         for k in sorted(net.w):
             net.w[k] = flat[at : at + net.w[k].size].reshape(net.w[k].shape).copy()
             at += net.w[k].size
-    sizes = vocab.mapInArrow(lambda it: _class_sizes(it, b), "k long, v long, n long").groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
+    sizes = vocab.mapInArrow(lambda it: _class_sizes(it, encoder), "k long, v long, n long").groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
     shift = np.zeros(symbols.size)
     shift[symbols.n_learnt :] = math.log10(0.5)
     for r in sizes:
         unknown = (r.k - symbols.n_learnt) % 3 == 2
         shift[r.k] = math.log10(r.n + 0.5 * (r.v + unknown))
-    scorer = spark.sparkContext.broadcast(shared | {"weights": net.w, "shift": shift, "sums": None})
-    kind = dict(plain.dtypes)["doc_id"]
-    fields = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, model double"
-    rows = saved(plain.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(lambda it: _score_task(it, scorer), fields + ", rest array<struct<word:binary,k:int>>"))
+    scorer = spark.sparkContext.broadcast({"weights": net.w, "shift": shift, "n_learnt": symbols.n_learnt, "end": symbols.end})
+    scored = rows.select("row", "ids", "counted").mapInArrow(lambda it: _score_task(it, scorer), "row long, model double")
     rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.k")
     counted = rare.join(vocab.filter(F.col("n") < least), "word", "left")
     part = F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)
-    null = lambda t: F.lit(None).cast(t)
-    rest = counted.select("row", null(kind).alias("doc_id"), null("boolean").alias("held_out"), null("long").alias("n_tokens"), F.when(F.col("n") > 0, F.col("k")).otherwise(0).cast("long").alias("n_known"), part.alias("base"), part.alias("model"))
-    both = rows.drop("rest").unionByName(rest)
+    # One shuffle by row brings the model's scores and the rare words to the rows.
+    null = {"doc_id": kind, "held_out": "boolean", "n_tokens": "long", "n_known": "long", "base": "double", "model": "double"}
+    with_nulls = lambda d: d.select("row", *(F.col(c) if c in d.columns else F.lit(None).cast(t).alias(c) for c, t in null.items()))
+    rest = counted.select("row", F.when(F.col("n") > 0, F.col("k")).otherwise(0).cast("long").alias("n_known"), part.alias("base"), part.alias("model"))
+    both = with_nulls(rows).unionByName(with_nulls(scored)).unionByName(with_nulls(rest))
     summed = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("model").alias("model"))
     share = math.log10(n_all + 0.5 * (n_words + 1))
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * share).alias("base_score"), F.col("model").alias("score"))
