@@ -55,9 +55,11 @@ def join_hot(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFram
     ``total`` is the number of all rows, so at most ``HOT_KEYS`` keys have over
     ``total / HOT_KEYS`` of them: those are broadcast, and their rows stay where
     they are.  The rest is shuffled, and no key of it is large.  Rows without a
-    match go.
+    match go.  ``keys`` should be a written table: it's read twice.
     """
     many = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
+    if keys.filter(many).isEmpty():
+        return rows.join(keys, key)
     hot = F.broadcast(keys.filter(many))
     rest = rows.join(hot.select(key), key, "left_anti").join(keys.filter(~many), key)
     return rows.join(hot, key).unionByName(rest)

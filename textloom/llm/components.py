@@ -12,7 +12,7 @@ ROUNDS = 60
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
     """Edges with the least of ``u`` and its neighbours; the centres of large stars are not shuffled on."""
-    stars = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"), F.count("*").alias("n"))
+    stars = saved(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"), F.count("*").alias("n")))
     return join_hot(edges, stars, "u", total).drop("n")
 
 

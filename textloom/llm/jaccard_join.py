@@ -36,7 +36,7 @@ COORDINATES, SMALL, DEPTH = 64, 64, 3
 #: A sketch agreement that true links reach but for about 1 in 30,000 (four standard deviations).
 LIKELY = 0.6
 #: Members and shingles of a block, for comparing large buckets and groups.
-BLOCK, BLOCK_SHINGLES = 4_000, 1_000_000
+BLOCK, BLOCK_SHINGLES = 1_000, 1_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A = np.array([int.from_bytes(hashlib.blake2b(f"coordinate {i}".encode(), digest_size=8).digest(), "little") | 1 for i in range(COORDINATES)], np.uint64)
@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     level = saved(nodes.select("node", "mins").mapInArrow(lambda it: _paths(it, first), "path long, node long"))
     small, big = None, None
     for depth in range(DEPTH):
-        counted = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+        counted = saved(level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"))
         shared = saved(join_hot(level, counted, "path", level.count()).select("path", "node", "n"))
         part = shared.filter(F.col("n") <= SMALL).select("path", "node")
         small = part if small is None else small.unionByName(part)

@@ -87,14 +87,17 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     where = F.col(path).cast("string") if path in docs.columns else F.lit("")
     d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"), F.coalesce(where, F.lit("")).alias("path"))
+    # Most texts have no candidate: a look for each pattern's beginning comes first.
+    names = F.lower("text").rlike("passw|pwd|token|secret|key|auth|credential")
+    d = d.filter(F.col("text").rlike(LONG) | names | F.col("text").contains("://") | F.col("text").contains("PRIVATE KEY"))
     none = F.array().cast("array<struct<at:bigint,value:string>>")
     long = F.filter(_matches(LONG, 0, 0), lambda m: m["value"].rlike("[A-Za-z0-9]"))
     bare = lambda m: F.struct((m["at"] + 1).alias("at"), F.substr(m["value"], F.lit(2), F.length(m["value"]) - 2).alias("value"))
     assigned = F.transform(_matches(ASSIGNED, 1, 0), lambda m: F.when(m["value"].rlike("^([\"']).*\\1$"), bare(m)).otherwise(m))
-    assigned = F.when(F.lower("text").rlike("passw|pwd|token|secret|key|auth|credential"), assigned).otherwise(none)
+    assigned = F.when(names, assigned).otherwise(none)
     url = F.when(F.col("text").contains("://"), _matches(URL, 1, 1)).otherwise(none)
     private = F.when(F.col("text").contains("PRIVATE KEY"), _matches(PRIVATE, 0, 0)).otherwise(none)
-    d = d.withColumn("found", F.array_distinct(F.concat(long, assigned, url, private))).filter(F.size("found") > 0)
+    d = d.withColumn("found", F.array_distinct(F.concat(long, assigned, url, private)))
     around = F.transform(
         "found",
         lambda m: F.struct(
@@ -104,7 +107,8 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
             F.substr("text", (m["at"] + F.length(m["value"])).cast("int"), F.lit(AROUND)).alias("after"),
         ),
     )
-    one = d.select("row", "doc_id", "path", F.explode(around).alias("m")).select("row", "doc_id", "path", "m.*")
+    # The outer form, with its empty rows dropped behind: of the inner one the optimizer makes a filter that matches all patterns a second time.
+    one = d.select("row", "doc_id", "path", F.explode_outer(around).alias("m")).select("row", "doc_id", "path", "m.*").filter("value is not null")
     first = one.groupBy("row", "value").agg(F.min(F.struct("at", "doc_id", "path", "before", "after")).alias("m"), F.count("*").alias("occurrences"))
     return first.select("m.doc_id", "value", "m.at", "occurrences", "m.before", "m.after", "m.path")
 

@@ -37,9 +37,23 @@ def load(file: str):
     t = Tokenizer.from_file(file if "/" in file else public_tokenizers.path(file))
     t.no_padding()
     t.no_truncation()
+    _check(t, file)
     return t
 
 
+def _check(tokenizer, file: str) -> None:
+    """Raises unless the file asks for what ``splitter`` does: byte-level pieces by ``PATTERN``, special strings as they stand."""
+    import json
+
+    d = json.loads(tokenizer.to_str())
+    pre, model = d.get("pre_tokenizer") or {}, d["model"]
+    whole = all(not t[k] for t in d.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    plain = d.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    bpe = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not (whole and plain and bpe):
+        raise ValueError(f"{file}: only byte-level BPE with the public split pattern and plain special tokens is supported")
+
+
 def splitter(specials: list[str]):
     """A function that lists a text's pre-tokens, special strings whole."""
     import regex
