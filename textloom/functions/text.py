@@ -48,8 +48,8 @@ def tokens(text: Column | str) -> Column:
 
 
 def content_tokens(text: Column | str, stopwords: list[str] = STOPWORDS) -> Column:
-    stop = F.array(*map(F.lit, stopwords))
-    return F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
+    # Spark looks literals of a long list up in a hash set.
+    return F.filter(tokens(text), lambda t: ~t.isin(*stopwords))
 
 
 def sentences(text: Column) -> Column:

@@ -43,37 +43,68 @@ def candidate_pairs(items: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     return near.filter((F.col("a") < F.col("b")) & (F.abs(F.datediff("day", "day_b")) <= days)).select("a", "b")
 
 
-def similar_pairs(items: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
-    """(a, b, cosine) of the candidate pairs that share a term.
+def similar_pairs(items: DataFrame, days: int = WINDOW_DAYS, least: float = 0.3, weights: DataFrame | None = None) -> DataFrame:
+    """(a, b, cosine) of the candidate pairs with a cosine of ``least`` or more.
 
-    Weights join on block and term, so only pairs of a block that share a term meet.
+    Prefix-filtered: terms are ordered by rarity, and an item's prefix ends where
+    the rest of its vector is shorter than ``least``.  Such a pair shares a term
+    of both prefixes, so only rare terms meet in the join on block and term;
+    each pair that does is then computed over whole vectors.
     """
-    v = tfidf(items, "doc_id", "transcript_text")
-    block = items.select("doc_id", "person_name", F.to_date("publish_date").alias("day"))
+    v = weights if weights is not None else tfidf(items, "doc_id", "transcript_text")
+    df = v.groupBy("term").agg(F.count("*").alias("df"))
+    rare_first = Window.partitionBy("doc_id").orderBy("df", "term")
+    left = 1 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    prefix = v.join(df, "term").withColumn("left", left).filter(F.col("left") >= least * least - 1e-9).select("doc_id", "term")
+    block = items.select("doc_id", "person_name", F.to_date("publish_date").alias("day")).filter("person_name <> '' and day is not null")
     block = block.withColumn("bucket", F.floor(F.unix_date("day") / (days + 1)))
-    left = v.join(block, "doc_id").select(F.col("doc_id").alias("a"), "term", F.col("weight").alias("wa"), "person_name", "day", "bucket")
-    right = v.join(block, "doc_id").select(F.col("doc_id").alias("b"), "term", F.col("weight").alias("wb"), "person_name", F.col("day").alias("day_b"), F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
-    j = left.join(right, ["person_name", "bucket", "term"]).filter((F.col("a") < F.col("b")) & (F.abs(F.datediff("day", "day_b")) <= days))
-    return j.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    near = prefix.join(block, "doc_id")
+    right = near.select("person_name", "term", F.col("doc_id").alias("b"), F.col("day").alias("day_b"), F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
+    j = near.withColumnRenamed("doc_id", "a").join(right, ["person_name", "bucket", "term"]).filter((F.col("a") < F.col("b")) & (F.abs(F.datediff("day", "day_b")) <= days))
+    pairs = j.select("a", "b").distinct()
+    x, y = v.select(F.col("doc_id").alias("a"), "term", F.col("weight").alias("wa")), v.select(F.col("doc_id").alias("b"), "term", F.col("weight").alias("wb"))
+    cosine = pairs.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    return cosine.filter(F.col("cosine") >= least)
 
 
 def clusters(items: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(node, root) of items in clusters of two or more."""
-    links = similar_pairs(items).filter(F.col("cosine") >= least)
+    links = similar_pairs(items, least=least)
     return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def canonical_choice(clustered: DataFrame, items: DataFrame, coded: DataFrame) -> DataFrame:
-    """One canonical item a cluster and why: coded and longest, longest, most viewed, least key."""
-    d = clustered.join(items.select(F.col("doc_id").alias("node"), F.length("transcript_text").alias("size"), F.coalesce(T.numeric(F.col("view_count")), F.lit(-1.0)).alias("views")), "node")
+    """One canonical item a cluster and why: the coded one (of several the longest, a conflict), else the longest, the most viewed, the least key."""
+    d = clustered.join(items.select(F.col("doc_id").alias("node"), T.word_count("transcript_text").alias("size"), F.coalesce(T.numeric(F.col("view_count")), F.lit(-1.0)).alias("views")), "node")
     d = d.join(coded.select(F.col("doc_id").alias("node"), F.lit(1).alias("coded")).distinct(), "node", "left").na.fill(0, ["coded"])
-    w = Window.partitionBy("root").orderBy(F.desc("coded"), F.desc("size"), F.desc("views"), "node")
+    # Among coded items views don't count.
+    views = F.when(F.col("coded") == 1, 0).otherwise(F.col("views"))
     by = Window.partitionBy("root")
+    w = by.orderBy(F.desc("coded"), F.desc("size"), F.desc(views), "node")
     d = d.withColumns({"k": F.row_number().over(w), "n_coded": F.sum("coded").over(by), "members": F.count("*").over(by), "same": F.count("*").over(Window.partitionBy("root", "size")), "n_views": F.count("*").over(Window.partitionBy("root", "size", "views"))})
-    reason = F.when(F.col("n_coded") > 1, "coded_conflict").when(F.col("n_coded") == 1, "coded").when(F.col("same") == 1, "longest").when(F.col("n_views") == 1, "most_viewed").otherwise("smallest_key")
+    reason = F.when(F.col("n_coded") > 1, "canonical_conflict").when(F.col("n_coded") == 1, "has_active_codes").when(F.col("same") == 1, "longest_text").when(F.col("n_views") == 1, "highest_view_count").otherwise("tiebreak_id")
     return d.filter("k = 1").select(F.col("root").alias("cluster_id"), F.col("node").alias("canonical"), "members", reason.alias("reason"))
 
 
+def cluster_cohesion(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """(root, lowest, mean): lowest and mean similarity over all pairs of each cluster (node, root), in or out of the date window.
+
+    Means need no pair rows: the sum over pairs is (|sum of vectors|² - members) / 2;
+    the minimum is over the pairs of a cluster that share a term, and zero if one shares none.
+    """
+    c = members.withColumnRenamed("node", "doc_id")
+    v = weights.join(c, "doc_id")
+    n = c.groupBy("root").agg(F.count("*").alias("n"))
+    total = v.groupBy("root", "term").agg(F.sum("weight").alias("s")).groupBy("root").agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
+    norm = v.groupBy("root").agg(F.sum(F.col("weight") * F.col("weight")).alias("own"))
+    a, b = v.select("root", F.col("doc_id").alias("a"), "term", F.col("weight").alias("wa")), v.select("root", F.col("doc_id").alias("b"), "term", F.col("weight").alias("wb"))
+    pairs = a.join(b, ["root", "term"]).filter("a < b").groupBy("root", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    low = pairs.groupBy("root").agg(F.min("cosine").alias("low"), F.count("*").alias("met"))
+    m = F.col("n") * (F.col("n") - 1) / 2
+    lowest = F.when(F.coalesce("met", F.lit(0)) < m, 0.0).otherwise(F.col("low"))
+    return n.join(total, "root").join(norm, "root").join(low, "root", "left").select("root", m.cast("long").alias("pairs"), lowest.alias("lowest"), ((F.col("s2") - F.col("own")) / 2 / m).alias("mean"))
+
+
 _STOP = ", ".join(repr(w) for w in T.STOPWORDS)
 _TFIDF = rf"""tok as (select doc_id, list_filter(regexp_extract_all(lower(transcript_text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x not in ({_STOP})) as w from items),
     tm as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from tok), tf as (select doc_id, term, count(*) as tf from tm group by 1, 2),
@@ -106,27 +137,16 @@ def q_clusters(items):
 
 @query("m4_cohesion", "items", oracle=f"with recursive {_TFIDF}, {_PAIRS}, {_SIM}, {_CC}, p as (select x.root, x.node as a, y.node as b from cl x join cl y on x.root = y.root and x.node < y.node) select root, count(*)::bigint as pairs, round(min(coalesce(cosine, 0)), 6) as lowest, round(avg(coalesce(cosine, 0)), 6) as mean from (select root, a, b, (select sum(m.weight * n.weight) from v m join v n on m.term = n.term where m.doc_id = a and n.doc_id = b) as cosine from p) group by 1")
 def cohesion(items):
-    """Lowest and mean similarity over all pairs of a cluster, in or out of the date window.
+    v = tfidf(items, "doc_id", "transcript_text")
+    return cluster_cohesion(clusters(items), v).select("root", "pairs", F.round("lowest", 6).alias("lowest"), F.round("mean", 6).alias("mean"))
 
-    Means need no pair rows: the sum over pairs is (|sum of vectors|² - members) / 2;
-    the minimum is over the pairs of a cluster that share a term, and zero if one shares none.
-    """
-    c = clusters(items).withColumnRenamed("node", "doc_id")
-    v = tfidf(items, "doc_id", "transcript_text").join(c, "doc_id")
-    n = c.groupBy("root").agg(F.count("*").alias("n"))
-    total = v.groupBy("root", "term").agg(F.sum("weight").alias("s")).groupBy("root").agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
-    norm = v.groupBy("root", "doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("own")).groupBy("root").agg(F.sum("own").alias("own"))
-    a, b = v.select("root", F.col("doc_id").alias("a"), "term", F.col("weight").alias("wa")), v.select("root", F.col("doc_id").alias("b"), "term", F.col("weight").alias("wb"))
-    pairs = a.join(b, ["root", "term"]).filter("a < b").groupBy("root", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    low = pairs.groupBy("root").agg(F.min("cosine").alias("low"), F.count("*").alias("met"))
-    m = F.col("n") * (F.col("n") - 1) / 2
-    lowest = F.when(F.coalesce("met", F.lit(0)) < m, 0.0).otherwise(F.col("low"))
-    return n.join(total, "root").join(norm, "root").join(low, "root", "left").select("root", m.cast("long").alias("pairs"), F.round(lowest, 6).alias("lowest"), F.round((F.col("s2") - F.col("own")) / 2 / m, 6).alias("mean"))
+
+_CANONICAL = rf"""select root as cluster_id, node as canonical, members::bigint as members, case when n_coded > 1 then 'canonical_conflict' when n_coded = 1 then 'has_active_codes' when same = 1 then 'longest_text' when same_views = 1 then 'highest_view_count' else 'tiebreak_id' end as reason
+    from (select *, sum(coded) over (partition by root) as n_coded, count(*) over (partition by root) as members, count(*) over (partition by root, size) as same, count(*) over (partition by root, size, views) as same_views, row_number() over (partition by root order by coded desc, size desc, case when coded = 1 then 0 else views end desc, node) as k
+      from (select cl.*, len(regexp_extract_all(transcript_text, '[^{T.WS}]+')) as size, coalesce(try_cast(view_count as double), -1) as views, case when node in (select doc_id from codes where deleted_at is null) then 1 else 0 end as coded from cl join items on doc_id = node)) where k = 1"""
 
 
-@query("m5_canonical", "items", "codes", oracle=f"""with recursive {_TFIDF}, {_PAIRS}, {_SIM}, {_CC}, d as (select cl.*, length(transcript_text) as size, coalesce(try_cast(view_count as double), -1) as views, case when node in (select doc_id from codes where deleted_at is null) then 1 else 0 end as coded from cl join items on doc_id = node),
-    e as (select *, sum(coded) over (partition by root) as n_coded, count(*) over (partition by root) as members, count(*) over (partition by root, size) as same, count(*) over (partition by root, size, views) as same_views, row_number() over (partition by root order by coded desc, size desc, views desc, node) as k from d)
-    select root as cluster_id, node as canonical, members::bigint as members, case when n_coded > 1 then 'coded_conflict' when n_coded = 1 then 'coded' when same = 1 then 'longest' when same_views = 1 then 'most_viewed' else 'smallest_key' end as reason from e where k = 1""")
+@query("m5_canonical", "items", "codes", oracle=f"with recursive {_TFIDF}, {_PAIRS}, {_SIM}, {_CC}, ca as ({_CANONICAL}) select * from ca")
 def q_canonical(items, codes):
     return canonical_choice(clusters(items), items, codes.filter("deleted_at is null"))
 

@@ -93,14 +93,6 @@ def round_ledger(model_runs, round_decisions):
     return d.groupBy(F.col("round").cast("long").alias("round")).agg(F.array_join(F.sort_array(F.collect_list("model_version")), ",").alias("runs"), F.bool_and(F.col("round") <= F.size("ends")).alias("closed"))
 
 
-@query("f14_iteration_status", "codes", "model_runs", oracle="""select case when (select max(trained_at) from model_runs) is null then 'train' when (select count(*) from codes where created_at > (select max(trained_at) from model_runs)) >= 10 then 'retrain' else 'review' end as step""")
-def iteration_status(codes, model_runs, enough: int = 10):
-    """Next step of the coding loop from label changes since the last run."""
-    last = model_runs.agg(F.max("trained_at").alias("last"))
-    n = codes.crossJoin(F.broadcast(last)).agg(F.count_if(F.col("created_at") > F.col("last")).alias("n"), F.max("last").alias("seen"))
-    return n.select(F.when(F.col("seen").isNull(), "train").when(F.col("n") >= enough, "retrain").otherwise("review").alias("step"))
-
-
 @query("d19_dataset_status", "items", "dataset_status", oracle="select distinct dataset_id from items where dataset_id not in (select dataset_id from dataset_status)")
 def active_datasets(items, dataset_status):
     return items.select("dataset_id").distinct().join(F.broadcast(dataset_status.select("dataset_id")), "dataset_id", "left_anti")

@@ -12,13 +12,6 @@ from textloom.operators.ranking import _LATEST, latest_runs
 from textloom.registry import query
 
 
-@query("p6_highlight", "items", oracle=r"select item_id, regexp_replace(transcript_text, '(tion|ing)', '<mark>\1</mark>', 'g') as marked from items")
-def highlight(items, terms=("ing", "tion")):
-    """Terms in marks, the longest first."""
-    pattern = "|".join(sorted(terms, key=lambda t: (-len(t), t)))
-    return items.select("item_id", F.regexp_replace("transcript_text", f"({pattern})", "<mark>$1</mark>").alias("marked"))
-
-
 @query("p20_gold_tag", "items", "item_reviews", "labels", oracle="""select item_id, case when item_id in (select item_id from item_reviews where unmarked_at is null and read_in_full_confirmed_at is not null) then 'read_in_full' when doc_id in (select doc_id from labels where quality = 1) then 'positives_only' else '' end as tag from items""")
 def gold_tag(items, item_reviews, labels):
     read = item_reviews.filter("unmarked_at is null and read_in_full_confirmed_at is not null").select("item_id").distinct().withColumn("read", F.lit(True))
@@ -98,14 +91,6 @@ def top_terms(documents, top: int = 20):
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term")).cast("long")).filter(F.col("rank") <= top)
 
 
-@query("m6_attention", "auto_duplicates", "codes", oracle="""with c as (select doc_id from codes where deleted_at is null), d as (select canonical_id, count(*) filter (doc_id in (select doc_id from c)) as coded, bool_or(doc_id in (select doc_id from c) and not is_canonical) as loose from auto_duplicates group by 1)
-    select canonical_id, case when coded > 1 then 'canonical_conflict' when loose then 'coded_non_canonical' else '' end as flag from d""")
-def attention(auto, codes):
-    c = codes.filter("deleted_at is null").select("doc_id").distinct().withColumn("coded", F.lit(True))
-    d = auto.join(c, "doc_id", "left").groupBy("canonical_id").agg(F.count_if("coded").alias("n"), F.bool_or(F.coalesce("coded", F.lit(False)) & ~F.col("is_canonical")).alias("loose"))
-    return d.select("canonical_id", F.when(F.col("n") > 1, "canonical_conflict").when(F.col("loose"), "coded_non_canonical").otherwise("").alias("flag"))
-
-
 @query("m14_missing_embeddings", "segments", "embeddings", oracle="select segment_id from segments where doc_id not in (select vec_id from embeddings)")
 def missing_embeddings(segments, embeddings):
     return segments.join(embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("segment_id")

@@ -10,50 +10,63 @@ from textloom.operators.labels import _NEG, _POS, _REJ, _UP, _J, closure, positi
 from textloom.plans.graph import written
 from textloom.registry import query
 
-def _in_turn_order():
-    return Window.partitionBy("item_id").orderBy("turn_index")
+_NAMES = """case when turn_index % 9 = 2 then 'Speaker ' || turn_index when turn_index % 9 = 4 then 'The Narrator' when turn_index % 9 = 5 then ' unknown person' when turn_index % 9 = 7 then 'Anna Unknown' else speaker_name end"""
+_ROLE = """case when n = 'assistant' then 'answer' when regexp_matches(lower(trim(n)), 'narrator|^unknown|^speaker\\s*[0-9]+$') then 'other' else 'question' end"""
+_NAMED = f"nt as (select item_id, turn_index, content, {_ROLE.replace('n =', 'nm =').replace('(n)', '(nm)')} as r from (select *, {_NAMES} as nm from turns))"
 
 
-@query("p18_speaker_roles", "turns", oracle="select item_id, turn_index, case when speaker_name = 'assistant' then 'answer' when regexp_matches(lower(speaker_name), '^(narrator|unknown|system|speaker [0-9]+)$') then 'other' else 'question' end as role from turns")
-def speaker_roles(turns, executives=("assistant",)):
-    return turns.select("item_id", "turn_index", _role(executives).alias("role"))
+def speaker_role(name="speaker_name", executives=("assistant",)):
+    """answer for the executives, other for narrators, unknown speakers and numbered ones, question for everyone else, also the unnamed."""
+    n = F.coalesce(F.col(name), F.lit(""))
+    other = F.lower(T.strip(n)).rlike(r"narrator|\Aunknown|\Aspeaker\s*\d+\z")
+    return F.when(n.isin(*executives), "answer").when(other, "other").otherwise("question")
 
 
-def _role(executives=("assistant",)):
-    name = F.col("speaker_name")
-    return F.when(name.isin(*executives), "answer").when(F.lower(name).rlike(r"^(narrator|unknown|system|speaker \d+)$") | name.isNull(), "other").otherwise("question")
+def named(turns: DataFrame) -> DataFrame:
+    """Turns of which some have other speakers: numbered, narrators, unknown."""
+    k, n = F.col("turn_index") % 9, F.col("turn_index").cast("string")
+    name = F.when(k == 2, F.concat(F.lit("Speaker "), n)).when(k == 4, "The Narrator").when(k == 5, " unknown person").when(k == 7, "Anna Unknown").otherwise(F.col("speaker_name"))
+    return turns.withColumn("speaker_name", name)
 
 
-@query("p19_coding_scope", "turns", oracle=r"""select item_id, turn_index, case when r = 'other' then 'excluded_other' when r = 'answer' and n < 5 then 'rule_non_substantive' when r = 'answer' then 'llm' else 'context_only' end as scope
-    from (select *, case when speaker_name = 'assistant' then 'answer' when speaker_name = 'system' then 'other' else 'question' end as r, len(regexp_extract_all(content, '\S+')) as n from turns)""")
-def coding_scope(turns):
-    r, n = _role(), T.word_count("content")
+@query("p18_speaker_roles", "turns", oracle=f"with {_NAMED} select item_id, turn_index, r as role from nt")
+def speaker_roles(turns):
+    return named(turns).select("item_id", "turn_index", speaker_role().alias("role"))
+
+
+_SCOPE = rf"sc as (select item_id, turn_index, n, case when r = 'other' then 'excluded_other' when r = 'answer' and n < 5 then 'rule_non_substantive' when r = 'answer' then 'llm' else 'context_only' end as scope from (select *, len(regexp_extract_all(content, '[^{T.WS}]+')) as n from nt))"
+
+
+def coding_scope(turns: DataFrame) -> DataFrame:
+    r, n = speaker_role(), T.word_count("content")
     kind = F.when(r == "other", "excluded_other").when((r == "answer") & (n < 5), "rule_non_substantive").when(r == "answer", "llm").otherwise("context_only")
-    return turns.select("item_id", "turn_index", kind.alias("scope"))
+    return turns.select("item_id", "turn_index", kind.alias("scope"), n.alias("words"))
+
 
+@query("p19_coding_scope", "turns", oracle=f"with {_NAMED}, {_SCOPE} select item_id, turn_index, scope from sc")
+def q_coding_scope(turns):
+    return coding_scope(named(turns)).drop("words")
 
-@query("a31_scope_report", "turns", oracle=r"""select case when r = 'other' then 'excluded_other' when r = 'answer' and n < 5 then 'rule_non_substantive' when r = 'answer' then 'llm' else 'context_only' end as scope, count(*)::bigint as turns, sum(n)::bigint as words
-    from (select case when speaker_name = 'assistant' then 'answer' when speaker_name = 'system' then 'other' else 'question' end as r, len(regexp_extract_all(content, '[^\s\x{00a0}]+')) as n from turns) group by 1""")
+
+@query("a31_scope_report", "turns", oracle=f"with {_NAMED}, {_SCOPE} select scope, count(*)::bigint as turns, sum(n)::bigint as words from sc group by 1")
 def scope_report(turns):
-    d = coding_scope(turns).join(turns.select("item_id", "turn_index", T.word_count("content").alias("n")), ["item_id", "turn_index"])
-    return d.groupBy("scope").agg(F.count("*").alias("turns"), F.sum("n").alias("words"))
+    return coding_scope(named(turns)).groupBy("scope").agg(F.count("*").alias("turns"), F.sum("words").alias("words"))
 
 
-@query("j12_question_of_answer", "turns", oracle="""select item_id, turn_index, last_value(case when speaker_name = 'user' then turn_index end ignore nulls) over (partition by item_id order by turn_index rows between unbounded preceding and 1 preceding) as question,
-    coalesce(lag(turn_index) over (partition by item_id order by turn_index)::varchar, item_id) as parent from turns qualify speaker_name = 'assistant'""")
-def question_of_answer(turns):
-    """For each answer the last question before it, and the previous turn (else the item) as its parent."""
-    q = F.last(F.when(_role() == "question", F.col("turn_index")), ignorenulls=True).over(_in_turn_order().rowsBetween(Window.unboundedPreceding, -1))
-    parent = F.coalesce(F.lag("turn_index").over(_in_turn_order()).cast("string"), "item_id")
-    return turns.withColumns({"question": q, "parent": parent}).filter(_role() == "answer").select("item_id", "turn_index", "question", "parent")
+@query("j12_question_of_answer", "turns", oracle=f"""with {_NAMED}, q as (select *, last_value(case when r = 'question' then turn_index end ignore nulls) over (partition by item_id order by turn_index rows between unbounded preceding and 1 preceding) as question, lag(turn_index) over (partition by item_id order by turn_index) as before from nt)
+    select item_id, turn_index, case when r = 'answer' then question end as question, coalesce(case when r = 'answer' then question end, before)::varchar as parent_turn, coalesce(coalesce(case when r = 'answer' then question end, before)::varchar, item_id) as parent from q""")
+def q_parents(turns):
+    return parents(named(turns))
 
 
-@query("j19_shared_urls", "pages", oracle="""with d as (select page_id, regexp_replace(url, '[0-9]+', '', 'g') as u from pages), f as (select u, min(page_id) as a, max(page_id) as b, count(*)::bigint as n from d group by 1) select page_id, n - 1 as others, case when page_id = a then b else a end as another from d join f using (u) where n > 1""")
-def shared_urls(pages):
-    """Pages whose address others have too: how many, and the first or last other one."""
-    d = pages.select("page_id", F.regexp_replace("url", "[0-9]+", "").alias("u")).filter("u <> ''")
-    f = d.groupBy("u").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    return d.join(f, "u").select("page_id", (F.col("n") - 1).alias("others"), F.when(F.col("page_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("another"))
+def parents(turns: DataFrame) -> DataFrame:
+    """Every turn's parent: an answer's is the last question before it, others' (and answers' without one) the turn before, else the item."""
+    w = Window.partitionBy("item_id").orderBy("turn_index")
+    d = turns.withColumn("role", speaker_role())
+    q = F.last(F.when(F.col("role") == "question", F.col("turn_index")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("question", q).withColumn("before", F.lag("turn_index").over(w)).withColumn("question", F.when(F.col("role") == "answer", F.col("question")))
+    above = F.coalesce("question", "before").cast("string")
+    return d.select("item_id", "turn_index", "question", above.alias("parent_turn"), F.coalesce(above, "item_id").alias("parent"))
 
 
 def _tiers(codes, negatives, item_reviews, none_confirmations, segments, themes) -> DataFrame:
@@ -130,16 +143,6 @@ def import_summary(turns):
     return turns.agg(F.count("*").alias("turns"), F.countDistinct("item_id").alias("items"), F.array_join(F.sort_array(F.collect_set("speaker_name")), ", ").alias("speakers"))
 
 
-@query("s17_reply_tree", "orders", oracle="""with recursive c as (select o_orderkey as id, case when o_orderkey % 7 = 0 then null else o_orderkey - o_orderkey % 7 + (o_orderkey % 7 - 1) // 2 end as parent from orders where o_orderkey > 0),
-    w as (select id, 0 as depth, lpad(id::varchar, 12, '0') as path from c where parent is null union all select c.id, w.depth + 1, w.path || '/' || lpad(c.id::varchar, 12, '0') from w join c on c.parent = w.id)
-    select id, depth::bigint as depth, path from w""")
-def reply_tree(orders):
-    """Comments in depth-first order by sort path; those whose parent is missing are not reached."""
-    key = F.col("o_orderkey")
-    c = orders.filter("o_orderkey > 0").select(key.alias("id"), F.when(key % 7 == 0, None).otherwise(key - key % 7 + F.floor((key % 7 - 1) / 2)).alias("parent"))
-    return tree_paths(c)
-
-
 def tree_paths(comments: DataFrame) -> DataFrame:
     """(id, depth, path) of comments (id, parent) from the roots down, one join and one written table a level, as deep as they go."""
     name = F.lpad(F.col("id").cast("string"), 12, "0")
@@ -180,13 +183,6 @@ def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     return old.join(new.select(*key), list(key), "left_anti").unionByName(new)
 
 
-@query("k9_score_cube", "predictions", "model_runs", "codes", "themes", oracle=f"with recursive {_UP}, {_POS} select p.segment_id, p.theme_id, p.model_version, score, score >= threshold as above, (p.theme_id, p.segment_id) in (select theme_id, segment_id from pos) as coded from predictions p join model_runs using (model_version, theme_id)")
-def score_cube(predictions, model_runs, codes, themes):
-    pos = positives(codes, closure(themes)).withColumn("coded", F.lit(True))
-    d = predictions.join(F.broadcast(model_runs.select("model_version", "theme_id", "threshold")), ["model_version", "theme_id"]).join(pos, ["theme_id", "segment_id"], "left")
-    return d.select("segment_id", "theme_id", "model_version", "score", (F.col("score") >= F.col("threshold")).alias("above"), F.coalesce("coded", F.lit(False)).alias("coded"))
-
-
 @query("a32_last_wins", "codes", oracle="select segment_id, arg_max(theme_id, code_id) as theme_id, max(code_id) as code_id from codes group by 1")
 def last_wins(codes):
     return codes.groupBy("segment_id").agg(F.max_by("theme_id", "code_id").alias("theme_id"), F.max("code_id").alias("code_id"))

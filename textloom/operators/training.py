@@ -1,23 +1,30 @@
-"""Theme classifiers with Spark's JVM learners: TF-IDF, balanced logistic regression, out-of-fold scores."""
+"""Theme classifiers with Spark's JVM learners: TF-IDF or embeddings, balanced logistic regression, calibration inside every fold."""
 
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators.corpus import PARTS, scope
 from textloom.operators.labels import training_labels
+from textloom.operators.ranking import curve
 from textloom.plans.graph import written
 from textloom.registry import query
 
-FOLDS, MAX_FEATURES, LEAST_DF = 5, 5000, 2
+FOLDS, INNER, MAX_FEATURES, LEAST_DF, TERMS = 5, 3, 5000, 2, 20
+#: Positives that a theme needs for words and for embeddings, and judged negatives.
+LEAST_POS, TRUST_POS, LEAST_NEG = 25, 150, 50
+#: Models that are fitted at the same time.
+AT_ONCE = 6
 
 
 def vectors(segments: DataFrame, max_features: int = MAX_FEATURES) -> tuple[DataFrame, list[str]]:
@@ -34,43 +41,201 @@ def vectors(segments: DataFrame, max_features: int = MAX_FEATURES) -> tuple[Data
 
 
 def fit(rows: DataFrame):
-    """A balanced logistic regression; every class weighs the same."""
-    n = rows.groupBy("y").agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*").alias("total"))
-    d = rows.join(F.broadcast(n), "y").crossJoin(F.broadcast(total)).withColumn("weight", F.col("total") / (2 * F.col("n")))
-    size = max(1, rows.count())
-    return LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1.0 / size, standardization=False, maxIter=50).fit(d)
+    """A balanced logistic regression (features, y): every class weighs the same, penalty as with C = 1."""
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    total = sum(n.values())
+    weight = F.when(F.col("y") == 1, total / (2 * max(1, n.get(1.0, 0)))).otherwise(total / (2 * max(1, n.get(0.0, 0))))
+    return LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1.0 / max(1, total), standardization=False, maxIter=50).fit(rows.withColumn("weight", weight))
 
 
 def margin(model, rows: DataFrame, name: str) -> DataFrame:
     return model.transform(rows).withColumn(name, vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def train_theme(segments: DataFrame, labelled: DataFrame, folds: int = FOLDS) -> tuple[DataFrame, list[tuple[str, float]]]:
-    """Scores of all segments (segment_id, score, oof_score) and the terms with their weights.
+def platt(held: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of a sigmoid on margins (m, y), with targets drawn in a little so that few rows don't make it a step."""
+    n = held.agg(F.coalesce(F.sum("y"), F.lit(0.0)).alias("pos"), F.count("*").alias("n")).first()
+    high, low = (n.pos + 1) / (n.pos + 2), 1 / (n.n - n.pos + 2)
+    target = F.when(F.col("y") == 1, high).otherwise(low)
+    soft = held.select("m", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w")))).alias("s")).select("m", "s.*")
+    model = LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", maxIter=50).fit(VectorAssembler(inputCols=["m"], outputCol="v").transform(soft))
+    return model.coefficients[0], model.intercept
 
-    Folds go by hash rank inside each class; out-of-fold margins are calibrated
-    by a one-feature logistic regression (Platt), and so are the others.
+
+def _fold(seed: str, n: int) -> Column:
+    return F.pmod(F.xxhash64("segment_id", F.lit(seed)), F.lit(n))
+
+
+def _both(rows: DataFrame) -> bool:
+    return rows.select("y").distinct().count() == 2
+
+
+def _together(calls: list):
+    """The calls' results; each runs Spark jobs of its own, so some run side by side."""
+    with ThreadPool(min(AT_ONCE, max(1, len(calls)))) as pool:
+        return pool.map(inheritable_thread_target(lambda f: f()), calls)
+
+
+def calibrated(rows: DataFrame, seed: str) -> list[tuple]:
+    """(model, slope, intercept) for each inner fold: fitted on the others and calibrated on that one, which it hasn't seen."""
+
+    def one(k):
+        train, held = rows.filter(_fold(seed, INNER) != k), rows.filter(_fold(seed, INNER) == k)
+        if not _both(train):
+            return None
+        model = fit(train)
+        return (model, *platt(margin(model, held, "m").select("m", "y")))
+
+    return [m for m in (one(k) for k in range(INNER)) if m]
+
+
+def chance(models: list[tuple], rows: DataFrame, name: str) -> DataFrame:
+    """The mean of the models' calibrated probabilities."""
+    total = F.lit(0.0)
+    for k, (model, a, b) in enumerate(models):
+        rows = margin(model, rows, f"m{k}")
+        total = total + 1 / (1 + F.exp(-(a * F.col(f"m{k}") + b)))
+    return rows.withColumn(name, total / max(1, len(models))).drop(*(f"m{k}" for k in range(len(models))))
+
+
+def metrics(scored: DataFrame) -> dict:
+    """Average precision and the threshold with the best F1 (the lowest of equals) of (score, y)."""
+    c = curve(scored.select(F.lit("t").alias("theme_id"), "score", "y")).filter("all_pos > 0")
+    p, r = F.col("tp") / F.col("k"), F.col("tp") / F.col("all_pos")
+    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    best = F.struct(F.round(f1, 12).alias("f1"), (-F.col("score")).alias("s"), p.alias("p"), r.alias("r"))
+    row = c.agg(F.sum(F.col("pos") / F.col("all_pos") * p).alias("ap"), F.max(best).alias("b")).first()
+    if row.b is None:
+        return {"pr_auc": None, "threshold": 0.5, "precision": 0.0, "recall": 0.0, "f1": 0.0}
+    return {"pr_auc": row.ap, "threshold": -row.b.s, "precision": row.b.p, "recall": row.b.r, "f1": row.b.f1}
+
+
+def train_rows(x: DataFrame, labelled: DataFrame) -> tuple[dict, DataFrame, list]:
+    """A theme from feature rows (segment_id, features) and labels (segment_id, y).
+
+    Every outer fold's scores come from models that saw none of its rows, not
+    even for their calibration; the final models are fitted in the same way on
+    all rows.  Folds go by hash, so classes are spread about evenly.  Returns the
+    metrics over out-of-fold scores, (segment_id, score, oof_score) of all rows
+    of ``x``, and the final models.
     """
-    x, terms = vectors(segments)
-    x = written(x)
-    by = Window.partitionBy("y").orderBy(F.md5("segment_id"))
-    rows = written(x.join(labelled, "segment_id").withColumn("y", F.col("y").cast("double")).withColumn("fold", F.row_number().over(by) % folds))
-    held = None
-    for k in range(folds):
-        part = margin(fit(rows.filter(F.col("fold") != k)), rows.filter(F.col("fold") == k), "m").select("segment_id", "y", "m")
-        held = part if held is None else held.unionByName(part)
+    rows = written(x.join(labelled.select("segment_id", F.col("y").cast("double").alias("y")), "segment_id"))
+
+    def outer(k):
+        train = rows.filter(_fold("outer", FOLDS) != k)
+        return chance(calibrated(train, f"inner{k}"), rows.filter(_fold("outer", FOLDS) == k), "oof_score").select("segment_id", "y", "oof_score")
+
+    *parts, final = _together([*(lambda k=k: outer(k) for k in range(FOLDS)), lambda: calibrated(rows, "final")])
+    held = parts[0]
+    for p in parts[1:]:
+        held = held.unionByName(p)
     held = written(held)
-    platt = LogisticRegression(featuresCol="v", labelCol="y").fit(VectorAssembler(inputCols=["m"], outputCol="v").transform(held))
-    a, b = platt.coefficients[0], platt.intercept
-    chance = lambda c: 1 / (1 + F.exp(-(a * F.col(c) + b)))
-    full = fit(rows)
-    scores = margin(full, x, "m").select("segment_id", F.round(chance("m"), 9).alias("score"))
-    oof = held.select("segment_id", F.round(chance("m"), 9).alias("oof_score"))
-    return scores.join(oof, "segment_id", "left"), sorted(zip(terms, map(float, full.coefficients)), key=lambda t: -t[1])
-
-
-@query("m9_train_theme", *PARTS, "codes", "negatives", "item_reviews", "none_confirmations", "themes")
-def q_train(segments, dataset_status, auto, overrides, codes, negatives, item_reviews, none_confirmations, themes, theme="s__toxic"):
-    y = training_labels("reviewed", codes, negatives, item_reviews, none_confirmations, segments, themes).filter(F.col("theme_id") == theme).select("segment_id", "y")
-    return train_theme(scope(segments, dataset_status, auto, overrides), y)[0]
+    n = {r.y: r.n for r in held.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    found = {"n_pos": n.get(1.0, 0), "n_neg": n.get(0.0, 0)} | metrics(held.withColumnRenamed("oof_score", "score"))
+    scores = chance(final, x, "score").select("segment_id", F.round("score", 9).alias("score"))
+    return found, scores.join(held.select("segment_id", F.round("oof_score", 9).alias("oof_score")), "segment_id", "left"), final
+
+
+def top_terms(models: list[tuple], terms: list[str], most: int = TERMS) -> list[tuple[str, str, float, int]]:
+    """(direction, term, weight, rank) of the terms with the highest and the lowest mean weight."""
+    mean = [sum(float(m.coefficients[i]) for m, _, _ in models) / max(1, len(models)) for i in range(len(terms))]
+    order = sorted(range(len(terms)), key=lambda i: (-mean[i], terms[i]))
+    return [("positive", terms[i], mean[i], k) for k, i in enumerate(order[:most], 1)] + [("negative", terms[i], mean[i], k) for k, i in enumerate(order[::-1][:most], 1)]
+
+
+_RUN = "theme_id string, status string, n_pos long, n_neg long, precision double, recall double, f1 double, pr_auc double, threshold double"
+
+
+def training_pass(segments: DataFrame, labels: DataFrame, themes: DataFrame, mode: str = "reviewed", least_pos: int = LEAST_POS, features: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass over the active themes: a row a theme with status and metrics; scores of every segment; top terms.
+
+    Features are made once, over the whole scope, so a theme scores alike
+    whatever it's trained with.  ``labels``: theme_id, segment_id, y.  Themes
+    with too few labels are skipped, and their status says what is missing.
+    ``features`` (segment_id, features) takes the place of word features; then
+    there are no terms.
+    """
+    spark = segments.sparkSession
+    x, terms = (features, None) if features is not None else vectors(segments)
+    x = written(x)
+    own = written(labels.join(x.select("segment_id"), "segment_id", "left_semi"))
+    n = {r.theme_id: (r.p, r.n) for r in own.groupBy("theme_id").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).collect()}  # a codebook
+    runs, scored, found_terms = [], None, []
+    for t in sorted(r.theme_id for r in themes.filter("status = 'active'").select("theme_id").collect()):
+        pos, neg = n.get(t, (0, 0))
+        status = "skipped_insufficient_positives" if least_pos == LEAST_POS else "skipped_below_trust_floor"
+        if pos >= least_pos:
+            status = "skipped_insufficient_negatives" if mode != "all_uncoded" and neg < LEAST_NEG or not neg else "trained"
+        if status != "trained":
+            runs.append((t, status, pos, neg, None, None, None, None, None))
+            continue
+        m, s, models = train_rows(x, own.filter(F.col("theme_id") == t))
+        runs.append((t, status, m["n_pos"], m["n_neg"], m["precision"], m["recall"], m["f1"], m["pr_auc"], m["threshold"]))
+        s = written(s.withColumn("theme_id", F.lit(t)))
+        scored = s if scored is None else scored.unionByName(s)
+        if terms is not None:
+            found_terms += [(t, *row) for row in top_terms(models, terms)]
+    if scored is None:
+        scored = spark.createDataFrame([], "segment_id string, score double, oof_score double, theme_id string")
+    return spark.createDataFrame(runs, _RUN), scored, spark.createDataFrame(found_terms, "theme_id string, direction string, term string, weight double, rank int")
+
+
+def readiness(model_runs: DataFrame, themes: DataFrame, features: DataFrame) -> DataFrame:
+    """One row: whether embeddings are there, themes whose newest run reached the floor, and active themes."""
+    newest = model_runs.groupBy("theme_id").agg(F.max_by("n_pos", F.struct("trained_at", "model_version")).alias("n_pos"))
+    t = themes.filter("status = 'active'").select("theme_id").join(newest, "theme_id", "left")
+    there = features.limit(1).agg((F.count("*") > 0).alias("installed"))
+    return t.agg(F.count("*").alias("themes_total"), F.count_if(F.col("n_pos") >= TRUST_POS).alias("themes_ready")).crossJoin(there).withColumn("ready", F.col("installed") & (F.col("themes_ready") > 0))
+
+
+def append_embeddings(path: str, model_name: str, rows: DataFrame) -> None:
+    """New vectors (segment_id, embedding) of a model put beside those that are there, in a partition of its own."""
+    rows.select("segment_id", "embedding").withColumn("model_name", F.lit(model_name)).write.mode("append").partitionBy("model_name").parquet(path)
+
+
+def cached_embeddings(spark, path: str, model_name: str) -> DataFrame:
+    """A model's vectors, the newest file's of those written twice; only its partition is read."""
+    d = spark.read.parquet(path).filter(F.col("model_name") == model_name)
+    return d.groupBy("segment_id").agg(F.max_by("embedding", F.col("_metadata.file_modification_time")).alias("embedding"))
+
+
+_LABELS = ("codes", "negatives", "item_reviews", "none_confirmations", "themes")
+
+
+def _inputs(segments, dataset_status, auto, overrides, codes, negatives, item_reviews, none_confirmations, themes, mode="reviewed"):
+    return scope(segments, dataset_status, auto, overrides), training_labels(mode, codes, negatives, item_reviews, none_confirmations, segments, themes)
+
+
+@query("m9_train_theme", *PARTS, *_LABELS)
+def q_train(*t, theme="s__toxic"):
+    segments, labels = _inputs(*t)
+    return train_rows(written(vectors(segments)[0]), labels.filter(F.col("theme_id") == theme))[1]
+
+
+@query("m10_training_pass", *PARTS, *_LABELS)
+def q_pass(*t):
+    segments, labels = _inputs(*t)
+    return training_pass(segments, labels, t[-1])[0]
+
+
+@query("m13_top_terms", *PARTS, *_LABELS)
+def q_terms(*t, theme="s__quality"):
+    segments, labels = _inputs(*t)
+    x, terms = vectors(segments)
+    rows = written(written(x).join(labels.filter(F.col("theme_id") == theme).select("segment_id", F.col("y").cast("double").alias("y")), "segment_id"))
+    return t[0].sparkSession.createDataFrame(top_terms(calibrated(rows, "final"), terms), "direction string, term string, weight double, rank int")
+
+
+@query("m15_embedding_pass", *PARTS, *_LABELS, "embeddings")
+def q_embedding_pass(*t):
+    """The pass on given vectors, with a floor that the small tables reach."""
+    *t, embeddings = t
+    segments, labels = _inputs(*t, mode="all_uncoded")
+    x = segments.join(embeddings.select(F.col("vec_id").alias("doc_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features")), "doc_id").select("segment_id", "features")
+    return training_pass(segments, labels, t[-1], "all_uncoded", least_pos=10, features=x)[0]
+
+
+@query("m15_readiness", "model_runs", "themes", "embeddings", oracle="""with l as (select theme_id, arg_max(n_pos, trained_at || model_version) as n_pos from model_runs group by 1) select count(*)::bigint as themes_total, count(*) filter (n_pos >= 150)::bigint as themes_ready, (select count(*) from embeddings) > 0 as installed,
+    (select count(*) from embeddings) > 0 and count(*) filter (n_pos >= 150) > 0 as ready from themes left join l using (theme_id) where status = 'active'""")
+def q_readiness(model_runs, themes, embeddings):
+    return readiness(model_runs, themes, embeddings)

@@ -2,37 +2,55 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that are broadcast, at most, and edges that any node may have without being one of them.
+HOT_KEYS, HOT_ROWS = 10_000, 200
+
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` in the shared checkpoint folder, read again: the lineage is cut and executors may be lost."""
+    """``df`` in the shared checkpoint folder, read again: the lineage is cut and executors may be lost.
+
+    The folder is the one that ``spark.checkpoint.dir`` names; only a local
+    session, whose executors see the driver's disk, may leave that unset.
+    """
     spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="textloom-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"/tmp/textloom-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _least_beside(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with the least of u and its neighbours; nodes with very many edges are looked up in a broadcast of bounded size."""
+    stars = written(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
+    many = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)  # so at most HOT_KEYS nodes
+    if stars.filter(many).isEmpty():
+        return edges.join(stars.drop("n"), "u")
+    hot = F.broadcast(stars.filter(many).drop("n"))
+    return edges.join(hot, "u").unionByName(edges.join(hot.select("u"), "u", "left_anti").join(stars.filter(~many).drop("n"), "u"))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``links`` (u, v); root is the least node it can reach."""
+    measure = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     edges = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    before = edges.agg(*measure).first()
     for _ in range(rounds):
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).filter("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        large = written(_least_beside(both, 2 * before[0]).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = _least_beside(large, large.count())
+        edges = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m"))).filter("u <> v").distinct())
+        now = edges.agg(*measure).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
