@@ -351,7 +351,8 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     members = saved(groups.join(nodes.select("node", "key", "copies", "size"), "node"))
     volume = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"), F.count("*").alias("n"))
     members = join_hot(members, volume, "root", members.count()).select("node", "root", "key", "copies", "n_blocks")
-    whole = members.join(plain.withColumnRenamed("doc_id", "node"), "node").mapInArrow(_sets, "node long, root long, n_blocks int, copies long, shingles binary")
+    # Members grow with the corpus, so they are never broadcast, whatever their size now.
+    whole = members.hint("merge").join(plain.withColumnRenamed("doc_id", "node"), "node").mapInArrow(_sets, "node long, root long, n_blocks int, copies long, shingles binary")
     told = blocks_of(whole, F.col("n_blocks")).select("root", "b1", "b2", "block", "node", "copies", "shingles")
     exact = saved(told.repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2").mapInArrow(_exact, "node long, n_sets long, n_docs long, v long"))
     links = exact.groupBy("node").agg(F.sum("n_sets").alias("n_sets"), F.sum("n_docs").alias("n_docs"))
