@@ -162,9 +162,10 @@ def test_calibration_has_not_seen_its_rows(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(f"s{i}", " ".join(rng.choice(words) for _ in range(12)), i % 2) for i in range(240)]
     segments = spark.createDataFrame(rows, "segment_id string, text string, y int")
-    found, scores, _ = training.train_rows(training.vectors(segments)[0], segments.select("segment_id", "y"))
-    assert found["pr_auc"] < 0.65
-    assert 0.3 < scores.agg(F.avg("oof_score")).first()[0] < 0.7
+    x, terms = training.vectors(segments)
+    held, _ = training.fitted(x, segments.select(F.lit("t").alias("theme_id"), "segment_id", "y"), len(terms))
+    assert held.count() == 240 and training.metrics(held).first().pr_auc < 0.65
+    assert 0.3 < held.agg(F.avg("oof_score")).first()[0] < 0.7
 
 
 def test_embedding_cache(spark, tmp_path):

@@ -273,9 +273,11 @@ def item_segments(segments, codes, negatives):
     return d.select("segment_id", F.coalesce("codes", F.lit("")).alias("codes"), F.coalesce("rejections", F.lit("")).alias("rejections"))
 
 
-@query("t1_page", "segments", oracle="select segment_id, word_count from segments order by word_count desc nulls last, segment_id limit 25 offset 50")
+@query("t1_page", "segments", oracle="select segment_id, word_count, (select count(*) from segments)::bigint as total from segments order by word_count desc nulls last, segment_id limit 25 offset 50")
 def page(segments, offset: int = 50, limit: int = 25):
-    return segments.orderBy(F.desc_nulls_last("word_count"), "segment_id").offset(offset).limit(limit).select("segment_id", "word_count")
+    """A page and the number of all rows; at most 200 rows, at least one."""
+    d = segments.orderBy(F.desc_nulls_last("word_count"), "segment_id").offset(max(0, offset)).limit(max(1, min(200, limit))).select("segment_id", "word_count")
+    return d.crossJoin(F.broadcast(segments.agg(F.count("*").alias("total"))))
 
 
 # ------------------------------------------------------------------ segmentation

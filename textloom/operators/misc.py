@@ -135,16 +135,32 @@ def canonical_records(items):
     return items.select(F.coalesce("item_id", T.item_key(F.col("group_name"))).alias("item_id"), F.coalesce("item_title", F.lit("Untitled")).alias("item_title"), F.coalesce("like_count", F.lit("0")).alias("like_count"), F.length("transcript_text").cast("long").alias("chars"))
 
 
-@query("k7_name_resync", "segments", "items", oracle="select segment_id, case when i.doc_id % 9 = 0 then 'renamed' else s.group_name end as group_name from segments s join items i using (dataset_id, item_id)")
-def name_resync(segments, items):
-    names = items.filter("doc_id % 9 = 0").select("dataset_id", "item_id", F.lit("renamed").alias("fresh"))
-    return segments.join(names, ["dataset_id", "item_id"], "left").select("segment_id", F.coalesce("fresh", "group_name").alias("group_name"))
+@query("k7_name_resync", "segments", "item_renames", oracle="select segment_id, coalesce(r.group_name, s.group_name) as group_name, coalesce(r.person_name, s.person_name) as person_name from segments s left join item_renames r using (dataset_id, item_id)")
+def name_resync(segments, renames):
+    """Segments with the names that their items have now."""
+    fresh = renames.select("dataset_id", "item_id", F.col("group_name").alias("g"), F.col("person_name").alias("p"))
+    return segments.join(fresh, ["dataset_id", "item_id"], "left").select("segment_id", F.coalesce("g", "group_name").alias("group_name"), F.coalesce("p", "person_name").alias("person_name"))
 
 
-@query("k8_table_dump", "codes", "themes", oracle="select code_id, segment_id, theme_id, scheme_id, deleted_at from codes join themes using (theme_id) where scheme_id = 's'")
-def table_dump(codes, themes, scheme: str = "s"):
-    t = F.broadcast(themes.filter(F.col("scheme_id") == scheme).select("theme_id", "scheme_id"))
-    return codes.join(t, "theme_id").select("code_id", "segment_id", "theme_id", "scheme_id", "deleted_at")
+def table_dump(tables: dict[str, DataFrame], themes: DataFrame, scheme: str | None = None) -> dict[str, DataFrame]:
+    """All rows of the codebook's tables, deleted ones too; with a scheme, those of its themes (by theme or scheme)."""
+    if scheme is None:
+        return dict(tables)
+    own = F.broadcast(themes.filter(F.col("scheme_id") == scheme).select("theme_id"))  # a codebook
+    return {n: d.filter(F.col("scheme_id") == scheme) if "scheme_id" in d.columns else d.join(own, "theme_id", "left_semi") if "theme_id" in d.columns else d for n, d in tables.items()}
+
+
+_DUMPED = ("schemes", "themes", "codes", "negatives", "item_reviews", "none_confirmations", "predictions", "model_runs")
+
+
+@query("k8_table_dump", *_DUMPED, oracle=" union all ".join(f"select '{n}' as name, count(*)::bigint as n from {n}" + (" where scheme_id = 's'" if n in ("schemes", "themes", "item_reviews", "none_confirmations") else " where theme_id in (select theme_id from themes where scheme_id = 's')") for n in _DUMPED))
+def q_dump(*t):
+    """Rows of each of the eight tables of a scheme's dump."""
+    out = None
+    for name, d in table_dump(dict(zip(_DUMPED, t)), t[1], "s").items():
+        one = d.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("x5_slug", "items", oracle=r"select item_id, coalesce(nullif(regexp_replace(regexp_replace(strip_accents(item_title || ' / É ' || group_name), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'query')[1:40] as slug from items")

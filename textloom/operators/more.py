@@ -120,12 +120,26 @@ def compare_run(model_runs):
     return old.orderBy(F.desc("trained_at"), F.desc("model_version")).limit(1).select("model_version")
 
 
-@query("d25_overrides_upsert", "overrides", oracle="select item_id, case when item_id in (select item_id from overrides where item_id::bigint % 5 = 0) then 'exclude' else kind end as kind from overrides")
-def overrides_upsert(overrides):
+@query("d25_overrides_upsert", "overrides", "override_updates", oracle="select o.item_id, o.dataset_id, coalesce(u.kind, o.kind) as kind, case when u.item_id is null then o.target_id else u.target_id end as target_id from overrides o left join override_updates u using (dataset_id, item_id)")
+def overrides_upsert(overrides, updates):
     from textloom.operators.prepare import upsert
 
-    new = overrides.filter("cast(item_id as bigint) % 5 = 0").select("item_id", F.lit("exclude").alias("kind"))
-    return upsert(overrides.select("item_id", "kind"), new, "item_id")
+    for bad in updates.filter("kind not in ('include', 'exclude') or (kind = 'include' and target_id = item_id)").limit(1).collect():
+        raise ValueError(f"no valid override: {bad}")
+    return upsert(overrides.select("item_id", "dataset_id", "kind", "target_id"), updates.select("item_id", "dataset_id", "kind", "target_id"), "dataset_id", "item_id")
+
+
+@query("d25_overrides_removed", "overrides", "override_updates", oracle="select item_id, kind from overrides where (dataset_id, item_id) not in (select dataset_id, item_id from override_updates)")
+def overrides_removed(overrides, updates):
+    return overrides.join(updates.select("dataset_id", "item_id"), ["dataset_id", "item_id"], "left_anti").select("item_id", "kind")
+
+
+@query("d25_promoted", "auto_duplicates", "override_updates", oracle="""with p as (select canonical_id, min(item_id) as promoted from auto_duplicates where item_id in (select item_id from override_updates) group by 1) select a.item_id, coalesce(promoted, a.canonical_id) as canonical_id, a.item_id = coalesce(promoted, a.canonical_id) as is_canonical from auto_duplicates a left join p using (canonical_id)""")
+def promoted(auto, chosen):
+    """Clusters after members (of several the least) were made their canonical item: all others point to it."""
+    p = auto.join(chosen.select("item_id"), "item_id", "left_semi").groupBy("canonical_id").agg(F.min("item_id").alias("promoted"))
+    now = F.coalesce("promoted", "canonical_id")
+    return auto.join(p, "canonical_id", "left").select("item_id", now.alias("canonical_id"), (F.col("item_id") == now).alias("is_canonical"))
 
 
 @query("d29_inferred_labels", "segments", "codes", "negatives", "themes", oracle=f"with recursive {_UP}, {_POS} select segment_id, case when segment_id in (select segment_id from pos where theme_id = 's__any') then 'pos' when segment_id in (select segment_id from negatives where deleted_at is null) then 'neg' else 'neutral' end as label from segments")

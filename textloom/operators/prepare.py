@@ -171,15 +171,18 @@ def metadata_diff(items):
     return d.select("item_id", F.explode(changes).alias("c")).select("item_id", "c.*").filter("not (before <=> after)")
 
 
-@query("k6_upsert", "segments", oracle="select segment_id, case when doc_id % 10 = 0 then 'changed' else coalesce(speaker_role, 'none') end as role from segments union all select 'new:' || doc_id::varchar, 'added' from segments where doc_id % 100 = 0")
-def q_upsert(segments):
-    old = segments.select("segment_id", F.coalesce("speaker_role", F.lit("none")).alias("role"))
-    new = segments.filter("doc_id % 10 = 0").select("segment_id", F.lit("changed").alias("role"))
-    return upsert(old, new.unionByName(segments.filter("doc_id % 100 = 0").select(F.concat(F.lit("new:"), F.col("doc_id").cast("string")).alias("segment_id"), F.lit("added").alias("role"))), "segment_id")
-
-
-def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with the same key."""
+@query("k6_upsert", "segments", "segment_updates", oracle="""with o as (select segment_id, coalesce(speaker_role, 'none') as role, '2024-01-0' || (1 + doc_id % 9)::varchar as created_at from segments)
+    select coalesce(u.segment_id, o.segment_id) as segment_id, coalesce(u.speaker_role, o.role) as role, coalesce(o.created_at, u.created_at) as created_at from o full join segment_updates u on u.segment_id = o.segment_id""")
+def q_upsert(segments, updates):
+    old = segments.select("segment_id", F.coalesce("speaker_role", F.lit("none")).alias("role"), F.concat(F.lit("2024-01-0"), (1 + F.col("doc_id") % 9).cast("string")).alias("created_at"))
+    return upsert(old, updates.select("segment_id", F.col("speaker_role").alias("role"), "created_at"), "segment_id", keep=("created_at",))
+
+
+def upsert(old: DataFrame, new: DataFrame, *key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those with the same key; columns of ``keep`` stay as they were."""
+    if keep:
+        before = old.select(*key, *(F.col(c).alias(f"old {c}") for c in keep))
+        new = new.join(before, list(key), "left").withColumns({c: F.coalesce(f"old {c}", c) for c in keep}).select(*old.columns)
     return old.join(new.select(*key), list(key), "left_anti").unionByName(new)
 
 

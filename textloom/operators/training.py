@@ -1,183 +1,231 @@
-"""Theme classifiers with Spark's JVM learners: TF-IDF or embeddings, balanced logistic regression, calibration inside every fold."""
+"""Theme classifiers: TF-IDF or embeddings, balanced logistic regression, calibration inside every fold.
 
-from __future__ import annotations
+A theme's labelled rows are set by hand and bounded (``ROWS`` of each class,
+the first by a hash), so one task fits one fold of one theme in numpy; folds and
+themes run side by side.  Features and scores go over the whole scope.
+"""
 
-import math
-from multiprocessing.pool import ThreadPool
+from __future__ import annotations
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import text as T
 from textloom.operators.corpus import PARTS, scope
+from textloom.operators.duplicates import tfidf
 from textloom.operators.labels import training_labels
 from textloom.operators.ranking import curve
 from textloom.plans.graph import written
 from textloom.registry import query
 
-FOLDS, INNER, MAX_FEATURES, LEAST_DF, TERMS = 5, 3, 5000, 2, 20
+FOLDS, INNER, MAX_FEATURES, TERMS = 5, 3, 5000, 20
+#: Labelled rows of each class that a theme is fitted on, at most.
+ROWS = 10_000
 #: Positives that a theme needs for words and for embeddings, and judged negatives.
 LEAST_POS, TRUST_POS, LEAST_NEG = 25, 150, 50
-#: Models that are fitted at the same time.
-AT_ONCE = 6
 
 
 def vectors(segments: DataFrame, max_features: int = MAX_FEATURES) -> tuple[DataFrame, list[str]]:
-    """Segments with L2-normal smooth TF-IDF vectors, and the terms of their dimensions."""
-    w = segments.select("segment_id", T.content_tokens("text").alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))
-    d = w.select("segment_id", F.concat("w", F.when(F.size("w") > 1, grams).otherwise(F.array().cast("array<string>"))).alias("terms"))
-    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_features, minDF=LEAST_DF).fit(d)
-    tf = counts.transform(d)
-    idf = IDF(inputCol="tf", outputCol="idf").fit(tf)
-    weights = Vectors.dense([math.log((1 + idf.numDocs) / (1 + f)) + 1 for f in idf.docFreq])
-    scaled = ElementwiseProduct(scalingVec=weights, inputCol="tf", outputCol="scaled").transform(tf)
-    return Normalizer(inputCol="scaled", outputCol="features").transform(scaled).select("segment_id", "features"), counts.vocabulary
-
-
-def fit(rows: DataFrame):
-    """A balanced logistic regression (features, y): every class weighs the same, penalty as with C = 1."""
-    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
-    total = sum(n.values())
-    weight = F.when(F.col("y") == 1, total / (2 * max(1, n.get(1.0, 0)))).otherwise(total / (2 * max(1, n.get(0.0, 0))))
-    return LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1.0 / max(1, total), standardization=False, maxIter=50).fit(rows.withColumn("weight", weight))
-
-
-def margin(model, rows: DataFrame, name: str) -> DataFrame:
-    return model.transform(rows).withColumn(name, vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
-
-
-def platt(held: DataFrame) -> tuple[float, float]:
-    """Slope and intercept of a sigmoid on margins (m, y), with targets drawn in a little so that few rows don't make it a step."""
-    n = held.agg(F.coalesce(F.sum("y"), F.lit(0.0)).alias("pos"), F.count("*").alias("n")).first()
-    high, low = (n.pos + 1) / (n.pos + 2), 1 / (n.n - n.pos + 2)
-    target = F.when(F.col("y") == 1, high).otherwise(low)
-    soft = held.select("m", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w")))).alias("s")).select("m", "s.*")
-    model = LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", maxIter=50).fit(VectorAssembler(inputCols=["m"], outputCol="v").transform(soft))
-    return model.coefficients[0], model.intercept
-
-
-def _fold(seed: str, n: int) -> Column:
-    return F.pmod(F.xxhash64("segment_id", F.lit(seed)), F.lit(n))
-
-
-def _both(rows: DataFrame) -> bool:
-    return rows.select("y").distinct().count() == 2
-
-
-def _together(calls: list):
-    """The calls' results; each runs Spark jobs of its own, so some run side by side."""
-    with ThreadPool(min(AT_ONCE, max(1, len(calls)))) as pool:
-        return pool.map(inheritable_thread_target(lambda f: f()), calls)
+    """(segment_id, at, value) of every segment: its L2-normal TF-IDF weights by dimension; and the dimensions' terms.
 
+    Terms in fewer than two segments don't count, and of the others the most frequent do.
+    """
+    v = written(tfidf(segments, "segment_id", "text", max_features=max_features))
+    terms = sorted(r.term for r in v.select("term").distinct().collect())  # max_features at most
+    number = F.broadcast(v.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, at int"))
+    rows = v.join(number, "term").groupBy("segment_id").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("x"))
+    d = segments.select("segment_id").join(rows, "segment_id", "left")
+    return d.select("segment_id", F.coalesce("x.at", F.array().cast("array<int>")).alias("at"), F.coalesce("x.weight", F.array().cast("array<double>")).alias("value")), terms
+
+
+def dense(rows: DataFrame) -> DataFrame:
+    """(segment_id, at, value) of (segment_id, embedding)."""
+    return rows.select("segment_id", F.sequence(F.lit(0), F.size("embedding") - 1).alias("at"), F.col("embedding").cast("array<double>").alias("value"))
+
+
+class _Rows:
+    """Sparse rows: the values' dimensions and rows."""
+
+    def __init__(self, at, value, n: int, width: int):
+        self.row = np.repeat(np.arange(n), [len(a) for a in at])
+        self.at = np.concatenate(at).astype(np.int64) if len(self.row) else np.zeros(0, np.int64)
+        self.value = np.concatenate(value).astype(float) if len(self.row) else np.zeros(0)
+        self.n, self.width = n, width
+
+    def dot(self, w):
+        return np.bincount(self.row, self.value * w[self.at], self.n)
+
+    def back(self, r):
+        return np.bincount(self.at, self.value * r[self.row], self.width)
+
+
+def _fit(x: _Rows, y: np.ndarray, use: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Weights and intercept of a balanced logistic regression on the rows ``use``, penalty as with C = 1, by limited-memory quasi-Newton steps."""
+    n = use.sum()
+    weight = np.where(y == 1, n / (2 * max(1, y[use].sum())), n / (2 * max(1, n - y[use].sum()))) * use
+    sign = 2 * y - 1
+
+    def loss(w):
+        m = sign * (x.dot(w[:-1]) + w[-1])
+        p = 1 / (1 + np.exp(np.clip(m, -500, 500)))
+        r = -weight * sign * p
+        return float((weight * np.logaddexp(0, -m)).sum() + w[:-1] @ w[:-1] / 2), np.append(x.back(r) + w[:-1], r.sum())
+
+    w = np.zeros(x.width + 1)
+    f, g = loss(w)
+    past: list = []
+    for _ in range(steps):
+        q, sums = g.copy(), []
+        for s, d, rho in reversed(past):
+            a = rho * (s @ q)
+            sums.append(a)
+            q -= a * d
+        if past:
+            s, d, _ = past[-1]
+            q *= (s @ d) / (d @ d)
+        for (s, d, rho), a in zip(past, reversed(sums)):
+            q += (a - rho * (d @ q)) * s
+        size, slope = 1.0 if past else 1 / max(1.0, np.abs(g).sum()), -(g @ q)
+        while True:
+            now = w - size * q
+            f2, g2 = loss(now)
+            if f2 <= f + 1e-4 * size * slope or size < 1e-10:
+                break
+            size /= 2
+        s, d = now - w, g2 - g
+        w, done, f, g = now, abs(f - f2) <= 1e-9 * max(1.0, abs(f)), f2, g2
+        if s @ d > 1e-12:
+            past = [*past[-9:], (s, d, 1 / (s @ d))]
+        if done:
+            break
+    return w
+
+
+def _platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a sigmoid on margins, with targets drawn in a little so that few rows don't make it a step."""
+    pos = y.sum()
+    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (len(y) - pos + 2))
+    a, b = 0.0, float(np.log((pos + 1) / (len(y) - pos + 1)))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * m + b, -500, 500)))
+        r, h = p - t, p * (1 - p) + 1e-9
+        ga, gb, haa, hab, hbb = r @ m, r.sum(), h @ (m * m) + 1e-9, h @ m, h.sum() + 1e-9
+        det = haa * hbb - hab * hab
+        if det <= 1e-15:
+            break
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        most = max(1.0, abs(da) / 5, abs(db) / 5)
+        a, b = a - da / most, b - db / most
+        if abs(da) + abs(db) < 1e-9:
+            break
+    return a, b
+
+
+def _calibrated(x: _Rows, y: np.ndarray, use: np.ndarray, inner: np.ndarray) -> list[np.ndarray]:
+    """Models as (weights, intercept, slope, shift), one for each inner fold: fitted on the others and calibrated on that one, which it hasn't seen."""
+    out = []
+    for k in range(INNER):
+        train, held = use & (inner != k), use & (inner == k)
+        if 0 < y[train].sum() < train.sum() and held.any():
+            w = _fit(x, y, train)
+            out.append(np.append(w, _platt((x.dot(w[:-1]) + w[-1])[held], y[held])))
+    return out
+
+
+def _chance(models: list[np.ndarray], x: _Rows) -> np.ndarray:
+    """The mean of the models' calibrated probabilities."""
+    total = np.zeros(x.n)
+    for m in models:
+        total += 1 / (1 + np.exp(-np.clip(m[-2] * (x.dot(m[:-3]) + m[-3]) + m[-1], -500, 500)))
+    return total / max(1, len(models))
+
+
+def _fold_task(table: pa.Table, width: int) -> pa.Table:
+    """One outer fold of one theme: scores of its rows from models that saw none of them, not even to calibrate; past the last fold the final models."""
+    k = table.column("fold")[0].as_py()
+    y, outer, inner = (table.column(c).to_numpy() for c in ("y", "outer", "inner"))
+    x = _Rows(table.column("at").to_pylist(), table.column("value").to_pylist(), len(y), width)
+    theme = table.column("theme_id")[0].as_py()
+    models = _calibrated(x, y, outer != k, inner)
+    names = ["theme_id", "segment_id", "y", "oof_score", "model"]
+    if k == FOLDS:
+        return pa.Table.from_arrays([pa.array([theme], pa.string()), pa.array([None], pa.string()), pa.array([None], pa.int32()), pa.array([None], pa.float64()), pa.array([np.array(models).tobytes()], pa.binary())], names)
+    held = np.flatnonzero(outer == k)
+    score = _chance(models, x)[held] if models else np.full(len(held), 0.5)
+    n = len(held)
+    return pa.Table.from_arrays([pa.array([theme] * n, pa.string()), table.column("segment_id").take(pa.array(held)).combine_chunks(), pa.array(y[held], pa.int32()), pa.array(score, pa.float64()), pa.nulls(n, pa.binary())], names)
+
+
+def fitted(x: DataFrame, labels: DataFrame, width: int) -> tuple[DataFrame, dict]:
+    """Out-of-fold scores (theme_id, segment_id, y, oof_score) of the labelled rows, and each theme's final models.
+
+    Folds go by hash, so classes are spread about evenly.
+    """
+    first = Window.partitionBy("theme_id", "y").orderBy(F.xxhash64("segment_id"), "segment_id")
+    own = labels.withColumn("y", F.col("y").cast("int")).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= ROWS).drop("nth")
+    fold = lambda seed, n: F.pmod(F.xxhash64("segment_id", F.lit(seed)), F.lit(n)).cast("int")
+    rows = x.join(own, "segment_id").select("theme_id", "segment_id", "y", fold("outer", FOLDS).alias("outer"), fold("inner", INNER).alias("inner"), "at", "value")
+    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+    out = written(rows.groupBy("theme_id", "fold").applyInArrow(lambda t: _fold_task(t, width), "theme_id string, segment_id string, y int, oof_score double, model binary"))
+    models = {r.theme_id: list(np.frombuffer(r.model).reshape(-1, width + 3)) if r.model else [] for r in out.filter("segment_id is null").collect()}  # a codebook
+    return out.filter("segment_id is not null").select("theme_id", "segment_id", "y", "oof_score"), models
 
-def calibrated(rows: DataFrame, seed: str) -> list[tuple]:
-    """(model, slope, intercept) for each inner fold: fitted on the others and calibrated on that one, which it hasn't seen."""
 
-    def one(k):
-        train, held = rows.filter(_fold(seed, INNER) != k), rows.filter(_fold(seed, INNER) == k)
-        if not _both(train):
-            return None
-        model = fit(train)
-        return (model, *platt(margin(model, held, "m").select("m", "y")))
+def scored(x: DataFrame, models: dict, width: int) -> DataFrame:
+    """(theme_id, segment_id, score) of every row under every theme's models."""
+    shared = x.sparkSession.sparkContext.broadcast(models)  # some thousand numbers a theme
 
-    return [m for m in (one(k) for k in range(INNER)) if m]
+    def score(batches):
+        for batch in batches:
+            rows = _Rows(batch.column("at").to_pylist(), batch.column("value").to_pylist(), len(batch), width)
+            for theme, own in shared.value.items():
+                yield pa.RecordBatch.from_arrays([pa.array([theme] * len(batch), pa.string()), batch.column("segment_id"), pa.array(np.round(_chance(own, rows), 9))], ["theme_id", "segment_id", "score"])
 
+    return x.select("segment_id", "at", "value").mapInArrow(score, "theme_id string, segment_id string, score double")
 
-def chance(models: list[tuple], rows: DataFrame, name: str) -> DataFrame:
-    """The mean of the models' calibrated probabilities."""
-    total = F.lit(0.0)
-    for k, (model, a, b) in enumerate(models):
-        rows = margin(model, rows, f"m{k}")
-        total = total + 1 / (1 + F.exp(-(a * F.col(f"m{k}") + b)))
-    return rows.withColumn(name, total / max(1, len(models))).drop(*(f"m{k}" for k in range(len(models))))
 
-
-def metrics(scored: DataFrame) -> dict:
-    """Average precision and the threshold with the best F1 (the lowest of equals) of (score, y)."""
-    c = curve(scored.select(F.lit("t").alias("theme_id"), "score", "y")).filter("all_pos > 0")
+def metrics(held: DataFrame) -> DataFrame:
+    """Of each theme: average precision over out-of-fold scores, and the threshold with the best F1 (the lowest of equals) with its precision and recall."""
+    c = curve(held.select("theme_id", F.col("oof_score").alias("score"), "y")).filter("all_pos > 0")
     p, r = F.col("tp") / F.col("k"), F.col("tp") / F.col("all_pos")
     f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
     best = F.struct(F.round(f1, 12).alias("f1"), (-F.col("score")).alias("s"), p.alias("p"), r.alias("r"))
-    row = c.agg(F.sum(F.col("pos") / F.col("all_pos") * p).alias("ap"), F.max(best).alias("b")).first()
-    if row.b is None:
-        return {"pr_auc": None, "threshold": 0.5, "precision": 0.0, "recall": 0.0, "f1": 0.0}
-    return {"pr_auc": row.ap, "threshold": -row.b.s, "precision": row.b.p, "recall": row.b.r, "f1": row.b.f1}
-
+    g = c.groupBy("theme_id").agg(F.sum(F.col("pos") / F.col("all_pos") * p).alias("pr_auc"), F.max(best).alias("b"))
+    return g.select("theme_id", F.col("b.p").alias("precision"), F.col("b.r").alias("recall"), F.col("b.f1").alias("f1"), "pr_auc", (-F.col("b.s")).alias("threshold"))
 
-def train_rows(x: DataFrame, labelled: DataFrame) -> tuple[dict, DataFrame, list]:
-    """A theme from feature rows (segment_id, features) and labels (segment_id, y).
 
-    Every outer fold's scores come from models that saw none of its rows, not
-    even for their calibration; the final models are fitted in the same way on
-    all rows.  Folds go by hash, so classes are spread about evenly.  Returns the
-    metrics over out-of-fold scores, (segment_id, score, oof_score) of all rows
-    of ``x``, and the final models.
-    """
-    rows = written(x.join(labelled.select("segment_id", F.col("y").cast("double").alias("y")), "segment_id"))
-
-    def outer(k):
-        train = rows.filter(_fold("outer", FOLDS) != k)
-        return chance(calibrated(train, f"inner{k}"), rows.filter(_fold("outer", FOLDS) == k), "oof_score").select("segment_id", "y", "oof_score")
-
-    *parts, final = _together([*(lambda k=k: outer(k) for k in range(FOLDS)), lambda: calibrated(rows, "final")])
-    held = parts[0]
-    for p in parts[1:]:
-        held = held.unionByName(p)
-    held = written(held)
-    n = {r.y: r.n for r in held.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    found = {"n_pos": n.get(1.0, 0), "n_neg": n.get(0.0, 0)} | metrics(held.withColumnRenamed("oof_score", "score"))
-    scores = chance(final, x, "score").select("segment_id", F.round("score", 9).alias("score"))
-    return found, scores.join(held.select("segment_id", F.round("oof_score", 9).alias("oof_score")), "segment_id", "left"), final
-
-
-def top_terms(models: list[tuple], terms: list[str], most: int = TERMS) -> list[tuple[str, str, float, int]]:
+def top_terms(models: list, terms: list[str], most: int = TERMS) -> list[tuple[str, str, float, int]]:
     """(direction, term, weight, rank) of the terms with the highest and the lowest mean weight."""
-    mean = [sum(float(m.coefficients[i]) for m, _, _ in models) / max(1, len(models)) for i in range(len(terms))]
+    mean = np.mean([m[:-3] for m in models], axis=0).tolist() if models else [0.0] * len(terms)
     order = sorted(range(len(terms)), key=lambda i: (-mean[i], terms[i]))
     return [("positive", terms[i], mean[i], k) for k, i in enumerate(order[:most], 1)] + [("negative", terms[i], mean[i], k) for k, i in enumerate(order[::-1][:most], 1)]
 
 
-_RUN = "theme_id string, status string, n_pos long, n_neg long, precision double, recall double, f1 double, pr_auc double, threshold double"
-
-
-def training_pass(segments: DataFrame, labels: DataFrame, themes: DataFrame, mode: str = "reviewed", least_pos: int = LEAST_POS, features: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def training_pass(segments: DataFrame, labels: DataFrame, themes: DataFrame, mode: str = "reviewed", least_pos: int = LEAST_POS, features: DataFrame | None = None, least_neg: int = LEAST_NEG) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One pass over the active themes: a row a theme with status and metrics; scores of every segment; top terms.
 
     Features are made once, over the whole scope, so a theme scores alike
     whatever it's trained with.  ``labels``: theme_id, segment_id, y.  Themes
     with too few labels are skipped, and their status says what is missing.
-    ``features`` (segment_id, features) takes the place of word features; then
+    ``features`` (segment_id, embedding) takes the place of word features; then
     there are no terms.
     """
     spark = segments.sparkSession
-    x, terms = (features, None) if features is not None else vectors(segments)
+    x, terms = (dense(features), None) if features is not None else vectors(segments)
     x = written(x)
-    own = written(labels.join(x.select("segment_id"), "segment_id", "left_semi"))
-    n = {r.theme_id: (r.p, r.n) for r in own.groupBy("theme_id").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).collect()}  # a codebook
-    runs, scored, found_terms = [], None, []
-    for t in sorted(r.theme_id for r in themes.filter("status = 'active'").select("theme_id").collect()):
-        pos, neg = n.get(t, (0, 0))
-        status = "skipped_insufficient_positives" if least_pos == LEAST_POS else "skipped_below_trust_floor"
-        if pos >= least_pos:
-            status = "skipped_insufficient_negatives" if mode != "all_uncoded" and neg < LEAST_NEG or not neg else "trained"
-        if status != "trained":
-            runs.append((t, status, pos, neg, None, None, None, None, None))
-            continue
-        m, s, models = train_rows(x, own.filter(F.col("theme_id") == t))
-        runs.append((t, status, m["n_pos"], m["n_neg"], m["precision"], m["recall"], m["f1"], m["pr_auc"], m["threshold"]))
-        s = written(s.withColumn("theme_id", F.lit(t)))
-        scored = s if scored is None else scored.unionByName(s)
-        if terms is not None:
-            found_terms += [(t, *row) for row in top_terms(models, terms)]
-    if scored is None:
-        scored = spark.createDataFrame([], "segment_id string, score double, oof_score double, theme_id string")
-    return spark.createDataFrame(runs, _RUN), scored, spark.createDataFrame(found_terms, "theme_id string, direction string, term string, weight double, rank int")
+    width = len(terms) if terms is not None else x.agg(F.coalesce(F.max(F.size("at")), F.lit(0))).first()[0]
+    own = written(labels.select("theme_id", "segment_id", "y").join(x.select("segment_id"), "segment_id", "left_semi"))
+    n = own.groupBy("theme_id").agg(F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("y") == 0).alias("n_neg"))
+    counts = themes.filter("status = 'active'").select("theme_id").join(n, "theme_id", "left").na.fill(0)
+    few = "skipped_insufficient_positives" if least_pos == LEAST_POS else "skipped_below_trust_floor"
+    needed = 1 if mode == "all_uncoded" else least_neg
+    status = F.when(F.col("n_pos") < least_pos, few).when(F.col("n_neg") < needed, "skipped_insufficient_negatives").otherwise("trained")
+    runs = written(counts.withColumn("status", status))
+    held, models = fitted(x, own.join(F.broadcast(runs.filter("status = 'trained'").select("theme_id")), "theme_id", "left_semi"), width)
+    scores = scored(x, models, width).join(held.select("theme_id", "segment_id", F.round("oof_score", 9).alias("oof_score")), ["theme_id", "segment_id"], "left")
+    found = [(t, *row) for t, own_models in sorted(models.items()) for row in top_terms(own_models, terms)] if terms is not None else []
+    return runs.join(metrics(held), "theme_id", "left"), scores, spark.createDataFrame(found, "theme_id string, direction string, term string, weight double, rank int")
 
 
 def readiness(model_runs: DataFrame, themes: DataFrame, features: DataFrame) -> DataFrame:
@@ -209,7 +257,7 @@ def _inputs(segments, dataset_status, auto, overrides, codes, negatives, item_re
 @query("m9_train_theme", *PARTS, *_LABELS)
 def q_train(*t, theme="s__toxic"):
     segments, labels = _inputs(*t)
-    return train_rows(written(vectors(segments)[0]), labels.filter(F.col("theme_id") == theme))[1]
+    return training_pass(segments, labels.filter(F.col("theme_id") == theme), t[-1], least_pos=3, least_neg=3)[1].select("segment_id", "score", "oof_score")
 
 
 @query("m10_training_pass", *PARTS, *_LABELS)
@@ -219,11 +267,9 @@ def q_pass(*t):
 
 
 @query("m13_top_terms", *PARTS, *_LABELS)
-def q_terms(*t, theme="s__quality"):
+def q_terms(*t):
     segments, labels = _inputs(*t)
-    x, terms = vectors(segments)
-    rows = written(written(x).join(labels.filter(F.col("theme_id") == theme).select("segment_id", F.col("y").cast("double").alias("y")), "segment_id"))
-    return t[0].sparkSession.createDataFrame(top_terms(calibrated(rows, "final"), terms), "direction string, term string, weight double, rank int")
+    return training_pass(segments, labels, t[-1], least_pos=3, least_neg=3)[2]
 
 
 @query("m15_embedding_pass", *PARTS, *_LABELS, "embeddings")
@@ -231,7 +277,7 @@ def q_embedding_pass(*t):
     """The pass on given vectors, with a floor that the small tables reach."""
     *t, embeddings = t
     segments, labels = _inputs(*t, mode="all_uncoded")
-    x = segments.join(embeddings.select(F.col("vec_id").alias("doc_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features")), "doc_id").select("segment_id", "features")
+    x = segments.join(embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select("segment_id", "embedding")
     return training_pass(segments, labels, t[-1], "all_uncoded", least_pos=10, features=x)[0]
 
 

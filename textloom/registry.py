@@ -55,7 +55,10 @@ CANONICAL = {
     "activity": "select event_id as log_id, ts, 'user' || cast(user_id as string) as actor, event_type as action_type, props as details_json, value from events",
     "turns": """select cast(conv_id as string) as item_id, turn as turn_index, role as speaker_name, case role when 'user' then 'interviewer' when 'assistant' then 'subject' else 'other' end as speaker_role, text as content, conv_id from conversations""",
     "auto_duplicates": """select doc_id, cast(doc_id as string) as item_id, source as dataset_id, cast(doc_id - doc_id % 5 as string) as canonical_id, doc_id % 5 = 0 as is_canonical from documents where doc_id % 20 < 5""",
-    "overrides": """select cast(doc_id as string) as item_id, source as dataset_id, case when doc_id % 2 = 0 then 'exclude' else 'include' end as kind, cast(doc_id - 1 as string) as target_id from documents where doc_id % 37 = 3""",
+    "overrides": """select cast(doc_id as string) as item_id, source as dataset_id, case when doc_id % 2 = 0 then 'exclude' else 'include' end as kind, cast(doc_id - 1 as string) as target_id, doc_id from documents where doc_id % 37 = 3""",
+    "segment_updates": """select segment_id, dataset_id, item_id, 'changed' as speaker_role, '2024-06-01' as created_at from segments where doc_id % 10 = 0 union all select concat('new:', segment_id), dataset_id, item_id, 'added', '2024-06-01' from segments where doc_id % 100 = 0""",
+    "item_renames": "select dataset_id, item_id, 'renamed' as group_name, 'someone' as person_name from items where doc_id % 9 = 0",
+    "override_updates": "select item_id, dataset_id, 'exclude' as kind, cast(null as string) as target_id from overrides where doc_id % 5 = 0",
     "schemes": "select * from (values ('s', 'Main scheme', 'all of it', 'active', '2024-01-01'), ('t', 'Other scheme', cast(null as string), 'active', '2024-01-01')) as t(scheme_id, name, description, status, created_at)",
     "duplicate_runs": "select * from (values ('dup_1', '2024-01-05'), ('dup_3', '2024-03-05'), ('dup_2', '2024-02-05')) as t(run_id, created_at)",
     "log": """select event_id as log_id, ts, 'user' || cast(user_id as string) as actor, case event_id % 9 when 0 then 'theme_create' when 1 then 'theme_update' when 2 then 'theme_merge' when 3 then 'training_run' when 4 then 'query_download' when 5 then 'iteration_decision' when 6 then 'scheme_archive' when 7 then 'metadata_edited' else event_type end as action_type,
