@@ -194,6 +194,14 @@ def test_secrets(spark, docs, empty):
     assert len(clean) == 5 and "b7db7aa" not in clean[1].text and "[SECRET]" in clean[2].text and clean[3].text == "card 4418949746087951 paid" and clean[1].n_chars == len(clean[1].text)
 
 
+def test_columns_of_inner_names_stay(spark, labels):
+    d = spark.createDataFrame([(1, "password=b7db7aa4a5fcc78305 x", "mine", "yours", "own"), (None, "no id", "a", "b", "c")], "doc_id long, text string, `secret of` string, `Secret Values` string, `text to score` string")
+    clean = {r.doc_id: r for r in secrets.redacted(d, secrets.scan(d)).collect()}
+    assert len(clean) == 2 and clean[1]["secret of"] == "mine" and clean[1]["Secret Values"] == "yours"
+    rows = toxicity.with_score(d, labels.limit(0), F.lit(True)).collect()
+    assert {r["text to score"] for r in rows} == {"own", "c"} and all(0 <= r.toxicity_score <= 1 for r in rows)
+
+
 def test_quality_scores(docs, empty, labels):
     back = held_out(3, 1)
     rows = quality.score(docs, labels, ~back).collect()

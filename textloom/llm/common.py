@@ -23,6 +23,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder in the shared folder that the cluster names in
     ``spark.checkpoint.dir``.  Where that is unset there is no folder that the

@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free_name, saved
 
 #: Patterns of candidates, in Java's syntax.
 _SECRET_NAMES = r"(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)"
@@ -237,14 +237,15 @@ def redacted(docs: DataFrame, scanned: DataFrame, mark: str = "[SECRET]") -> Dat
     as they are.
     """
     n = "n_chars" if "n_chars" in docs.columns else None
-    secrets = scanned.filter("is_secret").groupBy(F.col("doc_id").alias("secret of")).agg(F.collect_set("value").alias("secret values"))
-    longest_first = F.transform(F.sort_array(F.transform("secret values", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
+    of, values = (free_name(docs, name) for name in ("secret of", "secret values"))
+    secrets = scanned.filter("is_secret").groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("value").alias(values))
+    longest_first = F.transform(F.sort_array(F.transform(values, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
     mark = mark.replace("\\", "\\\\").replace("$", "\\$")
     text = F.aggregate(longest_first, F.col("text"), lambda t, v: F.regexp_replace(t, _whole(v), F.lit(mark)))
-    clean = docs.filter("doc_id is not null").join(secrets, F.col("doc_id") == F.col("secret of"), "left")
+    clean = docs.filter("doc_id is not null").join(secrets, F.col("doc_id") == F.col(of), "left")
     # Rows without an id share the one row of secrets found in them.
-    clean = clean.unionByName(docs.filter("doc_id is null").join(F.broadcast(secrets.filter("`secret of` is null")), F.lit(True), "left"))
-    found = F.col("secret values").isNotNull()
+    clean = clean.unionByName(docs.filter("doc_id is null").join(F.broadcast(secrets.filter(F.col(of).isNull())), F.lit(True), "left"))
+    found = F.col(values).isNotNull()
     out = clean.withColumn("text", F.when(found, text).otherwise(F.col("text")))
     if n:
         out = out.withColumn(n, F.when(found, F.length("text").cast(dict(docs.dtypes)[n])).otherwise(F.col(n)))
