@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.corpus import PARTS, SCOPE, scope, segmented
+from textloom.operators.corpus import PARTS, SCOPE, scope, segmented, segments_sql
 from textloom.operators.labels import _POS, _UP, closure, positives
 from textloom.operators.ranking import _LATEST, latest_runs
 from textloom.registry import query
@@ -37,10 +37,10 @@ def codes_with_names(codes, segments, themes):
     return codes.filter("deleted_at is null").join(segments.select("segment_id", "group_name"), "segment_id").join(t, "theme_id").select("code_id", "segment_id", "name", "group_name")
 
 
-@query("j13_turn_segment_map", "turns")
+@query("j13_turn_segment_map", "turns", oracle=f"with recursive {segments_sql('select item_id, turn_index as k, speaker_name as speaker, content from turns')} select item_id, unnest(string_split(turns, ';'))::bigint as turn_index, item_id || ':' || printf('%04d', seg_index) as segment_id from seg")
 def turn_segment_map(turns):
     """(item_id, turn_index, segment_id): the turns that each segment was made of."""
-    return segmented(turns).select("item_id", F.explode("turns").alias("turn_index"), "segment_id")
+    return segmented(turns).select("item_id", F.explode(F.col("turns").cast("array<bigint>")).alias("turn_index"), "segment_id")
 
 
 @query("j16_unlabelled_grid", "segments", "themes", "codes", oracle="select s.segment_id, t.theme_id from segments s cross join themes t where t.status = 'active' and (s.segment_id, t.theme_id) not in (select segment_id, theme_id from codes)")
