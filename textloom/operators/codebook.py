@@ -560,3 +560,131 @@ def display(items):
     n = F.col("doc_id")
     names = {c: F.col(c) for c in ("group_name", "person_name", "item_title", "publish_date", "item_id")} | {"person_title": F.lit(None).cast("string"), "source_name": F.col("dataset_id")}
     return items.select("item_id", format_duration(F.when(n % 9 != 0, n * 37)).alias("duration"), format_bytes(n * 10007).alias("size"), citation(names).alias("tag"))
+
+
+# ------------------------------------------------------------------ codes and rejections put on and taken off
+
+
+def set_labels(rows: DataFrame, others: DataFrame, wanted: DataFrame, number: str, flag: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """Codes put on (or, with the tables changed about, rejections): the table itself and the other one, after.
+
+    ``wanted``: segment_id, theme_id, coder.  An active row stays as it is; the
+    newest deleted one comes back with a new time and without its flag; else a
+    row is added.  The same coder's active row of the other table is deleted.
+    """
+    key = ["segment_id", "theme_id", "coder"]
+    w = wanted.select(*key).distinct()
+    newest = rows.join(w, key, "left_semi").groupBy(*key).agg(F.max(number).alias("newest"), F.count_if(F.col("deleted_at").isNull()).alias("active"))
+    back = newest.filter("active = 0").select(F.col("newest").alias(number), F.lit(True).alias("back"))
+    d = rows.join(back, number, "left")
+    d = d.withColumns({"deleted_at": F.when(F.col("back"), None).otherwise(F.col("deleted_at")), "created_at": F.when(F.col("back"), now).otherwise(F.col("created_at")), flag: F.when(F.col("back"), False).otherwise(F.col(flag))}).select(*rows.columns)
+    made = {number: F.abs(F.xxhash64(*key, F.lit(number))), "created_at": F.lit(now), flag: F.lit(False)}
+    new = w.join(newest, key, "left_anti").select(*(made.get(c, F.col(c) if c in key else F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes))
+    return d.unionByName(new), take_off(others, wanted, now)
+
+
+def take_off(rows: DataFrame, wanted: DataFrame, now: str) -> DataFrame:
+    """Active rows of ``wanted`` (segment_id, theme_id, coder) deleted softly; nothing of the other table comes back."""
+    key = ["segment_id", "theme_id", "coder"]
+    d = rows.join(wanted.select(*key).distinct().withColumn("off", F.lit(True)), key, "left")
+    return d.withColumn("deleted_at", F.when(F.col("deleted_at").isNull() & F.col("off"), now).otherwise(F.col("deleted_at"))).select(*rows.columns)
+
+
+_WANTED = "wa as (select segment_id, 's__quality' as theme_id, 'coder0' as coder from segments where doc_id % 2 = 0)"
+
+
+def _wanted(segments):
+    return segments.filter("doc_id % 2 = 0").select("segment_id", F.lit("s__quality").alias("theme_id"), F.lit("coder0").alias("coder"))
+
+
+def _put_sql(table: str, number: str, flag: str) -> str:
+    return f"""nw as (select segment_id, theme_id, coder, max({number}) as newest, count(*) filter (deleted_at is null) as active from {table} join wa using (segment_id, theme_id, coder) group by 1, 2, 3)
+    select r.segment_id, r.theme_id, case when b.newest is not null then '2024-07-01' else created_at end as created_at, case when b.newest is not null then null else deleted_at end as deleted_at, case when b.newest is not null then false else {flag} end as flag from {table} r left join (select * from nw where active = 0) b on b.newest = r.{number}
+    union all select segment_id, theme_id, '2024-07-01', null, false from wa anti join nw using (segment_id, theme_id, coder)"""
+
+
+def _off_sql(table: str) -> str:
+    return f"select r.segment_id, r.theme_id, case when deleted_at is null and wa.segment_id is not null then '2024-07-01' else deleted_at end as deleted_at from {table} r left join wa on wa.segment_id = r.segment_id and wa.theme_id = r.theme_id and wa.coder = r.coder"
+
+
+@query("d8_add_codes", "codes", "negatives", "segments", oracle=f"with {_WANTED}, {_put_sql('codes', 'code_id', 'is_exemplar')}")
+def q_add_codes(codes, negatives, segments):
+    return set_labels(codes, negatives, _wanted(segments), "code_id", "is_exemplar", "2024-07-01")[0].select("segment_id", "theme_id", "created_at", "deleted_at", F.col("is_exemplar").alias("flag"))
+
+
+@query("d8_cancelled_rejections", "codes", "negatives", "segments", oracle=f"with {_WANTED} {_off_sql('negatives')}")
+def q_cancelled(codes, negatives, segments):
+    return set_labels(codes, negatives, _wanted(segments), "code_id", "is_exemplar", "2024-07-01")[1].select("segment_id", "theme_id", "deleted_at")
+
+
+@query("d9_remove_codes", "codes", "segments", oracle=f"with {_WANTED} {_off_sql('codes')}")
+def q_remove_codes(codes, segments):
+    return take_off(codes, _wanted(segments), "2024-07-01").select("segment_id", "theme_id", "deleted_at")
+
+
+@query("d10_add_negatives", "negatives", "codes", "segments", oracle=f"with {_WANTED}, {_put_sql('negatives', 'negative_id', 'is_near_miss')}")
+def q_add_negatives(negatives, codes, segments):
+    return set_labels(negatives, codes, _wanted(segments), "negative_id", "is_near_miss", "2024-07-01")[0].select("segment_id", "theme_id", "created_at", "deleted_at", F.col("is_near_miss").alias("flag"))
+
+
+def set_dataset_status(dataset_status: DataFrame, dataset_id: str, status: str | None) -> DataFrame:
+    """A dataset excluded or unloaded, or, with None, in use again."""
+    if status not in (None, "excluded", "unloaded"):
+        raise ValueError("status must be excluded or unloaded")
+    rest = dataset_status.filter(F.col("dataset_id") != dataset_id)
+    return rest if status is None else _with_row(rest, {"dataset_id": dataset_id, "status": status})
+
+
+@query("d19_set_status", "dataset_status", oracle="select 'src3' as dataset_id, 'unloaded' as status union all select 'src9', 'excluded'")
+def q_set_status(dataset_status):
+    """One changed, one added, one cleared."""
+    return set_dataset_status(set_dataset_status(set_dataset_status(dataset_status, "src3", "unloaded"), "src9", "excluded"), "src5", None)
+
+
+def label_tiers(labels: DataFrame, scores: DataFrame, turn_map: DataFrame, themes: list[str], tier: str = "status", statuses: tuple[str, ...] = ("confirmed", "interactive")) -> tuple[DataFrame, DataFrame]:
+    """(segment_id, theme_id, label, rank) from a labels file, and (item_id, gold_set).
+
+    Items count as read in full by their mark's status, or, in the coverage tier,
+    by enough coded segments too; then their segments without a label are
+    negative.  Ranks are honest scores; a scored segment without a label is neutral.
+    ``labels`` has the labels file's columns; ``scores``: segment_id, theme_id,
+    score, oof_score; ``turn_map``: item_id, segment_id.
+    """
+    if tier not in ("status", "coverage"):
+        raise ValueError(f"unknown tier {tier}")
+    known = turn_map.select("item_id", "segment_id").distinct()
+    own = labels.filter(F.col("theme_id").isin(themes)).join(known.select("segment_id").distinct(), "segment_id", "left_semi").dropDuplicates(["segment_id", "theme_id"])
+    item = own.groupBy("item_id").agg(F.bool_or(F.col("item_read_in_full_status").isin(*statuses)).alias("by_status"), F.bool_or(F.col("inferred_by_coverage") == "true").alias("covered"), F.bool_or(F.col("label") == "pos").alias("pos"))
+    gold = F.col("by_status") | (F.col("covered") if tier == "coverage" else F.lit(False))
+    item = item.withColumn("gold", gold)
+    sets = item.withColumn("gold_set", F.when(F.col("gold"), "read_in_full").when(F.col("pos"), "positives_only")).filter("gold_set is not null").select("item_id", "gold_set")
+    key = ["segment_id", "theme_id"]
+    said = own.select(*key, "label")
+    if tier == "coverage":
+        names = F.explode(F.array(*map(F.lit, themes)))  # a codebook
+        grid = known.join(item.filter("gold and not by_status").select("item_id"), "item_id", "left_semi").select("segment_id", names.alias("theme_id"))
+        said = said.unionByName(grid.join(said.select(*key), key, "left_anti").withColumn("label", F.lit("neg")))
+    ranks = scores.filter(F.col("theme_id").isin(themes)).groupBy(*key).agg(F.max(F.coalesce("oof_score", "score")).alias("rank"))
+    return ranks.join(said, key, "full").select(*key, F.coalesce("label", F.lit("neutral")).alias("label"), "rank"), sets
+
+
+_FILE = """lf as (select segment_id, item_id, theme_id, label, status, covered from (select cast(doc_id as varchar) || ':0000' as segment_id, cast(doc_id - doc_id % 3 as varchar) as item_id, 's__quality' as theme_id, case quality when 1 then 'pos' else 'neg' end as label, case when doc_id % 4 = 0 then 'confirmed' else 'unknown' end as status, doc_id % 5 = 0 as covered from labels)),
+    mp as (select cast(doc_id - doc_id % 3 as varchar) as item_id, segment_id from segments), it as (select item_id, bool_or(status = 'confirmed') as by_status, bool_or(covered) as covered, bool_or(label = 'pos') as pos from lf group by 1)"""
+
+
+def _tier_inputs(labels, segments, predictions):
+    n = F.col("doc_id")
+    item = (n - n % 3).cast("string")
+    f = labels.filter("quality is not null").select(F.concat(n.cast("string"), F.lit(":0000")).alias("segment_id"), item.alias("item_id"), F.lit("s__quality").alias("theme_id"), F.when(F.col("quality") == 1, "pos").otherwise("neg").alias("label"), F.when(n % 4 == 0, "confirmed").otherwise("unknown").alias("item_read_in_full_status"), F.when(n % 5 == 0, "true").otherwise("false").alias("inferred_by_coverage"))
+    return f, predictions.filter("model_version = 'tfidf_v2'"), segments.select(item.alias("item_id"), "segment_id"), ["s__quality"]
+
+
+@query("d28_label_tiers", "labels", "segments", "predictions", oracle=f"""with {_FILE}, sd as (select segment_id, theme_id, label from lf union all select mp.segment_id, 's__quality', 'neg' from mp join it using (item_id) where covered and not by_status and mp.segment_id not in (select segment_id from lf)),
+    rk as (select segment_id, theme_id, max(coalesce(oof_score, score)) as rank from predictions where model_version = 'tfidf_v2' and theme_id = 's__quality' group by 1, 2) select coalesce(rk.segment_id, sd.segment_id) as segment_id, coalesce(rk.theme_id, sd.theme_id) as theme_id, coalesce(label, 'neutral') as label, rank from rk full join sd on sd.segment_id = rk.segment_id""")
+def q_tiers(labels, segments, predictions):
+    return label_tiers(*_tier_inputs(labels, segments, predictions), tier="coverage")[0]
+
+
+@query("d28_gold_sets", "labels", "segments", "predictions", oracle=f"with {_FILE} select item_id, case when by_status then 'read_in_full' when pos then 'positives_only' end as gold_set from it where by_status or pos")
+def q_gold_sets(labels, segments, predictions):
+    return label_tiers(*_tier_inputs(labels, segments, predictions))[1]
