@@ -317,7 +317,8 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     A text of under ``SHINGLE`` words is one shingle; null and empty texts have
     none and are alone, as are rows without an id.  Repeated rows are copies (an id that returns with
     another text is not told apart from the first); an empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored.  Of ids that tie for a class the least names
+    it.  A text of any length is one whole set, which one task holds.
     """
     first = roots(recall)
     plain = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -590,7 +590,9 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
     score.  A null or empty text is its end alone; repeated rows are each
     scored (and counted); an empty table gives no rows; without training rows
-    every word is unknown; other columns are ignored.
+    every word is unknown; other columns are ignored.  Words of equal counts
+    stand in the order of their bytes.  A text of any length is learnt from and
+    scored whole, some steps at a time; its symbols are one row.
     """
     spark = docs.sparkSession
     plain = texts(docs).withColumn("held_out", held_out)

@@ -198,6 +198,8 @@ def pack(docs: DataFrame, file: str = "byte_bpe_50k.json", capacity: int = 1024,
 
     A null or empty text is its end id alone; repeated rows are each packed; an
     empty table gives no rows; columns besides doc_id and text are ignored.
+    Pieces of equal length go in the order of a hash of id, start and content,
+    equal rows in any order; a text of any length is cut, and no id is lost.
     """
     specials = specials_of(file)
     plain = texts(docs)

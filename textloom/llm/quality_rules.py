@@ -104,7 +104,8 @@ def clean(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_lines, lost_chars, cleaned, base_failed and kept.  Null
     and empty texts have no words and fail the base rules; repeated rows are
-    each judged; an empty table gives no rows; other columns are ignored.
+    each judged; an empty table gives no rows; other columns are ignored.  Of
+    equal lines the first stays; a text of any length is one row, read whole.
     """
     d = measures(docs).withColumn("good", F.array_distinct(F.filter("lines", lambda x: ~line_fails(x))))
     stay = F.aggregate("good", F.lit(0).cast("long"), lambda a, x: a + word_chars(x))

@@ -207,7 +207,10 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source
     Returns doc_id, value, at, occurrences, score and is_secret, one row for
     each distinct candidate of a row.  Null and empty texts have none; repeated
     rows give repeated rows; an empty table gives no rows; a missing or null
-    path counts as an empty one; other columns are ignored.
+    path counts as an empty one; other columns are ignored.  A value that
+    matches several times is one row, at its first place; of a value that
+    several patterns give, the places count once.  Texts are searched whole,
+    whatever their length.
     """
     words = dictionary(docs)
     table = transitions(words)

@@ -137,6 +137,8 @@ def count_tokens(docs: DataFrame, file: str = "byte_bpe_50k.json", limit: int =
     Null and empty texts have no tokens; repeated rows are each counted; an
     empty table gives no rows; columns besides doc_id and text are ignored.
     Special strings inside a text are one token, as the library has it.
+    Pre-tokens of equal counts are all broadcast or none.  A text of any length
+    is counted whole.
     """
     specials = specials_of(file)
     plain = texts(docs)
