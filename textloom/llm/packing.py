@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import saved, strings, texts, worker_cache
 from .token_counts import PATTERN, load, specials_of, splitter
 
-#: Distinct pre-tokens, and runs, whose ids a worker remembers; the longest of them.
-REMEMBERED, LONGEST = 120_000, 64
+#: Distinct pre-tokens, and runs, whose ids a worker remembers in a generation; the longest of them.
+REMEMBERED, LONGEST = 200_000, 64
 #: Pieces per salted group of a length, about.
 GROUP = 100_000
 
@@ -59,36 +59,47 @@ def piece_encoder(tokenizer):
     return lambda pre: [special[pre]] if pre in special else fast(pre.encode("utf-8"))
 
 
-def _remembered(cache: dict, key: str, value: bytes) -> bytes:
-    if len(key) <= LONGEST:
-        if len(cache) >= REMEMBERED:
-            cache.clear()
-        cache[key] = value
-    return value
+class _Remembered(dict):
+    """What ``made(key)`` gave, in two generations: a full one becomes the old
+    one, and what is asked for again comes back from there, so frequent keys stay."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
-class _Ids(dict):
+class _Ids(_Remembered):
     """Ids of a pre-token as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.encode = piece_encoder(tokenizer)
 
-    def __missing__(self, pre: str) -> bytes:
+    def made(self, pre: str) -> bytes:
         ids = self.encode(pre)
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        return _remembered(self, pre, out)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Words(dict):
+class _Words(_Remembered):
     """Ids of a run without spaces, with the space before it."""
 
     def __init__(self, ids: _Ids, split, specials):
         super().__init__()
         self.ids, self.split, self.whole = ids, split, [x for x in specials if " " in x]
 
-    def __missing__(self, run: str) -> bytes:
-        return _remembered(self, run, b"".join(map(self.ids.__getitem__, self.split(" " + run))))
+    def made(self, run: str) -> bytes:
+        return b"".join(map(self.ids.__getitem__, self.split(" " + run)))
 
     def of(self, text: str) -> bytes:
         """Ids of a whole text.  A pre-token always starts at a space with a
