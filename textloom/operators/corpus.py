@@ -309,8 +309,8 @@ def merged_turns(turns: DataFrame) -> DataFrame:
     d = turns.withColumn("text", T.strip(F.coalesce("content", F.lit("")))).filter("text <> ''").groupBy("item_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
     new = "named_struct('speaker', t.speaker, " + ", ".join(f"'{c}', t.{c}" for c in META) + ", 'text', t.text, 'n', t.n, 'turns', array(t.turn_index))"
     grown = "named_struct('speaker', a.open.speaker, " + ", ".join(f"'{c}', a.open.{c}" for c in META) + ", 'text', a.open.text || ' ' || t.text, 'n', a.open.n + t.n, 'turns', concat(a.open.turns, array(t.turn_index)))"
-    acc = lambda lists, now, block: f"named_struct('lists', {lists}, 'now', {now}, 'open', cast({block} as {_BLOCK}))"
-    fold = f"""aggregate(turns, {acc(f"cast(array() as array<array<{_BLOCK}>>)", f"cast(array() as array<{_BLOCK}>)", "null")}, (a, t) ->
+    acc = lambda lists, now, block: f"named_struct('lists', {lists}, 'now', {now}, 'open', {block})"
+    fold = f"""aggregate(turns, {acc(f"cast(array() as array<array<{_BLOCK}>>)", f"cast(array() as array<{_BLOCK}>)", f"cast(null as {_BLOCK})")}, (a, t) ->
         case when a.open is null then {acc("a.lists", "a.now", new)}
              when a.open.speaker <=> t.speaker and a.open.n < {SHORT} then {acc("a.lists", "a.now", grown)}
              when size(a.now) >= 128 then {acc("concat(a.lists, array(a.now))", "array(a.open)", new)}
