@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, language_model, packing, quality, quality_rules, secrets, token_counts, toxicity
+from . import chat, decontaminate, jaccard_join, language_model, packing, quality, quality_rules, secrets, source_audit, substring_dedup, token_counts, toxicity, whitening
 from .common import held_out, table
 
 #: The conversation that op4 adds: control strings in both texts.
@@ -64,8 +64,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), whole=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_jaccard_join, op4_chat_format, op5_decontaminate, op6_token_counts, op7_quality, op8_packing, op9_toxicity, op10_quality_rules)}
+    found = (op1_lm_score, op2_secret_scan, op3_jaccard_join, op4_chat_format, op5_decontaminate, op6_token_counts, op7_quality)
+    found += (op8_packing, op9_toxicity, op10_quality_rules, op11_substring_dedup, op12_whitening, op13_source_audit)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -73,4 +87,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat_format": chat.oracle(extra=hard),
         "op10_quality_rules": quality_rules.oracle(),
+        "op11_substring_dedup": substring_dedup.oracle(),
+        "op13_source_audit": source_audit.oracle(),
     }
