@@ -24,7 +24,7 @@ def unjudged_interviewer(codes, negatives, item_reviews, none_confirmations, seg
     """(theme_id, segment_id) of negatives on interviewer turns that nobody judged: no rejection, no "none of these"."""
     key, tree = ["theme_id", "segment_id"], closure(themes)
     asked = segments.filter("speaker_role = 'interviewer'").select("segment_id")
-    neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes, strict=True).join(asked, "segment_id", "left_semi")
+    neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes, strict=True, tree=tree).join(asked, "segment_id", "left_semi")
     none = none_confirmations.filter("unconfirmed_at is null").join(themes.select("theme_id", "scheme_id", "created_at"), "scheme_id").filter("confirmed_at >= created_at").select(*key)
     return neg.join(rejections(negatives, codes, tree), key, "left_anti").join(none, key, "left_anti").select(*key)
 

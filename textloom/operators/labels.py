@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.plans.graph import written
 from textloom.registry import query
 
 
@@ -13,11 +14,13 @@ def closure(themes: DataFrame) -> DataFrame:
 
     A path that comes back to a theme ends there, so cycles end too.  The theme
     table is a codebook, hundreds of rows; each step is a join on the parent.
+    The result is a written table: plans use it many times, and the recursion
+    runs once.
     """
     step = themes.select(F.col("theme_id").alias("ancestor"), F.col("theme_id").alias("descendant"))
     parents = themes.filter(F.col("parent_theme_id").isNotNull()).select(F.col("theme_id").alias("child"), F.col("parent_theme_id").alias("parent"))
     # The way up is a string of ids between separators.
-    return themes.sparkSession.sql(
+    found = themes.sparkSession.sql(
         """with recursive up(ancestor, descendant, dist, seen) max recursion level 1000000 as (
              select ancestor, descendant, 0, concat(char(31), ancestor, char(31)) from {base}
              union all select p.parent, u.descendant, u.dist + 1, concat(u.seen, p.parent, char(31)) from up u join {parents} p on p.child = u.ancestor where locate(concat(char(31), p.parent, char(31)), u.seen) = 0)
@@ -25,6 +28,7 @@ def closure(themes: DataFrame) -> DataFrame:
         base=step,
         parents=parents,
     )
+    return written(found)
 
 
 def active(events: DataFrame) -> DataFrame:
@@ -37,21 +41,26 @@ def positives(codes: DataFrame, tree: DataFrame) -> DataFrame:
     return c.join(tree, "descendant").select(F.col("ancestor").alias("theme_id"), "segment_id").distinct()
 
 
+def rejected_below(negatives: DataFrame, tree: DataFrame) -> DataFrame:
+    """(theme_id, segment_id): an active negative on the theme or above it."""
+    n = active(negatives).select(F.col("theme_id").alias("ancestor"), "segment_id").distinct()
+    return n.join(tree, "ancestor").select(F.col("descendant").alias("theme_id"), "segment_id").distinct()
+
+
 def rejections(negatives: DataFrame, codes: DataFrame, tree: DataFrame) -> DataFrame:
     """(theme_id, segment_id): an active negative on the theme or above it, unless positive."""
-    n = active(negatives).select(F.col("theme_id").alias("ancestor"), "segment_id").distinct()
-    down = n.join(tree, "ancestor").select(F.col("descendant").alias("theme_id"), "segment_id").distinct()
-    return down.join(positives(codes, tree), ["theme_id", "segment_id"], "left_anti")
+    return rejected_below(negatives, tree).join(positives(codes, tree), ["theme_id", "segment_id"], "left_anti")
 
 
-def reviewed_negatives(codes: DataFrame, negatives: DataFrame, item_reviews: DataFrame, none_confirmations: DataFrame, segments: DataFrame, themes: DataFrame, strict: bool = False) -> DataFrame:
+def reviewed_negatives(codes: DataFrame, negatives: DataFrame, item_reviews: DataFrame, none_confirmations: DataFrame, segments: DataFrame, themes: DataFrame, strict: bool = False, tree: DataFrame | None = None) -> DataFrame:
     """(theme_id, segment_id): judged and not coded.
 
     Segments of items whose active mark is no older than the theme, confirmed
     "none of these" segments likewise, and rejections, less positives.
-    ``strict`` asks that the mark was confirmed or recorded when it was made.
+    ``strict`` asks that the mark was confirmed or recorded when it was made;
+    ``tree`` is the closure of the themes, where the caller has it.
     """
-    tree = closure(themes)
+    tree = closure(themes) if tree is None else tree
     marks = item_reviews.filter("unmarked_at is null")
     if strict:
         marks = marks.filter("read_in_full_confirmed_at is not null or recorded_at = marked_at")
@@ -59,18 +68,21 @@ def reviewed_negatives(codes: DataFrame, negatives: DataFrame, item_reviews: Dat
     judged = segments.select("segment_id", "dataset_id", "item_id").join(marks.select("dataset_id", "item_id", "scheme_id", F.col("marked_at").alias("at")), ["dataset_id", "item_id"]).select("segment_id", "scheme_id", "at")
     none = none_confirmations.filter("unconfirmed_at is null").select("segment_id", "scheme_id", F.col("confirmed_at").alias("at"))
     both = judged.unionByName(none).join(t, "scheme_id").filter("at >= theme_created").select("theme_id", "segment_id").distinct()
-    return both.unionByName(rejections(negatives, codes, tree)).distinct().join(positives(codes, tree), ["theme_id", "segment_id"], "left_anti")
+    # Positives come off once: rejections join before theirs are taken.
+    down = rejected_below(negatives, tree)
+    return both.unionByName(down).distinct().join(positives(codes, tree), ["theme_id", "segment_id"], "left_anti")
 
 
 def training_labels(mode: str, codes, negatives, item_reviews, none_confirmations, segments, themes) -> DataFrame:
     """(theme_id, segment_id, y): ``all_uncoded`` labels every segment, ``reviewed`` and ``read_in_full`` only judged ones."""
     if mode not in ("all_uncoded", "reviewed", "read_in_full"):
         raise ValueError(f"unknown negative mode {mode}")
-    pos = positives(codes, closure(themes)).join(segments.select("segment_id"), "segment_id", "left_semi").select("theme_id", "segment_id", F.lit(1).alias("y"))
+    tree = closure(themes)
+    pos = positives(codes, tree).join(segments.select("segment_id"), "segment_id", "left_semi").select("theme_id", "segment_id", F.lit(1).alias("y"))
     if mode == "all_uncoded":
         grid = segments.select("segment_id").crossJoin(F.broadcast(themes.select("theme_id")))  # the codebook is small
         return grid.join(pos, ["theme_id", "segment_id"], "left").select("theme_id", "segment_id", F.coalesce("y", F.lit(0)).alias("y"))
-    neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes, strict=mode == "read_in_full")
+    neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes, strict=mode == "read_in_full", tree=tree)
     return pos.unionByName(neg.select("theme_id", "segment_id", F.lit(0).alias("y")))
 
 
@@ -354,7 +366,7 @@ def label_sources(codes, negatives, item_reviews, none_confirmations, segments,
     pos = positives(codes, tree).join(direct, key, "left").select(*key, F.lit("pos").alias("label"), F.when(F.col("direct"), "code").otherwise("code_rollup").alias("source"))
     rej = rejections(negatives, codes, tree).withColumn("rejected", F.lit(True))
     none = none_confirmations.filter("unconfirmed_at is null").join(themes.select("theme_id", "scheme_id", "created_at"), "scheme_id").filter("confirmed_at >= created_at").select(*key).distinct().withColumn("none", F.lit(True))
-    neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes, strict=True).join(rej, key, "left").join(none, key, "left")
+    neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes, strict=True, tree=tree).join(rej, key, "left").join(none, key, "left")
     source = F.when(F.col("rejected"), "explicit_rejection").when(F.col("none"), "none_confirmed").otherwise("read_in_full_uncoded")
     return pos.unionByName(neg.select(*key, F.lit("neg").alias("label"), source.alias("source")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.labels import _J, _JS, _NEG, _POS, _REJ, _UP, closure, positives, rejections, reviewed_negatives, with_flags
+from textloom.plans.graph import written
 from textloom.registry import query
 
 # ------------------------------------------------------------------ runs
@@ -104,8 +105,8 @@ def _own(predictions, version, theme):
 MODES = ("top", "uncertain", "audit", "suspect", "boundary")
 
 
-def review_queue(mode: str, predictions, codes, negatives, item_reviews, none_confirmations, segments, themes, theme: str, version: str, threshold: float, seed: str = "7") -> DataFrame:
-    """(segment_id, sort_key, position) of a theme's queue; ties by segment id.
+def queue_rows(mode: str, predictions, codes, negatives, item_reviews, none_confirmations, segments, themes, theme: str, version: str, threshold: float, seed: str = "7") -> tuple[DataFrame, Column]:
+    """Rows of a theme's queue (segment_id, sort_key, score, oof_score), not sorted yet, and their order; ties by segment id.
 
     top, uncertain and audit show undecided segments (neither coded nor a
     reviewed negative); suspect shows labels that the out-of-fold score
@@ -119,7 +120,7 @@ def review_queue(mode: str, predictions, codes, negatives, item_reviews, none_co
     pos = positives(codes, tree).filter(F.col("theme_id") == theme).select("segment_id")
     if mode in ("suspect", "boundary"):
         strict = mode == "boundary"
-        neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes, strict=strict).filter(F.col("theme_id") == theme).select("segment_id")
+        neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes, strict=strict, tree=tree).filter(F.col("theme_id") == theme).select("segment_id")
         if mode == "suspect":
             p = p.filter("oof_score is not null")
             d = p.join(pos, "segment_id", "left_semi").withColumn("sort_key", 1 - F.col("oof_score")).unionByName(p.join(neg, "segment_id", "left_semi").withColumn("sort_key", F.col("oof_score")))
@@ -128,7 +129,7 @@ def review_queue(mode: str, predictions, codes, negatives, item_reviews, none_co
             d = p.join(neg, "segment_id", "left_semi").join(near, "segment_id", "left_anti").withColumn("sort_key", F.coalesce("oof_score", "score"))
         order = F.desc("sort_key")
     else:
-        neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes).filter(F.col("theme_id") == theme).select("segment_id")
+        neg = reviewed_negatives(codes, negatives, item_reviews, none_confirmations, segments, themes, tree=tree).filter(F.col("theme_id") == theme).select("segment_id")
         d = p.join(pos, "segment_id", "left_anti").join(neg, "segment_id", "left_anti")
         if mode == "top":
             d, order = d.withColumn("sort_key", F.col("score")), F.desc("sort_key")
@@ -136,27 +137,37 @@ def review_queue(mode: str, predictions, codes, negatives, item_reviews, none_co
             d, order = d.withColumn("sort_key", F.round(F.abs(F.col("score") - threshold), 6)), F.asc("sort_key")
         else:
             d, order = d.filter(F.col("score") >= threshold).withColumn("sort_key", F.md5(F.concat(F.lit(seed), F.lit("|"), "segment_id"))), F.asc("sort_key")
-    return d.select("segment_id", "sort_key", *(c for c in ("score", "oof_score", "label") if c in d.columns)).orderBy(order, "segment_id")
+    return d.select("segment_id", "sort_key", "score", "oof_score"), order
+
+
+def review_queue(mode: str, *tables, **which) -> DataFrame:
+    """``queue_rows`` in order."""
+    rows, order = queue_rows(mode, *tables, **which)
+    return rows.orderBy(order, "segment_id")
 
 
 #: Rows of a page: as asked for, and at most.
 PAGE, MOST = 25, 200
 
 
-def page_of(queue: DataFrame, offset: int = 0, limit: int = PAGE) -> tuple[DataFrame, DataFrame]:
-    """One page of an ordered queue (a top-k, not a sort of all rows), and a row with the queue's total."""
+def page_of(queue: tuple[DataFrame, Column], offset: int = 0, limit: int = PAGE) -> tuple[DataFrame, DataFrame]:
+    """One page of a queue (a top-k, not a sort of all rows), and a row with the queue's total.
+
+    The queue's rows are written once, unsorted; page and total read them.
+    """
     limit = max(1, min(MOST, limit))
-    return queue.offset(max(0, offset)).limit(limit), queue.agg(F.count("*").alias("total"))
+    rows = written(queue[0])
+    return rows.orderBy(queue[1], "segment_id").offset(max(0, offset)).limit(limit), rows.agg(F.count("*").alias("total"))
 
 
-def queue_page(queue: DataFrame, segments, codes, negatives, offset: int = 0, limit: int = PAGE) -> DataFrame:
-    """A queue's page with each segment's text, codes, rejections and exemplar flags, and the total.
+def queue_page(queue: tuple[DataFrame, Column], segments, codes, negatives, offset: int = 0, limit: int = PAGE) -> DataFrame:
+    """A page of a queue (``queue_rows``) with each segment's text, codes, rejections and exemplar flags, and the total.
 
     What is joined is joined after the limit, so it's read for the page's rows
     only; segments that are gone drop out of the page.
     """
     page, total = page_of(queue, offset, limit)
-    page = F.broadcast(page.select("segment_id", "sort_key", *(c for c in ("score", "oof_score") if c in queue.columns)))  # MOST rows at most
+    page = F.broadcast(page)  # MOST rows at most
     lists = lambda d, name: d.join(page.select("segment_id"), "segment_id", "left_semi").groupBy("segment_id").agg(F.array_join(F.sort_array(F.collect_set("theme_id")), ",").alias(name))
     own = segments.select("segment_id", "item_id", "text", "word_count").join(page, "segment_id")
     out = own.join(lists(codes.filter("deleted_at is null"), "codes"), "segment_id", "left").join(lists(negatives.filter("deleted_at is null"), "rejected"), "segment_id", "left")
@@ -187,7 +198,7 @@ for _m, _sql in _QUEUES.items():
 def q_queue_page(*t):
     """A page of the top queue from its sixth row on."""
     predictions, codes, negatives, _, _, segments, _ = t
-    return queue_page(review_queue("top", *t, theme="s__toxic", version="tfidf_v2", threshold=0.6), segments, codes, negatives, offset=5)
+    return queue_page(queue_rows("top", *t, theme="s__toxic", version="tfidf_v2", threshold=0.6), segments, codes, negatives, offset=5)
 
 
 @query("f6_queue_confusion", "predictions", "model_runs", "codes", "negatives", "themes", oracle=f"""with recursive {_UP}, {_POS}, {_REJ}, {_LATEST},

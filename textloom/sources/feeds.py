@@ -7,10 +7,11 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from textloom.functions import text as T
 
@@ -46,13 +47,63 @@ def search(kind: str, keyword: str, url: str, key: str, page_size: int = 25, wai
     return get_page(url, key, f"get_{kind}", wait, keyword=keyword, page_size=page_size).get("results", [])
 
 
-class _One(InputPartition):
-    def __init__(self, name: str, value: str):
-        self.name, self.value = name, value
+class _Part(InputPartition):
+    """A task's share: one entity (or company), items with ids in (above, upto], and publish dates in [after, before)."""
+
+    def __init__(self, name: str, value: str, after: str | None = None, before: str | None = None, above: int | None = None, upto: int | None = None):
+        self.name, self.value, self.after, self.before, self.above, self.upto = name, value, after, before, above, upto
+
+    def has(self, item: dict) -> bool:
+        day = str(item.get("publish_date") or "")[:10]
+        return (not self.after or day >= self.after[:10]) and (not self.before or day < self.before[:10])
+
+
+def date_ranges(after: str | None, before: str | None, days: int) -> list[tuple[str | None, str | None]]:
+    """[after, before) cut every ``days`` days; a missing bound leaves its side open, in one range if both are missing.
+
+    With an open end there is a range from the last cut on; items without a
+    publish date are in ranges without a lower bound only.
+    """
+    if not after or not before or days <= 0:
+        return [(after, before)]
+    at, end, out = date.fromisoformat(after[:10]), date.fromisoformat(before[:10]), []
+    while at < end:
+        upto = min(end, at + timedelta(days=days))
+        out.append((at.isoformat(), upto.isoformat()))
+        at = upto
+    return out
+
+
+def _named(options) -> list[tuple[str, str]]:
+    for name in ("entity_id", "company_id"):
+        values = json.loads(options.get(name + "s", "[]"))
+        if values:
+            return [(name, str(v)) for v in values]
+    raise ValueError("a feed needs entity_ids or company_ids")
+
+
+def _page(options, part: _Part, last, size: int) -> dict:
+    wait = float(options.get("wait", WAIT))
+    return get_page(options.get("url"), options.get("key"), "get_feed", wait, page_size=size, filter_after_dt=part.after, filter_before_dt=part.before, before_feed_item_id=last, **{part.name: part.value})
+
+
+def _items(options, part: _Part):
+    """Rows of a part, newest first: pages follow the last id seen until there are no more, or the ids are below the part's."""
+    last = None if part.upto is None else part.upto + 1
+    while True:
+        page = _page(options, part, last, int(options.get("pagesize", PAGE)))
+        for item in page.get("results", []):
+            if part.above is not None and int(item["id"]) <= part.above:
+                return
+            ids = {part.name: part.value}
+            yield item, (ids.get("entity_id"), ids.get("company_id"), str(item["id"]) if item.get("id") is not None else None, item.get("publish_date"), json.dumps(item, ensure_ascii=False))
+        last = page.get("last_seen_id")
+        if not page.get("page_has_next") or last is None:
+            return
 
 
 class FeedReader(DataSourceReader):
-    """One partition an entity (or company); pages follow the last id seen until there are no more."""
+    """A partition for each entity (or company), or with ``rangeDays`` for each of its date ranges."""
 
     def __init__(self, options: dict):
         self.o = options
@@ -70,34 +121,78 @@ class FeedReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        for name in ("entity_id", "company_id"):
-            values = json.loads(self.o.get(name + "s", "[]"))
-            if values:
-                return [_One(name, str(v)) for v in values]
-        raise ValueError("a feed needs entity_ids or company_ids")
+        days = int(self.o.get("rangedays", 0))
+        if not days or not self.after:
+            return [_Part(*n, self.after, self.before) for n in _named(self.o)]
+        ranges = date_ranges(self.after, self.before or (date.today() + timedelta(days=1)).isoformat(), days)
+        # The outer bounds stay the API's own; only the cuts between ranges are made here.
+        return [_Part(*n, a, b) for n in _named(self.o) for a, b in ranges]
 
     def read(self, partition):
-        last = None
+        cut = int(self.o.get("rangedays", 0)) > 0 and partition.after
         try:
-            while True:
-                page = get_page(
-                    self.o.get("url"), self.o.get("key"), "get_feed", float(self.o.get("wait", WAIT)), page_size=int(self.o.get("pagesize", PAGE)),
-                    filter_after_dt=self.after, filter_before_dt=self.before, before_feed_item_id=last, **{partition.name: partition.value},
-                )
-                for item in page.get("results", []):
-                    ids = {partition.name: partition.value}
-                    yield (ids.get("entity_id"), ids.get("company_id"), str(item["id"]) if item.get("id") is not None else None, item.get("publish_date"), json.dumps(item, ensure_ascii=False))
-                last = page.get("last_seen_id")
-                if not page.get("page_has_next") or last is None:
-                    return
+            for item, row in _items(self.o, partition):
+                if not cut or partition.has(item):
+                    yield row
         except (OSError, RuntimeError):
             # One entity's failure doesn't end a bulk download when that's asked for.
             if str(self.o.get("skipfailures", "false")).lower() != "true":
                 raise
 
 
+class FeedStreamReader(DataSourceStreamReader):
+    """The feed as a stream: the offset is, for each entity, the newest item id seen (and its date).
+
+    A batch reads the items with ids above the old offset and up to the new
+    one, so a batch that was cut short is read again in full from its
+    checkpoint, and none is read twice by two batches.  An entity's first batch
+    is its history, a task for each ``rangeDays`` days of it since ``after``;
+    what is older is one more task, unless ``after`` bounds the stream.
+    """
+
+    def __init__(self, options: dict):
+        self.o = options
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        out = {}
+        for name, value in _named(self.o):
+            found = _page(self.o, _Part(name, value, self.o.get("after")), None, 1).get("results", [])
+            if found:
+                out[value] = {"id": int(found[0]["id"]), "date": str(found[0].get("publish_date") or "")[:10]}
+        return out
+
+    def partitions(self, start: dict, end: dict):
+        after, days, out = self.o.get("after"), int(self.o.get("rangedays", 0)), []
+        for name, value in _named(self.o):
+            if value not in end:
+                continue
+            old, new = start.get(value), end[value]
+            if old is None and days and after:
+                # The last range is open, as an item with a smaller id may have a later date.
+                ranges = date_ranges(after, new["date"] or after, days)
+                out += [_Part(name, value, a, b, None, new["id"]) for a, b in ranges]
+                out.append(_Part(name, value, max(after[:10], new["date"]), None, None, new["id"]))
+            elif old is None:
+                out.append(_Part(name, value, after, None, None, new["id"]))
+            elif old["id"] < new["id"]:
+                out.append(_Part(name, value, after, None, old["id"], new["id"]))
+        return out
+
+    def read(self, partition):
+        for item, row in _items(self.o, partition):
+            if partition.has(item):
+                yield row
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class FeedSource(DataSource):
-    """``feed``: options url, key, entity_ids or company_ids (JSON lists), after, before, pageSize, skipFailures, wait."""
+    """``feed``, as a table and as a stream: options url, key, entity_ids or company_ids (JSON lists), after, before
+    (tables), rangeDays, pageSize, skipFailures (tables), wait."""
 
     @classmethod
     def name(cls):
@@ -109,6 +204,9 @@ class FeedSource(DataSource):
     def reader(self, schema):
         return FeedReader(self.options)
 
+    def streamReader(self, schema):
+        return FeedStreamReader(self.options)
+
 
 def read_feed(spark: SparkSession, **options) -> DataFrame:
     """The feed's rows; bounds on publish_date are pushed to the API, which needs the session's switch for Python sources."""
@@ -117,6 +215,12 @@ def read_feed(spark: SparkSession, **options) -> DataFrame:
     return spark.read.format("feed").options(**options).load()
 
 
+def stream_feed(spark: SparkSession, **options) -> DataFrame:
+    """The feed as a stream that goes on where its checkpoint is."""
+    spark.dataSource.register(FeedSource)
+    return spark.readStream.format("feed").options(**options).load()
+
+
 def records(feed: DataFrame, company: str) -> DataFrame:
     """Feed items as canonical records; the newest of repeated ids stays."""
     turns = "array<struct<speaker_name:string,speaker_id:string,speaker_role:string,depth:int,timestamp:string,content:string>>"

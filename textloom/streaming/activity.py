@@ -1,8 +1,7 @@
 """Structured Streaming over the activity log: an extra beyond the batch operators.
 
 ``windows`` counts actions per event-time window with a watermark; late rows
-beyond it are dropped by Spark.  ``label_state`` keeps the last event of each
-(segment, theme, coder), so a stream of label events yields current labels.
+beyond it are dropped by Spark.  Labels from a stream are in ``label_state``.
 """
 
 from __future__ import annotations
@@ -17,8 +16,3 @@ def windows(activity: DataFrame, size: str = "1 hour", late: str = "10 minutes")
     d = d.withWatermark("ts", late) if d.isStreaming else d
     g = d.groupBy(F.window("ts", size).alias("w"), "action_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "action_type", "n", "total")
-
-
-def label_state(events: DataFrame) -> DataFrame:
-    """Current kind of each label from a stream of (segment_id, theme_id, coder, at, seq, kind)."""
-    return events.groupBy("segment_id", "theme_id", "coder").agg(F.max_by("kind", F.struct("at", "seq")).alias("state"))
