@@ -10,7 +10,7 @@ they're counted at two sizes, without losing any:
    all of them repeat.
 2. *Windows* of the runs that are the first of their kind.  A repeated window
    has an equal least ``ANCHOR``-word hash inside, so only windows whose anchor
-   is in two different runs go on, each as a row of its own.
+   is in runs of two texts go on, each as a row of its own.
 
 Removed windows merge into maximal spans of words.  Groups of copies meet as
 rows pre-aggregated by hash; hashes with very many rows are looked up in a
@@ -209,7 +209,9 @@ def dedup(docs: DataFrame, whole: bool = True) -> DataFrame:
     again = join_hot(blocks.drop("anchors"), first.filter("n > 1").drop("anchors"), ["b1", "b2"], blocks.count()).filter("doc_id > least")
 
     anchors = first.select(F.col("least").alias("doc_id"), F.explode("anchors").alias("anchor"))
-    often = saved(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
+    # Two blocks of one text that meet in a window share its anchor: other texts count.
+    often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    often = saved(often.filter("least < most").drop("least", "most"))
     wanted = join_hot(anchors, often, "anchor", anchors.count())
     known = again.select("doc_id", F.struct("key", "start", "length").alias("known"), F.lit(None).cast("long").alias("anchor"))
     state = known.unionByName(wanted.select("doc_id", F.lit(None).cast(known.schema["known"].dataType).alias("known"), "anchor"))
@@ -221,9 +223,10 @@ def dedup(docs: DataFrame, whole: bool = True) -> DataFrame:
     shown = ["doc_id", "n_words", "n_removed", "spans", "kept", "kept_sha256"]
     done, waiting = settled.filter("at is null").select(*shown), settled.filter("at is not null")
 
-    rows = saved(waiting.select("doc_id", "key", F.explode(F.arrays_zip("w1", "w2", "at")).alias("w")).select("doc_id", "key", "w.*"))
+    rows = waiting.select("doc_id", "key", F.explode(F.arrays_zip("w1", "w2", "at")).alias("w")).select("doc_id", "key", "w.*")
+    total = waiting.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
     least = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-    repeated = join_hot(rows, saved(least.filter("least < most").drop("most")), ["w1", "w2"], rows.count()).filter("doc_id > least")
+    repeated = join_hot(rows, saved(least.filter("least < most").drop("most")), ["w1", "w2"], total).filter("doc_id > least")
     hit = repeated.groupBy("doc_id", "key").agg(F.collect_set("at").alias("hit"))
     late = waiting.select("doc_id", "key", "n_words", "text", "spans").join(hit, ["doc_id", "key"], "left")
     late = late.select("doc_id", "n_words", "text", "spans", "hit").mapInArrow(lambda it: _finish(it, whole), settled.select(*shown).schema)
