@@ -30,6 +30,8 @@ from .common import join_hot, saved, slices, strings
 LEAST_DOCS, UNIT, TOP = 3, 1_000_000_000, 200
 #: Distinct (group, term) entries that a task holds before it hands them on.
 ENTRIES = 400_000
+#: A document in the upper bits of a task's count.
+ONE = 1 << 40
 #: Sources of one tile of a term's posting list, and of one matrix of pair sums.
 TILE, PAIRED = 256, 1_024
 #: Bits of a digit of a value, digits of a value, bytes of a digit of a term.
@@ -47,27 +49,27 @@ def terms_of(text: str | None) -> list[bytes]:
 
 
 def _count(batches):
-    """(lang, source, term, occurrences, documents) over a task's rows; a group without terms has one row with a null term."""
+    """(lang, source, term, occurrences, documents) over a task's rows."""
     groups: dict = {}
     size = 0
 
     def rows():
         out = ([], [], [], [], [])
-        for (lang, source), (n, docs) in groups.items():
-            terms = list(n) or [None]
-            for column, values in zip(out, ([lang] * len(terms), [source] * len(terms), terms, [n[t] if t else 0 for t in terms], [docs[t] if t else 0 for t in terms])):
-                column += values
+        for (lang, source), seen in groups.items():
+            k = len(seen)
+            values = list(seen.values())
+            for column, more in zip(out, ([lang] * k, [source] * k, seen, [v & ONE - 1 for v in values], [v >> 40 for v in values])):
+                column.extend(more)
         text = [pa.array(c, pa.string()) for c in out[:2]]
         return pa.RecordBatch.from_arrays([*text, pa.array(out[2], pa.binary()).cast(pa.string()), *(pa.array(c, pa.int64()) for c in out[3:])], names=["lang", "source", "term", "n", "docs"])
 
     for batch in slices(batches):
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2))):
-            n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-            found = Counter(terms_of(text))
-            size -= len(n)
-            n.update(found)
-            docs.update(found.keys())
-            size += len(n)
+            seen = groups.setdefault((lang, source), {})
+            size -= len(seen)
+            for term, n in Counter(terms_of(text)).items():
+                seen[term] = seen.get(term, 0) + n + ONE
+            size += len(seen)
             if size > ENTRIES:
                 yield rows()
                 groups, size = {}, 0
@@ -75,10 +77,16 @@ def _count(batches):
         yield rows()
 
 
-def count_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) for every occurring group; a group has a row with a null term too where some task found none."""
-    named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (*_GROUP, "text")))
-    return named.mapInArrow(_count, "lang string, source string, term string, n long, docs long").groupBy(*_GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+def postings(docs: DataFrame) -> DataFrame:
+    """(lang, term, lang_n, found) of every kept term; ``found`` has (source, seen) of each source that has it.
+
+    Tasks count their own rows first; a term's counts then meet once, and all
+    that follows for it happens where they are.
+    """
+    counted = docs.mapInArrow(_count, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    counted = counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    found = F.collect_list(F.struct("source", F.col("n").alias("seen"))).alias("found")
+    return counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), found).filter(F.col("docs") >= LEAST_DOCS).drop("docs")
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -212,16 +220,16 @@ def audit(docs: DataFrame, top: int = TOP) -> DataFrame:
     by the item's UTF-8 bytes.  A text of any length is read whole; an empty
     table gives no rows; other columns are ignored.
     """
-    counted = saved(count_terms(docs))
-    kept = saved(counted.filter("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(F.col("docs") >= LEAST_DOCS).drop("docs"))
+    named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (*_GROUP, "text")))
+    kept = saved(postings(named))
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
-    rows = saved(counted.select(*_GROUP, "term", F.col("n").alias("seen")).join(kept, ["lang", "term"]))
+    rows = kept.select("lang", "term", "lang_n", F.explode("found").alias("f")).select("lang", "term", "lang_n", "f.*")
     sizes = rows.groupBy(*_GROUP).agg(F.sum("seen").alias("total"), F.count("*").alias("n"))
     zero = F.lit(0).cast("long")
-    groups = counted.select(*_GROUP).distinct().join(sizes, _GROUP, "left").join(langs, "lang", "left").fillna(0, ["total", "n", "kept", "lang_total"])
+    groups = named.select(*_GROUP).distinct().join(sizes, _GROUP, "left").join(langs, "lang", "left").fillna(0, ["total", "n", "kept", "lang_total"])
     groups = saved(groups.withColumn("base", _share(zero, F.col("total"), F.col("kept"))))
     scored = saved(
-        join_hot(rows, groups, _GROUP, rows.count()).select(
+        join_hot(rows, groups, _GROUP, kept.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]).select(
             *_GROUP, "term", "base", _share(F.col("seen"), F.col("total"), F.col("kept")).alias("p"), _share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q")
         )
     )
