@@ -22,12 +22,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, saved
+from .common import free_name, let, saved
 
 #: Patterns of candidates, in Java's syntax.
 _SECRET_NAMES = r"(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)"
-#: A name with any prefix and suffix, and its whole quoted or unspaced value.
-ASSIGNED = rf"(?i)(?<![A-Za-z0-9])[A-Za-z0-9_]*{_SECRET_NAMES}[A-Za-z0-9_]*[\"']?\s{{0,3}}[=:]\s{{0,3}}(\"[^\"\n]{{4,}}\"|'[^'\n]{{4,}}'|[^\s\"'][^\s\"']{{3,}})"
+#: A name with any prefix and suffix, and its whole quoted or unspaced value.  A run of a name's signs is tried
+#: once, from its beginning, and for the last secret name in it: a suffix that fails behind that one fails behind all.
+ASSIGNED = rf"(?i)(?<![A-Za-z0-9_\-])(?>[A-Za-z0-9_\-]*{_SECRET_NAMES})[A-Za-z0-9_]*+[\"']?\s{{0,3}}[=:]\s{{0,3}}(\"[^\"\n]{{4,}}\"|'[^'\n]{{4,}}'|[^\s\"'][^\s\"']{{3,}})"
 URL = r"://[^\s/:@]*:([^\s/@]{4,})@"
 PRIVATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,30}PRIVATE KEY-----|\z)"
 LONG = r"[A-Za-z0-9+/_\-]{16,}"
@@ -37,6 +38,8 @@ DOUBT = r"(?i)\b(examples?|sample|dummy|placeholder|your|tests?|fake|commit|sha2
 PLAIN_PATH = r"(?i)(^|[/_.-])(test|tests|example|examples|fixture|fixtures|mock|docs?|sample)([/_.-]|$)"
 #: Characters of context on either side; the least count that makes a dictionary word.
 AROUND, LEAST_COUNT = 48, 5
+#: Sizes summed up together; signs of a block of text.
+LIST, BLOCK = 256, 1_024
 TREES, TREE_DEPTH, FINDINGS, SECRET = 24, 8, 6_000, 0.5
 _SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -70,26 +73,48 @@ def _matches(pattern: str, group: int, from_end: int) -> Column:
     value = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.transform(F.split("text", pattern, -1), lambda g: F.length(g).cast("long"))
     rows = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value"))
-    empty = F.array().cast("array<struct<at:bigint,value:string>>")
-    start = F.struct(F.lit(1).cast("long").alias("pos"), empty.alias("found"))
 
-    def step(s, x):
-        end = s["pos"] + x["gap"] + F.length(x["whole"])
-        one = F.array(F.struct((end - from_end - F.length(x["value"])).alias("at"), x["value"].alias("value")))
-        return F.when(x["whole"].isNull(), s).otherwise(F.struct(end.alias("pos"), F.concat(s["found"], one).alias("found")))
+    def placed(rows: Column) -> Column:
+        ends = _running_sums(F.transform(rows, lambda x: x["gap"] + F.coalesce(F.length(x["whole"]), F.lit(0))))
+        one = lambda end, x: F.struct((end + (1 - from_end) - F.length(x["value"])).alias("at"), x["value"].alias("value"))
+        return F.filter(F.zip_with(ends, rows, one), lambda m: m["value"].isNotNull())
 
-    found = F.aggregate(rows, start, step, lambda s: s["found"])
-    return F.when(F.size(whole) > 0, found).otherwise(empty)
+    return F.when(F.size(whole) > 0, let(rows, placed)).otherwise(F.array().cast("array<struct<at:bigint,value:string>>"))
+
+
+def _running_sums(sizes: Column) -> Column:
+    """Running sums of an array of longs, by lists of ``LIST``: a fold that carries an array would copy it at each step."""
+    sum_of = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    # The sums of the first so many of a list.
+    before = lambda a, i: sum_of(F.slice(a, F.lit(1), i))
+
+    def of_lists(lists: Column) -> Column:
+        inside = lambda a: F.transform(a, lambda _, i: before(a, i + 1))
+        return let(F.transform(lists, sum_of), lambda sums: F.flatten(F.transform(lists, lambda a, k: let(before(sums, k), lambda base: F.transform(inside(a), lambda s: s + base)))))
+
+    lists = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / LIST).cast("int")), lambda k: F.slice(sizes, k * LIST + 1, F.lit(LIST)))
+    return let(lists, of_lists)
+
+
+def _names() -> Column:
+    return F.lower("text").rlike("passw|pwd|token|secret|key|auth|credential")
+
+
+def _may_have() -> Column:
+    """Most texts have no candidate: a look for each pattern's beginning.  A null text has none."""
+    return F.coalesce(F.col("text").rlike(LONG) | _names() | F.col("text").contains("://") | F.col("text").contains("PRIVATE KEY"), F.lit(False))
+
+
+def row_key() -> Column:
+    """What a row's secrets are known by: its id and text, so rows without an id have keys too."""
+    return F.xxhash64("doc_id", "text")
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """Each distinct candidate of each row: doc_id, value, at (1-based, its first match), occurrences (its matches), before, after, path."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """Each distinct candidate of each row: row_key, doc_id, value, at (1-based, its first match), occurrences (its matches), before, after, path."""
     where = F.col(path).cast("string") if path in docs.columns else F.lit("")
-    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"), F.coalesce(where, F.lit("")).alias("path"))
-    # Most texts have no candidate: a look for each pattern's beginning comes first.
-    names = F.lower("text").rlike("passw|pwd|token|secret|key|auth|credential")
-    d = d.filter(F.col("text").rlike(LONG) | names | F.col("text").contains("://") | F.col("text").contains("PRIVATE KEY"))
+    d = docs.filter(_may_have()).select(F.monotonically_increasing_id().alias("row"), row_key().alias("row_key"), "doc_id", "text", F.coalesce(where, F.lit("")).alias("path"))
+    names = _names()
     none = F.array().cast("array<struct<at:bigint,value:string>>")
     long = F.filter(_matches(LONG, 0, 0), lambda m: m["value"].rlike("[A-Za-z0-9]"))
     bare = lambda m: F.struct((m["at"] + 1).alias("at"), F.substr(m["value"], F.lit(2), F.length(m["value"]) - 2).alias("value"))
@@ -97,20 +122,25 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     assigned = F.when(names, assigned).otherwise(none)
     url = F.when(F.col("text").contains("://"), _matches(URL, 1, 1)).otherwise(none)
     private = F.when(F.col("text").contains("PRIVATE KEY"), _matches(PRIVATE, 0, 0)).otherwise(none)
-    d = d.withColumn("found", F.array_distinct(F.concat(long, assigned, url, private)))
-    around = F.transform(
-        "found",
-        lambda m: F.struct(
-            m["at"].alias("at"),
-            m["value"].alias("value"),
-            F.substr("text", F.greatest(m["at"] - AROUND, F.lit(1)).cast("int"), F.least(m["at"] - 1, F.lit(AROUND)).cast("int")).alias("before"),
-            F.substr("text", (m["at"] + F.length(m["value"])).cast("int"), F.lit(AROUND)).alias("after"),
-        ),
-    )
+    # The text in blocks too: signs around a place are read from two of them, not counted from the text's beginning.
+    d = d.withColumns({"found": F.concat(long, assigned, url, private), "blocks": F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))})
+
+    def near(block: Column, at: Column, first: Column, size: Column) -> Column:
+        two = F.concat(F.coalesce(F.get("blocks", block), F.lit("")), F.coalesce(F.get("blocks", block + 1), F.lit("")))
+        return F.substr(two, (at + first - block * BLOCK).cast("int"), size.cast("int"))
+
+    def context(m: Column) -> Column:
+        at, end = m["at"], m["at"] + F.length(m["value"])
+        size = F.least(at - 1, F.lit(AROUND))
+        begin = ((at - size - 1) / BLOCK).cast("int")
+        return F.struct(at.alias("at"), m["value"].alias("value"), near(begin, at, -size, size).alias("before"), near(((end - 1) / BLOCK).cast("int"), end, F.lit(0), F.lit(AROUND)).alias("after"))
+
     # The outer form, with its empty rows dropped behind: of the inner one the optimizer makes a filter that matches all patterns a second time.
-    one = d.select("row", "doc_id", "path", F.explode_outer(around).alias("m")).select("row", "doc_id", "path", "m.*").filter("value is not null")
-    first = one.groupBy("row", "value").agg(F.min(F.struct("at", "doc_id", "path", "before", "after")).alias("m"), F.count("*").alias("occurrences"))
-    return first.select("m.doc_id", "value", "m.at", "occurrences", "m.before", "m.after", "m.path")
+    own = ("row", "row_key", "doc_id", "path")
+    one = d.select(*own, F.explode_outer(F.transform("found", context)).alias("m")).select(*own, "m.*").filter("value is not null")
+    # Of a value that several patterns give, a place counts once.
+    first = one.groupBy("row", "value").agg(F.min(F.struct("at", "row_key", "doc_id", "path", "before", "after")).alias("m"), F.size(F.collect_set("at")).cast("long").alias("occurrences"))
+    return first.select("m.row_key", "m.doc_id", "value", "m.at", "occurrences", "m.before", "m.after", "m.path")
 
 
 def _share(value: Column, chars: str) -> Column:
@@ -121,19 +151,22 @@ def with_features(found: DataFrame, words: DataFrame, table: list[float]) -> Dat
     """``found`` (value, before, after, path and more) with the forest's features."""
     v = F.col("value")
     # Dictionary coverage: letters of alphabetic runs that are words, by a join on the runs of distinct values.
-    distinct = found.select("value").distinct()
+    # A value goes by its digest: a long one has many runs.
+    digest = F.sha2("value", 256).alias("digest")
+    distinct = found.select(digest, "value").dropDuplicates(["digest"])
     # Camel case splits too; runs of one letter cover nothing.
-    runs = distinct.select("value", F.explode(F.split(F.lower(F.regexp_replace("value", "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")).alias("word")).filter(F.length("word") > 2)
-    covered = runs.join(words.select("word"), "word").groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
+    runs = distinct.select("digest", F.explode(F.split(F.lower(F.regexp_replace("value", "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")).alias("word")).filter(F.length("word") > 2)
+    covered = runs.join(words.select("word"), "word").groupBy("digest").agg(F.sum(F.length("word")).alias("covered"))
     plain = F.regexp_replace(F.lower(v), "[^a-z0-9]", "")
     lookup = F.array(*(F.lit(x) for x in table))
-    d = found.join(covered, "value", "left").withColumn("plain", plain).withColumn("lookup", lookup)
+    d = found.withColumn("digest", digest).join(covered, "digest", "left").withColumn("plain", plain).withColumn("signs", F.split("plain", "")).withColumn("lookup", lookup)
+    # Signs are looked up in their list: a substring of a long value would be counted from its beginning each time.
     mean = F.expr(
         f"""aggregate(sequence(1, greatest(length(plain) - 1, 1)), double(0), (s, i) ->
-            s + coalesce(get(lookup, (locate(substring(plain, i, 1), '{_SIGNS}') - 1) * 36 + locate(substring(plain, i + 1, 1), '{_SIGNS}') - 1), -5.0))
+            s + coalesce(get(lookup, (locate(coalesce(get(signs, i - 1), ''), '{_SIGNS}') - 1) * 36 + locate(coalesce(get(signs, i), ''), '{_SIGNS}') - 1), -5.0))
             / greatest(length(plain) - 1, 1)"""
     )
-    in_order = F.expr("aggregate(sequence(1, greatest(length(plain) - 1, 1)), 0, (s, i) -> s + int(ascii(substring(plain, i + 1, 1)) - ascii(substring(plain, i, 1)) in (0, 1))) / greatest(length(plain) - 1, 1)")
+    in_order = F.expr("aggregate(sequence(1, greatest(length(plain) - 1, 1)), 0, (s, i) -> s + int(ascii(coalesce(get(signs, i), '')) - ascii(coalesce(get(signs, i - 1), '')) in (0, 1))) / greatest(length(plain) - 1, 1)")
     kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0"), "+/_-", "")
     flag = lambda c: c.cast("double")
     around = F.concat("before", F.lit(" "), v, F.lit(" "), "after")
@@ -143,7 +176,7 @@ def with_features(found: DataFrame, words: DataFrame, table: list[float]) -> Dat
             "digit_share": _share(v, "0-9"),
             "upper_share": _share(v, "A-Z"),
             "lower_share": _share(v, "a-z"),
-            "distinct_share": F.size(F.array_distinct(F.split("plain", ""))) / F.greatest(F.length("plain"), F.lit(1)),
+            "distinct_share": F.size(F.array_distinct("signs")) / F.greatest(F.length("plain"), F.lit(1)),
             "changes": F.length(kinds) / F.length(v),
             "hex_only": flag(v.rlike("^([0-9a-f]+|[0-9A-F]+)$") & v.rlike("[a-fA-F]")),
             "known": flag(v.rlike(KNOWN)),
@@ -154,7 +187,7 @@ def with_features(found: DataFrame, words: DataFrame, table: list[float]) -> Dat
             "plain_path": flag(F.col("path").rlike(PLAIN_PATH)),
             "sequence": in_order,
         }
-    ).drop("plain", "lookup", "covered")
+    ).drop("plain", "signs", "lookup", "covered", "digest")
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
@@ -204,8 +237,8 @@ def forest(findings: DataFrame, words: DataFrame, table: list[float]) -> Pipelin
 def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source") -> DataFrame:
     """Every candidate of every document with the forest's score.
 
-    Returns doc_id, value, at, occurrences, score and is_secret, one row for
-    each distinct candidate of a row.  Null and empty texts have none; repeated
+    Returns row_key, doc_id, value, at, occurrences, score and is_secret, one
+    row for each distinct candidate of a row.  Null and empty texts have none; repeated
     rows give repeated rows; an empty table gives no rows; a missing or null
     path counts as an empty one; other columns are ignored.  A value that
     matches several times is one row, at its first place; of a value that
@@ -217,7 +250,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source
     model = forest(findings if findings is not None else labelled_findings(docs.sparkSession), words, table)
     found = with_features(saved(candidates(docs, path)), words, table)
     scored = model.transform(found).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc_id", "value", "at", "occurrences", "score", (F.col("score") >= SECRET).alias("is_secret"))
+    return scored.select("row_key", "doc_id", "value", "at", "occurrences", "score", (F.col("score") >= SECRET).alias("is_secret"))
 
 
 def report(scanned: DataFrame) -> DataFrame:
@@ -236,20 +269,19 @@ def _whole(value: Column) -> Column:
 def redacted(docs: DataFrame, scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret of ``scanned`` replaced in its text, wherever it stands as a whole; n_chars follows.
 
-    Rows of one id (or of none) share their secrets.  Columns of any name stay
-    as they are.
+    A row's secrets are those found in it (rows of the same id and text are the
+    same).  Texts that can't have any stay where they are; columns of any name
+    stay as they are.
     """
     n = "n_chars" if "n_chars" in docs.columns else None
     of, values = (free_name(docs, name) for name in ("secret of", "secret values"))
-    secrets = scanned.filter("is_secret").groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("value").alias(values))
+    secrets = scanned.filter("is_secret").groupBy(F.col("row_key").alias(of)).agg(F.collect_set("value").alias(values))
     longest_first = F.transform(F.sort_array(F.transform(values, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
     mark = mark.replace("\\", "\\\\").replace("$", "\\$")
     text = F.aggregate(longest_first, F.col("text"), lambda t, v: F.regexp_replace(t, _whole(v), F.lit(mark)))
-    clean = docs.filter("doc_id is not null").join(secrets, F.col("doc_id") == F.col(of), "left")
-    # Rows without an id share the one row of secrets found in them.
-    clean = clean.unionByName(docs.filter("doc_id is null").join(F.broadcast(secrets.filter(F.col(of).isNull())), F.lit(True), "left"))
+    looked = docs.filter(_may_have()).withColumn(of, row_key()).join(secrets, of, "left")
     found = F.col(values).isNotNull()
-    out = clean.withColumn("text", F.when(found, text).otherwise(F.col("text")))
+    out = looked.withColumn("text", F.when(found, text).otherwise(F.col("text")))
     if n:
         out = out.withColumn(n, F.when(found, F.length("text").cast(dict(docs.dtypes)[n])).otherwise(F.col(n)))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).unionByName(docs.filter(~_may_have()))
