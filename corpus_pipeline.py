@@ -52,9 +52,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every row stays.
 
-    Null and empty texts have none; rows of one id share their secrets, rows
-    without an id too; a table without rows stays one; other columns than those
-    of documents are dropped.
+    Null and empty texts have none; a row's secrets are those found in it, with
+    an id or without; repeated rows are each redacted; a table without rows
+    stays one; other columns than those of documents are dropped.
     """
     return secrets.redacted(docs.select(*COLUMNS), secrets.scan(docs))
 
