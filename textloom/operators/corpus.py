@@ -293,53 +293,62 @@ def turns_of_lines(documents: DataFrame) -> DataFrame:
 
 #: What a block keeps of its first turn.
 META = {"speaker_id": "string", "speaker_role": "string", "depth": "int", "timestamp": "string"}
-_BLOCK = "struct<speaker:string,speaker_id:string,speaker_role:string,depth:int,timestamp:string,text:string,n:int,turns:array<int>>"
+#: Numbers that a fold carries along.
+LIST = 256
+
+
+def numbered(items: str, begins: str) -> str:
+    """SQL for the group of each element of array ``items`` (structs with a size ``n``).
+
+    An element ``t`` begins a new group if ``begins`` holds, where ``s.n`` is
+    the size of the open one.  A fold copies what it carries at each step, so
+    this one carries numbers only, in lists of ``LIST``.
+    """
+    one = f"""aggregate(l, named_struct('b', a.b, 'n', a.n, 'out', cast(array() as array<int>)), (s, t) -> if({begins},
+        named_struct('b', s.b + 1, 'n', t.n, 'out', concat(s.out, array(s.b + 1))), named_struct('b', s.b, 'n', s.n + t.n, 'out', concat(s.out, array(s.b)))))"""
+    lists = f"transform(sequence(0, greatest(size({items}) - 1, 0) div {LIST}), k -> slice({items}, int(k) * {LIST} + 1, {LIST}))"
+    step = f"transform(array({one}), x -> named_struct('b', x.b, 'n', x.n, 'lists', concat(a.lists, array(x.out))))[0]"
+    return f"aggregate({lists}, named_struct('b', 0, 'n', 0, 'lists', cast(array() as array<array<int>>)), (a, l) -> {step}, a -> flatten(a.lists))"
 
 
 def merged_turns(turns: DataFrame) -> DataFrame:
     """Blocks of turns: blank turns go, and a turn joins the block before it if the
     speaker is the same (null equals null) and that block has fewer than ``SHORT`` words.
 
-    One fold over an item's turns.  Only the open block is built up; closed ones
-    are pushed to a short list, and full lists to a list of lists, so the work
-    grows with the number of turns.
+    One fold over an item's word counts numbers the turns by block; blocks are
+    then made of slices of the turns, so texts are joined once.
     """
     have = {c: F.col(c).cast(t) if c in turns.columns else F.lit(None).cast(t) for c, t in META.items()}
     row = F.struct(F.col("turn_index").cast("int").alias("turn_index"), F.col("speaker_name").alias("speaker"), *(v.alias(c) for c, v in have.items()), "text", T.word_count("text").cast("int").alias("n"))
     d = turns.withColumn("text", T.strip(F.coalesce("content", F.lit("")))).filter("text <> ''").groupBy("item_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    new = "named_struct('speaker', t.speaker, " + ", ".join(f"'{c}', t.{c}" for c in META) + ", 'text', t.text, 'n', t.n, 'turns', array(t.turn_index))"
-    grown = "named_struct('speaker', a.open.speaker, " + ", ".join(f"'{c}', a.open.{c}" for c in META) + ", 'text', a.open.text || ' ' || t.text, 'n', a.open.n + t.n, 'turns', concat(a.open.turns, array(t.turn_index)))"
-    acc = lambda lists, now, block: f"named_struct('lists', {lists}, 'now', {now}, 'open', {block})"
-    fold = f"""aggregate(turns, {acc(f"cast(array() as array<array<{_BLOCK}>>)", f"cast(array() as array<{_BLOCK}>)", f"cast(null as {_BLOCK})")}, (a, t) ->
-        case when a.open is null then {acc("a.lists", "a.now", new)}
-             when a.open.speaker <=> t.speaker and a.open.n < {SHORT} then {acc("a.lists", "a.now", grown)}
-             when size(a.now) >= 128 then {acc("concat(a.lists, array(a.now))", "array(a.open)", new)}
-             else {acc("a.lists", "concat(a.now, array(a.open))", new)} end,
-        a -> concat(flatten(a.lists), a.now, array(a.open)))"""
-    return d.select("item_id", F.expr(fold).alias("blocks"))
-
-
-def pieces(text: Column, n: Column) -> Column:
-    """A block over ``LONG`` words cut into whole sentences of up to ``TARGET`` words together.
-
-    Sentences are numbered by piece in one fold over their word counts, and a
-    piece's text is a slice of the sentences.
+    changes = F.transform("turns", lambda t, i: F.struct(((i == 0) | ~t["speaker"].eqNullSafe(F.get("turns", i - 1)["speaker"])).alias("new"), t["n"].alias("n")))
+    d = d.withColumn("sizes", changes).withColumn("block", F.expr(numbered("sizes", f"t.new or s.n >= {SHORT}")))
+    d = d.select("item_id", F.posexplode(F.arrays_zip("turns", "block")).alias("at", "t")).select("item_id", "at", "t.turns.*", "t.block")
+    # Turns of an item are where they were numbered, so this moves no row.
+    own = F.sort_array(F.collect_list(F.struct("at", "text", "turn_index")))
+    d = d.groupBy("item_id", "block").agg(F.min(F.struct("at", "speaker", *META)).alias("first"), F.sum("n").cast("int").alias("n"), own.alias("own"))
+    return d.select("item_id", (F.col("block") - 1).alias("block"), "first.speaker", *(f"first.{c}" for c in META), F.array_join("own.text", " ").alias("text"), "n", F.col("own.turn_index").alias("turns"))
+
+
+def pieces(blocks: DataFrame) -> DataFrame:
+    """Rows of ``blocks`` (item_id, block, text, its words ``n`` and more) by ``part``: a text over
+    ``LONG`` words is cut into whole sentences of up to ``TARGET`` words together.
+
+    Sentences are numbered by piece in one fold over their word counts.
     """
-    size = f"size(regexp_extract_all(x, '[^{T.WS}]+', 0))".replace("\\", "\\\\")
-    # Pieces as (first sentence, number of sentences, words).
-    one = "struct<at:int,k:int,n:int>"
-    step = f"""case when a.n > 0 and a.n + {size} > {TARGET} then named_struct('done', concat(a.done, array(cast(named_struct('at', a.at, 'k', a.k, 'n', a.n) as {one}))), 'at', a.at + a.k, 'k', 1, 'n', {size})
-               else named_struct('done', a.done, 'at', a.at, 'k', a.k + 1, 'n', a.n + {size}) end"""
-    cut = F.expr(f"aggregate(s, named_struct('done', cast(array() as array<{one}>), 'at', 1, 'k', 0, 'n', 0), (a, x) -> {step}, a -> concat(a.done, array(cast(named_struct('at', a.at, 'k', a.k, 'n', a.n) as {one}))))")
-    texts = F.transform(cut, lambda p: F.array_join(F.slice("s", p["at"], p["k"]), " "))
-    return F.when(n > LONG, texts).otherwise(F.array(text))
+    keep = [c for c in blocks.columns if c not in ("item_id", "block", "text", "n")]
+    d = blocks.withColumn("s", F.when(F.col("n") > LONG, T.sentences(F.col("text"))).otherwise(F.array("text")))
+    d = d.withColumn("sizes", F.transform("s", lambda x: F.struct(T.word_count(x).cast("int").alias("n"))))
+    d = d.withColumn("part", F.when(F.size("s") > 1, F.expr(numbered("sizes", f"s.n > 0 and s.n + t.n > {TARGET}"))).otherwise(F.array(F.lit(0))))
+    d = d.select("item_id", "block", *keep, F.posexplode(F.arrays_zip("s", "part")).alias("at", "x"))
+    # The first sentence's row of a piece has what the block has.
+    d = d.groupBy("item_id", "block", F.col("x.part").alias("part")).agg(F.min(F.struct("at", *keep)).alias("first"), F.sort_array(F.collect_list(F.struct("at", "x.s"))).alias("own"))
+    return d.select("item_id", "block", "part", *(f"first.{c}" for c in keep), F.array_join("own.s", " ").alias("text"))
 
 
 def segmented(turns: DataFrame) -> DataFrame:
     """Segments with stable ids: blocks of turns, the long ones cut at sentences."""
-    b = merged_turns(turns).select("item_id", F.posexplode("blocks").alias("block", "b"))
-    b = b.select("item_id", "block", "b.*").withColumn("s", T.sentences(F.col("text")))
-    p = b.select("item_id", "block", "speaker", *META, "turns", F.posexplode(pieces(F.col("text"), F.col("n"))).alias("part", "text"))
+    p = pieces(merged_turns(turns))
     index = F.row_number().over(Window.partitionBy("item_id").orderBy("block", "part")) - 1
     return p.withColumn("seg_index", index).select(T.segment_id(F.col("item_id"), F.col("seg_index")).alias("segment_id"), "item_id", "seg_index", "speaker", *META, "text", T.word_count("text").alias("word_count"), "turns")
 
@@ -382,8 +391,8 @@ _SEG_COLUMNS = ("segment_id", "item_id", "seg_index", "speaker", "text", "word_c
 
 @query("b1_merge", "documents", oracle=f"with recursive {segments_sql(_LINES)} select item_id, block::bigint as block, n::bigint as n, text, turns from b")
 def q_merge(documents):
-    b = merged_turns(turns_of_lines(documents)).select("item_id", F.posexplode("blocks").alias("block", "b"))
-    return b.select("item_id", F.col("block").cast("long").alias("block"), F.col("b.n").cast("long").alias("n"), F.col("b.text").alias("text"), F.array_join(F.col("b.turns").cast("array<string>"), ";").alias("turns"))
+    b = merged_turns(turns_of_lines(documents))
+    return b.select("item_id", F.col("block").cast("long").alias("block"), F.col("n").cast("long").alias("n"), "text", F.array_join(F.col("turns").cast("array<string>"), ";").alias("turns"))
 
 
 def _flat(segments: DataFrame) -> DataFrame:
