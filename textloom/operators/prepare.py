@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators.labels import _NEG, _POS, _REJ, _UP, _J, closure, positives, reviewed_negatives
 from textloom.plans.graph import written
+from textloom.plans.ordered import running_sums
 from textloom.registry import query
 
 _NAMES = """case when turn_index % 9 = 2 then 'Speaker ' || turn_index when turn_index % 9 = 4 then 'The Narrator' when turn_index % 9 = 5 then ' unknown person' when turn_index % 9 = 7 then 'Anna Unknown' else speaker_name end"""
@@ -102,9 +103,8 @@ def percentile_rank(predictions):
     """Average rank over the number of rows, from one row a score instead of a sort of all rows."""
     p = predictions.filter("model_version = 'tfidf_v2'")
     g = p.groupBy("theme_id", "score").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("theme_id").orderBy("score")
-    upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pct = g.withColumn("pct", F.round((upto - F.col("n") + 1 + (F.col("n") - 1) / 2) / F.sum("n").over(Window.partitionBy("theme_id")), 6)).drop("n")
+    g = running_sums(g, ["theme_id"], [F.asc("score")], ["n"])
+    pct = g.select("theme_id", "score", F.round((F.col("n_upto") - F.col("n") + 1 + (F.col("n") - 1) / 2) / F.col("n_all"), 6).alias("pct"))
     return p.join(pct, ["theme_id", "score"]).select("theme_id", "segment_id", "pct")
 
 

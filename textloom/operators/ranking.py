@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators.labels import _J, _JS, _NEG, _POS, _REJ, _UP, closure, positives, rejections, reviewed_negatives, with_flags
 from textloom.plans.graph import written
+from textloom.plans.ordered import running_sums
 from textloom.registry import query
 
 # ------------------------------------------------------------------ runs
@@ -295,8 +296,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def curve(scored: DataFrame, key: str = "theme_id") -> DataFrame:
     """Cumulative true and false positives by descending score; tied scores move together."""
     g = scored.groupBy(key, "score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(key).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.select(key, "score", "pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("k"), F.sum("pos").over(Window.partitionBy(key)).alias("all_pos"))
+    d = running_sums(g, [key], [F.desc("score")], ["pos", "n"])
+    return d.select(key, "score", "pos", F.col("pos_upto").alias("tp"), F.col("n_upto").alias("k"), F.col("pos_all").alias("all_pos"))
 
 
 _GOLD = """gold as (select theme_id, dataset_id, item_id from (select * from item_reviews where unmarked_at is null qualify row_number() over (partition by dataset_id, item_id, scheme_id order by marked_at desc, review_id desc) = 1) r join themes t using (scheme_id)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.corpus import PARTS, scope
@@ -17,6 +17,7 @@ from textloom.operators.duplicates import tfidf
 from textloom.operators.labels import training_labels
 from textloom.operators.ranking import curve
 from textloom.plans.graph import written
+from textloom.plans.ordered import first_by_hash
 from textloom.registry import query
 
 FOLDS, INNER, MAX_FEATURES, TERMS = 5, 3, 5000, 20
@@ -162,8 +163,8 @@ def fitted(x: DataFrame, labels: DataFrame, width: int) -> tuple[DataFrame, dict
 
     Folds go by hash, so classes are spread about evenly.
     """
-    first = Window.partitionBy("theme_id", "y").orderBy(F.xxhash64("segment_id"), "segment_id")
-    own = labels.withColumn("y", F.col("y").cast("int")).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= ROWS).drop("nth")
+    own = labels.select("theme_id", "segment_id", F.col("y").cast("int").alias("y"))
+    own = first_by_hash(own, ["theme_id", "y"], F.xxhash64("segment_id"), ROWS)
     fold = lambda seed, n: F.pmod(F.xxhash64("segment_id", F.lit(seed)), F.lit(n)).cast("int")
     rows = x.join(own, "segment_id").select("theme_id", "segment_id", "y", fold("outer", FOLDS).alias("outer"), fold("inner", INNER).alias("inner"), "at", "value")
     rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
