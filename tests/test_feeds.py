@@ -86,12 +86,11 @@ def test_registry_and_append(spark, tmp_path):
     R.register(spark, root, id="q1", label="One — 1 interview(s)", kind="company", count=1, json_file="one", csv_file="one")
     R.register(spark, root, id="q2", label="Two", kind="company", count=0, json_file="two", csv_file="two")
     assert [r.id for r in R.load_registry(spark, root).orderBy("id").collect()] == ["q1", "q2"]
-    old = spark.read.json(f"{root}/one/json").withColumn("item_id", F.lit("2"))
-    more = spark.createDataFrame(old.collect(), old.schema)  # the files below are replaced
+    more = R.read_export(spark, f"{root}/one").withColumn("item_id", F.lit("2"))
     R.append_dataset(spark, root, "q1", more)
     entry = R.load_registry(spark, root).filter("id = 'q1'").first()
     assert (entry["count"], entry.label) == (2, "One — 2 interview(s)")
-    csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{root}/one/csv")
+    csv = R.read_export(spark, f"{root}/one", "csv")
     assert "turns" not in csv.columns and {r.item_title for r in csv.collect()} == {"a, \"b\"\nc"} and csv.count() == 2
     with pytest.raises(ValueError, match="stand already"):
         R.append_dataset(spark, root, "q1", more)

@@ -3,84 +3,96 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as X
 
 from textloom.functions import text as T
+from textloom.sources.committed import TRIES, Conflict, change, latest, publish, read_pair, stage_pair
 
 REGISTRY = "id string, label string, kind string, source_id string, created_at string, count long, json_file string, csv_file string"
 EXPORTED = ["group_name", "person_name", "person_title", "person_id", "item_id", "item_title", "source_url", "publish_date", "duration_secs", "view_count", "like_count", "source_name", "transcript_text", "turns"]
 LABEL_COLUMNS = ("segment_id", "item_id", "theme_id", "label", "label_source", "item_read_in_full_status", "inferred_by_coverage")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
+def load_registry(spark: SparkSession, root: str) -> DataFrame:
+    """The registered datasets; a missing registry is an empty one."""
+    return _entries(spark, latest(f"{root}/_index")[1])
 
-def _replace(spark: SparkSession, new: str, old: str) -> None:
-    """``new`` in the place of ``old``, by renames: readers see one or the other, never a part."""
-    P = spark._jvm.org.apache.hadoop.fs.Path
-    fs = P(old).getFileSystem(spark._jsc.hadoopConfiguration())
-    gone = P(old + ".old")
-    fs.delete(gone, True)
-    if fs.exists(P(old)):
-        fs.rename(P(old), gone)
-    if not fs.rename(P(new), P(old)):
-        raise OSError(f"can't put {new} in the place of {old}")
-    fs.delete(gone, True)
 
-
-def load_registry(spark: SparkSession, root: str) -> DataFrame:
-    """The registered datasets; a missing or broken registry is an empty one."""
-    if not _exists(spark, f"{root}/_index"):
-        return spark.createDataFrame([], REGISTRY)
-    d = spark.read.schema(REGISTRY).option("mode", "DROPMALFORMED").json(f"{root}/_index")
-    return d.filter("id is not null")
+def _entries(spark: SparkSession, content: dict | None) -> DataFrame:
+    names = [f.name for f in X._parse_datatype_string(REGISTRY).fields]
+    return spark.createDataFrame([tuple(e.get(n) for n in names) for e in (content or {}).get("datasets", []) if e.get("id") is not None], REGISTRY)
 
 
 def save_registry(entries: DataFrame, root: str) -> None:
-    spark = entries.sparkSession
-    rows = spark.createDataFrame(entries.collect(), entries.schema)  # a row a dataset; read before its file is replaced
-    rows.coalesce(1).write.mode("overwrite").json(f"{root}/_index.new")
-    _replace(spark, f"{root}/_index.new", f"{root}/_index")
+    """``entries`` in the place of all registered ones."""
+    rows = [r.asDict() for r in entries.collect()]  # a row a dataset
+    change(entries.sparkSession, f"{root}/_index", lambda _: {"datasets": rows})
 
 
 def write_export(items: DataFrame, path: str) -> None:
-    """A dataset as JSON lines and, without its nested turns, as CSV with fixed fields; both appear whole or not at all."""
+    """A dataset as JSON lines and, without its nested turns, as CSV with fixed fields; both appear at once, in one version."""
     spark = items.sparkSession
-    have = [c if c in items.columns else None for c in EXPORTED]
-    full = items.select(*(F.col(c) if h else F.lit(None).cast("string").alias(c) for c, h in zip(EXPORTED, have)))
-    full.write.mode("overwrite").json(f"{path}/json.new")
-    full.drop("turns").write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/csv.new")
-    for kind in ("json", "csv"):
-        _replace(spark, f"{path}/{kind}.new", f"{path}/{kind}")
+    parts = stage_pair(_exported(items), path)
+    change(spark, f"{path}/_manifest", lambda _: {"parts": parts})
+
+
+def _exported(items: DataFrame) -> DataFrame:
+    return items.select(*(F.col(c) if c in items.columns else F.lit(None).cast("string").alias(c) for c in EXPORTED))
+
+
+def read_export(spark: SparkSession, path: str, kind: str = "json", schema=None) -> DataFrame | None:
+    """The newest version of an exported dataset, from its JSON or its CSV files."""
+    return read_pair(spark, path, kind, schema)
 
 
 def register(spark: SparkSession, root: str, **entry) -> None:
-    """One more registered dataset."""
-    row = spark.createDataFrame([tuple(entry.get(f.name) for f in X._parse_datatype_string(REGISTRY).fields)], REGISTRY)
-    save_registry(load_registry(spark, root).unionByName(row), root)
+    """One more registered dataset; entries that others make meanwhile stay."""
+    names = [f.name for f in X._parse_datatype_string(REGISTRY).fields]
+    row = {n: entry.get(n) for n in names}
+    change(spark, f"{root}/_index", lambda now: {"datasets": [*(now or {}).get("datasets", []), row]})
 
 
 def append_dataset(spark: SparkSession, root: str, dataset_id: str, more: DataFrame, noun: str = "interview(s)") -> None:
-    """More items in a registered dataset; ids that it has already are refused, and its count and label follow."""
-    entries = load_registry(spark, root)
-    entry = entries.filter(F.col("id") == dataset_id).first()
+    """More items in a registered dataset; ids that it has already are refused, and its count and label follow.
+
+    Only the new items are written; the dataset's next version names the old
+    files and the new ones.  If another version came meanwhile, the ids are
+    checked again with that one.
+    """
+    entry = load_registry(spark, root).filter(F.col("id") == dataset_id).first()
     if entry is None:
         raise KeyError(f"no registered dataset {dataset_id}")
-    path = f"{root}/{entry.json_file}"
-    old = spark.read.schema(more.schema).json(f"{path}/json")
-    both = old.join(more.select("item_id").distinct(), "item_id", "left_semi").select("item_id").limit(5).collect()
-    if both:
-        raise ValueError(f"item ids that stand already: {sorted(r.item_id for r in both)}")
-    write_export(old.unionByName(more), path)
-    n = spark.read.schema("item_id string").json(f"{path}/json").count()
-    own = F.col("id") == dataset_id
-    label = F.concat(F.regexp_replace("label", r"\s+—\s+\d+\s+\S+\(s\)$", ""), F.lit(f" — {n} {noun}"))
-    save_registry(entries.withColumn("count", F.when(own, F.lit(n)).otherwise(F.col("count"))).withColumn("label", F.when(own, label).otherwise(F.col("label"))), root)
+    path, parts = f"{root}/{entry.json_file}", None
+    for _ in range(TRIES):
+        number, found = latest(f"{path}/_manifest")
+        old = (found or {}).get("parts", [])
+        have = read_pair(spark, path, "json", "item_id string", old)
+        both = have.join(more.select("item_id").distinct(), "item_id", "left_semi").select("item_id").limit(5).collect()
+        if both:
+            raise ValueError(f"item ids that stand already: {sorted(r.item_id for r in both)}")
+        parts = stage_pair(_exported(more), path) if parts is None else parts
+        try:
+            publish(spark, f"{path}/_manifest", number + 1, {"parts": [*old, *parts]})
+            break
+        except Conflict:
+            continue
+    else:
+        raise Conflict(f"{path} changed {TRIES} times meanwhile")
+
+    def counted(now):
+        # Whatever version is newest by now: the last of several writers counts all.
+        n = sum(p["rows"] for p in latest(f"{path}/_manifest")[1]["parts"])
+        out = []
+        for e in now["datasets"]:
+            label = re.sub(r"\s+—\s+\d+\s+\S+\(s\)$", "", e["label"] or "") + f" — {n} {noun}"
+            out.append(e | {"count": n, "label": label} if e["id"] == dataset_id else e)
+        return {"datasets": out}
+
+    change(spark, f"{root}/_index", counted)
 
 
 def read_turn_files(spark: SparkSession, *paths: str) -> DataFrame:
