@@ -9,6 +9,7 @@ from textloom.functions import text as T
 from textloom.operators.corpus import PARTS, SCOPE, scope, segmented, segments_sql
 from textloom.operators.labels import _POS, _UP, closure, positives
 from textloom.operators.ranking import _LATEST, latest_runs
+from textloom.plans.sets import similar_sets
 from textloom.registry import query
 
 
@@ -99,11 +100,10 @@ def missing_embeddings(segments, embeddings):
 @query("m17_twin_exclusion", "benchmark", oracle="""with w as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z'']+')) as s from benchmark), h as (select item_id as h, s as hs from w where item_id < 5)
     select item_id from w where item_id >= 5 and not exists (select 1 from h where len(list_intersect(s, hs)) / len(list_distinct(list_concat(s, hs)))::double >= 0.5)""")
 def twin_exclusion(benchmark, held: int = 5, least: float = 0.5):
-    """Candidates unlike every held example; the held examples are a few rows."""
-    w = benchmark.select("item_id", T.word_set(F.col("text")).alias("s"))
-    h = w.filter(F.col("item_id") < held).select(F.col("s").alias("hs")).agg(F.collect_list("hs").alias("all_held"))
-    d = w.filter(F.col("item_id") >= held).crossJoin(F.broadcast(h))
-    return d.filter(~F.exists("all_held", lambda x: T.jaccard(F.col("s"), x) >= least)).select("item_id")
+    """Candidates unlike every held example."""
+    w = benchmark.select(F.lit(0).alias("g"), F.col("item_id").alias("id"), T.word_set(F.col("text")).alias("words"))
+    like = similar_sets(w.filter(F.col("id") >= held), w.filter(F.col("id") < held), least).select(F.col("a").alias("item_id"))
+    return benchmark.filter(F.col("item_id") >= held).select("item_id").join(like, "item_id", "left_anti")
 
 
 @query("f12_runs_page", "model_runs", "run_params", "pins", oracle="""select model_version, count(*)::bigint as themes, max(trained_at) as trained_at, max(case model_version when 'tfidf_v2' then 'ab12' end) as codebook, bool_or((model_version, theme_id) in (select model_version, theme_id from pins)) as pinned from model_runs group by 1""")
