@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.plans.ordered import running_sums
 from textloom.registry import query
 
 # ------------------------------------------------------------------ scope
@@ -226,14 +227,9 @@ def match_counts(items):
 
 @query("p7_index", "items", oracle="select item_id, row_number() over (order by publish_date nulls last, doc_id) - 1 as position from items")
 def light_index(items):
-    """Dense positions by date, undated last, from sorted ranges: counts per range, then ranks inside."""
-    d = items.select("item_id", "doc_id", "publish_date")
-    by_day = d.groupBy("publish_date").agg(F.count("*").alias("n"))
-    # One row a day: a window over them all is small.
-    before = by_day.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.asc_nulls_last("publish_date")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("publish_date").orderBy("doc_id"))
-    j = d.withColumn("k", own).join(F.broadcast(before.withColumnRenamed("publish_date", "day")), F.expr("publish_date <=> day"))
-    return j.select("item_id", (F.col("before") + F.col("k") - 1).alias("position"))
+    """Dense positions by date, undated last: running sums over ranges, so a day of any size spreads."""
+    d = items.select("item_id", "doc_id", "publish_date", F.lit(1).cast("long").alias("n"))
+    return running_sums(d, [], [F.asc_nulls_last("publish_date"), F.asc("doc_id")], ["n"]).select("item_id", (F.col("n_upto") - 1).alias("position"))
 
 
 @query("p10_drill_down", "segments", "items", oracle="select s.segment_id from segments s join items i using (dataset_id, item_id) where try_cast(like_count as double) = 42.0")

@@ -12,22 +12,24 @@ from pyspark.sql import functions as F
 HOT_KEYS, HOT_ROWS = 10_000, 200
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` in the shared checkpoint folder, read again: the lineage is cut and executors may be lost.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; only a local
-    session, whose executors see the driver's disk, may leave that unset.
-    """
-    spark: SparkSession = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder: the one that
+    ``spark.checkpoint.dir`` names; only a local session, whose executors see
+    the driver's disk, may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"/tmp/textloom-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` in the shared checkpoint folder, read again: the lineage is cut and executors may be lost."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _least_beside(edges: DataFrame, total: int) -> DataFrame:

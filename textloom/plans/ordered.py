@@ -18,7 +18,7 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[Column], sums: li
     many ranges; each range sums its own rows, and the totals of the ranges
     before it, one row a range and group, are added.  ``order`` must tell the
     rows of a group apart.  ``parts`` is the number of ranges (Spark's own, if
-    not given).
+    not given).  No keys: all rows are one group.
     """
     by = [*(F.col(k) for k in keys), *order]
     dealt = written((rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)).withColumn("part", F.spark_partition_id()))
