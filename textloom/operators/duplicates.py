@@ -6,28 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.plans.graph import components
+from textloom.plans.graph import components, written
 from textloom.registry import query
 
 WINDOW_DAYS, SIMILAR, LOW_COHESION = 3, 0.6, 0.75
 
 
-def tfidf(items: DataFrame, key: str, text: str, bigrams: bool = True, least_df: int = 2, max_features: int | None = None) -> DataFrame:
+def tfidf(items: DataFrame, key: str, text: str, bigrams: bool = True, least_df: int = 2, max_features: int | None = None, hashed: bool = False) -> DataFrame:
     """(key, term, weight): unigrams and bigrams after stop words, smooth idf, L2 norm.
 
     ``max_features`` keeps the terms with the highest corpus frequency.
+    ``hashed`` gives terms as 64-bit hashes, for comparisons that need no words.
+    Counts are written once; a text's weights and norm are made together.
     """
     words = items.select(key, T.content_tokens(text).alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))
     terms = F.concat("w", F.when(F.size("w") > 1, grams).otherwise(F.array().cast("array<string>"))) if bigrams else F.col("w")
-    tf = words.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    terms = F.transform(terms, lambda t: F.xxhash64(t)) if hashed else terms
+    tf = written(words.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= least_df)
     if max_features:
         df = df.orderBy(F.desc("cf"), "term").limit(max_features)
     n = items.agg(F.count("*").alias("n_docs"))  # one row
     w = tf.join(df, "term").crossJoin(F.broadcast(n)).select(key, "term", (F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    own = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("v"))
+    return own.select(key, "norm", F.explode("v").alias("v")).select(key, "v.term", (F.col("v.w") / F.col("norm")).alias("weight"))
 
 
 def candidate_pairs(items: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
@@ -51,7 +54,7 @@ def similar_pairs(items: DataFrame, days: int = WINDOW_DAYS, least: float = 0.3,
     of both prefixes, so only rare terms meet in the join on block and term;
     each pair that does is then computed over whole vectors.
     """
-    v = weights if weights is not None else tfidf(items, "doc_id", "transcript_text")
+    v = weights if weights is not None else tfidf(items, "doc_id", "transcript_text", hashed=True)
     df = v.groupBy("term").agg(F.count("*").alias("df"))
     rare_first = Window.partitionBy("doc_id").orderBy("df", "term")
     left = 1 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -117,7 +120,7 @@ _CC = "link as (select a as u, b as v from sim where cosine >= 0.6 union select
 
 @query("m1_tfidf", "items", oracle=f"with {_TFIDF} select doc_id, count(*)::bigint as terms, round(max(weight), 6) as top, round(sum(weight * weight), 6) as squares from v group by 1")
 def q_tfidf(items):
-    return tfidf(items, "doc_id", "transcript_text").groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("squares"))
+    return tfidf(items, "doc_id", "transcript_text", hashed=True).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("squares"))
 
 
 @query("j8_candidate_pairs", "items", oracle=f"with {_PAIRS} select a, count(*)::bigint as n from pairs group by 1")
@@ -137,7 +140,7 @@ def q_clusters(items):
 
 @query("m4_cohesion", "items", oracle=f"with recursive {_TFIDF}, {_PAIRS}, {_SIM}, {_CC}, p as (select x.root, x.node as a, y.node as b from cl x join cl y on x.root = y.root and x.node < y.node) select root, count(*)::bigint as pairs, round(min(coalesce(cosine, 0)), 6) as lowest, round(avg(coalesce(cosine, 0)), 6) as mean from (select root, a, b, (select sum(m.weight * n.weight) from v m join v n on m.term = n.term where m.doc_id = a and n.doc_id = b) as cosine from p) group by 1")
 def cohesion(items):
-    v = tfidf(items, "doc_id", "transcript_text")
+    v = tfidf(items, "doc_id", "transcript_text", hashed=True)
     return cluster_cohesion(clusters(items), v).select("root", "pairs", F.round("lowest", 6).alias("lowest"), F.round("mean", 6).alias("mean"))
 
 
