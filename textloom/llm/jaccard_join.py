@@ -315,16 +315,18 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     n_links, other documents it links to, those with an equal set included.
 
     A text of under ``SHINGLE`` words is one shingle; null and empty texts have
-    none and are alone, as are rows without an id.  Repeated rows are copies (an id that returns with
-    another text is not told apart from the first); an empty table gives no
-    rows; other columns are ignored.  Of ids that tie for a class the least names
+    none and are alone, as are rows without an id.  Repeated rows are copies;
+    an id that returns with another text is a document more, linked by its own
+    text.  An empty table gives no rows; other columns are ignored.  Of ids that tie for a class the least names
     it.  A text of any length is one whole set, which one task holds.
     """
     first = roots(recall)
     plain = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = plain.mapInArrow(_signatures, "doc_id long, key binary, size long, mins binary")
     signed = saved(signed.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key"))))
-    nodes = saved(signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("mins").alias("mins")))
+    # A set's node is a hash of the set: an id may return with another text.
+    nodes = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("mins").alias("mins"))
+    nodes = saved(nodes.withColumn("node", F.xxhash64("key")))
     low_bytes = "node long, sketch binary"
 
     def sketches(batches):
@@ -349,20 +351,22 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     dense = wide.repartition("path", "b1", "b2").sortWithinPartitions("path", "b1", "b2").select("path", "b1", "b2", "node", "sketch").mapInArrow(_likely_in_blocks, "u long, v long")
     groups = components(near.unionByName(dense))
 
-    members = saved(groups.join(nodes.select("node", "key", "copies", "size"), "node"))
+    members = saved(groups.join(nodes.select("node", "key", "copies", "size", "least"), "node"))
     volume = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"), F.count("*").alias("n"))
-    members = join_hot(members, volume, "root", members.count()).select("node", "root", "key", "copies", "n_blocks")
+    members = join_hot(members, volume, "root", members.count()).select("node", "root", "key", "copies", "n_blocks", "least")
     # Members grow with the corpus, so they are never broadcast, whatever their size now.
-    whole = members.hint("merge").join(plain.withColumnRenamed("doc_id", "node"), "node").mapInArrow(_sets, "node long, root long, n_blocks int, copies long, shingles binary")
+    whole = members.hint("merge").join(plain.withColumnRenamed("doc_id", "least"), "least").mapInArrow(_sets, "node long, root long, n_blocks int, copies long, shingles binary")
     told = blocks_of(whole, F.col("n_blocks")).select("root", "b1", "b2", "block", "node", "copies", "shingles")
     exact = saved(told.repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2").mapInArrow(_exact, "node long, n_sets long, n_docs long, v long"))
     links = exact.groupBy("node").agg(F.sum("n_sets").alias("n_sets"), F.sum("n_docs").alias("n_docs"))
-    classes = components(exact.select(F.col("node").alias("u"), "v"))
-    result = nodes.select("key", "node", F.col("copies").alias("n")).join(links, "node", "left").join(classes, "node", "left")
-    result = saved(result.select("key", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("n_sets", F.lit(0)).alias("n_sets"), (F.coalesce("n_docs", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    classes = saved(components(exact.select(F.col("node").alias("u"), "v")).join(nodes.select("node", "least"), "node"))
+    names = saved(classes.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n")))
+    classes = join_hot(classes.drop("least"), names, "root", classes.count()).select("node", "class_id")
+    result = nodes.select("key", "node", "least", F.col("copies").alias("n")).join(links, "node", "left").join(classes, "node", "left")
+    result = saved(result.select("key", "n", F.col("least").alias("set_id"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_sets", F.lit(0)).alias("n_sets"), (F.coalesce("n_docs", F.lit(0)) + F.col("n") - 1).alias("n_links")))
     told = join_hot(signed.filter("key is not null").select("doc_id", "key"), result, "key", signed.count())
     alone = signed.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_set_links"), F.lit(0).cast("long").alias("n_links"))
-    return told.select("doc_id", F.col("root").alias("class_id"), F.col("node").alias("set_id"), F.col("n_sets").cast("long").alias("n_set_links"), F.col("n_links").cast("long").alias("n_links")).unionByName(alone)
+    return told.select("doc_id", "class_id", "set_id", F.col("n_sets").cast("long").alias("n_set_links"), F.col("n_links").cast("long").alias("n_links")).unionByName(alone)
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
