@@ -44,6 +44,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
 
 
+#: Characters of a plan's description that Spark keeps, where the session sets nothing else.
+PLAN_TEXT = 8_192
+
+
+def short_plans(spark: SparkSession) -> None:
+    """Spark keeps the descriptions of the last 1,000 plans in the driver's
+    memory; those of long expressions take hundreds of kilobytes each.  Shorter
+    ones are enough, unless the session asks for more."""
+    if int(spark.conf.get("spark.sql.maxPlanStringLength")) > 1 << 30:
+        spark.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage and
     survives lost executors."""
