@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, jaccard_join, packing, secrets, toxicity
-from textloom.llm.common import saved, table
+from textloom.llm.common import saved, short_plans, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,6 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are clean; repeated rows share their fate; a table
     without rows stays one; other columns than those of documents are dropped.
     """
+    short_plans(spark)
     scored = toxicity.with_score(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), F.lit(True))
     return scored.filter(F.col("toxicity_score") < toxicity.THRESHOLD).select(*COLUMNS)
 
@@ -33,6 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     share an id one stays; a table without rows stays one; other columns than
     those of documents are dropped.
     """
+    short_plans(spark)
     found = jaccard_join.near_duplicates(docs)
     least = found.filter("doc_id = class_id").select("doc_id")
     named = docs.filter("doc_id is not null").select(*COLUMNS).join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -45,6 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts are clean; repeated rows share their fate; a table
     without rows stays one; other columns than those of documents are dropped.
     """
+    short_plans(spark)
     judged = decontaminate.hits(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return judged.filter(~decontaminate.contaminated()).select(*COLUMNS)
 
@@ -56,6 +59,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     an id or without; repeated rows are each redacted; a table without rows
     stays one; other columns than those of documents are dropped.
     """
+    short_plans(spark)
     return secrets.redacted(docs.select(*COLUMNS), secrets.scan(docs))
 
 
@@ -65,6 +69,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is one piece, its end; repeated rows are each packed; a
     table without rows gives no pieces; other columns are ignored.
     """
+    short_plans(spark)
     return packing.pack(docs)
 
 
