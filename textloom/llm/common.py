@@ -52,7 +52,7 @@ def short_plans(spark: SparkSession) -> None:
     """Spark keeps the descriptions of the last 1,000 plans in the driver's
     memory; those of long expressions take hundreds of kilobytes each.  Shorter
     ones are enough, unless the session asks for more."""
-    if int(spark.conf.get("spark.sql.maxPlanStringLength")) > 1 << 30:
+    if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483"):  # Spark's own
         spark.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
 
 
