@@ -506,7 +506,7 @@ def withdraw_round(round_decisions: DataFrame) -> DataFrame:
     return round_decisions.filter(F.col("decision_id") != last.decision_id)
 
 
-@query("f13_close_round", "round_decisions", "model_runs", "themes", oracle="select 3 as round_no, model_version, max(trained_at) as trained_at from model_runs group by 2 having max(trained_at) > '2024-02-10T00:00'")
+@query("f13_close_round", "round_decisions", "model_runs", "themes", oracle="select (select count(*) + 1 from round_decisions)::int as round_no, model_version, max(trained_at) as trained_at from model_runs group by 2 having max(trained_at) > '2024-02-10T00:00'")
 def q_close_round(round_decisions, model_runs, themes):
     return close_round(round_decisions, model_runs, themes, "accept", "emb_v1", "2024-06-01")[1]
 
@@ -516,7 +516,7 @@ def q_withdraw(round_decisions):
     return withdraw_round(round_decisions).select("decision_id", "created_at")
 
 
-@query("w9_latest_duplicate_run", "duplicate_runs", oracle="select 'dup_3' as run_id")
+@query("w9_latest_duplicate_run", "duplicate_runs", oracle="select run_id from duplicate_runs order by created_at desc limit 1")
 def latest_duplicate_run(duplicate_runs):
     return duplicate_runs.agg(F.max_by("run_id", "created_at").alias("run_id"))
 
@@ -635,7 +635,7 @@ def set_dataset_status(dataset_status: DataFrame, dataset_id: str, status: str |
     return rest if status is None else _with_row(rest, {"dataset_id": dataset_id, "status": status})
 
 
-@query("d19_set_status", "dataset_status", oracle="select 'src3' as dataset_id, 'unloaded' as status union all select 'src9', 'excluded'")
+@query("d19_set_status", "dataset_status", oracle="select dataset_id, case dataset_id when 'src3' then 'unloaded' else status end as status from dataset_status where dataset_id <> 'src5' union all select 'src9', 'excluded'")
 def q_set_status(dataset_status):
     """One changed, one added, one cleared."""
     return set_dataset_status(set_dataset_status(set_dataset_status(dataset_status, "src3", "unloaded"), "src9", "excluded"), "src5", None)

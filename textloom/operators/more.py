@@ -106,7 +106,7 @@ def twin_exclusion(benchmark, held: int = 5, least: float = 0.5):
     return benchmark.filter(F.col("item_id") >= held).select("item_id").join(like, "item_id", "left_anti")
 
 
-@query("f12_runs_page", "model_runs", "run_params", "pins", oracle="""select model_version, count(*)::bigint as themes, max(trained_at) as trained_at, max(case model_version when 'tfidf_v2' then 'ab12' end) as codebook, bool_or((model_version, theme_id) in (select model_version, theme_id from pins)) as pinned from model_runs group by 1""")
+@query("f12_runs_page", "model_runs", "run_params", "pins", oracle="""select model_version, count(*)::bigint as themes, max(trained_at) as trained_at, max(json_extract_string(try_cast(params_json as json), '$.codebook.version')) as codebook, bool_or((model_version, theme_id) in (select model_version, theme_id from pins)) as pinned from model_runs left join run_params using (model_version) group by 1""")
 def runs_page(model_runs, run_params, pins):
     d = model_runs.join(F.broadcast(run_params), "model_version", "left").join(F.broadcast(pins.withColumn("pin", F.lit(True))), ["model_version", "theme_id"], "left")
     return d.groupBy("model_version").agg(F.count("*").alias("themes"), F.max("trained_at").alias("trained_at"), F.max(F.get_json_object("params_json", "$.codebook.version")).alias("codebook"), F.bool_or(F.coalesce("pin", F.lit(False))).alias("pinned"))

@@ -36,7 +36,7 @@ def q_latest(model_runs):
     return latest_runs(model_runs).select("theme_id", "engine", "model_version")
 
 
-@query("j4_runs_with_params", "model_runs", "run_params", oracle="""select r.model_version, theme_id, case r.model_version when 'tfidf_v2' then 'reviewed' else 'all_uncoded' end as negative_mode from model_runs r""")
+@query("j4_runs_with_params", "model_runs", "run_params", oracle="""select model_version, theme_id, coalesce(json_extract_string(try_cast(params_json as json), '$.negative_mode'), 'all_uncoded') as negative_mode from model_runs left join run_params using (model_version)""")
 def runs_with_params(model_runs, run_params):
     mode = F.coalesce(F.get_json_object("params_json", "$.negative_mode"), F.lit("all_uncoded"))
     return model_runs.join(F.broadcast(run_params), "model_version", "left").select("model_version", "theme_id", mode.alias("negative_mode"))
