@@ -59,7 +59,8 @@ def test_codebook_files(spark, tmp_path):
     rows = C.codebook_labels(*(t[n] for n in ("codes", "negatives", "item_reviews", "none_confirmations", "segments", "themes")), clusters)
     version = C.write_codebook(str(tmp_path / "x"), topics, rows, {"scheme_id": "s"})
     text = "".join(r[0] for r in spark.read.text(str(tmp_path / "x/codebook_topic_themes"), wholetext=True).collect())
-    assert json.loads(text)["codebook_version"] == version and len(json.loads(text)["topics"]) == 5
+    assert json.loads(text)["codebook_version"] == version and len(json.loads(text)["topics"]) == t["themes"].count()
+    assert sum(x["topic_id"].startswith("s__") for x in json.loads(text)["topics"]) == 5
     assert spark.read.option("header", True).csv(str(tmp_path / "x/codebook_labels")).count() == rows.count()
 
 
