@@ -387,14 +387,14 @@ def mark_items(item_reviews: DataFrame, wanted: DataFrame, scheme_id: str, now:
     return item_reviews.unionByName(rows)
 
 
-@query("d14_mark_items", "item_reviews", "items", oracle="""with w as (select dataset_id, item_id from items where doc_id % 2 = 1) select dataset_id, item_id, marked_at, unmarked_at from item_reviews union all select dataset_id, item_id, '2024-05-01', null from w anti join (select * from item_reviews where unmarked_at is null) using (dataset_id, item_id)""")
-def q_mark_items(item_reviews, items):
-    return mark_items(item_reviews, items.filter("doc_id % 2 = 1"), "s", "2024-05-01").select("dataset_id", "item_id", "marked_at", "unmarked_at")
+@query("d14_mark_items", "item_reviews", "item_edits", oracle="""with w as (select dataset_id, item_id from items where doc_id % 2 = 1) select dataset_id, item_id, marked_at, unmarked_at from item_reviews union all select dataset_id, item_id, '2024-05-01', null from w anti join (select * from item_reviews where unmarked_at is null) using (dataset_id, item_id)""")
+def q_mark_items(item_reviews, item_edits):
+    return mark_items(item_reviews, item_edits, "s", "2024-05-01").select("dataset_id", "item_id", "marked_at", "unmarked_at")
 
 
-@query("d14_unmark_items", "item_reviews", "items", oracle="""select dataset_id, item_id, marked_at, case when unmarked_at is null and item_id::bigint % 2 = 1 then '2024-05-02' else unmarked_at end as unmarked_at from item_reviews""")
-def q_unmark_items(item_reviews, items):
-    return mark_items(item_reviews, items.filter("doc_id % 2 = 1"), "s", "2024-05-02", False).select("dataset_id", "item_id", "marked_at", "unmarked_at")
+@query("d14_unmark_items", "item_reviews", "item_edits", oracle="""select dataset_id, item_id, marked_at, case when unmarked_at is null and item_id::bigint % 2 = 1 then '2024-05-02' else unmarked_at end as unmarked_at from item_reviews""")
+def q_unmark_items(item_reviews, item_edits):
+    return mark_items(item_reviews, item_edits, "s", "2024-05-02", False).select("dataset_id", "item_id", "marked_at", "unmarked_at")
 
 
 def confirm_read(item_reviews: DataFrame, wanted: DataFrame, scheme_id: str, now: str | None) -> DataFrame:
@@ -418,17 +418,17 @@ def confirm_none(none_confirmations: DataFrame, wanted: DataFrame, scheme_id: st
     return none_confirmations.unionByName(new.select(*(made.get(c, F.col(c) if c == "segment_id" else F.lit(None)).cast(t).alias(c) for c, t in none_confirmations.dtypes)))
 
 
-@query("d18_confirm_read", "item_reviews", "items", oracle="select review_id, marked_at, case when unmarked_at is null and item_id::bigint % 2 = 1 then '2024-05-03' else read_in_full_confirmed_at end as confirmed_at from item_reviews")
-def q_confirm_read(item_reviews, items):
-    return confirm_read(item_reviews, items.filter("doc_id % 2 = 1"), "s", "2024-05-03").select("review_id", "marked_at", F.col("read_in_full_confirmed_at").alias("confirmed_at"))
+@query("d18_confirm_read", "item_reviews", "item_edits", oracle="select review_id, marked_at, case when unmarked_at is null and item_id::bigint % 2 = 1 then '2024-05-03' else read_in_full_confirmed_at end as confirmed_at from item_reviews")
+def q_confirm_read(item_reviews, item_edits):
+    return confirm_read(item_reviews, item_edits, "s", "2024-05-03").select("review_id", "marked_at", F.col("read_in_full_confirmed_at").alias("confirmed_at"))
 
 
-@query("d18_confirm_none", "none_confirmations", "segments", oracle="""with a as (select segment_id, scheme_id, confirmed_at, unconfirmed_at from none_confirmations union all select segment_id, 's', '2024-05-03', null from segments where doc_id % 5 = 0 and segment_id not in (select segment_id from none_confirmations where unconfirmed_at is null))
+@query("d18_confirm_none", "none_confirmations", "none_edits", oracle="""with a as (select segment_id, scheme_id, confirmed_at, unconfirmed_at from none_confirmations union all select segment_id, 's', '2024-05-03', null from segments where doc_id % 5 = 0 and segment_id not in (select segment_id from none_confirmations where unconfirmed_at is null))
     select segment_id, confirmed_at, case when unconfirmed_at is null and split_part(segment_id, ':', 1)::bigint % 10 = 0 then '2024-05-04' else unconfirmed_at end as unconfirmed_at from a""")
-def q_confirm_none(none_confirmations, segments):
-    """Set for one in five segments, then withdrawn for one in ten."""
-    d = confirm_none(none_confirmations, segments.filter("doc_id % 5 = 0"), "s", "2024-05-03")
-    return confirm_none(d, segments.filter("doc_id % 10 = 0"), "s", "2024-05-04", False).select("segment_id", "confirmed_at", "unconfirmed_at")
+def q_confirm_none(none_confirmations, none_edits):
+    """Set for all edits, then withdrawn where they say so."""
+    d = confirm_none(none_confirmations, none_edits, "s", "2024-05-03")
+    return confirm_none(d, none_edits.filter("withdrawn"), "s", "2024-05-04", False).select("segment_id", "confirmed_at", "unconfirmed_at")
 
 
 def record_decisions(codes: DataFrame, negatives: DataFrame, decided: DataFrame, now: str) -> DataFrame:
@@ -477,12 +477,12 @@ def q_record(codes, negatives, labels):
     return record_decisions(codes, negatives, _decided(labels), "2024-05-01").select("segment_id", "decision", "round_id", "prev_state")
 
 
-@query("f10_label_after_undo", "codes", "negatives", "labels", oracle=f"with {_DECIDED}, {_STATES} select segment_id, case when decision_id % 4 = 0 then prev_state when decision = 'accept' then 'coded' when decision = 'reject' then 'rejected' else prev_state end as state from sd")
-def q_undo(codes, negatives, labels):
-    """Labels after one decision each, of which a quarter was undone."""
+@query("f10_label_after_undo", "codes", "negatives", "labels", "undone_decisions", oracle=f"with {_DECIDED}, {_STATES} select segment_id, case when decision_id % 4 = 0 then prev_state when decision = 'accept' then 'coded' when decision = 'reject' then 'rejected' else prev_state end as state from sd")
+def q_undo(codes, negatives, labels, undone):
+    """Labels after one decision each, of which some were undone."""
     d = _decided(labels)
     stored = record_decisions(codes, negatives, d, "2024-05-01").join(d.select("segment_id", "decision_id"), "segment_id")
-    return label_after(stored, d.filter("decision_id % 4 = 0")).select("segment_id", "state")
+    return label_after(stored, undone).select("segment_id", "state")
 
 
 def close_round(round_decisions: DataFrame, model_runs: DataFrame, scheme_themes: DataFrame, decision: str, run_ref: str, now: str) -> tuple[DataFrame, DataFrame]:
@@ -593,10 +593,6 @@ def take_off(rows: DataFrame, wanted: DataFrame, now: str) -> DataFrame:
 _WANTED = "wa as (select segment_id, 's__quality' as theme_id, 'coder0' as coder from segments where doc_id % 2 = 0)"
 
 
-def _wanted(segments):
-    return segments.filter("doc_id % 2 = 0").select("segment_id", F.lit("s__quality").alias("theme_id"), F.lit("coder0").alias("coder"))
-
-
 def _put_sql(table: str, number: str, flag: str) -> str:
     return f"""nw as (select segment_id, theme_id, coder, max({number}) as newest, count(*) filter (deleted_at is null) as active from {table} join wa using (segment_id, theme_id, coder) group by 1, 2, 3)
     select r.segment_id, r.theme_id, case when b.newest is not null then '2024-07-01' else created_at end as created_at, case when b.newest is not null then null else deleted_at end as deleted_at, case when b.newest is not null then false else {flag} end as flag from {table} r left join (select * from nw where active = 0) b on b.newest = r.{number}
@@ -607,24 +603,24 @@ def _off_sql(table: str) -> str:
     return f"select r.segment_id, r.theme_id, case when deleted_at is null and wa.segment_id is not null then '2024-07-01' else deleted_at end as deleted_at from {table} r left join wa on wa.segment_id = r.segment_id and wa.theme_id = r.theme_id and wa.coder = r.coder"
 
 
-@query("d8_add_codes", "codes", "negatives", "segments", oracle=f"with {_WANTED}, {_put_sql('codes', 'code_id', 'is_exemplar')}")
-def q_add_codes(codes, negatives, segments):
-    return set_labels(codes, negatives, _wanted(segments), "code_id", "is_exemplar", "2024-07-01")[0].select("segment_id", "theme_id", "created_at", "deleted_at", F.col("is_exemplar").alias("flag"))
+@query("d8_add_codes", "codes", "negatives", "label_edits", oracle=f"with {_WANTED}, {_put_sql('codes', 'code_id', 'is_exemplar')}")
+def q_add_codes(codes, negatives, edits):
+    return set_labels(codes, negatives, edits, "code_id", "is_exemplar", "2024-07-01")[0].select("segment_id", "theme_id", "created_at", "deleted_at", F.col("is_exemplar").alias("flag"))
 
 
-@query("d8_cancelled_rejections", "codes", "negatives", "segments", oracle=f"with {_WANTED} {_off_sql('negatives')}")
-def q_cancelled(codes, negatives, segments):
-    return set_labels(codes, negatives, _wanted(segments), "code_id", "is_exemplar", "2024-07-01")[1].select("segment_id", "theme_id", "deleted_at")
+@query("d8_cancelled_rejections", "codes", "negatives", "label_edits", oracle=f"with {_WANTED} {_off_sql('negatives')}")
+def q_cancelled(codes, negatives, edits):
+    return set_labels(codes, negatives, edits, "code_id", "is_exemplar", "2024-07-01")[1].select("segment_id", "theme_id", "deleted_at")
 
 
-@query("d9_remove_codes", "codes", "segments", oracle=f"with {_WANTED} {_off_sql('codes')}")
-def q_remove_codes(codes, segments):
-    return take_off(codes, _wanted(segments), "2024-07-01").select("segment_id", "theme_id", "deleted_at")
+@query("d9_remove_codes", "codes", "label_edits", oracle=f"with {_WANTED} {_off_sql('codes')}")
+def q_remove_codes(codes, edits):
+    return take_off(codes, edits, "2024-07-01").select("segment_id", "theme_id", "deleted_at")
 
 
-@query("d10_add_negatives", "negatives", "codes", "segments", oracle=f"with {_WANTED}, {_put_sql('negatives', 'negative_id', 'is_near_miss')}")
-def q_add_negatives(negatives, codes, segments):
-    return set_labels(negatives, codes, _wanted(segments), "negative_id", "is_near_miss", "2024-07-01")[0].select("segment_id", "theme_id", "created_at", "deleted_at", F.col("is_near_miss").alias("flag"))
+@query("d10_add_negatives", "negatives", "codes", "label_edits", oracle=f"with {_WANTED}, {_put_sql('negatives', 'negative_id', 'is_near_miss')}")
+def q_add_negatives(negatives, codes, edits):
+    return set_labels(negatives, codes, edits, "negative_id", "is_near_miss", "2024-07-01")[0].select("segment_id", "theme_id", "created_at", "deleted_at", F.col("is_near_miss").alias("flag"))
 
 
 def set_dataset_status(dataset_status: DataFrame, dataset_id: str, status: str | None) -> DataFrame:

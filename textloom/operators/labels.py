@@ -232,16 +232,14 @@ def q_merge_codes(codes, negatives, themes):
 _BOTH_NEGATIVES = "both_n as (select negative_id, segment_id, theme_id, coder, created_at, deleted_at from negatives union all select negative_id + 1000000000, segment_id, 's__mild', case when doc_id % 3 = 0 then 'coder0' else coder end, '2024-02-09', null from negatives where theme_id = 's__toxic' and doc_id % 4 <> 1)"
 
 
-@query("d11_merge_negatives", "codes", "negatives", "themes", oracle=f"""with {_MERGE}, {_BOTH_NEGATIVES}, tn as (select segment_id, coder, negative_id as own_id, deleted_at as own_deleted from both_n where theme_id = 's__toxic'), sn as (select segment_id, coder, created_at as new_created from both_n where theme_id = 's__mild' and deleted_at is null)
+@query("d11_merge_negatives", "codes", "own_negatives", "themes", oracle=f"""with {_MERGE}, {_BOTH_NEGATIVES}, tn as (select segment_id, coder, negative_id as own_id, deleted_at as own_deleted from both_n where theme_id = 's__toxic'), sn as (select segment_id, coder, created_at as new_created from both_n where theme_id = 's__mild' and deleted_at is null)
     select negative_id, case when n.theme_id = 's__mild' and deleted_at is null and own_id is null and not coded then 's__toxic' else n.theme_id end as theme_id,
       case when n.theme_id = 's__toxic' and deleted_at is not null and new_created is not null and not coded then new_created else created_at end as created_at,
       case when n.theme_id = 's__mild' and deleted_at is null and (coded or own_id is not null) then '2024-04-01' when n.theme_id = 's__toxic' and deleted_at is null and coded then '2024-04-01' when n.theme_id = 's__toxic' and deleted_at is not null and new_created is not null and not coded then null else deleted_at end as deleted_at
     from (select b.*, (segment_id, coder) in (select segment_id, coder from now_coded) as coded from both_n b) n left join tn using (segment_id, coder) left join sn using (segment_id, coder)""")
 def q_merge_negatives(codes, negatives, themes):
     """Rejections after the merge; the source has some on segments that the target has too, by the same and by other coders."""
-    n = negatives.select("negative_id", "segment_id", "theme_id", "coder", "created_at", "deleted_at", "doc_id")
-    own = n.filter("theme_id = 's__toxic' and doc_id % 4 <> 1").select((F.col("negative_id") + 1000000000).alias("negative_id"), "segment_id", F.lit("s__mild").alias("theme_id"), F.when(F.col("doc_id") % 3 == 0, "coder0").otherwise(F.col("coder")).alias("coder"), F.lit("2024-02-09").alias("created_at"), F.lit(None).cast("string").alias("deleted_at"), "doc_id")
-    return merge_themes(codes, n.unionByName(own), themes, "s__mild", "s__toxic", "2024-04-01")[1].select("negative_id", "theme_id", "created_at", "deleted_at")
+    return merge_themes(codes, negatives, themes, "s__mild", "s__toxic", "2024-04-01")[1].select("negative_id", "theme_id", "created_at", "deleted_at")
 
 
 @query("d11_merged_theme", "codes", "negatives", "themes", oracle="select theme_id, case theme_id when 's__mild' then 'archived' else status end as status, case theme_id when 's__mild' then 's__toxic' end as merged_into from themes")

@@ -278,22 +278,16 @@ def check_answers(answers: DataFrame, asked: DataFrame) -> tuple[DataFrame, Data
 _ANSWERS = "an as (select comment_id, 0 as position, primary_topic_id, case when turn_id % 3 = 0 then primary_topic_id else secondary_topic_id end as secondary_topic_id, confidence * 1.5 - 0.2 as confidence from coded_turns where turn_id % 5 <> 1 union all select comment_id, 1, 'other', 'none', 0.5 from coded_turns where turn_id % 2 = 1 union all select 'x' || comment_id, 0, 'other', 'none', 0.5 from coded_turns where turn_id = 3)"
 
 
-def _answers(coded):
-    a = coded.filter("turn_id % 5 <> 1").select("comment_id", F.lit(0).alias("position"), "primary_topic_id", F.when(F.col("turn_id") % 3 == 0, F.col("primary_topic_id")).otherwise(F.col("secondary_topic_id")).alias("secondary_topic_id"), (F.col("confidence") * 1.5 - 0.2).alias("confidence"))
-    plain = lambda d, i, p: d.select(i.alias("comment_id"), F.lit(p).alias("position"), F.lit("other").alias("primary_topic_id"), F.lit("none").alias("secondary_topic_id"), F.lit(0.5).alias("confidence"))
-    return a.unionByName(plain(coded.filter("turn_id % 2 = 1"), F.col("comment_id"), 1)).unionByName(plain(coded.filter("turn_id = 3"), F.concat(F.lit("x"), "comment_id"), 0))
-
-
-@query("m21_response_check", "coded_turns", oracle=f"""with {_ANSWERS}, fi as (select * from an where comment_id in (select comment_id from coded_turns) qualify row_number() over (partition by comment_id order by position) = 1)
+@query("m21_response_check", "answers", "coded_turns", oracle=f"""with {_ANSWERS}, fi as (select * from an where comment_id in (select comment_id from coded_turns) qualify row_number() over (partition by comment_id order by position) = 1)
     select comment_id, primary_topic_id, case when secondary_topic_id = primary_topic_id then 'none' else secondary_topic_id end as secondary_topic_id, round(least(greatest(confidence, 0), 1), 6)::double as confidence from fi""")
-def q_check(coded):
-    return check_answers(_answers(coded), coded)[0].withColumn("confidence", F.round("confidence", 6))
+def q_check(answers, coded):
+    return check_answers(answers, coded)[0].withColumn("confidence", F.round("confidence", 6))
 
 
-@query("m21_response_problems", "coded_turns", oracle=f"""with {_ANSWERS} select comment_id, 'missing' as note from coded_turns where comment_id not in (select comment_id from an) union all select comment_id, 'unrequested id dropped' from an where comment_id not in (select comment_id from coded_turns)
+@query("m21_response_problems", "answers", "coded_turns", oracle=f"""with {_ANSWERS} select comment_id, 'missing' as note from coded_turns where comment_id not in (select comment_id from an) union all select comment_id, 'unrequested id dropped' from an where comment_id not in (select comment_id from coded_turns)
     union all select comment_id, 'duplicate id: kept the first' from an where comment_id in (select comment_id from coded_turns) group by 1 having count(*) > 1""")
-def q_problems(coded):
-    _, missing, notes = check_answers(_answers(coded), coded)
+def q_problems(answers, coded):
+    _, missing, notes = check_answers(answers, coded)
     return missing.select("comment_id", F.lit("missing").alias("note")).unionByName(notes)
 
 
@@ -411,13 +405,13 @@ def draft_topics(proposed: DataFrame, sampled: DataFrame, taken: list[str]) -> D
     return d.join(kept, "topic_id", "left").select("topic_id", "name", F.coalesce("kept", F.array().cast("array<string>")).alias("examples"), (F.size("examples") - F.coalesce(F.size("kept"), F.lit(0))).cast("long").alias("dropped"))
 
 
-@query("m25_draft_topics", "coded_turns", oracle="""with p as (select 'Topic ' || (turn_id % 4) || case when turn_id % 2 = 0 then '!' else '' end as topic_id, company as name, string_agg(comment_id, ',' order by comment_id) as all_ids, string_agg(comment_id, ',' order by comment_id) filter (turn_id % 3 <> 1) as kept, count(*) as n, count(*) filter (turn_id % 3 <> 1) as k from coded_turns group by 1, 2),
+@query("m25_draft_topics", "coded_turns", "sampled_turns", oracle="""with p as (select 'Topic ' || (turn_id % 4) || case when turn_id % 2 = 0 then '!' else '' end as topic_id, company as name, string_agg(comment_id, ',' order by comment_id) as all_ids, string_agg(comment_id, ',' order by comment_id) filter (turn_id % 3 <> 1) as kept, count(*) as n, count(*) filter (turn_id % 3 <> 1) as k from coded_turns group by 1, 2),
     q as (select *, regexp_replace(regexp_replace(lower(topic_id), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as id from p), r as (select *, row_number() over (partition by id order by name) + (id = 'topic_1')::int as again from q)
     select case when again > 1 then id || '_' || again::varchar else id end as topic_id, name, coalesce(kept, '') as examples, (n - k)::bigint as dropped from r""")
-def q_draft(coded):
+def q_draft(coded, sampled):
     name = F.concat(F.lit("Topic "), (F.col("turn_id") % 4).cast("string"), F.when(F.col("turn_id") % 2 == 0, "!").otherwise(""))
     p = coded.groupBy(name.alias("topic_id"), F.col("company").alias("name")).agg(F.sort_array(F.collect_list("comment_id")).alias("examples"))
-    return draft_topics(p, coded.filter("turn_id % 3 <> 1"), ["topic_1"]).withColumn("examples", F.array_join("examples", ","))
+    return draft_topics(p, sampled, ["topic_1"]).withColumn("examples", F.array_join("examples", ","))
 
 
 _HEADING = re.compile(r"## (.+?) \(`([a-z0-9_]+)`\)\s*")

@@ -377,16 +377,10 @@ _MAP = "tm as (select segment_id, 0 as turn_index from segments where doc_id % 3
 _UNITS = "un as (select theme_id, case when turn_index is null then segment_id else dataset_id || '|' || item_id || '|' || turn_index::varchar end as unit, max(y) as y, max(score) as score, count(*) as n, any_value(threshold) as threshold, bool_and(turn_index is null) as by_segment from y left join tm using (segment_id) group by 1, 2)"
 
 
-def _turn_map(segments):
-    """Turns of the segments: of some the first, of some one of two, of others none is known."""
-    known = segments.filter("doc_id % 3 < 2")
-    return known.select("segment_id", F.when(F.col("doc_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("doc_id") % 2).alias("turn_index"))
-
-
-@query("a29_turn_rollup", *_EVAL, oracle=f"{_Y}, {_MAP}, {_UNITS} select theme_id, unit, y = 1 as positive, score, n::bigint as n, by_segment, threshold from un")
+@query("a29_turn_rollup", *_EVAL, "segment_turns", oracle=f"{_Y}, {_MAP}, {_UNITS} select theme_id, unit, y = 1 as positive, score, n::bigint as n, by_segment, threshold from un")
 def turn_rollup(*t):
     """Segments that share a turn are one unit: positive if any is, with the highest score."""
-    return roll_up(judged(*t), _turn_map(t[-1]))
+    return roll_up(judged(*t[:-1]), t[-1])
 
 
 def metrics(units: DataFrame) -> DataFrame:
@@ -434,19 +428,19 @@ def _metrics_sql(units: str) -> str:
 _COUNTED, _RATIOS = _metrics_sql("un")
 
 
-@query("g7_evaluate_run", *_EVAL, oracle=f"""{_Y}, {_MAP}, {_UNITS}, m0 as ({_COUNTED}), m1 as (select {_RATIOS} from m0), ug as (select theme_id, score, sum(y) as pos, count(*) as n from un group by 1, 2),
+@query("g7_evaluate_run", *_EVAL, "segment_turns", oracle=f"""{_Y}, {_MAP}, {_UNITS}, m0 as ({_COUNTED}), m1 as (select {_RATIOS} from m0), ug as (select theme_id, score, sum(y) as pos, count(*) as n from un group by 1, 2),
     uc as (select theme_id, score, pos, sum(pos) over w as tp, sum(n) over w as k, sum(pos) over (partition by theme_id) as total from ug window w as (partition by theme_id order by score desc rows unbounded preceding)),
     ap as (select theme_id, round(sum(pos / nullif(total, 0)::double * tp / k::double), 6) as pr_auc from uc group by 1), gi as (select theme_id, count(*)::bigint as gold_items from gold group by 1)
     select r.theme_id, r.threshold, coalesce(gold_items, 0) as gold_items, m1.* exclude (theme_id), pr_auc, case when gold_items is null then 'no_gold' when n_units is null then 'no_scored_gold' end as note from (select theme_id, threshold from model_runs where model_version = 'tfidf_v2') r left join gi using (theme_id) left join m1 using (theme_id) left join ap using (theme_id)""")
 def q_evaluate(*t):
-    return evaluate_run(*t, _turn_map(t[-1]), "tfidf_v2")
+    return evaluate_run(*t, "tfidf_v2")
 
 
-@query("g7_compare_runs", *_EVAL, oracle=f"""{_Y}, {_MAP}, y1 as (select p.theme_id, p.segment_id, s.dataset_id, s.item_id, coalesce(oof_score, p.score) as score, threshold, case when (p.theme_id, p.segment_id) in (select theme_id, segment_id from pos) then 1 else 0 end as y from predictions p join model_runs using (model_version, theme_id)
+@query("g7_compare_runs", *_EVAL, "segment_turns", oracle=f"""{_Y}, {_MAP}, y1 as (select p.theme_id, p.segment_id, s.dataset_id, s.item_id, coalesce(oof_score, p.score) as score, threshold, case when (p.theme_id, p.segment_id) in (select theme_id, segment_id from pos) then 1 else 0 end as y from predictions p join model_runs using (model_version, theme_id)
       join segments s on s.segment_id = p.segment_id join gold using (theme_id, dataset_id, item_id) where model_version = 'tfidf_v1' and (p.theme_id, p.segment_id) in (select theme_id, segment_id from y)), {_UNITS.replace("un as", "u1 as").replace(" from y ", " from y1 ")}, {_UNITS}, m0 as ({_COUNTED}), n0 as ({_metrics_sql("u1")[0]})
     select r.theme_id, m0.n_units, case when m0.tp > 0 then round(2.0 * m0.tp / (2 * m0.tp + m0.fp + m0.fn)::double, 6) end as f1, n0.n_units as compare_units, case when n0.tp > 0 then round(2.0 * n0.tp / (2 * n0.tp + n0.fp + n0.fn)::double, 6) end as compare_f1 from (select theme_id from model_runs where model_version = 'tfidf_v2') r left join m0 using (theme_id) left join n0 using (theme_id)""")
 def q_compare(*t):
-    return evaluate_run(*t, _turn_map(t[-1]), "tfidf_v2", "tfidf_v1").select("theme_id", "n_units", "f1", "compare_units", "compare_f1")
+    return evaluate_run(*t, "tfidf_v2", "tfidf_v1").select("theme_id", "n_units", "f1", "compare_units", "compare_f1")
 
 
 @query("g5_gold_items", "item_reviews", "themes", oracle=f"with {_GOLD} select theme_id, item_id from gold")

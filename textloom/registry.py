@@ -82,6 +82,15 @@ CANONICAL = {
     "turn_gold": """select cast(conv_id as string) || '_' || cast(10000 + turn as string) as comment_id, theme_id, case (conv_id * 3 + turn + k) % 3 when 0 then 'pos' when 1 then 'neg' else 'neutral' end as gold, round(cast((conv_id * 13 + turn * 7 + k) % 100 as double) / 100, 2) as score, case when conv_id % 3 = 0 then 'read_in_full' when conv_id % 3 = 1 then 'positives_only' else '' end as gold_set, conv_id % 7 = 5 as eval_exclude
         from conversations cross join (values ('s__quality', 1), ('s__toxic', 2)) as v(theme_id, k) where role = 'assistant'""",
     "llm_usage": "select conv_id, turn, length(text) as input_tokens, case when turn % 2 = 0 then cast(null as int) else 40 end as output_tokens, case when turn = 0 then length(text) end as cache_creation_input_tokens, case when turn > 0 then 100 end as cache_read_input_tokens from conversations",
+    "item_edits": "select dataset_id, item_id from items where doc_id % 2 = 1",
+    "none_edits": "select segment_id, doc_id % 10 = 0 as withdrawn from segments where doc_id % 5 = 0",
+    "label_edits": "select segment_id, 's__quality' as theme_id, 'coder0' as coder from segments where doc_id % 2 = 0",
+    "undone_decisions": "select doc_id as decision_id, cast(doc_id as string) || ':0000' as segment_id from labels where doc_id % 4 = 0",
+    "segment_turns": "select segment_id, cast(case when doc_id % 3 = 0 then 0 else doc_id % 2 end as bigint) as turn_index from segments where doc_id % 3 < 2",
+    "own_negatives": """select negative_id, segment_id, theme_id, coder, created_at, deleted_at, doc_id from negatives union all select negative_id + 1000000000, segment_id, 's__mild', case when doc_id % 3 = 0 then 'coder0' else coder end, '2024-02-09', cast(null as string), doc_id from negatives where theme_id = 's__toxic' and doc_id % 4 <> 1""",
+    "answers": """select comment_id, 0 as position, primary_topic_id, case when turn_id % 3 = 0 then primary_topic_id else secondary_topic_id end as secondary_topic_id, confidence * 1.5 - 0.2 as confidence from coded_turns where turn_id % 5 <> 1
+        union all select comment_id, 1, 'other', 'none', 0.5 from coded_turns where turn_id % 2 = 1 union all select 'x' || comment_id, 0, 'other', 'none', 0.5 from coded_turns where turn_id = 3""",
+    "sampled_turns": "select comment_id from coded_turns where turn_id % 3 <> 1",
     "dataset_status": "select distinct source as dataset_id, case source when 'src3' then 'excluded' else 'unloaded' end as status from documents where source in ('src3', 'src5')",
 }
 
