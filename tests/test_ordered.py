@@ -57,3 +57,13 @@ def test_top_rows_are_cut_before_they_meet(spark):
     for d in (more.top_terms(*t("documents")), corpus.unique_terms(*t("items")), prepare.near_misses(*t("predictions", "segments"))):
         plan = d._jdf.queryExecution().executedPlan().toString()
         assert "WindowGroupLimit" in plan and "Partial" in plan.split("WindowGroupLimit")[-1]
+
+
+def test_candidate_counts_equal_the_pairs(spark):
+    from textloom.operators import duplicates
+
+    rnd = random.Random(4)
+    made = [(k, "busy" if rnd.random() < 0.9 else rnd.choice(["", "b", "c", None]), rnd.choice([None, *(f"2024-01-{d:02d}" for d in range(1, 28))])) for k in range(600)]
+    items = spark.createDataFrame(made, "doc_id long, person_name string, publish_date string").repartition(4)
+    wanted = duplicates.candidate_pairs(items).groupBy("a").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, duplicates.candidate_counts(items).collect())) == sorted(map(tuple, wanted.collect()))

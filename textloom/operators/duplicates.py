@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.plans.graph import components, written
+from textloom.plans.ordered import running_sums
 from textloom.registry import query
 
 WINDOW_DAYS, SIMILAR, LOW_COHESION = 3, 0.6, 0.75
@@ -46,6 +47,20 @@ def candidate_pairs(items: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     return near.filter((F.col("a") < F.col("b")) & (F.abs(F.datediff("day", "day_b")) <= days)).select("a", "b")
 
 
+def candidate_counts(items: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """(a, n): of how many candidate pairs an item is the first; items without any are left out.
+
+    No pair is made: an item asks each day of its window how many greater ids
+    its person has there, which is a running count by descending id, so a busy
+    person spreads over ranges.
+    """
+    d = items.select("person_name", "doc_id", F.to_date("publish_date").alias("day")).filter("person_name <> '' and day is not null")
+    asks = d.select("person_name", F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda k: F.date_add("day", k))).alias("day"), "doc_id", F.lit(1).alias("asks"), F.lit(0).cast("long").alias("n"))
+    has = d.select("person_name", "day", "doc_id", F.lit(0).alias("asks"), F.lit(1).cast("long").alias("n"))
+    met = running_sums(asks.unionByName(has), ["person_name", "day"], [F.desc("doc_id"), F.desc("asks")], ["n"])
+    return met.filter("asks = 1").groupBy(F.col("doc_id").alias("a")).agg(F.sum("n_upto").alias("n")).filter("n > 0")
+
+
 def similar_pairs(items: DataFrame, days: int = WINDOW_DAYS, least: float = 0.3, weights: DataFrame | None = None) -> DataFrame:
     """(a, b, cosine) of the candidate pairs with a cosine of ``least`` or more.
 
@@ -125,7 +140,7 @@ def q_tfidf(items):
 
 @query("j8_candidate_pairs", "items", oracle=f"with {_PAIRS} select a, count(*)::bigint as n from pairs group by 1")
 def q_pairs(items):
-    return candidate_pairs(items).groupBy("a").agg(F.count("*").alias("n"))
+    return candidate_counts(items)
 
 
 @query("m2_similar_pairs", "items", oracle=f"with {_TFIDF}, {_PAIRS}, {_SIM} select a, b, round(cosine, 6) as cosine from sim where cosine >= 0.3")
