@@ -212,7 +212,7 @@ def pack(docs: DataFrame, file: str = "byte_bpe_50k.json", capacity: int = 1024,
     Pieces of equal length go in the order of a hash of id, start and content,
     equal rows in any order; a text of any length is cut, and no id is lost.
     """
-    specials = specials_of(file)
+    specials = specials_of(docs.sparkSession, file)
     plain = texts(docs)
     kind = dict(plain.dtypes)["doc_id"]
     pieces = saved(plain.mapInArrow(lambda it: _pieces(it, file, specials, end, capacity, grain), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"))

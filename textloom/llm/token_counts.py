@@ -13,7 +13,7 @@ import itertools
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frequent, saved, strings, texts
@@ -74,8 +74,14 @@ def splitter(specials: list[str]):
     return pre_tokens
 
 
-def specials_of(file: str) -> list[str]:
-    return [t.content for t in load(file).get_added_tokens_decoder().values()]
+def specials_of(spark: SparkSession, file: str) -> list[str]:
+    """The file's special strings; a task reads it, so the driver needn't hold the vocabulary."""
+
+    def read(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"special": pa.array([t.content for t in load(file).get_added_tokens_decoder().values()], pa.string())})
+
+    return [r.special for r in spark.range(0, 1, 1, 1).mapInArrow(read, "special string").collect()]
 
 
 def _frequencies(batches, specials):
@@ -126,7 +132,7 @@ def _known_part(batches, head, specials):
 
 def vocabulary(plain: DataFrame, file: str) -> DataFrame:
     """(pre, n, pieces) of every distinct pre-token of column ``text``, as a written table."""
-    specials = specials_of(file)
+    specials = specials_of(plain.sparkSession, file)
     counted = plain.select("text").mapInArrow(lambda it: _frequencies(it, specials), "pre string, n long")
     return saved(counted.groupBy("pre").agg(F.sum("n").alias("n")).mapInArrow(lambda it: _pieces(it, file), "pre string, n long, pieces int"))
 
@@ -140,7 +146,7 @@ def count_tokens(docs: DataFrame, file: str = "byte_bpe_50k.json", limit: int =
     Pre-tokens of equal counts are all broadcast or none.  A text of any length
     is counted whole.
     """
-    specials = specials_of(file)
+    specials = specials_of(docs.sparkSession, file)
     plain = texts(docs)
     vocab = vocabulary(plain, file)
     least = frequent(vocab, HEAD)
