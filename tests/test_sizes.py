@@ -39,3 +39,39 @@ def test_clipped_texts_are_not_split_whole(spark):
         w = (r.t or "").split()
         assert r.c == (" ".join(w[:2]) + " [...]" if len(w) > 2 else r.t)
     assert "regexp_extract_all" not in d._jdf.queryExecution().toString()
+
+
+def test_counts_of_terms_stay_with_their_text(spark):
+    """With a bounded vocabulary, texts are shuffled once by key, and no row of a text and term is."""
+    from textloom.operators.duplicates import tfidf
+
+    d = spark.createDataFrame([(k, f"alpha beta{k % 7} gamma{k}") for k in range(60)], "id long, t string")
+    made = tfidf(d, "id", "t", max_features=20)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = tfidf(d, "id", "t", max_features=20)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "hashpartitioning(id" in plan and not any("term" in x and "id#" in x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    assert made.select("term").distinct().count() == 15 and abs(made.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).agg(F.max("s")).first()[0] - 1) < 1e-9
+
+
+def test_codebook_examples_do_not_look_through_all_twins(spark, monkeypatch):
+    """10,000 flagged passages in 5,000 pairs of twins."""
+    import time
+
+    from textloom.operators import codebook as C
+
+    n = 10_000
+    f = spark.range(n).select(F.lit("s__a").alias("theme_id"), F.format_string("d:%06d", "id").alias("segment_id"), F.col("id").alias("flag_id"), F.lit("x").alias("text"))
+    groups = spark.range(n).select(F.lit("s__a").alias("theme_id"), F.format_string("d:%06d", "id").alias("segment_id"), F.format_string("d:%06d", F.col("id") - F.col("id") % 2).alias("kept"))
+    themes = spark.createDataFrame([("s__a", None, "A", 0, "active")], "theme_id string, parent_theme_id string, name string, depth int, status string")
+    monkeypatch.setattr(C, "flagged_rows", lambda *a: f)
+    monkeypatch.setattr(C, "twin_pairs", lambda *a: None)
+    monkeypatch.setattr(C, "twin_groups", lambda *a: groups)
+    monkeypatch.setattr(C, "theme_counts", lambda *a: themes.select("theme_id"))
+    monkeypatch.setattr(C, "theme_completeness", lambda *a: themes.select("theme_id", *(F.lit(True).alias(c) for c in C.CHECKS)))
+    start = time.time()
+    topic = C.codebook_topics(None, None, None, None, themes, None)[0]
+    assert time.time() - start < 12
+    assert len(topic["exemplars"]) == n // 2 and topic["exemplars"][1]["twin_segment_ids"] == ["d:000003"]
