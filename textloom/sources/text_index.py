@@ -29,12 +29,17 @@ def build(texts: DataFrame, path: str, key: str = "item_id", text: str = "transc
     A row has a word's places in one text.  Files are ranges of (bucket, word),
     so a frequent word spreads over several; null texts have no words.
     """
-    low = F.lower(text)
+    # Dealt by key, so a text's places are gathered where it is.
+    dealt = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    low = F.lower("text")
     both = F.arrays_zip(F.regexp_extract_all(low, F.lit(WORD), F.lit(1)).alias("word"), F.regexp_extract_all(low, F.lit(WORD), F.lit(2)).alias("gap"))
-    places = texts.select(F.col(key).alias("key"), F.posexplode(both).alias("at", "w")).select("key", "at", "w.word", F.when(F.length("w.gap") <= GAP, F.col("w.gap")).alias("gap"))
-    rows = places.groupBy("word", "key").agg(F.sort_array(F.collect_list(F.struct("at", "gap"))).alias("p"))
+    places = dealt.select("key", F.posexplode(both).alias("at", "w")).select("key", "at", "w.word", F.when(F.length("w.gap") <= GAP, F.col("w.gap")).alias("gap"))
+    rows = places.groupBy("key", "word").agg(F.sort_array(F.collect_list(F.struct("at", "gap"))).alias("p"))
     rows = rows.select(_bucket("word", buckets).alias("bucket"), "word", "key", F.col("p.at").alias("at"), F.col("p.gap").alias("gap"))
-    rows.repartitionByRange("bucket", "word", "key").sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/words")
+    # Gaps that are all single spaces, nearly all, don't move.
+    rows = rows.withColumn("gap", F.when(~F.forall("gap", lambda g: g.eqNullSafe(F.lit(" "))), F.col("gap")))
+    rows = rows.repartitionByRange("bucket", "word", "key").sortWithinPartitions("bucket", "word")
+    rows.withColumn("gap", F.coalesce("gap", F.transform("at", lambda _: F.lit(" ")))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/words")
     spark = texts.sparkSession
     spark.read.parquet(f"{path}/words").groupBy("word").agg(F.count("*").alias("items")).write.mode("overwrite").parquet(f"{path}/terms")
 
