@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textloom.llm import queries, secrets
+from textloom.llm import queries, secrets, toxicity
 from textloom.llm.common import table
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -78,3 +78,20 @@ def test_quality_on_held_out_labels(spark):
 def test_toxicity_on_held_out_labels(spark):
     right, hit = held_out_accuracy(spark, queries.op9_toxicity, "toxic")
     assert right > 0.93 and hit > 0.6
+
+
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
+    """Each of 24 toxic words stands in 16 documents; a warm-up on 8 a class can't know them."""
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 8)
+    monkeypatch.setattr(toxicity, "TASK_DOCS", 200, raising=False)
+    rows, labels = [], []
+    for i in range(1_200):
+        toxic = i % 3 == 0
+        word = f"{chr(97 + i // 3 % 24) * 3}zork" if toxic else f"{chr(97 + i % 24) * 3}calm"
+        rows.append((i, f"the {word} of day {i % 7} is here", "en", "s"))
+        labels.append((i, int(toxic)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    own = spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = {r.doc_id: r.score for r in toxicity.score(d, own, F.lit(True)).collect()}
+    right = [(found[i] >= toxicity.THRESHOLD) == bool(y) for i, y in labels]
+    assert sum(right) >= 0.99 * len(right)
