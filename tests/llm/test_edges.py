@@ -393,3 +393,32 @@ def test_secrets_of_every_form_leave_the_text(spark):
     clean = {r.doc_id: r.text for r in secrets.redacted(d, found).collect()}
     assert [i for i, v in enumerate(values) if v in clean[i]] == []
     assert [clean[len(texts) + i] for i in range(len(prose))] == prose
+
+
+def test_encoded_tokens_give_back_every_word(spark):
+    """Clustering, training and scoring read these tokens, not the text: each stands for its own word."""
+    import numpy as np
+
+    words = [(language_model.END, 9), (b"alpha", 7), (b"beta", 5)]
+    texts = [None, "", "Alpha rare1 beta rare2 rare1 \n alpha", "rare2", "beta beta"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    encoder = language_model.head_of(spark, words)
+    found = rows.mapInArrow(lambda it: language_model._encode(it, encoder), f"row long, {language_model._ENCODED}").collect()
+    for r in found:
+        head, rest = [w for w, _ in words], [bytes(x.word) for x in r.rest]
+        at = np.frombuffer(r["at"], "<i4").tolist()
+        own = language_model.words_of(texts[r.row])
+        assert [head[k] if k >= 0 else rest[-1 - k] for k in at] == [*own, language_model.END]
+        assert r.n_tokens == len(own) + 1 and r.n_known == sum(k >= 0 for k in at)
+        assert {bytes(x.word): x.k for x in r.rest} == {w: own.count(w) for w in own if w not in head}
+
+
+def test_sums_by_symbol_equal_plain_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    key, rows = rng.integers(0, 70_000, 3_000) // rng.integers(1, 9_000, 3_000), rng.standard_normal((3_000, 5))
+    names, got = language_model._summed_by(key, rows)
+    want = np.zeros((70_000, 5))
+    np.add.at(want, key, rows)
+    assert names.tolist() == np.unique(key).tolist() and np.allclose(got, want[names], rtol=0, atol=1e-9)

@@ -46,6 +46,8 @@ WARM_DOCS, WARM_PASSES, WINDOW, LANES, RATE = 600, 4, 32, 64, 0.1
 SIDE, SPAN, ROWS, PARTS = 1_024, 32, 4_096, 32
 #: Documents and tokens that a task trains on at once.
 TRAINED, TRAINED_TOKENS = 16_384, 6_000_000
+#: Logits whose exponentials, and the sums of these, are surely normal numbers of 32 bits.
+SAFE = 60
 END = b" end"  # no word holds a space
 
 
@@ -116,63 +118,50 @@ def model_sizes(n_words: int) -> tuple[int, int]:
     return min(HEAD, -(-learnt // PER_CLASS) * PER_CLASS), max(GROUPS, round(n_words**0.2))
 
 
-def _seen(words: list[bytes], rows: dict) -> tuple[np.ndarray, np.ndarray]:
-    """A document's rows among the words that the clustering sees, and how often each stands there."""
-    at = np.fromiter(map(rows.get, words, itertools.repeat(-1)), np.int32, len(words))
-    at, n = np.unique(at[at >= 0], return_counts=True)
-    return at.astype(np.uint16), n.astype(np.float32)
-
-
 def _weights(n: np.ndarray) -> np.ndarray:
     """Roots of the counts, as a vector of length 1."""
     return np.sqrt(n / max(1e-9, float(n.sum())))
 
 
-def _vectors(batches, rows, mean):
-    """Every document's clustering vector, and a draw that prefers documents unlike the corpus' mean."""
-    for batch in batches:
-        draw, ats, counts = [], [], []
-        for text in strings(batch.column(0)):
-            at, n = _seen(words_of(text), rows)
-            u = (zlib.crc32((text or "").encode("utf-8", "surrogatepass")) + 0.5) / 2**32
-            draw.append(math.log(u) / max(1e-3, 1 - float(_weights(n) @ mean[at])) if len(at) else None)
-            ats.append(at.tobytes())
-            counts.append(n.tobytes())
-        yield pa.RecordBatch.from_pydict({"draw": pa.array(draw, pa.float64()), "at": pa.array(ats, pa.binary()), "n": pa.array(counts, pa.binary())})
-
-
 def _assigned(batches, centre):
     """Sums of the documents' vectors by nearest centre."""
     total, columns = np.zeros(centre.shape), np.ascontiguousarray(centre.T)
     for batch in batches:
-        for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist()):
+        for at, n in zip(batch.column("seen").to_pylist(), batch.column("n").to_pylist()):
             at, v = np.frombuffer(at, np.uint16), _weights(np.frombuffer(n, np.float32))
             if len(at):
                 total[int((v @ columns[at]).argmax()), at] += v
     yield _sums(total)
 
 
-def _trigram_sums(batches, rows, centre):
+def _trigram_sums(batches, shared, centre):
     """Trigrams of every word of the documents, by the documents' nearest centre."""
+    words = list(_head(shared.value))
     total, columns = np.zeros((TRIGRAMS, len(centre))), np.ascontiguousarray(centre.T)
-    counts: dict[int, Counter] = {}
-
-    def add():
-        for k, own in counts.items():
-            words, times = list(own), np.fromiter(own.values(), float, len(own))
-            for a in range(0, len(words), 20_000):
-                at, n = trigrams(words[a : a + 20_000])
-                total[:, k] += np.bincount(at, np.repeat(times[a : a + 20_000], n), TRIGRAMS)
-        counts.clear()
-
-    for batch in batches:
-        for text in strings(batch.column(0)):
-            words = words_of(text)
-            at, n = _seen(words, rows)
-            counts.setdefault(int((_weights(n) @ columns[at]).argmax()) if len(at) else 0, Counter()).update(words)
-            if sum(map(len, counts.values())) > 100_000:
-                add()
-    add()
+    heads, rest, held = np.zeros((len(centre), len(words))), [([], []) for _ in centre], 0
+
+    def add(k, own, times):
+        for a in range(0, len(own), 20_000):
+            at, n = trigrams(own[a : a + 20_000])
+            total[:, k] += np.bincount(at, np.repeat(np.asarray(times[a : a + 20_000], float), n), TRIGRAMS)
+
+    for batch in slices(batches):
+        for r in batch.to_pylist():
+            seen = np.frombuffer(r["seen"], np.uint16)
+            k = int((_weights(np.frombuffer(r["n"], np.float32)) @ columns[seen]).argmax()) if len(seen) else 0
+            at = np.frombuffer(r["at"], "<i4")
+            np.add.at(heads[k], at[at >= 0], 1.0)
+            rest[k][0].extend(x["word"] for x in r["rest"] if x["word"] != END)
+            rest[k][1].extend(x["k"] for x in r["rest"] if x["word"] != END)
+            held += len(r["rest"])
+        if held > 100_000:
+            for k, own in enumerate(rest):
+                add(k, *own)
+            rest, held = [([], []) for _ in centre], 0
+    for k, own in enumerate(rest):
+        add(k, *own)
+        some = np.array([i for i in np.flatnonzero(heads[k]).tolist() if words[i] != END], np.int64)
+        add(k, [words[i] for i in some.tolist()], heads[k][some])
     yield _sums(total)
 
 
@@ -205,19 +194,17 @@ def trigram_counts(training: DataFrame, words: list[tuple[bytes, int]], n_groups
     """How often each trigram stands in the documents of each group, over all training documents.
 
     Seeds are drawn from all of them, then k-means passes over all of them
-    find the groups.
+    find the groups.  ``training`` has texts, or what ``_encode`` made of them.
     """
-    seen = [x for x in words if x[0] != END][:SEEN]
-    rows = {w: i for i, (w, _) in enumerate(seen)}
-    mean = np.sqrt(np.array([n for _, n in seen], float))
-    mean /= max(1e-9, np.linalg.norm(mean))
-    vectors = saved(training.select("text").mapInArrow(lambda it: _vectors(it, rows, mean), "draw double, at binary, n binary"))
+    encoder = head_of(training.sparkSession, words)
+    vectors = training if "at" in training.columns else saved(training.select("text").mapInArrow(lambda it: _encode(it, encoder), _ENCODED))
+    n_seen = int(encoder.value["seen"].max(initial=-1)) + 1
     # Only draws that can be among the best come to the driver: about as many as there are seeds.
     drawn = vectors.filter("draw is not null").withColumn("draw", 1 / (1e-12 - F.col("draw")))
-    drawn = drawn.filter(F.col("draw") >= reached(drawn, SEEDS * n_groups, "draw")).orderBy(F.desc("draw"), "at", "n").limit(SEEDS * n_groups).collect()
-    x = np.zeros((max(1, len(drawn)), max(1, len(rows))))
+    drawn = drawn.filter(F.col("draw") >= reached(drawn, SEEDS * n_groups, "draw")).select("draw", "seen", "n").orderBy(F.desc("draw"), "seen", "n").limit(SEEDS * n_groups).collect()
+    x = np.zeros((max(1, len(drawn)), max(1, n_seen)))
     for own, r in zip(x, drawn):
-        own[np.frombuffer(r["at"], np.uint16)] = _weights(np.frombuffer(r.n, np.float32))
+        own[np.frombuffer(r.seen, np.uint16)] = _weights(np.frombuffer(r.n, np.float32))
     # Each further centre is the seed least like the centres before it.
     centre = x[:1]
     while len(centre) < min(n_groups, len(x)):
@@ -227,10 +214,10 @@ def trigram_counts(training: DataFrame, words: list[tuple[bytes, int]], n_groups
         centre = _unit(np.array([x[own == k].sum(0) if (own == k).any() else c for k, c in enumerate(centre)]))
     for _ in range(PASSES if drawn else 0):
         now = centre
-        total = _over_all(vectors, lambda it: _assigned(it, now), centre.shape)
+        total = _over_all(vectors.select("seen", "n"), lambda it: _assigned(it, now), centre.shape)
         centre = np.where(total.any(1)[:, None], _unit(total), centre)
     out = np.zeros((TRIGRAMS, n_groups))
-    out[:, : len(centre)] = _over_all(training.select("text"), lambda it: _trigram_sums(it, rows, centre), (TRIGRAMS, len(centre)))
+    out[:, : len(centre)] = _over_all(vectors.select("seen", "n", "at", "rest"), lambda it: _trigram_sums(it, encoder, centre), (TRIGRAMS, len(centre)))
     return out
 
 
@@ -261,12 +248,31 @@ class Symbols:
 def _squashed(x: np.ndarray, steep: float) -> None:
     """The logistic function of ``steep`` * ``x``, in place; exponentials are fast in numpy where hyperbolic tangents are not."""
     x *= -steep
-    with np.errstate(over="ignore"):  # infinity gives 0
-        np.exp(x, out=x)
+    np.exp(x, out=x)  # infinity gives 0; ``train`` and ``score`` keep numpy from warning
     x += 1
     np.reciprocal(x, out=x)
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """A stable order of small whole numbers of 0 or more; those of 16 bits are sorted by digits."""
+    return np.argsort(x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x, kind="stable")
+
+
+def _summed_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sum of each one's rows: neighbours of a key are added in pairs, then what is left of them."""
+    order = _order(key)
+    key, rows = key[order], rows[order]
+    while True:
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        if len(first) == len(key):
+            return key, rows
+        place = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+        even = np.flatnonzero(place % 2 == 0)
+        odd = np.flatnonzero(place % 2)
+        rows[odd - 1] += rows[odd]
+        key, rows = key[even], rows[even]
+
+
 class Network:
     """Weights by name; gates are update, reset and candidate."""
 
@@ -312,21 +318,27 @@ class Network:
         return np.where(y < self.n_learnt, y // PER_CLASS, y - self.n_learnt + self.n_learnt_classes)
 
     @staticmethod
-    def _softmax(logit: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of column ``k`` of each row; ``logit`` becomes the exponentials, whose sums are returned too."""
-        logit -= logit.max(1, keepdims=True)
+    def _softmax(logit: np.ndarray, k: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of column ``k`` of each row; ``logit`` becomes the exponentials, whose sums are returned too.  ``safe``: none of them can leave its type's range."""
+        if not safe:
+            logit -= logit.max(1, keepdims=True)
         own = logit[np.arange(len(k)), k]
         np.exp(logit, out=logit)
         total = logit @ np.ones(logit.shape[1], logit.dtype)
         return own - np.log(total), total
 
-    def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None):
+    def safe(self, most: float = 1.0) -> tuple[bool, bool]:
+        """Whether logits of classes and of words stay within ``SAFE`` for states of at most ``most``."""
+        bound = lambda w, b: most * float(np.abs(w).sum(-2).max(initial=0)) + float(np.abs(b).max(initial=0)) < SAFE
+        return bound(self.w["class"], self.w["class_bias"]), bound(self.w["word"], self.w["word_bias"])
+
+    def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None, safe: tuple[bool, bool] = (False, False)):
         """Natural-log probabilities of the symbols ``y`` after states ``h``;
-        with ``grads``, fills them and returns the states' gradient."""
+        with ``grads``, fills them and returns the states' gradient.  ``safe``: see there."""
         k = self.classes(y)
         logit = h @ self.w["class"]
         logit += self.w["class_bias"]
-        out, total = self._softmax(logit, k)
+        out, total = self._softmax(logit, k, safe[0])
         if grads is not None:
             logit *= (weight / total)[:, None]
             logit[np.arange(len(y)), k] -= weight
@@ -335,7 +347,7 @@ class Network:
             grads["word"], grads["word_bias"] = np.zeros_like(self.w["word"]), np.zeros_like(self.w["word_bias"])
         rows = np.flatnonzero(y < self.n_learnt)
         if len(rows):
-            rows = rows[np.argsort(k[rows], kind="stable")]
+            rows = rows[_order(k[rows])]
             kinds, first = np.unique(k[rows], return_index=True)
             last = [*first[1:], len(rows)]
             own, pos = h[rows], y[rows] % PER_CLASS
@@ -343,7 +355,7 @@ class Network:
             for c, a, b in zip(kinds, first, last):
                 np.matmul(own[a:b], self.w["word"][c], out=logit[a:b])
                 logit[a:b] += self.w["word_bias"][c]
-            logp, total = self._softmax(logit, pos)
+            logp, total = self._softmax(logit, pos, safe[1])
             out[rows] += logp
             if grads is not None:
                 w = weight[rows]
@@ -375,8 +387,9 @@ class Network:
         live = flat >= 0
         alive = int(live.sum())
         grads: dict = {}
-        logp, back = self.log_probs(states.reshape(-1, HIDDEN), np.maximum(flat, 0), grads, (live / max(1, alive)).astype(u.dtype))
-        back = back.reshape(states.shape)
+        states = states.reshape(-1, HIDDEN)
+        logp, back = self.log_probs(states, np.maximum(flat, 0), grads, (live / max(1, alive)).astype(u.dtype), self.safe(float(np.abs(states).max(initial=0))))
+        back = back.reshape(c.shape)
         z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
         by_c, by_z, by_r, rest = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r), 1 - z
         d_in, d_h = np.empty_like(u), np.zeros_like(h)
@@ -396,13 +409,7 @@ class Network:
         d_in = d_in.reshape(-1, 3 * HIDDEN)
         grads["gates"] = before.reshape(-1, HIDDEN).T @ d_in[:, : 2 * HIDDEN]
         grads["candidate"] = (r * before).reshape(-1, HIDDEN).T @ d_in[:, 2 * HIDDEN :]
-        # Sums by symbol, as differences of running sums.
-        flat = x.ravel()
-        order = np.argsort(flat, kind="stable")
-        last = np.flatnonzero(np.append(flat[order][1:] != flat[order][:-1], True))
-        upto = np.cumsum(d_in[order], axis=0)[last]
-        upto[1:] -= upto[:-1].copy()
-        grads["input"] = flat[order][last], upto
+        grads["input"] = _summed_by(x.ravel(), d_in)
         return h, grads, float(logp[live].sum()), alive
 
     def train(self, docs: list[np.ndarray], rate: float, sums: dict, lanes: int = LANES) -> float:
@@ -430,7 +437,8 @@ class Network:
                 part = targets[k][a : a + steps]
                 y[k, : len(part)] = part
                 x[k, : len(part)] = inputs[k][a : a + steps]
-            h, grads, logp, alive = self.window(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), h[:n])
+            with np.errstate(over="ignore"):
+                h, grads, logp, alive = self.window(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), h[:n])
             seen, gained = seen + alive, gained + logp
             for name, g in grads.items():
                 at, g = g if name == "input" else (slice(None), g)
@@ -467,7 +475,8 @@ class Network:
                 states, ys, who = [], [], []
                 for t in range(y.shape[1]):
                     n = int(np.searchsorted(-lengths, -(b + t), side="left"))
-                    h = self.step(self.w["input"][x[:n]], h[:n])[2]
+                    with np.errstate(over="ignore"):
+                        h = self.step(self.w["input"][x[:n]], h[:n])[2]
                     states.append(h)
                     ys.append(y[:n, t])
                     who.append(np.arange(n))
@@ -478,50 +487,85 @@ class Network:
         return out
 
 
-def _new_reader(shared: dict):
-    """A word's row in the head, the rows' symbols and log10 counts, the groups and the first counted symbol."""
-    words = shared["words"].split(b"\n") if len(shared["symbol"]) else []
-    return dict(zip(words, range(len(words)))), shared["symbol"], shared["log"], Groups(shared["groups"]), shared["n_learnt"]
+def head_of(spark, words: list[tuple[bytes, int]]):
+    """The broadcast words: their log10(count + 0.5), which of them the clustering sees, and its mean."""
+    seen = np.array([w != END for w, _ in words], bool)
+    seen = np.where(seen & (np.cumsum(seen) <= SEEN), np.cumsum(seen) - 1, -1)
+    mean = np.sqrt(np.array([n for (_, n), k in zip(words, seen) if k >= 0], float))
+    mean /= max(1e-9, np.linalg.norm(mean))
+    log = np.log10(np.array([n for _, n in words], float) + 0.5)
+    return spark.sparkContext.broadcast({"name": uuid.uuid4().hex, "words": b"\n".join(w for w, _ in words), "log": log, "seen": seen.astype(np.int32), "mean": mean})
 
 
-def _reader(shared: dict):
-    return worker_cache(("language model", shared["name"]), lambda: _new_reader(shared))
+def _head(shared: dict) -> dict:
+    """The broadcast words and their rows."""
+    return worker_cache(("language model", shared["name"]), lambda: {w: i for i, w in enumerate(shared["words"].split(b"\n") if len(shared["log"]) else [])})
 
 
-def _symbols(words: list[bytes], reader) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Symbols of the words, rows in the head of those that are in it, and the others."""
-    rows, symbols, _, groups, first = reader
-    at = np.fromiter(map(rows.get, words, itertools.repeat(-1)), np.int64, len(words))
-    ids = symbols[at] if len(symbols) else np.zeros(len(words), np.int32)
-    odd = np.flatnonzero(at < 0)
-    rare = [words[i] for i in odd]
-    ids[odd] = first + 3 * groups.of(rare) + 2
-    return ids, at[at >= 0], rare
+#: ``at``: a token's row in the head, or -1 less its word's place in ``rest``; ``seen``, ``n`` and ``draw`` are the clustering's.
+_ENCODED = "n_tokens long, n_known long, base double, at binary, rest array<struct<word:binary,k:int>>, seen binary, n binary, draw double"
 
 
 def _encode(batches, shared):
-    """Per row: its symbols, tokens, head tokens, sums over head tokens (all of them; those in counted classes) and the words outside the head."""
+    """Per row, besides the columns that it has: tokens, head tokens, the sum of their log10 counts, every token, the words
+    outside the head, and the document's clustering vector with a draw that prefers documents unlike the corpus' mean."""
     s = shared.value
-    reader = _reader(s)
-    _, symbol, logs, _, first = reader
+    rows, logs, seen_of, mean = _head(s), s["log"], s["seen"], s["mean"]
     for batch in slices(batches, 2_048):
-        n_tokens, n_head, base, counted, rest, ids = [], [], [], [], [], []
+        out: dict = {name: [] for name in ("n_tokens", "n_known", "base", "at", "seen", "n", "draw")}
+        flat, times, offsets = [], [], [0]
         for text in strings(batch.column("text")):
             words = [*words_of(text), END]
-            own, known, rare = _symbols(words, reader)
-            sure = logs[known]
-            ids.append(own.astype("<i4").tobytes())
-            n_tokens.append(len(words))
-            n_head.append(len(known))
-            base.append(float(sure.sum()))
-            counted.append(float(sure[symbol[known] >= first].sum()))
-            rest.append(list(Counter(rare).items()))
-        offsets = list(itertools.accumulate(map(len, rest), initial=0))
-        flat = list(itertools.chain.from_iterable(rest))
-        pairs = pa.StructArray.from_arrays([pa.array([p for p, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int32())], ["word", "k"])
-        yield pa.RecordBatch.from_pydict(
-            {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_head, pa.int64()), "base": pa.array(base, pa.float64()), "counted": pa.array(counted, pa.float64()), "ids": pa.array(ids, pa.binary()), "rest": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)}
-        )
+            at = np.fromiter(map(rows.get, words, itertools.repeat(-1)), np.int32, len(words))
+            odd = np.flatnonzero(at < 0)
+            head = at[at >= 0] if len(odd) else at
+            if len(odd):
+                rare: dict = {}
+                places = np.array([rare.setdefault(words[i], len(rare)) for i in odd.tolist()], np.int32)
+                at[odd] = -1 - places
+                flat.extend(rare)
+                times.append(np.bincount(places))
+            offsets.append(len(flat))
+            seen = seen_of[head]
+            n = np.bincount(seen[seen >= 0])
+            seen = np.flatnonzero(n)
+            n = n[seen].astype(np.float32)
+            data = at.astype("<i4").tobytes()
+            u = (zlib.crc32((text or "").encode("utf-8", "surrogatepass")) + 0.5) / 2**32
+            out["n_tokens"].append(len(words))
+            out["n_known"].append(len(head))
+            out["base"].append(float(logs[head].sum()))
+            out["at"].append(data)
+            out["seen"].append(seen.astype(np.uint16).tobytes())
+            out["n"].append(n.tobytes())
+            out["draw"].append(math.log(u) / max(1e-3, 1 - float(_weights(n) @ mean[seen])) if len(seen) else None)
+        pairs = pa.StructArray.from_arrays([pa.array(flat, pa.binary()), pa.array(np.concatenate(times) if times else [], pa.int32())], ["word", "k"])
+        made = {"n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "base": pa.array(out["base"], pa.float64()), "at": pa.array(out["at"], pa.binary()), "rest": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs), "seen": pa.array(out["seen"], pa.binary()), "n": pa.array(out["n"], pa.binary()), "draw": pa.array(out["draw"], pa.float64())}
+        yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in batch.schema.names if k != "text"} | made)
+
+
+def _counted(words: list[bytes], s: dict) -> np.ndarray:
+    """Symbols of words outside the head."""
+    return (s["n_learnt"] + 3 * Groups(s["groups"]).of(words) + 2).astype(np.int32)
+
+
+def _tokens(batches, s: dict):
+    """Each document's tokens (``at``) and their symbols; its other words are column ``words``."""
+    for batch in slices(batches, 1_024):
+        words = batch.column("words")
+        rare, begin = _counted(words.flatten().to_pylist(), s), 0
+        for data, n in zip(strings(batch.column("at")), words.value_lengths().to_pylist()):
+            at = np.frombuffer(data, "<i4")
+            yield at, _symbols(at, rare[begin : begin + n], s)
+            begin += n
+
+
+def _symbols(at: np.ndarray, rare: np.ndarray, s: dict) -> np.ndarray:
+    """Symbols of tokens; ``rare``: those of the document's words outside the head."""
+    odd = np.flatnonzero(at < 0)
+    ids = s["symbol"][np.maximum(at, 0)] if len(s["symbol"]) else np.zeros(len(at), np.int32)
+    ids[odd] = rare[-1 - at[odd]]
+    return ids
 
 
 def _train_task(batches, shared):
@@ -533,14 +577,13 @@ def _train_task(batches, shared):
     def learn():
         net.train(block, RATE, sums)
 
-    for batch in batches:
-        for ids in strings(batch.column(0)):
-            block.append(np.frombuffer(ids, "<i4"))
-            tokens += len(block[-1])
-            held += len(block[-1])
-            if len(block) >= TRAINED or held >= TRAINED_TOKENS:
-                learn()
-                block, held = [], 0
+    for _, ids in _tokens(batches, s):
+        block.append(ids)
+        tokens += len(ids)
+        held += len(ids)
+        if len(block) >= TRAINED or held >= TRAINED_TOKENS:
+            learn()
+            block, held = [], 0
     if block:
         learn()
     if tokens:
@@ -559,13 +602,17 @@ def _summed(batches):
         yield pa.RecordBatch.from_pydict({"tokens": pa.array([tokens], pa.int64()), "weights": pa.array([(flat / tokens).astype(np.float32).tobytes()], pa.binary())})
 
 
-def _class_sizes(batches, shared):
+def _class_sizes(batches, encoder, shared):
     """Words and tokens of each counted class, by task."""
-    s = shared.value
-    reader, size = _reader(s), s["size"]
+    s, rows = shared.value, _head(encoder.value)
+    size = s["size"]
     n_words, n_tokens = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for batch in batches:
-        k = _symbols(batch.column(0).to_pylist(), reader)[0]
+        words = batch.column(0).to_pylist()
+        at = np.fromiter(map(rows.get, words, itertools.repeat(-1)), np.int32, len(words))
+        odd = np.flatnonzero(at < 0)
+        at[odd] = -1 - np.arange(len(odd))
+        k = _symbols(at, _counted([words[i] for i in odd.tolist()], s), s)
         n_words += np.bincount(k, minlength=size)
         np.add.at(n_tokens, k, batch.column(1).to_numpy())
     k = np.flatnonzero(n_words[s["n_learnt"] :]) + s["n_learnt"]
@@ -577,9 +624,14 @@ def _score_task(batches, shared):
     s = shared.value
     net = Network(s["weights"], s["n_learnt"], s["end"])
     shift = s["shift"]  # log10 of each counted class' total, by symbol; zero for learnt ones
-    for batch in batches:
-        ids = [np.frombuffer(x, "<i4") for x in strings(batch.column("ids"))]
-        model = batch.column("counted").to_numpy() - np.array([shift[x].sum() for x in ids]) + (net.score(ids) / math.log(10) if ids else 0)
+    # What a head token adds besides the network's share: its share of a counted class.
+    share = np.where(s["symbol"] >= s["n_learnt"], s["log"], 0) - shift[s["symbol"]]
+    for batch in slices(batches, 1_024):
+        ids, rest = [], []
+        for at, own in _tokens([batch], s):
+            ids.append(own)
+            rest.append(share[at[at >= 0]].sum() - shift[own[at < 0]].sum())
+        model = np.array(rest) + (net.score(ids) / math.log(10) if ids else 0)
         yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "model": pa.array(model, pa.float64())})
 
 
@@ -604,43 +656,43 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     words = sorted(((bytes(r.word), r.n) for r in vocab.filter(F.col("n") >= least).toLocalIterator()), key=lambda x: (-x[1], x[0]))
     # The end belongs to the learnt words whatever its count.
     words.sort(key=lambda x: x[0] != END)
-    # The warm-up's documents are the first by a hash; only about as many come to the driver.
-    n_docs = sum(n for w, n in words if w == END)
-    first = -(1 << 63) + (1 << 64) * min(1.0, 1.5 * WARM_DOCS / max(1, n_docs) + 1e-9)
-    nth = F.xxhash64("doc_id")
-    warm = [words_of(r.text) for r in training.filter(nth <= int(min(first, (1 << 63) - 1))).withColumn("nth", nth).orderBy("nth", "doc_id").limit(WARM_DOCS).collect()]
+    encoder = head_of(spark, words)
+    kind = dict(plain.dtypes)["doc_id"]
+    numbered = plain.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
+    rows = saved(numbered.mapInArrow(lambda it: _encode(it, encoder), f"row long, doc_id {kind}, held_out boolean, {_ENCODED}"))
+    learning = rows.filter("not held_out")
     learnt, n_groups = model_sizes(n_words)
-    n = trigram_counts(training, words, n_groups) + 0.05
+    n = trigram_counts(learning, words, n_groups) + 0.05
     groups = Groups(np.log(n / n.sum(0)))
     symbols = Symbols(words, groups, learnt)
-    shared = {"name": uuid.uuid4().hex, "groups": groups.table, "words": b"\n".join(symbols.words), "symbol": symbols.symbol.astype(np.int32), "log": symbols.log, "n_learnt": symbols.n_learnt, "size": symbols.size, "end": symbols.end}
-    reader = _new_reader(shared)
-    ids = [_symbols([*d, END], reader)[0] for d in warm]
+    shared = {"groups": groups.table, "symbol": symbols.symbol.astype(np.int32), "log": symbols.log, "n_learnt": symbols.n_learnt, "size": symbols.size, "end": symbols.end}
+    # The warm-up's documents are the first by a hash; only about as many come to the driver.
+    n_docs = sum(n for w, n in words if w == END)
+    first = -(1 << 63) + (1 << 64) * min(1.0, 1.5 * WARM_DOCS / max(1, n_docs) + 1e-9)
+    nth, tokens = F.xxhash64("doc_id"), ("at", F.col("rest.word").alias("words"))
+    warm = learning.filter(nth <= int(min(first, (1 << 63) - 1))).withColumn("nth", nth).orderBy("nth", "doc_id").limit(WARM_DOCS).select(*tokens).collect()
+    ids = [_symbols(np.frombuffer(r["at"], "<i4"), _counted(list(map(bytes, r.words)), shared), shared) for r in warm]
     used = np.bincount(np.concatenate(ids), minlength=symbols.size) if ids else np.zeros(symbols.size)
     net, sums = Network.new(symbols, used), {}
     for k in range(WARM_PASSES):
         net.train(ids, RATE / (1 + 0.5 * k), sums)
-    kind = dict(plain.dtypes)["doc_id"]
-    encoder = spark.sparkContext.broadcast(shared)
-    numbered = plain.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
-    fields = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, counted double, ids binary, rest array<struct<word:binary,k:int>>"
-    rows = saved(numbered.mapInArrow(lambda it: _encode(it, encoder), fields))
-    b = spark.sparkContext.broadcast({"weights": net.w, "sums": sums, "n_learnt": symbols.n_learnt, "end": symbols.end})
-    parts = rows.filter("not held_out").select("ids").mapInArrow(lambda it: _train_task(it, b), "part int, tokens long, weights binary")
+    b = spark.sparkContext.broadcast(shared | {"weights": net.w, "sums": sums})
+    parts = learning.select(*tokens).mapInArrow(lambda it: _train_task(it, b), "part int, tokens long, weights binary")
     summed = parts.repartition(PARTS, "part").mapInArrow(_summed, "tokens long, weights binary")
     for r in summed.repartition(1).mapInArrow(_summed, "tokens long, weights binary").collect():  # one row, of PARTS
         flat, at = np.frombuffer(r.weights, np.float32), 0
         for k in sorted(net.w):
             net.w[k] = flat[at : at + net.w[k].size].reshape(net.w[k].shape).copy()
             at += net.w[k].size
-    sizes = vocab.mapInArrow(lambda it: _class_sizes(it, encoder), "k long, v long, n long").groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
+    reader = spark.sparkContext.broadcast(shared)
+    sizes = vocab.mapInArrow(lambda it: _class_sizes(it, encoder, reader), "k long, v long, n long").groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
     shift = np.zeros(symbols.size)
     shift[symbols.n_learnt :] = math.log10(0.5)
     for r in sizes:
         unknown = (r.k - symbols.n_learnt) % 3 == 2
         shift[r.k] = math.log10(r.n + 0.5 * (r.v + unknown))
-    scorer = spark.sparkContext.broadcast({"weights": net.w, "shift": shift, "n_learnt": symbols.n_learnt, "end": symbols.end})
-    scored = rows.select("row", "ids", "counted").mapInArrow(lambda it: _score_task(it, scorer), "row long, model double")
+    scorer = spark.sparkContext.broadcast(shared | {"weights": net.w, "shift": shift})
+    scored = rows.select("row", *tokens).mapInArrow(lambda it: _score_task(it, scorer), "row long, model double")
     rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.k")
     counted = rare.join(vocab.filter(F.col("n") < least), "word", "left")
     part = F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)
