@@ -75,3 +75,11 @@ def test_codebook_examples_do_not_look_through_all_twins(spark, monkeypatch):
     topic = C.codebook_topics(None, None, None, None, themes, None)[0]
     assert time.time() - start < 12
     assert len(topic["exemplars"]) == n // 2 and topic["exemplars"][1]["twin_segment_ids"] == ["d:000003"]
+
+
+def test_sql_functions_on_odd_texts(spark, tmp_path):
+    """Null and empty texts, ends of sentences at a text's end, white space and letters of all kinds."""
+    texts = [None, "", " ", "a", "A. B. ", "a.\n", "a. b.  \t", "..  ..  ", "x.\x01 y", "a\x01b", "\f.\fx", "\u0130stanbul ab\u0130cd a\u0130b", "\u0870\u0871 \u08c8\u1d2b", "\U0001e2c0\U0001e2c1 \U00031350\U00031351"]
+    texts += [f"x{c}y z.{c}w" for c in map(chr, [*range(1, 0x21), 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xA7C0, 0xA7CB, 0xA7DC, 0x10570, 0x10FFFF])]
+    ours, theirs = against_sql(spark, documents(spark, tmp_path, [(i, t, "en", "src1") for i, t in enumerate(texts)]), "x2_sql_functions")
+    assert ours == theirs
