@@ -169,6 +169,36 @@ def test_calibration_has_not_seen_its_rows(spark):
     assert 0.3 < held.agg(F.avg("oof_score")).first()[0] < 0.7
 
 
+def test_every_labelled_row_is_fitted(spark):
+    """More than 10,000 rows of a class: each has a score out of fold, and the last ones count."""
+    x = spark.range(12_000).select(F.format_string("s%05d", "id").alias("segment_id"), F.array((F.col("id") % 3).cast("int")).alias("at"), F.array(F.lit(1.0)).alias("value"))
+    held, models = training.fitted(x, x.select(F.lit("t").alias("theme_id"), "segment_id", (F.substring("segment_id", 2, 9).cast("int") % 12 > 0).cast("int").alias("y")), 3)
+    assert held.count() == 12_000 and held.filter("y = 1").count() == 11_000 and len(models["t"]) == training.INNER
+
+
+def test_large_themes_are_fitted_over_tasks(spark, monkeypatch):
+    """The steps over many tasks give what a task gives; a theme with one class has no models either way."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"s{i:03d}", sorted(rng.sample(range(30), 6)), [rng.random() for _ in range(6)]) for i in range(240)]
+    x = spark.createDataFrame([*rows, ("s240", [], [])], "segment_id string, at array<int>, value array<double>").repartition(3)
+    y = {i: int(sum(v for a, v in zip(at, value) if a < 10) + rng.random() > 1.3) for i, at, value in rows} | {"s240": 0}
+    labels = spark.createDataFrame([(t, i, 1 if t == "one" else k) for t in ("one", "two") for i, k in y.items()], "theme_id string, segment_id string, y int")
+
+    def made():
+        held, models = training.fitted(x, labels, 30)
+        return {(r.theme_id, r.segment_id): (r.y, r.oof_score) for r in held.collect()}, models
+
+    held, models = made()
+    monkeypatch.setattr(training, "TASK", 0)
+    monkeypatch.setattr(training, "PIECE", 7)
+    over_tasks, other = made()
+    assert held.keys() == over_tasks.keys() and len(held) == 2 * 241 and models["one"] == other["one"] == [] and len(models["two"]) == len(other["two"]) == training.INNER
+    assert all(held[k][0] == over_tasks[k][0] and abs(held[k][1] - over_tasks[k][1]) < 1e-4 for k in held)
+    assert len({round(s, 3) for _, s in over_tasks.values()}) > 50
+
+
 def test_embedding_cache(spark, tmp_path):
     v = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "segment_id string, embedding array<float>")
     training.append_embeddings(str(tmp_path / "e"), "m", v)
